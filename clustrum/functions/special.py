@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -40,7 +41,7 @@ def t_two_sided(t: float, degrees: float) -> float:
     return incomplete_beta(degrees / 2, 0.5, degrees / (degrees + t * t)) if degrees > 0 else math.nan
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, degrees: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(x) or n <= 0 else 0.0 if math.isinf(x) else t_two_sided(x, n) for x, n in zip(t, degrees)],
@@ -48,12 +49,12 @@ def t_p_value(t: pd.Series, degrees: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else inverse(v)).astype("float64")

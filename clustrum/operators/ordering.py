@@ -206,10 +206,10 @@ def describe_counts(
     names: Sequence[str] | None = None,
     nearest_rank: bool = False,
 ) -> DataFrame:
-    """`describe` of a table that already holds (groups, `value`, `n`)."""
+    """`describe` of a table that already holds (groups, `value`, `n`); a null group is left out."""
     groups = list(groups)
     names = list(names or (quantile_name(f) for f in fractions))
-    keyed = counts if groups else counts.withColumn("_all", F.lit(0))
+    keyed = counts.dropna(subset=groups) if groups else counts.withColumn("_all", F.lit(0))
     keys = groups or ["_all"]
     counted = running_sums(keyed.withColumn("value", F.col("value").cast("double")), ["value"], ["n"], keys)
     totals = counted.groupBy(*keys).agg(
@@ -251,6 +251,29 @@ def describe_counts(
     )
 
 
+def quantile_grid(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
+    """(`fraction`, `observed`) for a long list of fractions: one row each instead of one column each."""
+    counted = running_sums(
+        histogram_of(df.withColumn("_all", F.lit(0)), value, ["_all"]), ["value"], ["n"], ["_all"]
+    )
+    total = counted.agg(F.sum("n").alias("_total"))
+    grid = F.array(*(F.lit(float(f)) for f in fractions))
+    low = lambda f: F.floor((F.col("_total") - 1) * f)
+    high = lambda f: F.least(low(f) + 1, F.col("_total") - 1)
+    inside = lambda rank: (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
+    hits = counted.join(F.broadcast(total)).select(
+        F.col("value").cast("double").alias("value"), "n", "cum_n", "_total",
+        F.explode(F.filter(grid, lambda f: inside(low(f)) | inside(high(f)))).alias("fraction"),
+    )
+    f = F.col("fraction")
+    bounds = hits.groupBy("fraction").agg(
+        F.max(F.when(inside(low(f)), F.col("value"))).alias("a"),
+        F.max(F.when(inside(high(f)), F.col("value"))).alias("b"),
+        F.first((F.col("_total") - 1) * f - low(f)).alias("part"),
+    )
+    return bounds.select("fraction", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("observed"))
+
+
 def _value_at(rank: Column) -> Column:
     covered = (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
     return F.max(F.when(covered, F.col("value")))

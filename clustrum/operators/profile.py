@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.functions.special import normal_p_value, normal_quantile, t_p_value
-from clustrum.operators.ordering import describe, histogram_of, running_sums
+from clustrum.operators.ordering import describe, histogram_of, quantile_grid, running_sums
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -98,6 +98,7 @@ def kendall_correlation(df: DataFrame, x: str, y: str, digits: int = 16) -> Data
         return spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in _KENDALL))
     # The rank is a function of y and y may be hot in x; join the small side by its own key.
     ranked = cells.join(ranked_y.select("y", "rank_y"), "y")
+    digits = min(digits, max(2, size.top + 1))
     levels, span = [], 1
     while not levels or span <= size.top:
         levels.append(_digit_level(ranked, span, digits))
@@ -171,14 +172,10 @@ def normality_summary(df: DataFrame, value: str) -> DataFrame:
 def qq_points(df: DataFrame, value: str, points: int = 99) -> DataFrame:
     """Exact quantiles on an even grid against normal quantiles, with the fitted normal value."""
     fractions = [i / (points + 1) for i in range(1, points + 1)]
-    names = [f"q{i}" for i in range(points)]
-    wide = describe(df, value, (), fractions, names)
-    cells = F.array(*(
-        F.struct(F.lit(f).alias("fraction"), F.col(c).alias("observed")) for f, c in zip(fractions, names)
-    ))
-    return wide.select("mean", "std_population", F.inline(cells)).select(
+    fitted = df.agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    return quantile_grid(df, value, fractions).join(F.broadcast(fitted)).select(
         "fraction", normal_quantile("fraction").alias("normal_quantile"), "observed",
-        (F.col("mean") + F.col("std_population") * normal_quantile("fraction")).alias("fitted"),
+        (F.col("_mean") + F.col("_std") * normal_quantile("fraction")).alias("fitted"),
     )
 
 
