@@ -106,7 +106,7 @@ def gaps_query(spark, sf):
 
 
 def sampled(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.substring_index("text", " ", 1).alias("review_text"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("review_text"))
     return geometry(spark, sf).join(texts, "vec_id").select(
         F.col("vec_id").cast("string").alias("source_row_id"), "cluster_id",
         rounded("assigned_centroid_cosine_similarity"), rounded("assignment_margin"), "review_text",
@@ -115,7 +115,9 @@ def sampled(spark, sf):
 
 def inspection_query(spark, sf):
     sample, _ = sampling.inspection_sample(sampled(spark, sf), N_CLUSTERS, strict=False)
-    return sample.select("source_row_id", "cluster_id", "sampling_category", "position", "review_text", *sampling.ANNOTATIONS)
+    return sample.select(
+        "source_row_id", "cluster_id", "sampling_category", "position", F.sha2("review_text", 256).alias("text_digest"), *sampling.ANNOTATIONS
+    )
 
 
 def skipped_query(spark, sf):
@@ -176,7 +178,7 @@ records AS (
 SQL_SAMPLE = SQL_CENTROIDS + """,
 records AS (
   SELECT CAST(vec_id AS VARCHAR) AS id, cluster_id, round(similarity, 6) + 0.0 AS sim, round(margin, 6) + 0.0 AS margin,
-    split_part(text, ' ', 1) AS review_text, sha256('42|' || vec_id) AS tie
+    text AS review_text, sha256('42|' || vec_id) AS tie
   FROM geometry JOIN documents ON doc_id = vec_id
 ),
 base AS (
@@ -276,7 +278,7 @@ ORACLES = {
         FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "inspection_sample": f"""
         WITH {SQL_SAMPLE}
-        SELECT id AS source_row_id, cluster_id, category AS sampling_category, CAST(position AS INTEGER) AS position, review_text,
+        SELECT id AS source_row_id, cluster_id, category AS sampling_category, CAST(position AS INTEGER) AS position, sha256(review_text) AS text_digest,
           '' AS proposed_theme, '' AS thematic_consistency, '' AS ambiguity, '' AS comments FROM chosen""",
     "inspection_skipped": f"WITH {SQL_SAMPLE}" + " UNION ALL ".join((
         skipped_sql("r1", "high_similarity", "(SELECT id FROM s1 WHERE false)"),
