@@ -1 +1,142 @@
-QUERIES, ORACLES = {}, {}
+"""Queries that encode, fit, freeze and sweep."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clustrum.operators import models
+from clustrum.operators.geometry import assign_clusters, centroids_of, partition_summary
+from clustrum.plans.common import SQL_CENTROIDS, labelled_embeddings, rounded, sql_clean, table
+from clustrum.session import materialize, scratch_path
+
+CLEAN = sql_clean()
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+
+def encode_query(spark, sf):
+    encoded = models.encode_texts(table(spark, sf, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value != 0").select(
+        "doc_id", "dim", rounded(F.col("value").cast("double"), "value", 4))
+
+
+def fit_query(method):
+    def query(spark, sf):
+        _, labelled, cost = models.fit_and_assign(vectors(spark, sf), method, n_clusters=10, n_init=3, max_iter=50)
+        labelled = materialize(labelled, "fitted")
+        return partition_summary(labelled).withColumn("inertia", rounded(F.lit(cost), "inertia"))
+    query.__module__ = __name__
+    return query
+
+
+def stability_query(spark, sf):
+    return models.evaluate_stability(
+        vectors(spark, sf), "vec_id", "spherical_kmeans", "global", n_repeats=2, n_clusters=5, n_init=1, max_iter=15)
+
+
+def algorithmic_query(spark, sf):
+    return models.evaluate_stability(
+        vectors(spark, sf), "vec_id", "kmeans", "algorithmic", n_repeats=3, n_clusters=5, n_init=1, max_iter=15)
+
+
+def sweep_query(spark, sf):
+    """Two encoders of `documents`, two methods, two seeds; fitted on other rows than scored."""
+    from clustrum.plans.common import cohort_column
+
+    rows = table(spark, sf, "documents").select("doc_id", "text").withColumn("cohort", cohort_column("doc_id"))
+    train, held = {}, {}
+    for name, dimension in (("small", 16), ("wide", 64)):
+        encoded = materialize(models.encode_texts(rows, lambda d=dimension: models.HashedWordEncoder(d)).drop("text"), "sweep-vectors")
+        train[name] = encoded.filter("cohort = 'training'")
+        held[name] = encoded.filter("cohort = 'selection'")
+    runs, _ = models.sweep(train, held, "doc_id", seeds=(42, 43), n_clusters=4, n_init=1, max_iter=15)
+    return runs
+
+
+def density_query(spark, sf):
+    reduced = models.reduce_dimensions(vectors(spark, sf), 3)
+    return models.density_cluster(reduced, "vec_id", "reduced", radius=0.1, min_neighbours=10, min_cluster_size=20)
+
+
+def density_axes_query(spark, sf):
+    """Density clusters of orders over (price, date) so that SQL can follow the cells."""
+    orders = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity", F.col("l_discount") * 100).alias("v"))
+    labelled = models.density_cluster(orders, "id", "v", radius=1.0, min_neighbours=10, min_cluster_size=50, dimensions=2)
+    return labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reduce_query(spark, sf):
+    reduced = models.reduce_dimensions(vectors(spark, sf), 15)
+    return reduced.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("reduced")).alias("dimension"))
+
+
+def profile_query(spark, sf):
+    return models.language_profiles(table(spark, sf, "documents"))
+
+
+def detect_query(spark, sf):
+    documents = table(spark, sf, "documents")
+    return models.language_detect(documents, models.language_profiles(documents)).select("doc_id", "detected")
+
+
+def frozen_query(spark, sf):
+    """Label means frozen, loaded again and used to assign."""
+    path = scratch_path(spark, "frozen")
+    identity = models.freeze_model(centroids_of(labelled_embeddings(spark, sf)), {"method": "spherical_kmeans", "n_clusters": 10}, path)
+    centroids, _ = models.load_frozen(spark, path, identity, 64)
+    return assign_clusters(vectors(spark, sf), centroids).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {
+    "encode_texts": encode_query,
+    "spherical_kmeans_fit": fit_query("spherical_kmeans"),
+    "kmeans_fit": fit_query("kmeans"),
+    "stability_global": stability_query,
+    "stability_algorithmic": algorithmic_query,
+    "sweep": sweep_query,
+    "density_cluster": density_query,
+    "density_cluster_cells": density_axes_query,
+    "reduce_dimensions": reduce_query,
+    "language_profiles": profile_query,
+    "language_detect": detect_query,
+    "frozen_model": frozen_query,
+}
+
+PROFILES = f"""
+chars AS (SELECT doc_id, lang, lower({CLEAN}) AS t FROM documents),
+pieces AS (SELECT doc_id, lang, unnest(regexp_extract_all(substr(t, o), '(?s).{{3}}')) AS trigram FROM chars, range(1, 4) s(o)),
+profiles AS (
+  SELECT lang, trigram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, trigram) - 1 AS position
+  FROM (SELECT lang, trigram, count(*) AS n FROM pieces GROUP BY 1, 2) QUALIFY position < 300
+)"""
+
+ORACLES = {
+    "encode_texts": f"""
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower({CLEAN}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w FROM documents),
+        slots AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS dim, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY 1, 2),
+        filled AS (SELECT * FROM slots UNION ALL SELECT doc_id, 0, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM slots))
+        SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM filled""",
+    "density_cluster_cells": """
+        WITH RECURSIVE cells AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS x, CAST(floor(l_discount * 100) AS BIGINT) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2),
+        dense AS (SELECT a.x, a.y, a.x * 1000 + a.y AS k FROM cells a JOIN cells b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2 HAVING sum(b.n) >= 10),
+        reach(x, y, root) AS (SELECT x, y, k FROM dense UNION SELECT d.x, d.y, r.root FROM reach r JOIN dense d ON abs(r.x - d.x) <= 1 AND abs(r.y - d.y) <= 1 WHERE r.root < d.k),
+        labels AS (SELECT x, y, min(root) AS root FROM reach GROUP BY 1, 2),
+        assigned AS (SELECT c.x, c.y, c.n, coalesce(max(l.root) FILTER (WHERE l.x = c.x AND l.y = c.y), min(l.root)) AS root
+          FROM cells c LEFT JOIN labels l ON abs(l.x - c.x) <= 1 AND abs(l.y - c.y) <= 1 GROUP BY 1, 2, 3),
+        sizes AS (SELECT root, sum(n) AS n FROM assigned GROUP BY root)
+        SELECT CASE WHEN root IS NULL OR n < 50 THEN -1 ELSE CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) END AS cluster_id, CAST(sum(n) AS BIGINT) AS n
+        FROM sizes GROUP BY root, n""",
+    "language_profiles": f"WITH {PROFILES} SELECT lang, trigram, CAST(position AS INTEGER) AS position FROM profiles",
+    "language_detect": f"""
+        WITH {PROFILES},
+        top AS (SELECT doc_id, trigram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, trigram) - 1 AS i
+          FROM (SELECT doc_id, trigram, count(*) AS n FROM pieces GROUP BY 1, 2) QUALIFY i < 300),
+        langs AS (SELECT DISTINCT lang FROM profiles),
+        scores AS (SELECT t.doc_id, l.lang, sum(CASE WHEN p.position IS NULL THEN 300 ELSE abs(p.position - t.i) END) AS s
+          FROM top t, langs l LEFT JOIN profiles p ON p.lang = l.lang AND p.trigram = t.trigram GROUP BY 1, 2),
+        best AS (SELECT doc_id, lang FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s, lang) = 1)
+        SELECT d.doc_id, coalesce(b.lang, 'NA') AS detected FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id""",
+    "frozen_model": f"WITH {SQL_CENTROIDS} SELECT cluster_id, count(*) AS n FROM geometry GROUP BY cluster_id",
+}

@@ -1 +1,229 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of the streaming operators. `events` are requests: event_type is the route, 'error' a status
+of 500, `value` the duration in seconds. The windowed metrics run as batch twins of the same functions;
+names ending in `_stream` run a streaming query over the table to its end."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clustrum.operators.geometry import centroids_of
+from clustrum.plans.common import SQL_CENTROIDS, labelled_embeddings, rounded, table
+from clustrum.plans.drift import STACKED
+from clustrum.session import scratch_path
+from clustrum.streaming import jobs, metrics
+
+
+
+def shaped(events):
+    failed = F.col("event_type") == "error"
+    return events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
+        F.when(F.col("event_type") == "click", "POST").when(F.col("event_type") == "signup", "BREW").otherwise("GET").alias("method"),
+        F.col("event_type").alias("route"), F.when(failed, 500).otherwise(200).alias("status_code"), F.col("value").alias("duration"),
+    )
+
+
+def requests(spark, sf):
+    return shaped(table(spark, sf, "events"))
+
+
+def request_stream(spark, sf):
+    return metrics.with_event_time(shaped(jobs.read_table_stream(spark, sf, "events.parquet")))
+
+
+def naive(df, *columns):
+    """Window starts without a zone, as the table has them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def rate_query(spark, sf):
+    return naive(metrics.request_rate(requests(spark, sf), "1 hour"), "window_start").withColumn("per_second", rounded("per_second"))
+
+
+def sliding_query(spark, sf):
+    out = metrics.request_rate(requests(spark, sf), "2 hours", ("status_code",), "1 hour")
+    return naive(out, "window_start").withColumn("per_second", rounded("per_second"))
+
+
+def rate_stream_query(spark, sf):
+    path, state = scratch_path(spark, "rate"), scratch_path(spark, "rate-state")
+    jobs.collect_stream(metrics.request_rate(request_stream(spark, sf), "1 hour"), path, state).awaitTermination()
+    return naive(spark.read.parquet(path), "window_start").withColumn("per_second", rounded("per_second"))
+
+
+def error_query(spark, sf):
+    return naive(metrics.error_fraction(requests(spark, sf), "6 hours"), "window_start").withColumn("error_fraction", rounded("error_fraction"))
+
+
+def error_stream_query(spark, sf):
+    path, state = scratch_path(spark, "errors"), scratch_path(spark, "errors-state")
+    jobs.collect_stream(metrics.error_fraction(request_stream(spark, sf), "6 hours"), path, state).awaitTermination()
+    return naive(spark.read.parquet(path), "window_start").withColumn("error_fraction", rounded("error_fraction"))
+
+
+def histogram_query(spark, sf):
+    return metrics.duration_histogram(requests(spark, sf)).withColumn("duration_sum", rounded("duration_sum", places=3))
+
+
+def windowed_histogram_query(spark, sf):
+    out = metrics.duration_histogram(requests(spark, sf), "1 day", ["route"])
+    return naive(out, "window_start").withColumn("duration_sum", rounded("duration_sum", places=3))
+
+
+def quantile_query(spark, sf):
+    out = metrics.histogram_quantile(requests(spark, sf), length="6 hours", by=["route"])
+    return naive(out, "window_start").withColumns({c: rounded(F.col(c)) for c in ("p50", "p95", "p99")})
+
+
+def totals_query(spark, sf):
+    return metrics.lifetime_totals(requests(spark, sf))
+
+
+def totals_stream_query(spark, sf):
+    path, state = scratch_path(spark, "totals"), scratch_path(spark, "totals-state")
+    jobs.collect_stream(metrics.lifetime_totals(request_stream(spark, sf)), path, state).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def progress_query(spark, sf):
+    return naive(metrics.in_progress(requests(spark, sf)), "at")
+
+
+def progress_stream_query(spark, sf):
+    path, state = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
+    changes = metrics.in_progress_changes(shaped(jobs.read_table_stream(spark, sf, "events.parquet")), ["route"])
+    jobs.collect_stream(metrics.in_progress_now(changes.filter("change > 0"), ["route"]), path, state).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def latest_query(spark, sf):
+    return naive(metrics.latest_state(requests(spark, sf), "user_id", "status_code"), "last_seen")
+
+
+def bounded_query(spark, sf):
+    labelled = metrics.bounded_labels(requests(spark, sf), ["view", "click", "purchase"])
+    return labelled.groupBy("method", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedupe_query(spark, sf):
+    """Every event arrives twice; each id is kept once."""
+    path, state = scratch_path(spark, "deduped"), scratch_path(spark, "deduped-state")
+    twice = jobs.read_table_stream(spark, sf, "events.parquet").select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    once = metrics.dedupe_stream(twice, "event_id")
+    query = (
+        once.select("event_id").writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("event_id bigint").parquet(path)
+
+
+def score_query(spark, sf):
+    output, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
+    centroids = centroids_of(labelled_embeddings(spark, sf))
+    for _ in range(2):  # the second start finds nothing left to do
+        stream = jobs.read_table_stream(spark, sf, "embeddings.parquet").select("vec_id", "embedding")
+        jobs.score_stream(stream, centroids, output, state, {"source": sf}).awaitTermination()
+    return spark.read.parquet(output).select(
+        "vec_id", "cluster_id", rounded("assigned_centroid_cosine_similarity", "similarity"), rounded("assignment_margin", "margin"))
+
+
+def drift_query(spark, sf):
+    """Drift of all texts, arriving as a stream, from the English ones."""
+    output, state = scratch_path(spark, "drift"), scratch_path(spark, "drift-state")
+    reference = jobs.reference_histogram(table(spark, sf, "documents").filter("lang = 'en'"))
+    stream = jobs.read_table_stream(spark, sf, "documents.parquet").select("text")
+    jobs.drift_stream(stream, reference, output, state).awaitTermination()
+    return spark.read.parquet(output).select("feature", "reference_rows", "production_rows", rounded("ks_statistic"), rounded("wasserstein"))
+
+
+QUERIES = {
+    "request_rate": rate_query,
+    "request_rate_sliding": sliding_query,
+    "request_rate_stream": rate_stream_query,
+    "error_fraction": error_query,
+    "error_fraction_stream": error_stream_query,
+    "duration_histogram": histogram_query,
+    "duration_histogram_windowed": windowed_histogram_query,
+    "histogram_quantile": quantile_query,
+    "lifetime_totals": totals_query,
+    "lifetime_totals_stream": totals_stream_query,
+    "in_progress": progress_query,
+    "requests_started_stream": progress_stream_query,
+    "latest_state": latest_query,
+    "bounded_labels": bounded_query,
+    "dedupe_stream": dedupe_query,
+    "score_stream": score_query,
+    "drift_stream": drift_query,
+}
+
+R = """
+r AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'click' THEN 'POST' WHEN 'signup' THEN 'BREW' ELSE 'GET' END AS method, event_type AS route,
+  CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS duration FROM events)"""
+BOUNDS = ", ".join(f"(CAST({b} AS DOUBLE), '{b:g}')" for b in metrics.DURATION_BOUNDS)
+RATE = f"""
+    WITH {R} SELECT date_trunc('hour', ts) AS window_start, route, count(*) AS requests, round(count(*) / CAST(3600 AS DOUBLE), 6) + 0.0 AS per_second FROM r GROUP BY 1, 2"""
+ERRORS = f"""
+    WITH {R} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors,
+      round(count(*) FILTER (WHERE status_code >= 400) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS error_fraction FROM r GROUP BY 1"""
+
+
+def histogram_sql(keys: str) -> str:
+    return f"""
+        b AS (SELECT * FROM (VALUES {BOUNDS}, (CAST('inf' AS DOUBLE), '+Inf')) t(bound, le)),
+        g AS (SELECT {keys}, count(*) AS count, sum(duration) AS total FROM r GROUP BY ALL),
+        h AS (SELECT {keys}, le, count(*) FILTER (WHERE duration <= bound) AS cumulative FROM r, b GROUP BY ALL)"""
+
+
+TOTALS = f"WITH {R} SELECT route, method, count(*) AS requests FROM r GROUP BY 1, 2"
+
+
+def quantile_sql(fraction: float) -> str:
+    return (
+        f"round(coalesce(min(low + (high - low) * ({fraction} * total - before) / (c - before)) FILTER (WHERE c >= {fraction} * total AND before < {fraction} * total), 300.0), 6) + 0.0"
+    )
+
+
+ORACLES = {
+    "request_rate": RATE,
+    "request_rate_stream": RATE,
+    "request_rate_sliding": f"""
+        WITH {R}, s AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * o AS window_start, status_code FROM r, range(2) t(o))
+        SELECT window_start, status_code, count(*) AS requests, round(count(*) / CAST(7200 AS DOUBLE), 6) + 0.0 AS per_second FROM s GROUP BY 1, 2""",
+    "error_fraction": ERRORS,
+    "error_fraction_stream": ERRORS,
+    "duration_histogram": f"""
+        WITH {R}, {histogram_sql('method, route, status_code')}
+        SELECT method, route, status_code, count, round(total, 3) + 0.0 AS duration_sum, le, cumulative FROM g JOIN h USING (method, route, status_code)""",
+    "duration_histogram_windowed": f"""
+        WITH {R.replace(', ts,', ", date_trunc('day', ts) AS window_start,")}, {histogram_sql('window_start, route')}
+        SELECT window_start, route, count, round(total, 3) + 0.0 AS duration_sum, le, cumulative FROM g JOIN h USING (window_start, route)""",
+    "histogram_quantile": f"""
+        WITH {R.replace(', ts,', ", time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start,")},
+        b AS (SELECT bound AS high, coalesce(lag(bound) OVER (ORDER BY bound), 0) AS low FROM (VALUES {BOUNDS}) t(bound, le)),
+        h AS (SELECT window_start, route, low, high, count(*) AS total, CAST(count(*) FILTER (WHERE duration <= high) AS DOUBLE) AS c,
+          CAST(count(*) FILTER (WHERE duration <= low AND low > 0) AS DOUBLE) AS before FROM r, b GROUP BY 1, 2, 3, 4)
+        SELECT window_start, route, max(total) AS requests, {quantile_sql(0.5)} AS p50, {quantile_sql(0.95)} AS p95, {quantile_sql(0.99)} AS p99 FROM h GROUP BY 1, 2""",
+    "lifetime_totals": TOTALS,
+    "lifetime_totals_stream": TOTALS,
+    "in_progress": f"""
+        WITH {R}, c AS (SELECT method, ts AS t, 1 AS d FROM r UNION ALL SELECT method, make_timestamp(epoch_us(ts) + CAST(round(duration * 1000000) AS BIGINT)), -1 FROM r),
+        s AS (SELECT method, t, sum(d) AS d FROM c GROUP BY 1, 2)
+        SELECT method, t AS "at", CAST(sum(d) OVER (PARTITION BY method ORDER BY t) AS BIGINT) AS in_progress FROM s""",
+    "requests_started_stream": "SELECT event_type AS route, count(*) AS in_progress FROM events GROUP BY 1",
+    "latest_state": f"""
+        WITH {R} SELECT user_id, status_code, ts AS last_seen FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "bounded_labels": f"""
+        WITH {R} SELECT CASE WHEN method = 'BREW' THEN 'OTHER' ELSE method END AS method, CASE WHEN route IN ('view', 'click', 'purchase') THEN route ELSE '__unmatched__' END AS route,
+          count(*) AS n FROM r GROUP BY 1, 2""",
+    "dedupe_stream": "SELECT event_id FROM events",
+    "score_stream": f"""
+        WITH {SQL_CENTROIDS} SELECT vec_id, cluster_id, round(similarity, 6) + 0.0 AS similarity, round(margin, 6) + 0.0 AS margin FROM geometry""",
+    "drift_stream": f"""
+        WITH {STACKED},
+        pooled AS (SELECT 'all' AS cohort, feature, value FROM stacked UNION ALL SELECT 'ref', feature, value FROM stacked WHERE cohort = 'en'),
+        hist AS (SELECT feature, value, count(*) FILTER (WHERE cohort = 'ref') AS a, count(*) FILTER (WHERE cohort = 'all') AS b FROM pooled GROUP BY 1, 2),
+        cum AS (SELECT feature, value, lead(value) OVER w AS following, sum(a) OVER w / CAST(sum(a) OVER t AS DOUBLE) AS fa, sum(b) OVER w / CAST(sum(b) OVER t AS DOUBLE) AS fb,
+          sum(a) OVER t AS na, sum(b) OVER t AS nb FROM hist WINDOW w AS (PARTITION BY feature ORDER BY value), t AS (PARTITION BY feature))
+        SELECT feature, CAST(max(na) AS BIGINT) AS reference_rows, CAST(max(nb) AS BIGINT) AS production_rows, round(max(abs(fa - fb)), 6) + 0.0 AS ks_statistic,
+          round(sum(abs(fa - fb) * (following - value)), 6) + 0.0 AS wasserstein FROM cum GROUP BY feature""",
+}
