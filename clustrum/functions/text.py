@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
 
 def stop_tokens(stop_words: Iterable[str]) -> list[str]:
     """Stop words cut the way the texts are, so that "aujourd'hui" stops both of its parts."""
-    import regex
-
     return sorted({t for w in stop_words for t in regex.findall(WORD_PATTERN, w.lower())})
 
 

@@ -47,20 +47,25 @@ def is_unit(vector: Column | str) -> Column:
 
 
 def stacked_rows(vectors: pa.Array) -> np.ndarray:
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
+    """A batch of vectors as one matrix; they all need the same, nonzero length."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    if vectors.null_count or not (lengths > 0).all() or len(set(lengths.tolist())) > 1:
+        raise ValueError("vectors must be finite and nonzero, of one length")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(vectors), -1)
 
 
+def listed_rows(matrix: np.ndarray) -> pa.Array:
+    ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
 def similarities(vector: Column | str, centroids: np.ndarray) -> Column:
     """Dot product with every centroid, as one array per row (n x k values, no join)."""
 
     @F.arrow_udf("array<double>")
     def product(vectors: pa.Array) -> pa.Array:
-        scores = stacked_rows(vectors) @ centroids.T
-        ends = np.arange(0, scores.size + 1, scores.shape[1], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))
+        return listed_rows(stacked_rows(vectors) @ centroids.T)
 
     return product(vector)
 

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.functions.text import clean_text, text_digest, word_count
-from clustrum.functions.vectors import as_doubles, is_finite, norm
+from clustrum.functions.vectors import listed_rows, stacked_rows
 
 # Limits of a review that may be scored.
 MIN_CHARACTERS, MAX_CHARACTERS = 1, 5000
@@ -109,15 +111,17 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def l2_normalize(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Unit-length vectors; stops on an empty, non-finite or zero vector."""
-    values, length = as_doubles(vector), norm(vector)
-    bad = F.col(vector).isNull() | (F.size(vector) == 0) | ~is_finite(vector) | (length == 0)
-    checked = F.when(bad, F.raise_error(F.lit("vectors must be finite and nonzero")).cast("double")).otherwise(length)
-    return (
-        df.withColumn("_norm", checked)
-        .withColumn(vector, F.transform(values, lambda x: x / F.col("_norm")))
-        .drop("_norm")
-    )
+    """Unit-length vectors; stops on a missing, empty, non-finite or zero vector."""
+
+    @F.arrow_udf("array<double>")
+    def scaled(vectors: pa.Array) -> pa.Array:
+        matrix = stacked_rows(vectors)
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+        if not np.isfinite(matrix).all() or (lengths == 0).any():
+            raise ValueError("vectors must be finite and nonzero")
+        return listed_rows(matrix / lengths)
+
+    return df.withColumn(vector, scaled(vector))
 
 
 def drop_noise(df: DataFrame, label: str = "cluster_id") -> DataFrame:
@@ -134,8 +138,10 @@ def dedupe_reviews(df: DataFrame, keys: Sequence[str], id_column: str) -> DataFr
     The rank limit is applied before the shuffle as well, so a text copied a billion times sends
     one row per input partition.
     """
-    parts = [F.concat(F.lit("v"), F.col(k).cast("string")) for k in keys]
-    key = F.sha2(F.to_json(F.array(*(F.coalesce(p, F.lit("n")) for p in parts))), 256)
+    values = [F.col(k).cast("string") for k in keys]
+    # The length in front keeps ("a", "bc") apart from ("ab", "c").
+    parts = [F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    key = F.sha2(F.concat(*parts), 256)
     window = Window.partitionBy("_key").orderBy(id_column)
     return (
         df.withColumn("_key", key)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -155,7 +156,7 @@ def permutation_test(
     chunks = max(1, min(64, resamples // 32))
     work = blocked.withColumn("chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
 
-    def resample(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         feature, block, chunk = key
         n_a, n_b, _ = plans[feature]
         pdf = pdf.sort_values("cell")
@@ -239,8 +240,6 @@ def _splits(n_a: int, n_b: int, limit: int) -> float:
 
 def _enumerate(statistic: CellStatistic):
     def every(pdf: pd.DataFrame) -> pd.DataFrame:
-        from itertools import combinations
-
         pdf = pdf.sort_values("cell")
         pooled = pdf.pooled.to_numpy()
         n_a, n_b = int(pdf.a.sum()), int(pdf.b.sum())

@@ -72,7 +72,7 @@ def _with_nearest(df: DataFrame, centroids: DataFrame | np.ndarray, vector: str)
 
 def assignment_geometry(df: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds similarity, distance and margin of the assigned (nearest) centroid; clipped to [-1, 1]."""
-    clip = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    clip = lambda c: F.when(c > 1, 1.0).when(c < -1, -1.0).otherwise(c)
     similarity = clip(F.col("nearest.similarity"))
     return _with_nearest(df, centroids, vector).withColumns({
         "cluster_id": F.col("nearest.cluster_id"),

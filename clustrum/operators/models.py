@@ -1,19 +1,22 @@
 """Encoding, fitting, freezing and sweeping clustering models."""
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.text import clean_text, trigrams
-from clustrum.functions.vectors import as_vector, centroid_matrix
+from clustrum.functions.text import WORD_PATTERN, clean_text, trigrams
+from clustrum.functions.vectors import as_vector, centroid_matrix, listed_rows, stacked_rows
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import assign_clusters, cluster_sums, inertia, silhouette_cosine
 from clustrum.operators.ordering import global_index
@@ -32,12 +35,6 @@ class HashedWordEncoder:
         self._slots: dict[str, int] = {}
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        import hashlib
-
-        import regex
-
-        from clustrum.functions.text import WORD_PATTERN
-
         out = np.zeros((len(texts), self.dimension))
         for row, text in enumerate(texts):
             for word in regex.findall(WORD_PATTERN, text.lower()):
@@ -75,9 +72,7 @@ def encode_texts(
                 if not np.isfinite(block).all() or (lengths == 0).any():
                     raise ValueError("encoder returned invalid embeddings")
                 blocks.append((block / lengths).astype(np.float32))
-            matrix = np.concatenate(blocks) if blocks else np.zeros((0, 1), dtype=np.float32)
-            ends = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+            yield listed_rows(np.concatenate(blocks) if blocks else np.zeros((0, 1), dtype=np.float32))
 
     return df.withColumn(name, encode(clean_text(text)))
 
@@ -239,8 +234,6 @@ def silhouette_squared_euclidean(df: DataFrame, vector: str, label: str = "clust
     The mean squared distance of x to a cluster is |x|^2 - 2 x.S/n + Q/n with the cluster's vector sum
     S and square sum Q, so k sums are enough.
     """
-    from clustrum.functions.vectors import stacked_rows
-
     assigned = df.filter(F.col(label) >= 0)
     model = {r.cluster_id: r for r in cluster_sums(assigned, vector, label).collect()}  # k rows
     known = np.array(sorted(model))
@@ -364,8 +357,6 @@ def language_detect(df: DataFrame, profiles: DataFrame, text: str = "text", name
 
     @F.arrow_udf("string")
     def detect(texts: pa.Array) -> pa.Array:
-        from collections import Counter
-
         found = []
         for value in texts.to_pylist():
             counted = Counter(map("".join, zip(value, value[1:], value[2:])))
@@ -383,15 +374,11 @@ def language_detect(df: DataFrame, profiles: DataFrame, text: str = "text", name
 
 
 def model_identity(configuration: Mapping) -> str:
-    import hashlib
-
     compact = json.dumps(configuration, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     return hashlib.sha256(compact.encode()).hexdigest()
 
 
 def centroid_digest(centroids: DataFrame) -> str:
-    import hashlib
-
     return hashlib.sha256(centroid_matrix(centroids).tobytes()).hexdigest()
 
 
