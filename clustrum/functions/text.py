@@ -13,6 +13,8 @@ WHITESPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same set as a pattern: one Unicode property test per character instead of one per member.
+SPACE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 # Fixed value: a word is two or more letters, digits or underscores.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -38,7 +40,7 @@ def clean_text(text: Column | str) -> Column:
 
 def word_count(clean: Column) -> Column:
     """Number of white-space separated words of an already cleaned text; 0 when it is empty."""
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, f"[{WHITESPACE}]+")))
+    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, SPACE_PATTERN)))
 
 
 def text_digest(clean: Column) -> Column:

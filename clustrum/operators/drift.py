@@ -184,7 +184,12 @@ def permutation_test(
             values = _combine(statistic, draws(), len(numbers), n_a, n_b)
         return pd.DataFrame({"feature": feature, "resample": numbers, "value": values})
 
-    parts = work.groupBy("feature", "block", "chunk").applyInPandas(
+    # A fixed number of partitions: the rows are few but each costs many draws, so they must not be
+    # coalesced by size.
+    units = len(block_rows) * (chunks + 1)
+    context = histogram.sparkSession.sparkContext
+    spread_work = work.repartition(max(1, min(units, 8 * context.defaultParallelism)), "feature", "block", "chunk")
+    parts = spread_work.groupBy("feature", "block", "chunk").applyInPandas(
         resample, "feature string, resample long, value double"
     )
     combined = parts.groupBy("feature", "resample").agg(

@@ -20,7 +20,9 @@ from clustrum.functions.vectors import (
 )
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.ordering import describe
+from clustrum.session import bounded_collect
 
+MAX_CLUSTERS = 100_000
 GEOMETRY_FRACTIONS = (0, 0.05, 0.5, 0.95, 1)
 
 
@@ -242,7 +244,7 @@ def silhouette_cosine(df: DataFrame, vector: str = "embedding", label: str = "cl
         assigned.withColumn("_v", as_vector(vector)).groupBy(*groups, F.col(label).alias("_label"))
         .agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("vector_sum"))
     )
-    model = sums.collect()  # one row per cluster and group, as many as the fitted centroids
+    model = bounded_collect(sums, MAX_CLUSTERS, "clusters")
     numbers = {}
     for key in sorted({tuple(r[g] for g in groups) for r in model}):
         numbers[key] = len(numbers)
@@ -316,7 +318,7 @@ def davies_bouldin(df: DataFrame, vector: str = "embedding", label: str = "clust
     """Mean over clusters of the worst (s_i + s_j) / d_ij, Euclidean, over assigned rows."""
     assigned = df.filter(F.col(label) >= 0)
     means = centroids_of(assigned, vector, label, unit=False)
-    table = {r.cluster_id: np.array(r.centroid) for r in means.collect()}  # the k cluster means
+    table = {r.cluster_id: np.array(r.centroid) for r in bounded_collect(means, MAX_CLUSTERS, "clusters")}
     labels = sorted(table)
     if not labels:
         return df.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) AS davies_bouldin")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.functions.text import FRENCH_STOP_WORDS, clean_text, stop_tokens, tokens, unigrams_and_bigrams
+from clustrum.session import checked_broadcast, materialize
 
 # Verbs left out of word clouds.
 CLOUD_STOP_WORDS = ("être", "avoir", "faire", "dire", "aller", "voir", "pouvoir")
@@ -38,12 +39,12 @@ def ctfidf_keywords(
     Only (cluster, term) counts are shuffled; a term has at most one row per cluster by then, and
     the ranking keeps `top_n` rows per cluster and task before it shuffles.
     """
-    counts = term_counts(df, text, label, stop_words)
+    counts = materialize(term_counts(df, text, label, stop_words), "term-counts")
     # Hash-partitioning on the term serves its total; a window saves the join back.
     with_total = counts.withColumn("_f", F.sum("tf").over(Window.partitionBy("term")))
     classes = counts.groupBy("cluster").agg(F.sum("tf").alias("_words"))
     mean = classes.agg(F.floor(F.avg("_words")).alias("_average"))
-    scored = with_total.join(F.broadcast(classes.join(F.broadcast(mean))), "cluster").select(
+    scored = with_total.join(checked_broadcast(classes.join(F.broadcast(mean))), "cluster").select(
         "cluster", "term",
         (F.col("tf") / F.col("_words") * F.log(1 + F.col("_average") / F.col("_f"))).alias("score_ctfidf"),
     )

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from clustrum.functions.text import WORD_PATTERN, clean_text, trigrams
 from clustrum.functions.vectors import as_vector, centroid_matrix, listed_rows, stacked_rows
 from clustrum.operators.cleaning import ContractError
-from clustrum.operators.geometry import assign_clusters, cluster_sums, inertia, silhouette_cosine
+from clustrum.operators.geometry import MAX_CLUSTERS, assign_clusters, cluster_sums, inertia, silhouette_cosine
 from clustrum.operators.ordering import global_index
 from clustrum.operators.partitions import compare_partitions, partition_overlap
 from clustrum.operators.sampling import fraction_subset
-from clustrum.session import materialize
+from clustrum.session import bounded_collect, materialize
 
 METHODS = ("kmeans", "spherical_kmeans")
 
@@ -235,7 +235,7 @@ def silhouette_squared_euclidean(df: DataFrame, vector: str, label: str = "clust
     S and square sum Q, so k sums are enough.
     """
     assigned = df.filter(F.col(label) >= 0)
-    model = {r.cluster_id: r for r in cluster_sums(assigned, vector, label).collect()}  # k rows
+    model = {r.cluster_id: r for r in bounded_collect(cluster_sums(assigned, vector, label), MAX_CLUSTERS, "clusters")}
     known = np.array(sorted(model))
     if not 2 <= len(known) < sum(r.n for r in model.values()):
         return df.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) AS silhouette_squared_euclidean")
@@ -351,7 +351,7 @@ def language_detect(df: DataFrame, profiles: DataFrame, text: str = "text", name
     table are never shuffled.
     """
     ranks: dict[str, dict[str, int]] = {}
-    for r in profiles.collect():
+    for r in bounded_collect(profiles, 1000 * size, "profile rows"):
         ranks.setdefault(r.lang, {})[r.trigram] = r.position
     languages = sorted(ranks)
 

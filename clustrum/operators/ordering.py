@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clustrum.session import materialize
+from clustrum.session import checked_broadcast, materialize
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
@@ -215,7 +215,7 @@ def describe_counts(
     totals = counted.groupBy(*keys).agg(
         F.sum("n").alias("_count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean")
     )
-    rows = counted.join(totals, keys)
+    rows = counted.join(checked_broadcast(totals), keys)
     aggregates: list[Column] = [
         F.first("_count").alias("count"),
         F.first("_mean").alias("mean"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clustrum.functions.special import normal_p_value, normal_quantile, t_p_value
 from clustrum.operators.ordering import describe, histogram_of, quantile_grid, running_sums
+from clustrum.session import checked_broadcast, materialize
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and share of each value."""
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = counted.agg(F.sum("n").alias("_total"))
     return counted.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
@@ -85,9 +86,10 @@ def kendall_correlation(df: DataFrame, x: str, y: str, digits: int = 16) -> Data
     ranks first differ at a digit are compared at that level only, by running totals per digit in
     `x` order. A rating needs one level; m distinct values need log(m) levels.
     """
-    cells = (
+    cells = materialize(
         df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")),
+        "kendall-cells",
     )
     ranked_y = running_sums(
         cells.groupBy("y").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("long")), ["y"], ["one"]
@@ -96,8 +98,7 @@ def kendall_correlation(df: DataFrame, x: str, y: str, digits: int = 16) -> Data
     spark = df.sparkSession
     if not size.n:
         return spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in _KENDALL))
-    # The rank is a function of y and y may be hot in x; join the small side by its own key.
-    ranked = cells.join(ranked_y.select("y", "rank_y"), "y")
+    ranked = materialize(cells.join(checked_broadcast(ranked_y.select("y", "rank_y")), "y"), "kendall-ranks")
     digits = min(digits, max(2, size.top + 1))
     levels, span = [], 1
     while not levels or span <= size.top:
@@ -186,7 +187,7 @@ def ecdf(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     keys = groups or ["_all"]
     counted = running_sums(histogram_of(keyed, value, keys), ["value"], ["n"], keys)
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    return counted.join(totals, keys).select(
+    return counted.join(checked_broadcast(totals), keys).select(
         *groups, "value", "n", "cum_n", (F.col("cum_n") / F.col("_total")).alias("cumulative_share")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.functions.text import clean_text, text_digest
-from clustrum.operators.ordering import describe, running_sums
+from clustrum.operators.ordering import describe, global_index, running_sums
 from clustrum.session import materialize
 
 # Quotas per cluster, in the order they are filled, and the columns people fill in.
@@ -21,11 +21,20 @@ def seeded_order(seed: int | str, id_column: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), column.cast("string")), 256)
 
 
-def seeded_shuffle_limit(df: DataFrame, id_column: str, seed: int, limit: int) -> DataFrame:
-    """First `limit` rows of a seeded shuffle, as a top-k: no full sort. Adds `position` from 0."""
-    top = df.withColumn("_order", seeded_order(seed, id_column)).orderBy("_order", id_column).limit(limit)
-    window = Window.orderBy("_order", id_column)  # over `limit` rows
-    return top.withColumn("position", F.row_number().over(window) - 1).drop("_order")
+def seeded_shuffle_limit(df: DataFrame, id_column: str, seed: int, limit: int, top_k_limit: int = 1_000_000) -> DataFrame:
+    """First `limit` rows of a seeded shuffle. Adds `position` from 0.
+
+    A usual sample is a top-k; a larger one is cut at the hash value of its last row and numbered over
+    range partitions.
+    """
+    ordered = df.withColumn("_order", seeded_order(seed, id_column))
+    if limit <= top_k_limit:
+        top = ordered.orderBy("_order", id_column).limit(limit)
+        window = Window.orderBy("_order", id_column)
+        return top.withColumn("position", F.row_number().over(window) - 1).drop("_order")
+    cut = hash_at_rank(ordered, "_order", limit)
+    kept = ordered if cut is None else ordered.filter(F.col("_order") <= cut)
+    return global_index(kept, ["_order", id_column], "position").drop("_order")
 
 
 def fixed_sample(df: DataFrame, id_column: str, seed: int, size: int) -> DataFrame:
@@ -50,26 +59,30 @@ def fraction_subset(df: DataFrame, id_column: str, fraction: float, seed: int, r
     """
     if not 0 < fraction <= 1:
         raise ValueError("0 < fraction <= 1")
-    order = seeded_order(f"{seed}/{repeat}/{side}", id_column)
     size = int(df.count() * fraction)
     if size < 2:
         raise ValueError("subsets must contain at least two observations")
-    return df.join(_cut(df, order, size, id_column), F.lit(True)).filter(order <= F.col("_cut")).drop("_cut")
+    ordered = df.withColumn("_order", seeded_order(f"{seed}/{repeat}/{side}", id_column))
+    cut = hash_at_rank(ordered, "_order", size)
+    return (ordered if cut is None else ordered.filter(F.col("_order") <= cut)).drop("_order")
 
 
-def _cut(df: DataFrame, order: Column, size: int, id_column: str) -> DataFrame:
-    """One row: the hash of the last selected row, found by counting hash prefixes first."""
-    hashed = df.select(order.alias("_h"))
-    prefix = hashed.groupBy(F.substring("_h", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    reached, before = None, 0
-    for p, n in sorted(tuple(r) for r in prefix.collect()):  # 4,096 prefixes at most
+def hash_at_rank(df: DataFrame, order: str, size: int) -> str | None:
+    """The hash of row number `size` in hash order; None when there are no more rows than that.
+
+    Rows are counted per hash prefix; only those under the prefix that holds the rank are ranked.
+    """
+    prefix = F.substring(order, 1, 3)
+    before = 0
+    for p, n in sorted(tuple(r) for r in df.groupBy(prefix.alias("p")).count().collect()):  # 4,096 prefixes
         if before + n >= size:
-            reached = p
             break
         before += n
-    inside = hashed.filter(F.substring("_h", 1, 3) == reached)
-    ranked = running_sums(inside.groupBy("_h").agg(F.count(F.lit(1)).alias("n")), ["_h"], ["n"])
-    return F.broadcast(ranked.filter(F.col("cum_n") >= size - before).agg(F.min("_h").alias("_cut")))
+    else:
+        return None
+    inside = df.filter(prefix == p).groupBy(order).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(inside, [order], ["n"])
+    return ranked.filter(F.col("cum_n") >= size - before).agg(F.min(order)).first()[0]
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

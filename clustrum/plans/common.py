@@ -5,12 +5,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clustrum.functions.text import WHITESPACE
+from clustrum.session import spread
 
 N_CLUSTERS = 10
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 def rounded(column: str | Column, name: str | None = None, places: int = 6) -> Column:

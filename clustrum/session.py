@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -48,6 +49,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scanned table over all cores when its files give fewer splits than there are cores.
+
+    CPU-bound text work on one small or single-row-group file would otherwise run in one task. A large
+    table has splits enough and is returned as it is. `key` should be unique, so that no task is hot.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """`df` written out, with a broadcast hint only when it turned out to hold at most `max_rows` narrow
+    rows; beyond that the planner joins it by shuffling."""
+    table = materialize(df, "join-side")
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
+    """Rows of a model or report on the driver; refuses instead of pulling more than `max_rows`."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} {what}")
+    return rows
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 

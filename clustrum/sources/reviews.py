@@ -16,16 +16,12 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField("note", T.IntegerType())]
     + [T.StructField(c, T.StringType()) for c in ("texteServiceReply", "url", "dateServiceReply", "dataServiceReply")]
 )
-CSV_QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
+CSV_QUOTING = {"quote": '"', "escape": '"', "multiLine": True}
 
 
 def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:
     """`;`-separated export with a header, in the raw schema."""
-    return spark.read.schema(RAW_SCHEMA).csv(path, sep=";", header=True, enforceSchema=False, **_options())
-
-
-def _options() -> dict:
-    return {"quote": CSV_QUOTING["quote"], "escape": CSV_QUOTING["escape"], "multiLine": True}
+    return spark.read.schema(RAW_SCHEMA).csv(path, sep=";", header=True, enforceSchema=False, **CSV_QUOTING)
 
 
 def read_reviews_strict(
@@ -41,27 +37,36 @@ def read_reviews_strict(
     overlong texts and an empty file. Quoted line breaks are kept, so one file is one task: write
     large cohorts as many files.
     """
-    top = spark.read.csv(path, header=False, **_options()).first()
+    top = spark.read.csv(path, header=False, **CSV_QUOTING).first()
     header = [(v or "").lstrip("\ufeff") for v in top] if top else []
     if len(set(header)) != len(header) or text_column == id_column or not {text_column, id_column} <= set(header):
         raise ContractError("invalid_csv_columns")
     names = [f"_f{i}" for i in range(len(header))]
     schema = ", ".join(f"{n} string" for n in [*names, "_bad"])
+    # Header lines are read as rows, so that every file of a folder is held to the same header.
     rows = spark.read.schema(schema).csv(
-        path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad",
-        emptyValue="", nullValue="\0", **_options(),
+        path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", emptyValue="", nullValue="\0", **CSV_QUOTING
     )
+    heading = F.lit(True)
+    for name, value in zip(names, header):
+        heading = heading & (F.ltrim(F.coalesce(name, F.lit("")), F.lit("\ufeff")) == value)
     parsed = materialize(
         rows.select(
             F.col(names[header.index(id_column)]).alias("source_row_id"),
             F.col(names[header.index(text_column)]).alias("text"),
             F.col("_bad").isNotNull().alias("_bad"),
+            heading.alias("_heading"),
             F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_at"),
         ),
         "strict-reviews",
     )
+    headings = parsed.groupBy("_file").agg(
+        F.count_if("_heading").alias("n"), F.min_by("_heading", "_at").alias("first")
+    ).filter("n != 1 or not first")
+    if headings.limit(1).count():
+        raise ContractError("invalid_csv_columns")
+    parsed = parsed.filter(~F.col("_heading"))
     found = parsed.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("_bad").alias("shape"),
@@ -76,7 +81,7 @@ def read_reviews_strict(
         raise ContractError("empty_csv")
     if parsed.groupBy("source_row_id").count().filter("count > 1").limit(1).count():
         raise ContractError("duplicate_source_id")
-    return global_index(parsed.drop("_bad"), ["_file", "_block", "_at"], "source_row_index").select(
+    return global_index(parsed.drop("_bad", "_heading"), ["_file", "_at"], "source_row_index").select(
         "source_row_id", "source_row_index", "text"
     )
 
@@ -85,7 +90,7 @@ def read_reviews_contract(
     spark: SparkSession, path: str, id_column: str, text_column: str, expected_rows: int | None = None
 ) -> DataFrame:
     """CSV with string ids; cleaned, and refused unless it keeps the review contract."""
-    rows = spark.read.csv(path, header=True, **_options())
+    rows = spark.read.csv(path, header=True, **CSV_QUOTING)
     return check_reviews(rows, id_column, text_column, expected_rows)
 
 
@@ -117,7 +122,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_assignments(spark: SparkSession, path: str, id_column: str = "observation_id") -> DataFrame:
     """String ids and non-negative integer labels; a label that is neither stops the read."""
-    raw = spark.read.csv(path, header=True, **_options())
+    raw = spark.read.csv(path, header=True, **CSV_QUOTING)
     label = F.col("cluster_id")
     checked = F.when(label.rlike("^[0-9]+$"), label.cast("int")).otherwise(
         F.raise_error(F.lit("invalid cluster assignments")).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,7 +142,7 @@ def dedupe_stream(df: DataFrame, id_column: str, ts: str = "ts", lateness: str =
     def first_copies(batches):
         for batch in batches:
             ids = batch.column(id_column)
-            numbered = pa.table({"id": ids, "row": pa.array(range(batch.num_rows))})
+            numbered = pa.table({"id": ids, "row": pa.array(np.arange(batch.num_rows))})
             rows = numbered.group_by("id").aggregate([("row", "min")]).column("row_min")
             yield from pa.Table.from_batches([batch]).take(rows.combine_chunks().sort()).to_batches() if batch.num_rows else []
 

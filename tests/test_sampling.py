@@ -70,6 +70,9 @@ def test_missing_quota_is_refused(spark, rows, clusters):
 def test_seeded_order_repeats_and_depends_on_the_seed(spark):
     ids = lambda seed, parts: [r.id for r in sampling.seeded_shuffle_limit(spark.range(200).repartition(parts), "id", seed, 20).orderBy("position").collect()]
     assert ids(1, 3) == ids(1, 7) != ids(2, 3)
+    large = sampling.seeded_shuffle_limit(spark.range(200), "id", 1, 20, top_k_limit=5).orderBy("position")
+    assert [r.id for r in large.collect()] == ids(1, 3)
+    assert sampling.seeded_shuffle_limit(spark.range(9), "id", 1, 20, top_k_limit=5).count() == 9
     assert sampling.fixed_sample(spark.range(5), "id", 1, 0).count() == 5
 
 

@@ -39,6 +39,13 @@ def test_strict_reader_refuses(spark, tmp_path, text):
         reviews.read_reviews_strict(spark, write(tmp_path, text))
 
 
+def test_strict_reader_refuses_a_file_with_another_header(spark, tmp_path):
+    write(tmp_path, ",commentaire\na,x\n", "part-0.csv")
+    write(tmp_path, "commentaire,\ny,b\n", "part-1.csv")
+    with pytest.raises(ContractError):
+        reviews.read_reviews_strict(spark, str(tmp_path))
+
+
 def test_raw_reader(spark, tmp_path):
     header = "commentaire;titre;auteur;date_avis;date_experience;note;texteServiceReply;url;dateServiceReply;dataServiceReply\n"
     out = reviews.read_raw_reviews(spark, write(tmp_path, header + '"a;\nb";t;x;d;May 05, 2025;4;;u;;\n')).collect()
