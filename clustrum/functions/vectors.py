@@ -67,7 +67,7 @@ def similarities(vector: Column | str, centroids: np.ndarray) -> Column:
     def product(vectors: pa.Array) -> pa.Array:
         return listed_rows(stacked_rows(vectors) @ centroids.T)
 
-    return product(vector)
+    return product.asNondeterministic()(vector)  # evaluated once, whatever is filtered or exploded later
 
 
 def _fold_block(vector: Column | str, block: np.ndarray, first_id: int, state: Column | None) -> Column:
@@ -96,7 +96,7 @@ def _fold_block(vector: Column | str, block: np.ndarray, first_id: int, state: C
         def first(vectors: pa.Array) -> pa.Array:
             return best_two(vectors, None, None, None)
 
-        return first(vector)
+        return first.asNondeterministic()(vector)
 
     @F.arrow_udf(NEAREST_TYPE)
     def following(vectors: pa.Array, label: pa.Array, top: pa.Array, second: pa.Array) -> pa.Array:
@@ -106,7 +106,7 @@ def _fold_block(vector: Column | str, block: np.ndarray, first_id: int, state: C
             np.where(np.isnan(second), -np.inf, second),
         )
 
-    return following(vector, state["cluster_id"], state["similarity"], state["runner_up"])
+    return following.asNondeterministic()(vector, state["cluster_id"], state["similarity"], state["runner_up"])
 
 
 def nearest_centroid(

@@ -153,7 +153,7 @@ def permutation_test(
     blocks: dict[str, list[int]] = {}
     for r in sorted(block_rows, key=lambda r: (r.feature, r.block)):
         blocks.setdefault(r.feature, []).append(int(r.n))
-    chunks = max(1, min(64, resamples // 32))
+    chunks = max(1, min(64, resamples // 125))
     work = blocked.withColumn("chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
 
     def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -74,7 +74,9 @@ def encode_texts(
                 blocks.append((block / lengths).astype(np.float32))
             yield listed_rows(np.concatenate(blocks) if blocks else np.zeros((0, 1), dtype=np.float32))
 
-    return df.withColumn(name, encode(clean_text(text)))
+    # Marked so that no later filter or explode makes the optimizer run the encoder a second time.
+    # Filters on other columns therefore belong before this call.
+    return df.withColumn(name, encode.asNondeterministic()(clean_text(text)))
 
 
 def kmeans_fit(
