@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from clustrum.operators.cleaning import text_features
 from clustrum.operators.cohorts import shared_ids
 from clustrum.operators.geometry import cluster_counts
-from clustrum.operators.ordering import describe, describe_counts, running_sums
+from clustrum.operators.ordering import describe, describe_running, running_sums
 from clustrum.session import materialize
 
 # Fixed values of the drift protocol.
@@ -45,7 +45,9 @@ def pooled_histogram(stacked: DataFrame, reference: str, production: str, cohort
 
 
 def with_running_counts(histogram: DataFrame) -> DataFrame:
-    return running_sums(histogram, ["value"], ["a", "b"], ["feature"], previous="value")
+    """Adds running totals of both cohorts, of the pooled rows and of the cells, and the value before."""
+    cells = histogram.withColumn("pooled", F.col("a") + F.col("b")).withColumn("cell", F.lit(1).cast("long"))
+    return running_sums(cells, ["value"], ["a", "b", "pooled", "cell"], ["feature"], previous="value")
 
 
 def distribution_distances(counted: DataFrame) -> DataFrame:
@@ -77,35 +79,39 @@ def describe_drift(stacked: DataFrame, cohort: str = "cohort") -> DataFrame:
 class CellStatistic:
     """A two-sample statistic that is built up over histogram cells.
 
-    `term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b)` gives the contribution of one cell for a
-    vector of resamples; contributions are combined by `max` or `sum`.
+    `term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b)` gives the contributions of an array of cells
+    (last axis); contributions are combined by `max` or `sum`.
     """
 
     term: Callable
     combine: str
 
+    def over_cells(self, drawn, pooled, cum_drawn, cum_pooled, n_a: int, n_b: int) -> np.ndarray:
+        terms = self.term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b)
+        return terms.max(axis=-1) if self.combine == "max" else terms.sum(axis=-1)
+
 
 def _ks_term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b):
     return np.abs(cum_drawn / n_a - (cum_pooled - cum_drawn) / n_b)
 
 
 def _pearson_term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b):
-    if not pooled:
-        return np.zeros(len(drawn))
-    total = n_a + n_b
-    expected_a, expected_b = n_a * pooled / total, n_b * pooled / total
-    return (drawn - expected_a) ** 2 / expected_a + (pooled - drawn - expected_b) ** 2 / expected_b
+    share = np.maximum(pooled, 1) / (n_a + n_b)
+    terms = (drawn - n_a * share) ** 2 / (n_a * share) + (pooled - drawn - n_b * share) ** 2 / (n_b * share)
+    return np.where(pooled > 0, terms, 0.0)
 
 
 KOLMOGOROV_SMIRNOV = CellStatistic(_ks_term, "max")
 PEARSON = CellStatistic(_pearson_term, "sum")
+# Above this population numpy's exact draws are not available.
+EXACT_POPULATION = 1_000_000_000
 
 
 def draw_without_replacement(rng: np.random.Generator, good: int, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Hypergeometric draws. Above numpy's population limit the normal (or, for rare cells, binomial)
     limit law is used; its error is far below the resolution of a Monte Carlo p-value."""
     population = good + bad
-    if population.max(initial=0) < 1_000_000_000:
+    if population.max(initial=0) < EXACT_POPULATION:
         return rng.hypergeometric(good, bad, take)
     share = np.divide(take, population, out=np.zeros(len(take)), where=population > 0)
     deviation = np.sqrt(good * share * (1 - share) * bad / np.maximum(population - 1, 1))
@@ -115,8 +121,25 @@ def draw_without_replacement(rng: np.random.Generator, good: int, bad: np.ndarra
     return np.clip(drawn, np.maximum(0, take - bad), np.minimum(good, take)).astype(np.int64)
 
 
+def draw_cells(rng: np.random.Generator, pooled: np.ndarray, takes: np.ndarray):
+    """For each resample, how many of its rows fall in each cell; yields blocks of resamples of bounded size."""
+    step = max(1, 5_000_000 // max(1, len(pooled)))
+    for start in range(0, len(takes), step):
+        part = takes[start:start + step]
+        if pooled.sum() < EXACT_POPULATION:
+            yield np.stack([rng.multivariate_hypergeometric(pooled, t, method="marginals") for t in part])
+            continue
+        drawn = np.zeros((len(part), len(pooled)), dtype=np.int64)
+        left, rest = part.copy(), int(pooled.sum())
+        for i, p in enumerate(pooled):
+            rest -= int(p)
+            drawn[:, i] = draw_without_replacement(rng, int(p), np.full(len(left), rest), left)
+            left = left - drawn[:, i]
+        yield drawn
+
+
 def permutation_test(
-    histogram: DataFrame,
+    counted: DataFrame,
     statistic: CellStatistic,
     resamples: int = RESAMPLES,
     seed: int = SEED,
@@ -124,19 +147,15 @@ def permutation_test(
 ) -> DataFrame:
     """One-sided permutation p-value per feature: `feature`, `statistic`, `p_value`.
 
+    `counted` is a pooled histogram `with_running_counts`.
+
     Shuffling rows between the cohorts only changes how many rows of each value fall in the first
     one, so the resamples are drawn on the histogram: per resample the rows are dealt to value
     ranges first and inside each range then, both without replacement. Work is spread over
     (feature, range, chunk of resamples); a task holds one range of bounded size. When there are no
     more distinct splits than resamples, all of them are enumerated instead.
     """
-    cells = materialize(
-        running_sums(
-            histogram.withColumn("pooled", F.col("a") + F.col("b")).withColumn("cell", F.lit(1).cast("long")),
-            ["value"], ["pooled", "a", "cell"], ["feature"],
-        ).select("feature", "value", "a", "b", "pooled", "cum_pooled", "cum_a", F.col("cum_cell").alias("cell")),
-        "permutation-cells",
-    )
+    cells = counted.select("feature", "value", "a", "b", "pooled", "cum_pooled", "cum_a", F.col("cum_cell").alias("cell"))
     sizes = cells.groupBy("feature").agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count(F.lit(1)).alias("cells")
     ).collect()  # one row per feature
@@ -160,34 +179,25 @@ def permutation_test(
         feature, block, chunk = key
         n_a, n_b, _ = plans[feature]
         pdf = pdf.sort_values("cell")
-        pooled, before = pdf.pooled.to_numpy(), int(pdf.cum_pooled.iloc[0] - pdf.pooled.iloc[0])
+        pooled, totals = pdf.pooled.to_numpy(), pdf.cum_pooled.to_numpy()
         if chunk < 0:  # the observed split, through the same arithmetic
             numbers = np.array([-1])
-            cum = pdf.cum_a.to_numpy()
-            values = _combine(
-                statistic, ((np.array([a]), int(p), np.array([c]), int(t)) for a, p, c, t in
-                            zip(pdf.a, pooled, cum, pdf.cum_pooled)), 1, n_a, n_b)
+            values = [statistic.over_cells(pdf.a.to_numpy(), pooled, pdf.cum_a.to_numpy(), totals, n_a, n_b)]
         else:
             numbers = np.arange(chunk, resamples, chunks)
-            drawn, start = _deal(blocks[feature], int(block), n_a, seed, numbers)
+            takes, start = _deal(blocks[feature], int(block), n_a, seed, numbers)
             rng = np.random.default_rng([seed, int(chunk), int(block), 1])
-
-            def draws():
-                left, rest, cum, total = drawn.copy(), int(pooled.sum()), start.copy(), before
-                for p in pooled:
-                    p = int(p)
-                    rest -= p
-                    take = draw_without_replacement(rng, p, np.full(len(left), rest), left)
-                    left, cum, total = left - take, cum + take, total + p
-                    yield take, p, cum, total
-
-            values = _combine(statistic, draws(), len(numbers), n_a, n_b)
+            values, done = [], 0
+            for drawn in draw_cells(rng, pooled, takes):
+                cum = drawn.cumsum(axis=1) + start[done:done + len(drawn), None]
+                values.extend(statistic.over_cells(drawn, pooled, cum, totals, n_a, n_b))
+                done += len(drawn)
         return pd.DataFrame({"feature": feature, "resample": numbers, "value": values})
 
     # A fixed number of partitions: the rows are few but each costs many draws, so they must not be
     # coalesced by size.
     units = len(block_rows) * (chunks + 1)
-    context = histogram.sparkSession.sparkContext
+    context = counted.sparkSession.sparkContext
     spread_work = work.repartition(max(1, min(units, 8 * context.defaultParallelism)), "feature", "block", "chunk")
     parts = spread_work.groupBy("feature", "block", "chunk").applyInPandas(
         resample, "feature string, resample long, value double"
@@ -213,14 +223,6 @@ def permutation_test(
     return counted.filter(~F.col("feature").isin(exact)).unionByName(few)
 
 
-def _combine(statistic, cells, n: int, n_a: int, n_b: int) -> np.ndarray:
-    total = np.zeros(n)
-    for drawn, pooled, cum_drawn, cum_pooled in cells:
-        term = statistic.term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b)
-        total = np.maximum(total, term) if statistic.combine == "max" else total + term
-    return total
-
-
 def _deal(sizes: list[int], block: int, n_a: int, seed: int, numbers: np.ndarray):
     """Rows each resample draws from `block`, and from the blocks before it: a function of the seed
     and the resample numbers alone, so that every block's task finds the same dealing."""
@@ -251,11 +253,7 @@ def _enumerate(statistic: CellStatistic):
         cell = np.repeat(np.arange(len(pooled)), pooled)
         chosen = [np.bincount(cell[list(c)], minlength=len(pooled)) for c in combinations(range(len(cell)), n_a)]
         drawn = np.array([pdf.a.to_numpy(), *chosen])
-        cum, total = drawn.cumsum(axis=1), pooled.cumsum()
-        values = _combine(
-            statistic, ((drawn[:, i], int(pooled[i]), cum[:, i], int(total[i])) for i in range(len(pooled))),
-            len(drawn), n_a, n_b,
-        )
+        values = statistic.over_cells(drawn, pooled, drawn.cumsum(axis=1), pooled.cumsum(), n_a, n_b)
         at_least = values[1:] >= values[0] - abs(values[0]) * 100 * np.finfo(float).eps
         return pd.DataFrame({"feature": [pdf.feature.iloc[0]], "statistic": [values[0]], "p_value": [at_least.mean()]})
 
@@ -263,7 +261,7 @@ def _enumerate(statistic: CellStatistic):
 
 
 def permutation_ks(histogram: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    return permutation_test(histogram, KOLMOGOROV_SMIRNOV, resamples, seed)
+    return permutation_test(with_running_counts(histogram), KOLMOGOROV_SMIRNOV, resamples, seed)
 
 
 def label_histogram(df: DataFrame, reference: str, production: str, label: str = "cluster_id", cohort: str = "cohort") -> DataFrame:
@@ -284,7 +282,7 @@ def pearson_homogeneity(histogram: DataFrame) -> DataFrame:
 
 
 def permutation_homogeneity(histogram: DataFrame, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    return permutation_test(histogram, PEARSON, resamples, seed)
+    return permutation_test(with_running_counts(histogram), PEARSON, resamples, seed)
 
 
 def total_variation(histogram: DataFrame) -> DataFrame:
@@ -356,14 +354,13 @@ def drift_report(
     both = df.filter(F.col(cohort).isin(reference, production))
     if shared_ids(both.filter(F.col(cohort) == reference), both.filter(F.col(cohort) == production), id_column).limit(1).count():
         raise ValueError("reference and production ids overlap; cohorts must be disjoint")
-    histogram = materialize(
-        pooled_histogram(stack_features(text_features(both, text), FEATURES, cohort), reference, production, cohort),
-        "drift-histogram",
+    # One scan of the texts; everything below starts from the written running counts.
+    counted = with_running_counts(
+        pooled_histogram(stack_features(text_features(both, text), FEATURES, cohort), reference, production, cohort)
     )
-    counted = with_running_counts(histogram)
     distances = distribution_distances(counted)
-    tests = permutation_ks(histogram, resamples, seed)
-    described = describe_histogram(histogram)
+    tests = permutation_test(counted, KOLMOGOROV_SMIRNOV, resamples, seed)
+    described = describe_sides(counted)
     rows = distances.join(tests, "feature").select(
         "feature", F.lit("permutation_two_sample_KS").alias("test"), "statistic", "p_value",
         F.lit("KS_D").alias("effect_name"), F.col("ks_statistic").alias("effect_size"),
@@ -382,14 +379,14 @@ def drift_report(
     return holm_adjust(rows.withColumn("practical_threshold", F.lit(threshold)), alpha)
 
 
-def describe_histogram(histogram: DataFrame) -> DataFrame:
-    """`reference` and `production` structs of describe figures per feature, from the pooled counts."""
+def describe_sides(counted: DataFrame) -> DataFrame:
+    """`reference` and `production` structs of describe figures per feature, from the running counts."""
     sides = F.array(
-        F.struct(F.lit("reference").alias("side"), F.col("a").alias("n")),
-        F.struct(F.lit("production").alias("side"), F.col("b").alias("n")),
+        F.struct(F.lit("reference").alias("side"), F.col("a").alias("n"), F.col("cum_a").alias("cum_n")),
+        F.struct(F.lit("production").alias("side"), F.col("b").alias("n"), F.col("cum_b").alias("cum_n")),
     )
-    long = histogram.select("feature", "value", F.inline(sides)).filter("n > 0")
-    figures = describe_counts(long, ["feature", "side"], DRIFT_FRACTIONS).drop("std_sample")
+    long = counted.select("feature", "value", F.inline(sides)).filter("n > 0")
+    figures = describe_running(long, ["feature", "side"], DRIFT_FRACTIONS).drop("std_sample")
     packed = F.struct(*(c for c in figures.columns if c not in ("feature", "side")))
     return figures.groupBy("feature").agg(
         F.max(F.when(F.col("side") == "reference", packed)).alias("reference"),

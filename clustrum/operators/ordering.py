@@ -207,11 +207,21 @@ def describe_counts(
     nearest_rank: bool = False,
 ) -> DataFrame:
     """`describe` of a table that already holds (groups, `value`, `n`); a null group is left out."""
-    groups = list(groups)
-    names = list(names or (quantile_name(f) for f in fractions))
-    keyed = counts.dropna(subset=groups) if groups else counts.withColumn("_all", F.lit(0))
-    keys = groups or ["_all"]
+    keyed = counts.dropna(subset=list(groups)) if groups else counts.withColumn("_all", F.lit(0))
+    keys = list(groups) or ["_all"]
     counted = running_sums(keyed.withColumn("value", F.col("value").cast("double")), ["value"], ["n"], keys)
+    return describe_running(counted, keys, fractions, names, nearest_rank).drop("_all")
+
+
+def describe_running(
+    counted: DataFrame,
+    keys: Sequence[str],
+    fractions: Sequence[float],
+    names: Sequence[str] | None = None,
+    nearest_rank: bool = False,
+) -> DataFrame:
+    """`describe` of a table that already holds (keys, `value`, `n`, `cum_n`)."""
+    names = list(names or (quantile_name(f) for f in fractions))
     totals = counted.groupBy(*keys).agg(
         F.sum("n").alias("_count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean")
     )
@@ -243,7 +253,7 @@ def describe_counts(
         rows.groupBy(*keys)
         .agg(*aggregates)
         .select(
-            *groups, "count", "mean",
+            *keys, "count", "mean",
             F.sqrt(F.col("_ss") / F.col("count")).alias("std_population"),
             F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))).alias("std_sample"),
             *final,

@@ -99,9 +99,11 @@ def drift_stream(
         pooled = frozen.unionByName(counted.withColumn("a", F.lit(0).cast("long"))).groupBy("feature", "value").agg(
             F.sum("a").alias("a"), F.sum("b").alias("b")
         )
-        rows = drift.distribution_distances(drift.with_running_counts(pooled))
+        running = drift.with_running_counts(pooled)
+        rows = drift.distribution_distances(running)
         if resamples:
-            rows = rows.join(drift.permutation_ks(pooled, resamples).select("feature", "p_value"), "feature")
+            tested = drift.permutation_test(running, drift.KOLMOGOROV_SMIRNOV, resamples)
+            rows = rows.join(tested.select("feature", "p_value"), "feature")
         write_batch(rows, output, batch_id)
 
     return (

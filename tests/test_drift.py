@@ -46,7 +46,7 @@ def test_permutation_matches_row_shuffling_in_one_and_many_blocks(spark):
         hits += ks(pooled[:120], pooled[120:]) >= observed - 1e-12
     expected = (hits + 1) / 1501
     tolerance = 4 * np.sqrt(expected * (1 - expected) / 1500) + 0.005
-    frame = histogram(spark, a, b).cache()
+    frame = drift.with_running_counts(histogram(spark, a, b))
     whole = drift.permutation_test(frame, drift.KOLMOGOROV_SMIRNOV, 1500, 7).first()
     split = drift.permutation_test(frame, drift.KOLMOGOROV_SMIRNOV, 1500, 7, cells_per_block=9).first()
     assert whole.statistic == pytest.approx(observed) == pytest.approx(split.statistic)
@@ -76,6 +76,9 @@ def test_large_populations_draw_close_to_the_mean():
     good, bad, take = 4 * 10**9, np.array([6 * 10**9] * 200), np.array([10**9] * 200)
     drawn = drift.draw_without_replacement(rng, good, bad, take)
     assert abs(drawn.mean() / 4e8 - 1) < 1e-4
+    cells = np.array([4 * 10**9, 10**9, 5 * 10**9])
+    (block,) = drift.draw_cells(rng, cells, np.full(50, 10**9))
+    assert (block.sum(axis=1) == 10**9).all() and np.allclose(block.mean(axis=0) / 10**8, [4, 1, 5], rtol=1e-3)
     rare = drift.draw_without_replacement(rng, 50, np.array([10**10] * 200), np.array([10**9] * 200))
     assert 3.5 < rare.mean() < 6.5
 
