@@ -19,7 +19,9 @@ from clustrum.functions.vectors import (
     stacked_rows, as_vector, centroid_matrix, is_finite, is_unit, nearest_centroid, norm, similarities,
 )
 from clustrum.operators.cleaning import ContractError
+from clustrum.operators.cohorts import fingerprint_columns
 from clustrum.operators.ordering import describe
+from clustrum.operators.sampling import fixed_sample
 from clustrum.session import bounded_collect
 
 MAX_CLUSTERS = 100_000
@@ -354,12 +356,33 @@ def box_summary(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     return describe(df, value, groups, (0, 0.25, 0.5, 0.75, 1)).select(*groups, "count", "min", "p25", "median", "p75", "max")
 
 
-def evaluate_clustering(df: DataFrame, vector: str = "embedding", label: str = "cluster_id") -> DataFrame:
-    """One row: partition summary, Davies-Bouldin and silhouette."""
+def held_out_silhouette(
+    df: DataFrame, id_column: str, vector: str = "embedding", label: str = "cluster_id", sample_size: int = 0, seed: int = 42
+) -> DataFrame:
+    """Silhouette of all rows, or of the same seeded sample for every configuration, with a fingerprint of
+    the ids used and the reason when the score is undefined."""
+    sample = fixed_sample(df.select(id_column, vector, label), id_column, seed, sample_size)
+    used = sample.agg(F.count(F.lit(1)).alias("silhouette_n_samples"), *fingerprint_columns([id_column]))
+    score = silhouette_cosine(sample, vector, label).select("silhouette_cosine")
+    reason = F.when(F.col("silhouette_cosine").isNull(), "needs 2 to n - 1 represented clusters")
+    return used.join(F.broadcast(score)).withColumn("undefined_reason", reason)
+
+
+def evaluate_clustering(
+    df: DataFrame, vector: str = "embedding", label: str = "cluster_id",
+    id_column: str | None = None, sample_size: int = 0, seed: int = 42,
+) -> DataFrame:
+    """One row: partition summary, Davies-Bouldin and silhouette of the assigned rows.
+
+    The silhouette is exact by default; with `id_column` and `sample_size` it uses a seeded sample.
+    """
+    scored = df.filter(F.col(label) >= 0)
+    if sample_size and id_column:
+        scored = fixed_sample(scored, id_column, seed, sample_size)
     return (
         partition_summary(df, label)
         .join(F.broadcast(davies_bouldin(df, vector, label)))
-        .join(F.broadcast(silhouette_cosine(df, vector, label)))
+        .join(F.broadcast(silhouette_cosine(scored, vector, label)))
     )
 
 

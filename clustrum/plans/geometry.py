@@ -120,7 +120,19 @@ def evaluate_query(spark, sf):
     return out.withColumns({c: rounded(F.col(c)) for c in doubles})
 
 
+def held_out_query(spark, sf):
+    out = g.held_out_silhouette(labelled_embeddings(spark, sf), "vec_id", sample_size=200)
+    return out.select(rounded("silhouette_cosine"), "silhouette_n_samples", "fingerprint", "undefined_reason")
+
+
+def sampled_query(spark, sf):
+    out = g.evaluate_clustering(noisy_labels(spark, sf), id_column="vec_id", sample_size=150)
+    return out.select("n_samples", "n_clusters", rounded("davies_bouldin"), rounded("silhouette_cosine"), "silhouette_n_samples")
+
+
 QUERIES = {
+    "held_out_silhouette": held_out_query,
+    "evaluate_clustering_sampled": sampled_query,
     "centroids_of": centroid_query,
     "vector_centroid_product": product_query,
     "assign_clusters": assign_query,
@@ -194,7 +206,21 @@ PARTITION = """
   round(1 - avg(CASE WHEN label >= 1 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS noise_ratio,
   (SELECT round(max(n) / CAST(sum(n) AS DOUBLE), 6) + 0.0 FROM (SELECT count(*) AS n FROM embeddings WHERE label >= 1 GROUP BY label)) AS largest_cluster_ratio"""
 
+SAMPLE_SCORE = PAIR_DISTANCE.format(d="1 - list_dot_product(a.v, b.v)")
 ORACLES = {
+    "held_out_silhouette": f"""
+        WITH rows_ AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY sha256('42|' || vec_id) LIMIT 200), {SAMPLE_SCORE},
+        h AS (SELECT sha256('{{"vec_id":' || vec_id || '}}') AS x FROM rows_),
+        l AS (SELECT i, CAST('0x' || substr(x, 1 + 15 * i, 15) AS UBIGINT) AS v FROM h, range(4) t(i)),
+        s AS (SELECT i, CAST(sum(CAST(v AS HUGEINT)) AS VARCHAR) AS total, CAST(bit_xor(v) AS VARCHAR) AS mixed, count(*) AS n FROM l GROUP BY 1)
+        SELECT (SELECT round({MEAN_SCORE}, 6) + 0.0 FROM score) AS silhouette_cosine, max(n) AS silhouette_n_samples,
+          sha256(max(n) || ':' || string_agg(total, '-' ORDER BY i) || ':' || string_agg(mixed, '-' ORDER BY i)) AS fingerprint,
+          CAST(NULL AS VARCHAR) AS undefined_reason FROM s""",
+    "evaluate_clustering_sampled": f"""
+        WITH {NOISY.replace('rows_ AS', 'every AS')}, rows_ AS (SELECT * FROM every ORDER BY sha256('42|' || vec_id) LIMIT 150), {SAMPLE_SCORE},
+        {DAVIES.replace('rows_ r', 'every r')}
+        SELECT (SELECT count(*) FROM embeddings) AS n_samples, (SELECT count(*) FROM means) AS n_clusters, (SELECT round(avg(w), 6) + 0.0 FROM worst) AS davies_bouldin,
+          round({MEAN_SCORE}, 6) + 0.0 AS silhouette_cosine, count(*) AS silhouette_n_samples FROM score""",
     "centroids_of": f"""
         WITH {SQL_SUMS}
         SELECT cluster_id, CAST(i - 1 AS INTEGER) AS dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY cluster_id)), 6) + 0.0 AS value FROM sums""",

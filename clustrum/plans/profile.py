@@ -94,7 +94,14 @@ def worst_rating_query(spark, sf):
     return keywords.term_frequency(bad, top_n=50)
 
 
+def top_terms_query(spark, sf):
+    scored = table(spark, sf, "documents").groupBy(F.col("lang").alias("cluster"), F.col("source").alias("term")).agg(
+        F.count(F.lit(1)).cast("double").alias("score_ctfidf"))
+    return keywords.top_terms(scored, 3)
+
+
 QUERIES = {
+    "top_terms": top_terms_query,
     "null_profile": nulls_query,
     "value_distribution": distribution_query,
     "month_distribution": month_query,
@@ -153,6 +160,9 @@ def frequency_sql(source: str, n: int) -> str:
 
 
 ORACLES = {
+    "top_terms": """
+        SELECT lang AS cluster, CAST(row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS INTEGER) AS rank, source AS term,
+          CAST(count(*) AS DOUBLE) AS score_ctfidf FROM documents GROUP BY lang, source QUALIFY rank <= 3""",
     "null_profile": """
         SELECT c AS column_name, nulls AS null_count, round(nulls * 100.0 / n, 6) + 0.0 AS null_percent
         FROM (SELECT count(*) AS n, count(*) - count(text) AS text, count(*) - count(quality) AS quality, count(*) - count(toxic) AS toxic

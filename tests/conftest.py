@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,12 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = build_session(
         "clustrum-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="clustrum-tests-"),
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+            # Tiny inputs: compiling each plan would take longer than running it.
+            "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -112,7 +112,7 @@ def test_scores_equal_pairwise_definitions(spark):
 @pytest.mark.parametrize("labels", [[0, 0, 0, 0], [0, 1, 2, 3], [-1, -1, -1, -1], [-1, -1, 0, 1]])
 def test_undefined_scores_are_null(spark, labels):
     row = g.evaluate_clustering(points(spark, POINTS, labels)).collect()
-    assert all(r.davies_bouldin is None and r.silhouette_cosine is None for r in row)
+    assert len(row) == 1 and all(r.davies_bouldin is None and r.silhouette_cosine is None for r in row)
 
 
 def test_partition_summary_with_noise(spark):
@@ -128,3 +128,12 @@ def test_model_size_is_checked(spark):
         centroid_matrix(centres(spark), max_bytes=16)
     with pytest.raises(ValueError):
         centroid_matrix(centres(spark).filter("cluster_id > 0"))
+
+
+def test_held_out_sample_is_shared_and_explained(spark):
+    rows = points(spark, POINTS * 5, [0, 1, 1, 0] * 5)
+    one = g.held_out_silhouette(rows, "id", sample_size=9).first()
+    two = g.held_out_silhouette(rows.withColumn("cluster_id", 1 - rows.cluster_id).repartition(3), "id", sample_size=9).first()
+    assert one.silhouette_n_samples == 9 and one.fingerprint == two.fingerprint and one.undefined_reason is None
+    undefined = g.held_out_silhouette(points(spark), "id").first()
+    assert undefined.silhouette_cosine is None and "represented" in undefined.undefined_reason

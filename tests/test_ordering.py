@@ -54,3 +54,19 @@ def test_rows_at_ranks(spark, skewed):
     df = spark.createDataFrame(skewed)
     ordered = list(skewed.sort_values(["v", "id"])[["v", "id"]].itertuples(index=False, name=None))
     assert rows_at_ranks(df, "v", "id", [0, 17, 540, 899]) == [ordered[r] for r in (0, 17, 540, 899)]
+
+
+def test_intermediate_tables_go_to_the_configured_folder(spark):
+    import os
+
+    from clustrum.session import bounded_collect, checked_broadcast, materialize, shared_dir
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert shared_dir(spark) == folder and materialize(spark.range(3), "written").count() == 3
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["written"]
+    plan = lambda df: df._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in plan(checked_broadcast(spark.range(5)))
+    assert "broadcast" not in plan(checked_broadcast(spark.range(5), max_rows=4))
+    with pytest.raises(ValueError):
+        bounded_collect(spark.range(5), 4, "rows")
