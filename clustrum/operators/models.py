@@ -151,7 +151,7 @@ def evaluate_stability(
         raise ValueError("unknown stability mode")
     if n_repeats < 2 or not 0 < sample_fraction <= 1:
         raise ValueError("at least two repeats and 0 < sample_fraction <= 1")
-    base = df.select(id_column, vector).persist()
+    base = materialize(df.select(id_column, vector), "stability-vectors")
 
     def labels(rows: DataFrame, run_seed: int) -> DataFrame:
         _, labelled, _ = fit_and_assign(rows, method, vector, seed=run_seed, **options)
@@ -165,22 +165,19 @@ def evaluate_stability(
             F.lit(i).alias("repeat_a"), F.lit(j).alias("repeat_b"), "*"
         ))
 
-    try:
-        if mode == "algorithmic":
-            runs = [labels(base, seed + i) for i in range(n_repeats)]
-            for i in range(n_repeats):
-                for j in range(i + 1, n_repeats):
-                    compare(i, j, runs[i], runs[j])
-        else:
-            for i in range(n_repeats):
-                seeds = (seed, seed) if mode == "statistical" else (seed + 2 * i, seed + 2 * i + 1)
-                a, b = (
-                    labels(fraction_subset(base, id_column, sample_fraction, seed, i, side), s)
-                    for side, s in zip("ab", seeds)
-                )
-                compare(i, i, a, b)
-    finally:
-        base.unpersist()
+    if mode == "algorithmic":
+        runs = [labels(base, seed + i) for i in range(n_repeats)]
+        for i in range(n_repeats):
+            for j in range(i + 1, n_repeats):
+                compare(i, j, runs[i], runs[j])
+    else:
+        for i in range(n_repeats):
+            seeds = (seed, seed) if mode == "statistical" else (seed + 2 * i, seed + 2 * i + 1)
+            a, b = (
+                labels(fraction_subset(base, id_column, sample_fraction, seed, i, side), s)
+                for side, s in zip("ab", seeds)
+            )
+            compare(i, i, a, b)
     result = compared[0]
     for frame in compared[1:]:
         result = result.unionAll(frame)
@@ -204,13 +201,13 @@ def sweep(
     spark = next(iter(train.values())).sparkSession
     results, labels = [], None
     for encoder, rows in train.items():
-        cached = rows.select(id_column, vector).persist()
+        # Encoded once: every fit and every score of this encoder reads the written tables.
+        fitted = materialize(rows.select(id_column, vector), "sweep-train")
+        held = materialize(evaluation[encoder].select(id_column, vector), "sweep-evaluation")
         for method in methods:
             for seed in seeds:
-                centroids, cost = kmeans_fit(cached, method, seed=seed, vector=vector, **options)
-                labelled = materialize(
-                    label_rows(evaluation[encoder].select(id_column, vector), centroids, method, vector), "sweep-labels"
-                )
+                centroids, cost = kmeans_fit(fitted, method, seed=seed, vector=vector, **options)
+                labelled = materialize(label_rows(held, centroids, method, vector), "sweep-labels")
                 score = silhouette_cosine(labelled, vector).first()
                 results.append((encoder, method, seed, score.silhouette_cosine if score else None, cost))
                 one = labelled.select(
@@ -218,7 +215,6 @@ def sweep(
                     id_column, F.col("cluster_id").alias("label"),
                 )
                 labels = one if labels is None else labels.unionAll(one)
-        cached.unpersist()
     runs = spark.createDataFrame(results, "encoder string, method string, seed int, silhouette double, inertia double")
     return runs, labels
 
