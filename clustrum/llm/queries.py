@@ -1,7 +1,7 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import shards, urls
+from clustrum.llm import jaccard, shards, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -17,7 +17,11 @@ def op2_sharding(spark, sf):
     return shards.assign_shards(table(spark, sf, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding)}
+def op8_ngram_jaccard_join(spark, sf):
+    return jaccard.near_duplicate_classes(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op8_ngram_jaccard_join)}
 
 ORACLES = {
     "op1_url_filter": """
