@@ -10,7 +10,8 @@ work. What is left in different components is then joined in full.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from clustrum.session import materialize
 RARITY_BITS = 20
 ROW_BITS = 24
 MAX_STAR_ROUNDS = 8
-_SIGNATURES = "doc_id {kind}, row_key long, n_shingles long, set_id binary, group_id binary, prefix array<long>"
+_SIGNATURES = "doc_id {kind}, row_key long, text_key binary, n_shingles long, set_id binary, group_id binary, prefix array<long>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -91,9 +92,10 @@ class JaccardJoin:
                     prefixes.append(prefix.view(np.int64))
                 yield pa.record_batch([
                     batch.column(batch.schema.get_field_index("doc_id")), pa.array(_row_keys(batch).view(np.int64)),
+                    pa.array([hashlib.md5(t or b"", usedforsecurity=False).digest() for t in binary_column(batch, "text")], pa.binary()),
                     pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
-                ], ["doc_id", "row_key", "n_shingles", "set_id", "group_id", "prefix"])
+                ], ["doc_id", "row_key", "text_key", "n_shingles", "set_id", "group_id", "prefix"])
 
         return self.docs.mapInArrow(sign, _SIGNATURES.format(kind=kind))
 
@@ -238,23 +240,33 @@ class JaccardJoin:
         rooted = materialize(self._rooted(least, roots), "least")
         smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         named = materialize(rooted.join(smallest, "root").select("set_id", "component_id"), "components")
-        joined = signatures.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+        joined = signatures.select("doc_id", "n_shingles", "set_id", "text_key").join(named, "set_id", "left")
         return joined.select(
             "doc_id", "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key")
 
 
 def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
     """Classes of `docs` under links of at least 80 percent of common five-word shingles; see JaccardJoin."""
-    return JaccardJoin(docs, **options).classes()
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", order: Callable[[], Column] | None = None, **options) -> DataFrame:
-    """`docs` with one row of each class: the one with the smallest id (then the smallest row digest)."""
-    columns = docs.columns
-    classes = near_duplicate_classes(docs, key=key, **options).select(
-        F.col("doc_id").alias("__id"), F.col("component_id").alias("__class"), (F.col("n_shingles") > 0).alias("__linked")).distinct()
-    kept = classes.where("NOT __linked OR __id <=> __class").select("__id").distinct()
-    kept = materialize(kept, "kept")
-    rows = docs.join(kept, docs[key].eqNullSafe(F.col("__id")), "left_semi")
-    return rows.select(*columns)
+    return JaccardJoin(docs, **options).classes().drop("text_key")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each class: the one with the smallest id, of equal ids the one with the smallest text digest.
+
+    Rows without shingles are in no class and all stay. Of wholly repeated rows of a class one stays.
+    """
+    classes = JaccardJoin(docs, key, text, **options).classes()
+    linked = classes.where("n_shingles > 0 AND doc_id <=> component_id")
+    first = materialize(linked.groupBy("component_id").agg(F.min("text_key").alias("__text")).withColumnRenamed("component_id", "__id"), "first")
+    digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
+    same = docs[key].eqNullSafe(F.col("__id")) & (digest == F.col("__text"))
+    alone = classes.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    wanted = materialize(first.select("__id", "__text").union(alone), "wanted")
+    kept = docs.join(wanted, same, "left_semi")
+    repeated = materialize(linked.groupBy("doc_id", "text_key").count().where("count > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates([key, text])
+        kept = kept.join(repeated, same, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    return kept.select(*docs.columns)

@@ -1,7 +1,7 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import jaccard, shards, urls
+from clustrum.llm import decontaminate, jaccard, shards, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -17,11 +17,15 @@ def op2_sharding(spark, sf):
     return shards.assign_shards(table(spark, sf, "documents"), 16)
 
 
+def op6_benchmark_decontamination(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
+
+
 def op8_ngram_jaccard_join(spark, sf):
     return jaccard.near_duplicate_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op8_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op6_benchmark_decontamination, op8_ngram_jaccard_join)}
 
 ORACLES = {
     "op1_url_filter": """
@@ -37,4 +41,29 @@ SELECT page_id, host, path,
   (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
   coalesce((SELECT arg_max(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)), 'allow') AS verdict
 FROM parts""",
+    "op6_benchmark_decontamination": """
+WITH d AS (
+  SELECT doc_id, rowid_ AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS passage
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM item_windows),
+places AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS passage
+  FROM (SELECT r, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS i FROM d, sizes)
+), hits AS (SELECT r, i, places.n, item_id FROM places JOIN item_windows USING (passage)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }
