@@ -1,7 +1,7 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import decontaminate, jaccard, shards, urls
+from clustrum.llm import decontaminate, jaccard, langid, quality, shards, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -17,6 +17,10 @@ def op2_sharding(spark, sf):
     return shards.assign_shards(table(spark, sf, "documents"), 16)
 
 
+def op4_quality_classifier(spark, sf):
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op6_benchmark_decontamination(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
 
@@ -25,7 +29,13 @@ def op8_ngram_jaccard_join(spark, sf):
     return jaccard.near_duplicate_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op6_benchmark_decontamination, op8_ngram_jaccard_join)}
+def op9_language_id(spark, sf):
+    return langid.predict_language(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_sharding, op4_quality_classifier, op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id,
+)}
 
 ORACLES = {
     "op1_url_filter": """
