@@ -1,7 +1,7 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import decontaminate, jaccard, langid, quality, shards, urls
+from clustrum.llm import decontaminate, jaccard, langid, quality, shards, spotsigs, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -21,6 +21,10 @@ def op4_quality_classifier(spark, sf):
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op5_document_fingerprints(spark, sf):
+    return spotsigs.fingerprint_edits(table(spark, sf, "documents"))
+
+
 def op6_benchmark_decontamination(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
 
@@ -34,7 +38,8 @@ def op9_language_id(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_sharding, op4_quality_classifier, op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id,
+    op1_url_filter, op2_sharding, op4_quality_classifier, op5_document_fingerprints,
+    op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id,
 )}
 
 ORACLES = {
