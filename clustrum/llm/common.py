@@ -62,4 +62,7 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct hashes of all `size`-word shingles; fewer words form one shingle, no words none."""
-    return np.unique(window_hashes(word_hashes(words), min(size, len(words)))) if words else np.empty(0, np.uint64)
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.sort(window_hashes(word_hashes(words), min(size, len(words))))
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.llm.common import SHINGLE_WORDS, binary_column, broadcast_if_small, window_hashes, word_hashes
-from clustrum.llm.sketches import bucket_counts
+from clustrum.llm.sketches import bucket_bits, is_set
 from clustrum.session import materialize
 
 WINDOW_WORDS = 10
@@ -90,14 +90,11 @@ def contamination(
 
     # How often each shingle of an item occurs in all documents. Only those that the bit table lets through are counted.
     def picked(tokens: DataFrame):
-        return spark.sparkContext.broadcast(np.packbits(bucket_counts(
-            tokens, lambda b: b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), PICK_BITS) > 0))
+        return spark.sparkContext.broadcast(bucket_bits(
+            tokens, lambda b: b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), PICK_BITS))
 
     all_bits = picked(windows.select("token"))
 
-    def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [h[is_set(all_bits.value, _top(h))] for *_, h in _shingles(batch, sizes) if len(h)]

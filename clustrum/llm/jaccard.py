@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clustrum.llm.common import SHINGLE_WORDS, binary_column, mix, shingle_set
 from clustrum.llm.graph import components
-from clustrum.llm.sketches import bucket_counts
+from clustrum.llm.sketches import bucket_bits, bucket_counts, is_set
 from clustrum.session import materialize
 
 #: Buckets of the rarity table. Shingles in one bucket share a count; any order is right, a finer one is faster.
@@ -36,17 +36,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
-    for text in binary_column(batch, "text"):
+def _sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    for text in texts:
         yield shingle_set(words_of(text), size) if text else np.empty(0, np.uint64)
 
 
-def _row_keys(batch: pa.RecordBatch) -> np.ndarray:
+def _row_keys(ids: pa.Array, texts: list[bytes | None]) -> np.ndarray:
     """64-bit keys of the rows: id and text."""
-    ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.string()).to_pylist()
-    texts = binary_column(batch, "text")
-    return np.fromiter(
-        (xxhash.xxh3_64_intdigest(t or b"", seed=xxhash.xxh32_intdigest(i or "")) for i, t in zip(ids, texts)), np.uint64, len(ids))
+    seeds = [xxhash.xxh32_intdigest(i or "") for i in ids.cast(pa.string()).to_pylist()]
+    return np.fromiter((xxhash.xxh3_64_intdigest(t or b"", seed=s) for s, t in zip(seeds, texts)), np.uint64, len(texts))
 
 
 def _set_id(shingles: np.ndarray) -> bytes:
@@ -70,7 +68,7 @@ class JaccardJoin:
     def _signatures(self) -> DataFrame:
         size, percent = self.size, self.percent
         rarity = bucket_counts(
-            self.docs.select("text"), lambda batch: np.concatenate([np.empty(0, np.uint64), *_sets(batch, size)]), RARITY_BITS)
+            self.docs.select("text"), lambda batch: np.concatenate([np.empty(0, np.uint64), *_sets(binary_column(batch, "text"), size)]), RARITY_BITS)
         rarity = self.spark.sparkContext.broadcast(rarity)
         kind = dict(self.docs.dtypes)["doc_id"]
 
@@ -78,7 +76,8 @@ class JaccardJoin:
             counts = rarity.value
             for batch in batches:
                 n, sets, groups, prefixes = [], [], [], []
-                for shingles in _sets(batch, size):
+                ids, texts = batch.column(batch.schema.get_field_index("doc_id")), binary_column(batch, "text")
+                for shingles in _sets(texts, size):
                     n.append(len(shingles))
                     if not len(shingles):
                         sets.append(None), groups.append(None), prefixes.append(None)
@@ -91,8 +90,8 @@ class JaccardJoin:
                     groups.append(xxhash.xxh3_128_digest(prefix.tobytes() + len(shingles).to_bytes(8, "little")))
                     prefixes.append(prefix.view(np.int64))
                 yield pa.record_batch([
-                    batch.column(batch.schema.get_field_index("doc_id")), pa.array(_row_keys(batch).view(np.int64)),
-                    pa.array([hashlib.md5(t or b"", usedforsecurity=False).digest() for t in binary_column(batch, "text")], pa.binary()),
+                    ids, pa.array(_row_keys(ids, texts).view(np.int64)),
+                    pa.array([hashlib.md5(t or b"", usedforsecurity=False).digest() for t in texts], pa.binary()),
                     pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ], ["doc_id", "row_key", "text_key", "n_shingles", "set_id", "group_id", "prefix"])
@@ -102,23 +101,18 @@ class JaccardJoin:
     def shingles_of(self, nodes: DataFrame) -> DataFrame:
         """(set_id, shingles) of the sets in `nodes` (set_id, row_key): their texts are read once more, picked out by a
         fixed-size bit table of row keys, and then joined exactly."""
-        wanted = bucket_counts(
-            nodes.select("row_key"), lambda batch: mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), ROW_BITS)
-        bits = self.spark.sparkContext.broadcast(np.packbits(wanted > 0))
+        bits = self.spark.sparkContext.broadcast(bucket_bits(
+            nodes.select("row_key"), lambda batch: mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), ROW_BITS))
         size = self.size
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = bits.value
             for batch in batches:
-                keys = _row_keys(batch)
-                at = mix(keys) >> np.uint64(64 - ROW_BITS)
-                hit = np.flatnonzero((table[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1)
+                texts = binary_column(batch, "text")
+                keys = _row_keys(batch.column(batch.schema.get_field_index("doc_id")), texts)
+                hit = is_set(bits.value, (mix(keys) >> np.uint64(64 - ROW_BITS)).astype(np.int64))
                 if len(hit):
-                    texts = binary_column(batch, "text")
-                    yield pa.record_batch([
-                        pa.array(keys[hit].view(np.int64)),
-                        pa.array([shingle_set(words_of(texts[i] or b""), size).tobytes() for i in hit], pa.binary()),
-                    ], ["row_key", "shingles"])
+                    sets = [s.tobytes() for s in _sets([texts[i] for i in hit], size)]
+                    yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(sets, pa.binary())], ["row_key", "shingles"])
 
         found = self.docs.mapInArrow(pick, "row_key long, shingles binary")
         return found.join(nodes, "row_key").select("set_id", "shingles").dropDuplicates(["set_id"])

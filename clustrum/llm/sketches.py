@@ -1,4 +1,4 @@
-"""Fixed-size arrays over all keys of a table, summed slice by slice on the executors."""
+"""Fixed-size arrays over all keys of a table, merged slice by slice on the executors."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
@@ -8,46 +8,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICES = 64
-_SCHEMA = "slice int, counts binary"
+_SCHEMA = "slice int, data binary"
 
 
-def _planes(values: np.ndarray) -> bytes:
+def _count_planes(counts: np.ndarray) -> bytes:
     """Byte planes of 32-bit counts: the planes of zeros shrink to nothing when a shuffle compresses them."""
-    return np.minimum(values, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.minimum(counts, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _values(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def bucket_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
-    """How many keys of `df` have each value of their first `bits` bits (32-bit counts, held at their maximum).
-
-    `keys_of` gives the unsigned 64-bit keys of a batch. Every task counts all its rows into one array and sends SLICES
-    parts of it; each part is summed as a stream. The driver gets 4 * 2^bits bytes, whatever the size of the table.
-    """
+def _sliced(
+    df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, encode: Callable, decode: Callable, merge: Callable,
+) -> list[bytes]:
+    """Each task counts the first `bits` bits of all its keys into one array and sends it in SLICES parts; each part is merged as
+    a stream."""
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            buckets = (keys_of(batch) >> np.uint64(64 - bits)).astype(np.int64)
-            part = np.bincount(buckets, minlength=1 << bits)
-            total = part if total is None else total + part
-        if total is not None:
-            parts = [_planes(total[i * width:(i + 1) * width]) for i in range(SLICES)]
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+            np.add(total, np.bincount((keys_of(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
+        parts = [encode(total[i * width:(i + 1) * width]) for i in range(SLICES)]
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        merged: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[at] = sums.get(at, 0) + _values(planes).astype(np.int64)
-        if sums:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                merged[at] = merge(merged[at], decode(data)) if at in merged else decode(data)
+        if merged:
             yield pa.record_batch(
-                [pa.array(list(sums), pa.int32()), pa.array([_planes(v) for v in sums.values()], pa.binary())], ["slice", "counts"])
+                [pa.array(list(merged), pa.int32()), pa.array([encode(v) for v in merged.values()], pa.binary())], ["slice", "data"])
 
-    out = np.zeros(1 << bits, np.uint32)
+    parts = [encode(np.zeros(width, np.int64))] * SLICES
     for row in df.mapInArrow(count, _SCHEMA).repartition(SLICES, "slice").mapInArrow(add, _SCHEMA).collect():
-        out[row["slice"] * width:(row["slice"] + 1) * width] = _values(bytes(row["counts"]))
-    return out
+        parts[row["slice"]] = bytes(row["data"])
+    return parts
+
+
+def bucket_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """How many keys of `df` begin with each value of `bits` bits (32-bit counts, held at their maximum).
+
+    `keys_of` gives the unsigned 64-bit keys of a batch. The driver gets 4 * 2^bits bytes, whatever the size of the table.
+    """
+    parts = _sliced(df, keys_of, bits, _count_planes, _from_planes, np.add)
+    return np.concatenate([_from_planes(p) for p in parts]).astype(np.uint32)
+
+
+def bucket_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """Packed bits: whether any key begins with each value of `bits` bits. The driver gets 2^bits bits."""
+    parts = _sliced(
+        df, keys_of, bits, lambda v: np.packbits(v > 0).tobytes(), lambda d: np.unpackbits(np.frombuffer(d, np.uint8)), np.bitwise_or)
+    return np.frombuffer(b"".join(parts), np.uint8)
+
+
+def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Indices of the values in `at` whose bit is set."""
+    return np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
