@@ -1,7 +1,7 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import decontaminate, jaccard, langid, quality, shards, spotsigs, urls
+from clustrum.llm import decontaminate, jaccard, langid, quality, secret_scan, shards, spotsigs, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -37,9 +37,13 @@ def op9_language_id(spark, sf):
     return langid.predict_language(table(spark, sf, "documents"))
 
 
+def op10_secret_scan(spark, sf):
+    return secret_scan.scan_secrets(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_sharding, op4_quality_classifier, op5_document_fingerprints,
-    op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id,
+    op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id, op10_secret_scan,
 )}
 
 ORACLES = {
