@@ -1,12 +1,15 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import decontaminate, jaccard, langid, quality, secret_scan, shards, spotsigs, urls
+from clustrum.llm import decontaminate, jaccard, langid, pii, quality, secret_scan, shards, spotsigs, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
+# Stands in for a secret that a user would keep out of the code.
+SURROGATE_KEY = b"key of the registered query"
+
 
 def op1_url_filter(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
@@ -29,6 +32,10 @@ def op6_benchmark_decontamination(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_key")
 
 
+def op7_pii_surrogates(spark, sf):
+    return pii.replace_entities(table(spark, sf, "documents"), SURROGATE_KEY)
+
+
 def op8_ngram_jaccard_join(spark, sf):
     return jaccard.near_duplicate_classes(table(spark, sf, "documents"))
 
@@ -43,7 +50,8 @@ def op10_secret_scan(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_sharding, op4_quality_classifier, op5_document_fingerprints,
-    op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_language_id, op10_secret_scan,
+    op6_benchmark_decontamination, op7_pii_surrogates, op8_ngram_jaccard_join,
+    op9_language_id, op10_secret_scan,
 )}
 
 ORACLES = {
