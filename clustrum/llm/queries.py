@@ -1,12 +1,15 @@
 """One registered query per operator of this subpackage, with its SQL where SQL can express it."""
 from __future__ import annotations
 
-from clustrum.llm import decontaminate, jaccard, langid, pii, quality, secret_scan, shards, spotsigs, urls
+from pyspark.sql import functions as F
+
+from clustrum.llm import decontaminate, jaccard, langid, mixing, pii, quality, secret_scan, shards, spotsigs, urls
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-
+# Shares of the tokens that the mixture should have; production parameters of the query and the pipeline.
+DOMAIN_TARGETS = {"toxic": 0.08}
 # Stands in for a secret that a user would keep out of the code.
 SURROGATE_KEY = b"key of the registered query"
 
@@ -20,6 +23,17 @@ def op2_sharding(spark, sf):
     return shards.assign_shards(table(spark, sf, "documents"), 16)
 
 
+def label_domains(labels):
+    """Domain of each labelled document: toxic, or else plain or junk by its quality."""
+    return labels.select("doc_id", F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'plain' WHEN quality = 0 THEN 'junk' END").alias("domain"))
+
+
+def op3_source_mixing(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"), label_domains(table(spark, sf, "labels")), DOMAIN_TARGETS)
+    shares = [F.col("posterior")[d].alias(f"p_{d}") for d in ("junk", "plain", "toxic")]
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 def op4_quality_classifier(spark, sf):
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -49,7 +63,7 @@ def op10_secret_scan(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_sharding, op4_quality_classifier, op5_document_fingerprints,
+    op1_url_filter, op2_sharding, op3_source_mixing, op4_quality_classifier, op5_document_fingerprints,
     op6_benchmark_decontamination, op7_pii_surrogates, op8_ngram_jaccard_join,
     op9_language_id, op10_secret_scan,
 )}
