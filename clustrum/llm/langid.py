@@ -111,9 +111,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     labelled = docs.where(~exclude & F.col(lang).isNotNull())
     named = labelled.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES)
     by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = labelled.select(F.col(key).alias("__id"), F.col(lang).alias("__lang")).join(F.broadcast(named.select("__lang")), "__lang")
+    ids = labelled.select(F.col(key).alias("__id"), F.col(lang).alias("__lang")).join(F.broadcast(named), "__lang")
+    # Hashes in the lowest part of their range, about four times as many as wanted, before rows of a language meet in one task.
+    lowest = F.xxhash64("__id") / float(1 << 64) + 0.5 <= F.lit(4.0 * ROWS_PER_LANGUAGE) / F.col("count")
     # Bounded by MAX_LANGUAGES * ROWS_PER_LANGUAGE.
-    ids = ids.withColumn("__rank", F.row_number().over(by_hash)).where(F.col("__rank") <= ROWS_PER_LANGUAGE).select("__id", "__lang").distinct()
+    ids = ids.where(lowest).withColumn("__rank", F.row_number().over(by_hash)).where(F.col("__rank") <= ROWS_PER_LANGUAGE).select("__id", "__lang").distinct()
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL")
     sample = rows.join(F.broadcast(ids), (rows["__id"] == ids["__id"]) & (rows["lang"] == ids["__lang"])).select("text", "lang")
 
@@ -144,13 +146,15 @@ def predict_language(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     empty texts and texts without letters are `und` with score 0, and so is everything if no row has a language.
     Prediction reads the text alone. Repeated rows are all kept; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang))
+    # Arrays travel as a plain dictionary: executors need no copy of the package.
+    fitted = docs.sparkSession.sparkContext.broadcast(vars(learn(docs, key, text, lang)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**fitted.value)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 block = batch.slice(at, BLOCK_ROWS)
-                names, scores, rejected = model.value.predict(block.column(1).to_pylist())
+                names, scores, rejected = model.predict(block.column(1).to_pylist())
                 yield pa.record_batch(
                     [block.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
                     ["doc_id", "lang_pred", "score", "rejected"])

@@ -21,7 +21,10 @@ from clustrum.session import materialize
 SAMPLE_ROWS = 4000
 #: Words of the classifier: those that tell the domains apart best in the sample.
 VOCABULARY = 1000
-LEAST_ROWS = 5
+#: Pseudo-rows of the whole sample added to each domain, and the least likelihood-ratio statistic of a word: chance words
+#: of a small sample or a rare domain stay out.
+SMOOTHING = 10.0
+LEAST_STATISTIC = 25.0
 MAX_STEPS = 60
 #: Steps end when no domain total is off its target by more than this share of all tokens.
 TOLERANCE = 1e-4
@@ -39,67 +42,58 @@ def n_tokens(text: Column) -> Column:
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, float]]:
-    """(word, weights: array in the order of the domains) and the log prior of each domain.
+    """(word, weights: array in the order of the domains) and the logit of each domain for a text without any of the words.
 
-    `labelled` has (key, domain). A weight is the log of how much likelier documents of the domain hold the word than the
-    sample does, by smoothed document frequencies. Words are chosen by the mutual information of their
-    presence with the domain. At most VOCABULARY rows; ties go to the smaller word.
+    `labelled` has (key, domain). Naive Bayes on the presence of words: a weight is what a word adds to the logit. Words are those whose
+    presence depends on the domain most clearly; at most VOCABULARY, ties go to the smaller word.
     """
     chosen = labelled.where(F.col(key).isNotNull() & F.col("domain").isNotNull()).select(F.col(key).alias("__id"), "domain")
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id", "domain").limit(sample_rows))
     sample = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(chosen, "__id")
     held = materialize(sample.select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")), "domain-sample")
     rows = {r["domain"]: r["n"] for r in held.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
-    total = sum(rows.values())
-    domains = sorted(rows)
-    seen = held.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").pivot("domain", domains).count().na.fill(0) if domains else None
-    if seen is None:
+    domains, total = sorted(rows), sum(rows.values())
+    if not domains:
         return docs.sparkSession.createDataFrame([], "word string, weights array<double>"), {}
-    everywhere = sum((F.col(f"`{d}`") for d in domains), F.lit(0))
-    share = lambda n, of, d: (n + F.lit(0.5)) / (of + 1.0)
-    weights, information = [], F.lit(0.0)
-    for d in domains:
-        n = F.col(f"`{d}`").cast("double")
-        inside = share(n, float(rows[d]), d)
-        overall = share(everywhere.cast("double"), float(total), d)
-        weights.append(F.log(inside / overall))
-        information = information + F.lit(rows[d] / total) * (
-            inside * F.log(inside / overall) + (F.lit(1.0) - inside) * F.log((F.lit(1.0) - inside) / (F.lit(1.0) - overall)))
-    ranked = seen.where(everywhere >= LEAST_ROWS).select("word", F.array(*weights).alias("weights"), information.alias("information"))
-    vocabulary = ranked.orderBy(F.desc("information"), "word").limit(VOCABULARY).select("word", "weights")
-    return materialize(vocabulary, "vocabulary"), {d: log(rows[d] / total) for d in domains}
+    counts = held.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(
+        *[F.sum((F.col("domain") == d).cast("double")).alias(f"n{i}") for i, d in enumerate(domains)], F.count("*").cast("double").alias("n"))
+    overall = F.col("n") / total
+    counts = counts.where(overall < 1)
+    inside = [(F.col(f"n{i}") + overall * SMOOTHING) / (rows[d] + SMOOTHING) for i, d in enumerate(domains)]
+    present = [F.log(p / overall) for p in inside]
+    absent = [F.log((F.lit(1.0) - p) / (F.lit(1.0) - overall)) for p in inside]
+    statistic = sum((
+        (p * x + (F.lit(1.0) - p) * y) * (2 * rows[d]) for d, p, x, y in zip(domains, inside, present, absent)), F.lit(0.0))
+    ranked = counts.select("word", F.array(*[x - y for x, y in zip(present, absent)]).alias("weights"), F.array(*absent).alias("absent"), statistic.alias("statistic"))
+    vocabulary = materialize(ranked.where(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "word").limit(VOCABULARY), "vocabulary")
+    base = vocabulary.agg(*[F.sum(F.element_at("absent", i + 1)) for i in range(len(domains))]).first()
+    return vocabulary.select("word", "weights"), {d: log(rows[d] / total) + (base[i] or 0.0) for i, d in enumerate(domains)}
 
 
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, list[str]]:
-    """(doc_id, text_key, tokens, posterior: array in the order of the returned domains), one row per (id, text).
+    """(doc_id, text_key, tokens, posterior: array in the order of the returned domains), one row per row of `docs`.
 
-    Evidence is averaged over the vocabulary words that a document holds, to the power of a half, so that long texts do
-    not become certain; without such words the posterior is the prior. Only vocabulary words leave the explode.
+    Only words of the vocabulary leave the explode of a text; their weights are summed per (id, text digest).
     """
-    vocabulary, priors = learn_domains(docs, labelled, key, text, **options)
-    domains = sorted(priors)
+    vocabulary, logits = learn_domains(docs, labelled, key, text, **options)
+    domains = sorted(logits)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     text_key = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")
     counted = rows.select("doc_id", text_key, n_tokens(F.col("text")).alias("tokens"))
     if not domains:
         return counted.withColumn("posterior", F.array().cast("array<double>")), domains
+    # Equal rows (same id, same text) have equal words: each word counts once.
     words = rows.select("doc_id", text_key, F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     # At most VOCABULARY words.
-    hits = words.join(F.broadcast(vocabulary), "word")
+    hits = words.join(F.broadcast(vocabulary), "word").groupBy("doc_id", "text_key", "word", "weights").agg(F.lit(1).alias("once"))
     sums = [F.sum(F.element_at("weights", i + 1)).alias(f"s{i}") for i in range(len(domains))]
-    evidence = hits.groupBy("doc_id", "text_key").agg(F.count("*").alias("matched"), *sums)
-    return _soften(counted, evidence, priors, domains), domains
-
-
-def _soften(counted: DataFrame, evidence: DataFrame, priors: dict[str, float], domains: list[str]) -> DataFrame:
-    evidence = evidence.withColumnsRenamed({"doc_id": "__id", "text_key": "__text"})
+    evidence = hits.groupBy("doc_id", "text_key").agg(*sums).withColumnsRenamed({"doc_id": "__id", "text_key": "__text"})
     joined = counted.join(evidence, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__text")), "left")
-    logits = [
-        F.lit(priors[d]) + F.coalesce(F.col(f"s{i}") / F.sqrt(F.col("matched").cast("double")), F.lit(0.0)) for i, d in enumerate(domains)]
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    powers = joined.select("doc_id", "text_key", "tokens", F.array(*[F.exp(x - top) for x in logits]).alias("powers"))
+    totals = [F.lit(logits[d]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i, d in enumerate(domains)]
+    top = F.greatest(*totals) if len(totals) > 1 else totals[0]
+    powers = joined.select("doc_id", "text_key", "tokens", F.array(*[F.exp(x - top) for x in totals]).alias("powers"))
     total = F.aggregate("powers", F.lit(0.0), lambda a, x: a + x)
-    return powers.select("doc_id", "text_key", "tokens", F.transform("powers", lambda p: p / total).alias("posterior"))
+    return powers.select("doc_id", "text_key", "tokens", F.transform("powers", lambda p: p / total).alias("posterior")), domains
 
 
 def rate_after(posterior: Column, steps: list[list[float]]) -> Column:
@@ -169,9 +163,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
 def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with each row as often as its copies say; ids and texts of copies are those of the row."""
     copies = materialize(mix(docs, labelled, targets, key, text, **options).where("copies <> 1").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "copies").distinct(), "copies")
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("copies").alias("__copies")).distinct(), "copies")
     same = docs[key].eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("__text"))
-    counted = docs.join(broadcast_if_small(copies), same, "left").withColumn("__copies", F.coalesce("copies", F.lit(1)))
+    counted = docs.join(broadcast_if_small(copies), same, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     # Most rows have one copy: an explode of a short array.
     repeated = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(*docs.columns)

@@ -158,13 +158,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     sample get the share of label 1 in the sample, without labelled rows every text gets 0.5. Repeated rows are all
     kept; an empty table gives no rows; further columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, **options))
+    # Arrays travel as a plain dictionary: executors need no copy of the package.
+    fitted = docs.sparkSession.sparkContext.broadcast(vars(learn(docs, labels, key, text, **options)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**fitted.value)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 block = batch.slice(at, BLOCK_ROWS)
-                scores = model.value.scores(binary_column(block, "text"))
+                scores = model.scores(binary_column(block, "text"))
                 yield pa.record_batch([block.column(0), pa.array(scores)], ["doc_id", "score"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -174,14 +176,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns of the rows of `docs` that are predicted good; in one pass, without a join."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, **options))
+    # Arrays travel as a plain dictionary: executors need no copy of the package.
+    fitted = docs.sparkSession.sparkContext.broadcast(vars(learn(docs, labels, key, text, **options)))
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**fitted.value)
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 block = batch.slice(start, BLOCK_ROWS)
                 texts = block.column(at).cast(pa.large_binary()).to_pylist()
-                yield block.filter(pa.array(model.value.scores(texts) >= 0.5))
+                yield block.filter(pa.array(model.scores(texts) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
