@@ -120,8 +120,6 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: set ids) whose sets are similar enough, compared shingle by shingle."""
         pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            return pairs
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         sets = materialize(self.shingles_of(self.nodes.join(ids, "set_id").select("set_id", "row_key")), "sets")
         both = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
@@ -151,12 +149,6 @@ class JaccardJoin:
         self.nodes = materialize(
             sets.groupBy("set_id", "group_id", "n_shingles").agg(F.min("row_key").alias("row_key")), "nodes")
         groups = sets.select("group_id", "n_shingles", "prefix").dropDuplicates(["group_id"])
-        # Inside a group: all against its first member.
-        leads = self.nodes.groupBy("group_id").agg(F.min("set_id").alias("lead"), F.count("*").alias("members"))
-        crowd = leads.where("members > 1")
-        members = self.nodes.join(crowd, "group_id").where("set_id <> lead")
-        links = self.verified(members.select(F.col("lead").alias("a"), F.col("set_id").alias("b")))
-        roots = components(links)
         # Between groups: the shingles that at least two prefixes share.
         on_token = Window.partitionBy("token")
         postings = groups.select(
@@ -164,21 +156,23 @@ class JaccardJoin:
         ).select("token", F.xxhash64("group_id").alias("g"), "n", "at")
         postings = materialize(
             postings.withColumn("shared", F.count("*").over(on_token)).where("shared > 1").drop("shared"), "postings")
+        leads = self.nodes.groupBy("group_id").agg(F.min("set_id").alias("lead"), F.count("*").alias("members"))
+        # Inside a group: all against its first member.
+        members = self.nodes.join(leads.where("members > 1"), "group_id").where("set_id <> lead")
+        wanted = members.select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
         leads = materialize(leads.select(F.xxhash64("group_id").alias("g"), F.col("lead").alias("set_id")), "leads")
+        roots, links = self.spark.createDataFrame([], "node binary, root binary"), None
         for turn in range(MAX_STAR_ROUNDS):
-            open_ = self._open(postings, leads, roots).withColumn("rank", F.xxhash64("g", F.lit(turn)))
-            star = open_.withColumn("hub", F.min(F.struct("rank", "set_id", "n", "at", "root")).over(on_token))
-            star = star.select(
-                F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"),
-                F.col("hub.at").alias("at_a"), F.col("at").alias("at_b"), F.col("hub.root").alias("root_a"), "root",
-            ).where((F.col("root_a") != F.col("root")) & self._fits("n_a", "n_b", "at_a", "at_b"))
-            found = self.verified(self._enough(star).select("a", "b"))
-            merged = found.count()
-            if merged:
-                links = links.union(found)
-                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-            # A round that links few of what it compares leaves the rest to the full join.
-            if merged * 100 < leads.count():
+            pairs = materialize(wanted.unionAll(self._star(postings, leads, roots, turn)).distinct(), "pairs")
+            compared, found = pairs.count(), self.verified(pairs)
+            links = found if links is None else links.unionAll(found)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
+            wanted = pairs.limit(0)
+            # Another round is worth it only while pairs on open shingles far outnumber these shingles' postings, and while
+            # rounds link a fair part of what they compare.
+            sizes = self._open(postings, leads, roots).groupBy("token").agg(F.count("*").alias("c")).agg(
+                F.sum(F.col("c").cast("double")), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+            if found.count() * 20 < compared or not sizes[0] or sizes[1] <= 4 * sizes[0]:
                 break
         # What is still apart: members of one group, then groups that meet on a shingle, each pair in full.
         rooted = self._rooted(self.nodes.select("set_id", "group_id"), roots)
@@ -194,8 +188,18 @@ class JaccardJoin:
         enough = self._enough(met.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), "n_a", "n_b"))
         outer = enough.select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(
             rooted.toDF("a", "root_a", "g_a"), "g_a").join(rooted.toDF("b", "root_b", "g_b"), "g_b")
-        rest = self.verified(inner.union(outer.where("root_a <> root_b").select("a", "b")))
-        return links.union(rest)
+        rest = self.verified(inner.unionAll(outer.where("root_a <> root_b").select("a", "b")))
+        return links.unionAll(rest)
+
+    def _star(self, postings: DataFrame, leads: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+        """Pairs of set ids: on each open shingle every lead with the one of the lowest rank, which changes by turn."""
+        open_ = self._open(postings, leads, roots).withColumn("rank", F.xxhash64("g", F.lit(turn)))
+        star = open_.withColumn("hub", F.min(F.struct("rank", "set_id", "n", "at", "root")).over(Window.partitionBy("token")))
+        star = star.select(
+            F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"),
+            F.col("hub.at").alias("at_a"), F.col("at").alias("at_b"), F.col("hub.root").alias("root_a"), "root",
+        ).where((F.col("root_a") != F.col("root")) & self._fits("n_a", "n_b", "at_a", "at_b"))
+        return self._enough(star).select("a", "b")
 
     def _enough(self, met: DataFrame) -> DataFrame:
         """Pairs that share enough prefix shingles: beyond the shorter-lived prefix at most the rest of a set can match."""
