@@ -137,11 +137,15 @@ class JaccardJoin:
         links = both.select("a", "b", "left_set", "right_set").mapInArrow(compare, "a binary, b binary")
         return materialize(links, "verified")
 
-    def _fits(self, n_a: str, n_b: str, at_a: str, at_b: str) -> Column:
-        """Size and position bounds of two sets that share the shingle at these places of the rarity order."""
-        a, b, i, j = F.col(n_a), F.col(n_b), F.col(at_a), F.col(at_b)
-        most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent) & (most >= needed_overlap(a, b, self.percent))
+    def _fits(self, a: str, b: str) -> Column:
+        """Size and position bounds of two sets that share a shingle, from columns n, at and live with these endings.
+
+        `at` is the shingle's place in the rarity order of a set and `live` the number of shingles before it that can be
+        common at all: those that another component has in a prefix, too.
+        """
+        n_a, at_a, live_a, n_b, at_b, live_b = (F.col(f"{c}_{side}") for side in (a, b) for c in ("n", "at", "live"))
+        most = F.least(live_a, live_b) + 1 + F.least(n_a - at_a - 1, n_b - at_b - 1)
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (most >= needed_overlap(n_a, n_b, self.percent))
 
     def links(self) -> DataFrame:
         """Links (a, b) between set ids; their components are those of all pairs that are similar enough."""
@@ -170,8 +174,8 @@ class JaccardJoin:
             wanted = pairs.limit(0)
             # Another round is worth it only while pairs on open shingles far outnumber these shingles' postings, and while
             # rounds link a fair part of what they compare.
-            sizes = self._open(postings, leads, roots).groupBy("token").agg(F.count("*").alias("c")).agg(
-                F.sum(F.col("c").cast("double")), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+            sizes = self._open(postings, self._leads(leads, roots)).select("token", F.col("shared").cast("double").alias("c")).distinct().agg(
+                F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
             if found.count() * 20 < compared or not sizes[0] or sizes[1] <= 4 * sizes[0]:
                 break
         # What is still apart: members of one group, then groups that meet on a shingle, each pair in full.
@@ -180,11 +184,12 @@ class JaccardJoin:
         left, right = rooted.toDF("a", "root_a", "g"), rooted.toDF("b", "root_b", "g")
         split = rooted.groupBy("g").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("g")
         inner = left.join(split, "g").join(right, "g").where("a < b AND root_a <> root_b").select("a", "b")
-        open_ = materialize(self._open(postings, rooted, roots, whole=True), "open")
+        span = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = materialize(self._open(postings, span), "open")
         x, y = open_.toDF(*[f"{c}_a" for c in open_.columns]), open_.toDF(*[f"{c}_b" for c in open_.columns])
         met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("g_a") < F.col("g_b"))
                      & ((F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b")))
-                     & self._fits("n_a", "n_b", "at_a", "at_b"))
+                     & self._fits("a", "b"))
         enough = self._enough(met.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), "n_a", "n_b"))
         outer = enough.select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(
             rooted.toDF("a", "root_a", "g_a"), "g_a").join(rooted.toDF("b", "root_b", "g_b"), "g_b")
@@ -192,13 +197,19 @@ class JaccardJoin:
         return links.unionAll(rest)
 
     def _star(self, postings: DataFrame, leads: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-        """Pairs of set ids: on each open shingle every lead with the one of the lowest rank, which changes by turn."""
-        open_ = self._open(postings, leads, roots).withColumn("rank", F.xxhash64("g", F.lit(turn)))
-        star = open_.withColumn("hub", F.min(F.struct("rank", "set_id", "n", "at", "root")).over(Window.partitionBy("token")))
-        star = star.select(
-            F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"),
-            F.col("hub.at").alias("at_a"), F.col("at").alias("at_b"), F.col("hub.root").alias("root_a"), "root",
-        ).where((F.col("root_a") != F.col("root")) & self._fits("n_a", "n_b", "at_a", "at_b"))
+        """Pairs of set ids: on each open shingle every lead with the hub, the lead whose open shingles have the most postings.
+
+        Such a lead is closest to the text that near copies come from. In later turns chance has a say as well.
+        """
+        open_ = self._open(postings, self._leads(leads, roots))
+        chance = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) if turn else F.lit(1.0)
+        weight = F.sum("shared").over(Window.partitionBy("g")).cast("double") * chance
+        open_ = materialize(open_.withColumn("weight", weight), "open")
+        hubs = open_.groupBy("token").agg(F.max(F.struct("weight", "set_id", "n", "at", "live", "low")).alias("hub"))
+        star = open_.join(hubs, "token").select(
+            F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"), "low", F.col("hub.low").alias("low_a"),
+            *[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("n", "at", "live")], *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "live")],
+        ).where((F.col("low_a") != F.col("low")) & self._fits("a", "b"))
         return self._enough(star).select("a", "b")
 
     def _enough(self, met: DataFrame) -> DataFrame:
@@ -213,17 +224,17 @@ class JaccardJoin:
         return nodes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
             "set_id", F.coalesce("root", "set_id").alias("root"), *[c for c in nodes.columns if c != "set_id"])
 
-    def _open(self, postings: DataFrame, members: DataFrame, roots: DataFrame, whole: bool = False) -> DataFrame:
-        """Postings on shingles where more than one component meets: with the group's lead, or (whole) with the smallest and
-        largest component among its members."""
-        on_token = Window.partitionBy("token")
-        if whole:
-            span = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            rows, low, high = postings.join(span, "g"), "low", "high"
-        else:
-            rows, low, high = postings.join(self._rooted(members, roots), "g"), "root", "root"
-        apart = F.min(low).over(on_token) != F.max(high).over(on_token)
-        return rows.withColumn("apart", apart).where("apart").drop("apart")
+    def _leads(self, leads: DataFrame, roots: DataFrame) -> DataFrame:
+        return self._rooted(leads, roots).select("g", "set_id", F.col("root").alias("low"), F.col("root").alias("high"))
+
+    @staticmethod
+    def _open(postings: DataFrame, span: DataFrame) -> DataFrame:
+        """Postings on shingles where more than one component meets. `span` has the smallest and largest component (low, high) of
+        a group's members; added are the shingle's postings (shared) and the group's open shingles before it (live)."""
+        rows = postings.join(span, "g")
+        tokens = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("shared"))
+        rows = rows.join(tokens.where("least <> most").select("token", "shared"), "token")
+        return rows.withColumn("live", F.row_number().over(Window.partitionBy("g").orderBy("at")) - 1)
 
     def classes(self) -> DataFrame:
         """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
