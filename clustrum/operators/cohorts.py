@@ -18,7 +18,7 @@ def chronological_split(
     rest: str = "final",
     name: str = "cohort",
 ) -> DataFrame:
-    """Cohorts in (date, id) order. Sizes below 1 are shares of all rows, others row counts.
+    """Cohorts in (date, id) order, null dates last. Sizes below 1 are shares of all rows, others row counts.
 
     Only the boundary rows are looked up; every row is then labelled by comparing with them, so
     the table itself is neither sorted nor shuffled.
@@ -40,7 +40,10 @@ def chronological_split(
             condition = F.lit(True)
         else:
             last_date, last_id = F.lit(bound[0]).cast(types[0]), F.lit(bound[1]).cast(types[1])
-            condition = (F.col(date) < last_date) | ((F.col(date) == last_date) & (F.col(id_column) <= last_id))
+            if bound[0] is None:
+                condition = F.col(date).isNotNull() | (F.col(id_column) <= last_id)
+            else:
+                condition = (F.col(date) < last_date) | ((F.col(date) == last_date) & (F.col(id_column) <= last_id))
         label = F.when(condition, cohort) if label is None else label.when(condition, cohort)
     return df.withColumn(name, F.lit(rest) if label is None else label.otherwise(rest))
 
@@ -104,11 +107,11 @@ def cohort_audit(final: DataFrame, cohorts: DataFrame, id_column: str, text: str
 
 
 def fingerprint_columns(columns: Sequence[str]) -> list[Column]:
-    """Order-free digest: the 256-bit row hashes summed and xor-ed in four 60-bit limbs."""
+    """Order-free digest: the 256-bit row hashes summed and xor-ed in eight 32-bit limbs."""
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    limb = lambda i: F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
-    total = F.concat_ws("-", *(F.sum(limb(i)).cast("string") for i in range(4)))
-    mixed = F.concat_ws("-", *(F.bit_xor(limb(i).cast("long")).cast("string") for i in range(4)))
+    limb = lambda i: F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
+    total = F.concat_ws("-", *(F.sum(limb(i)).cast("string") for i in range(8)))
+    mixed = F.concat_ws("-", *(F.bit_xor(limb(i).cast("long")).cast("string") for i in range(8)))
     return [F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total, mixed), 256).alias("fingerprint")]
 
 

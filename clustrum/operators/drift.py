@@ -51,16 +51,17 @@ def with_running_counts(histogram: DataFrame) -> DataFrame:
 
 
 def distribution_distances(counted: DataFrame) -> DataFrame:
-    """KS statistic and raw-unit Wasserstein distance per feature, from running counts."""
+    """KS statistic and raw-unit Wasserstein distance per feature, from running counts; null if a cohort is empty."""
     totals = counted.groupBy("feature").agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
     rows = counted.join(F.broadcast(totals), "feature")
-    gap = F.abs(F.col("cum_a") / F.col("_na") - F.col("cum_b") / F.col("_nb"))
-    before = F.abs((F.col("cum_a") - F.col("a")) / F.col("_na") - (F.col("cum_b") - F.col("b")) / F.col("_nb"))
+    gap = F.abs(F.try_divide("cum_a", "_na") - F.try_divide("cum_b", "_nb"))
+    before = F.abs(F.try_divide(F.col("cum_a") - F.col("a"), "_na") - F.try_divide(F.col("cum_b") - F.col("b"), "_nb"))
     return rows.groupBy("feature").agg(
         F.first("_na").alias("reference_rows"),
         F.first("_nb").alias("production_rows"),
         F.max(gap).alias("ks_statistic"),
-        F.coalesce(F.sum(before * (F.col("value") - F.col("previous_value"))), F.lit(0.0)).alias("wasserstein"),
+        F.when((F.first("_na") > 0) & (F.first("_nb") > 0),
+               F.coalesce(F.sum(before * (F.col("value") - F.col("previous_value"))), F.lit(0.0))).alias("wasserstein"),
     )
 
 
@@ -274,7 +275,7 @@ def pearson_homogeneity(histogram: DataFrame) -> DataFrame:
     totals = histogram.groupBy("feature").agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
     pooled = F.col("a") + F.col("b")
     share = pooled / (F.col("_na") + F.col("_nb"))
-    part = lambda seen, n: F.pow(F.col(seen) - share * F.col(n), F.lit(2)) / (share * F.col(n))
+    part = lambda seen, n: F.try_divide(F.pow(F.col(seen) - share * F.col(n), F.lit(2)), share * F.col(n))
     return (
         histogram.filter(pooled > 0).join(F.broadcast(totals), "feature")
         .groupBy("feature").agg(F.sum(part("a", "_na") + part("b", "_nb")).alias("pearson_statistic"))
@@ -286,21 +287,21 @@ def permutation_homogeneity(histogram: DataFrame, resamples: int = RESAMPLES, se
 
 
 def total_variation(histogram: DataFrame) -> DataFrame:
-    """Half the summed absolute share differences, per feature."""
+    """Half the summed absolute share differences, per feature; null if a cohort is empty."""
     totals = histogram.groupBy("feature").agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
     return histogram.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        (F.sum(F.abs(F.col("a") / F.col("_na") - F.col("b") / F.col("_nb"))) / 2).alias("total_variation")
+        (F.sum(F.abs(F.try_divide("a", "_na") - F.try_divide("b", "_nb"))) / 2).alias("total_variation")
     )
 
 
 def jensen_shannon(histogram: DataFrame) -> DataFrame:
     """Jensen-Shannon distance (square root of the divergence, base 2) of the cell shares."""
     totals = histogram.groupBy("feature").agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
-    p, q = F.col("a") / F.col("_na"), F.col("b") / F.col("_nb")
+    p, q = F.try_divide("a", "_na"), F.try_divide("b", "_nb")
     middle = (p + q) / 2
     part = lambda x: F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
     return histogram.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        F.sqrt(F.greatest(F.sum(part(p) + part(q)) / 2, F.lit(0.0))).alias("jensen_shannon")
+        F.when((F.first("_na") > 0) & (F.first("_nb") > 0), F.sqrt(F.greatest(F.sum(part(p) + part(q)) / 2, F.lit(0.0)))).alias("jensen_shannon")
     )
 
 

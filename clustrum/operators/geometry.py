@@ -175,7 +175,7 @@ def separation_summary(centroids: DataFrame) -> DataFrame:
 
 
 def cluster_counts(df: DataFrame, n_clusters: int, cohorts: Sequence[str], label: str = "cluster_id", cohort: str = "cohort") -> DataFrame:
-    """Zero-filled counts and proportions per cluster for two cohorts, and their difference."""
+    """Zero-filled counts and proportions per cluster for two cohorts, and their difference; those of an empty cohort are null."""
     reference, production = cohorts
     counted = df.groupBy(F.col(label).alias("cluster_id")).agg(
         F.count_if(F.col(cohort) == reference).alias("r"), F.count_if(F.col(cohort) == production).alias("p")
@@ -186,8 +186,8 @@ def cluster_counts(df: DataFrame, n_clusters: int, cohorts: Sequence[str], label
     )
     totals = counted.agg(F.sum("r").alias("_r"), F.sum("p").alias("_p"))
     shares = full.join(F.broadcast(totals)).withColumns({
-        "reference_proportion": F.col("reference_count") / F.col("_r"),
-        "production_proportion": F.col("production_count") / F.col("_p"),
+        "reference_proportion": F.try_divide("reference_count", "_r"),
+        "production_proportion": F.try_divide("production_count", "_p"),
     })
     return shares.withColumn(
         "proportion_delta", F.col("production_proportion") - F.col("reference_proportion")

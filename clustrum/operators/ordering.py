@@ -290,11 +290,19 @@ def _value_at(rank: Column) -> Column:
 
 
 def rows_at_ranks(df: DataFrame, key: str, tie: str, ranks: Sequence[int]) -> list[tuple]:
-    """(key, tie) of the rows at the given 0-based ranks in (key, tie) order, without sorting all rows.
+    """(key, tie) of the rows at the given 0-based ranks in (key, tie) order, nulls last, without sorting all rows.
 
-    Counts per key find the keys the ranks fall in; only the rows of those keys are ranked.
+    Counts per key find the keys the ranks fall in; only the rows of those keys are ranked. Ranks beyond the table are left out.
     """
-    counted = running_sums(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key], ["n"])
+    known, unknown = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    filled = counts.agg(F.sum("n")).first()[0] or 0
+    tail = [r for r in ranks if r >= filled]
+    if tail:
+        late = global_index(unknown.select(tie), [tie], "_rank").filter(F.col("_rank").isin(*(r - filled for r in tail)))
+        at = {r["_rank"] + filled: (None, r[tie]) for r in late.collect()}
+        return rows_at_ranks(known, key, tie, [r for r in ranks if r < filled]) + [at[r] for r in tail if r in at]
+    counted = running_sums(counts, [key], ["n"])
     hits = counted.filter(reduce(
         lambda a, b: a | b,
         [(F.col("cum_n") > r) & (F.col("cum_n") - F.col("n") <= r) for r in ranks] or [F.lit(False)],

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clustrum.functions.special import normal_p_value, normal_quantile, t_p_value
@@ -12,11 +12,11 @@ from clustrum.session import checked_broadcast, materialize
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Null count and percentage per column, in one pass."""
+    """Null count and percentage per column, in one pass; the percentage of no rows is null."""
     counted = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count")) for c in columns))
     return counted.select("n", F.inline(pairs)).select(
-        "column_name", "null_count", (F.col("null_count") * 100.0 / F.col("n")).alias("null_percent")
+        "column_name", "null_count", F.try_divide(F.col("null_count") * 100.0, F.col("n")).alias("null_percent")
     )
 
 
@@ -28,19 +28,32 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles per column."""
+    """Count, mean, sample deviation, extremes and quartiles per column; without values the count is 0 and the rest null."""
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns))
     melted = df.select(F.inline(pairs))
-    return describe(melted, "v", ["column_name"], (0, 0.25, 0.5, 0.75, 1)).select(
-        "column_name", "count", "mean", F.col("std_sample").alias("std"), "min", "p25", "median", "p75", "max"
+    found = describe(melted, "v", ["column_name"], (0, 0.25, 0.5, 0.75, 1))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return every.join(F.broadcast(found), "column_name", "left").select(
+        "column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean", F.col("std_sample").alias("std"),
+        "min", "p25", "median", "p75", "max",
     )
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts per equal-width bin; the last bin is closed on the right, values outside are left out."""
+def histogram(df: DataFrame, value: str, low: float | None = None, high: float | None = None, bins: int = 40) -> DataFrame:
+    """Counts per equal-width bin between the given edges, or without them over the range of the values.
+
+    The last bin is closed on the right; values outside given edges are left out. Without values and edges there are no
+    bins; a single value lies in bins of width zero, all in the last one.
+    """
     v = F.col(value).cast("double")
+    if low is None or high is None:
+        least, most = df.agg(F.min(v), F.max(v)).first()
+        low, high = least if low is None else low, most if high is None else high
+    if low is None or high is None:
+        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
+    low, high = float(low), float(high)
     width = (high - low) / bins
-    number = F.when(v == high, F.lit(bins - 1)).otherwise(F.floor((v - low) / width))
+    number = F.when(v == high, F.lit(bins - 1)).otherwise(F.floor(F.try_divide(v - low, F.lit(width))))
     counted = (
         df.filter((v >= low) & (v <= high))
         .groupBy(F.least(number, F.lit(bins - 1)).cast("int").alias("bin"))
@@ -59,20 +72,31 @@ def median_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     return describe(df, value, [group], (0.5,)).select(group, "median")
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Pearson's r over rows with both values; null where a column does not vary."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)).cast("double"), F.when(F.col(x).isNotNull(), F.col(y)).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, r, t statistic and two-sided p-value over rows with both values."""
+    """n, r, t statistic and two-sided p-value over rows with both values.
+
+    A constant column has no r. At r = 1 and -1 the statistic is without bound: null, with p = 0.
+    """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    fitted = both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    fitted = both.agg(F.count(F.lit(1)).alias("n"), _correlation(x, y).alias("r"))
     degrees = F.col("n") - 2
-    t = F.col("r") * F.sqrt(degrees / (1 - F.col("r") * F.col("r")))
-    return fitted.withColumn("t_statistic", t).withColumn(
-        "p_value", t_p_value(F.col("t_statistic"), degrees.cast("double"))
+    perfect = F.abs("r") >= 1 - 1e-12
+    t = F.when(~perfect & (degrees > 0), F.col("r") * F.sqrt(F.try_divide(degrees.cast("double"), 1 - F.col("r") * F.col("r"))))
+    tested = fitted.withColumn("t_statistic", t)
+    return tested.withColumn(
+        "p_value", F.when(perfect & (degrees > 0), 0.0).otherwise(t_p_value(F.col("t_statistic"), degrees.cast("double")))
     )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for a in columns for b in columns]
-    corr = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    corr = df.agg(*(_correlation(a, b).alias(f"{a}|{b}") for a, b in pairs))
     cells = F.array(*(
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}|{b}").alias("r")) for a, b in pairs
     ))
@@ -116,15 +140,15 @@ def kendall_correlation(df: DataFrame, x: str, y: str, digits: int = 16) -> Data
     m = n * (n - 1)
     variance = (
         (m * (2 * n + 5) - F.col("cubic_x") - F.col("cubic_y")) / 18
-        + 2 * tied_x * tied_y / m
-        + F.col("triple_x") * F.col("triple_y") / (9 * m * (n - 2))
+        + F.coalesce(F.try_divide(2 * tied_x * tied_y, m), F.lit(0.0))
+        + F.coalesce(F.try_divide(F.col("triple_x") * F.col("triple_y"), 9 * m * (n - 2)), F.lit(0.0))
     )
     return order.join(F.broadcast(ties)).select(
         F.lit(size.n).cast("long").alias("n"),
         F.col("concordant").cast("long").alias("concordant"),
         F.col("discordant").cast("long").alias("discordant"),
-        (s / F.sqrt(pairs - tied_x) / F.sqrt(pairs - tied_y)).alias("tau_b"),
-        normal_p_value(s / F.sqrt(variance)).alias("p_value"),
+        F.try_divide(F.try_divide(s, F.sqrt(pairs - tied_x)), F.sqrt(pairs - tied_y)).alias("tau_b"),
+        normal_p_value(F.try_divide(s, F.sqrt(variance))).alias("p_value"),
     )
 
 
@@ -181,18 +205,20 @@ def qq_points(df: DataFrame, value: str, points: int = 99) -> DataFrame:
 
 
 def ecdf(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Right-continuous cumulative share per distinct value."""
+    """Right-continuous cumulative share per distinct value; a null group is a group of its own."""
     groups = list(groups)
-    keyed = df if groups else df.withColumn("_all", F.lit(0))
-    keys = groups or ["_all"]
-    counted = running_sums(histogram_of(keyed, value, keys), ["value"], ["n"], keys)
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    return counted.join(checked_broadcast(totals), keys).select(
+    # One key per group that is never null.
+    key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
+    counted = running_sums(histogram_of(df.withColumn("_key", key), value, ["_key", *groups]), ["value"], ["n"], ["_key"])
+    totals = counted.groupBy("_key").agg(F.sum("n").alias("_total"))
+    return counted.join(checked_broadcast(totals), "_key").select(
         *groups, "value", "n", "cum_n", (F.col("cum_n") / F.col("_total")).alias("cumulative_share")
     )
 
 
 def top_shares(df: DataFrame, column: str, n: int) -> DataFrame:
     """The n most frequent values (a report: ties go to the lower value)."""
-    window = Window.orderBy(F.col("n").desc(), F.col("value"))
-    return value_distribution(df, column).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+    order = [F.col("n").desc(), F.col("value")]
+    # The limit keeps n rows per task before they meet; only n rows are numbered.
+    top = value_distribution(df, column).orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -21,27 +21,24 @@ def seeded_order(seed: int | str, id_column: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), column.cast("string")), 256)
 
 
-def seeded_shuffle_limit(df: DataFrame, id_column: str, seed: int, limit: int, top_k_limit: int = 1_000_000) -> DataFrame:
-    """First `limit` rows of a seeded shuffle. Adds `position` from 0.
+def seeded_shuffle_limit(df: DataFrame, id_column: str, seed: int, limit: int) -> DataFrame:
+    """First `limit` rows of a seeded shuffle, with `position` from 0: cut at the hash value of the last row and
+    numbered over range partitions, whatever the size."""
+    kept = _below_cut(df, id_column, seed, limit)
+    numbered = global_index(kept, ["_order", id_column], "position")
+    return numbered.filter(F.col("position") < limit).drop("_order")
 
-    A usual sample is a top-k; a larger one is cut at the hash value of its last row and numbered over
-    range partitions.
-    """
+
+def _below_cut(df: DataFrame, id_column: str, seed: int, size: int) -> DataFrame:
     ordered = df.withColumn("_order", seeded_order(seed, id_column))
-    if limit <= top_k_limit:
-        top = ordered.orderBy("_order", id_column).limit(limit)
-        window = Window.orderBy("_order", id_column)
-        return top.withColumn("position", F.row_number().over(window) - 1).drop("_order")
-    cut = hash_at_rank(ordered, "_order", limit)
-    kept = ordered if cut is None else ordered.filter(F.col("_order") <= cut)
-    return global_index(kept, ["_order", id_column], "position").drop("_order")
+    cut = hash_at_rank(ordered, "_order", size)
+    return ordered if cut is None else ordered.filter(F.col("_order") <= cut)
 
 
 def fixed_sample(df: DataFrame, id_column: str, seed: int, size: int) -> DataFrame:
-    """The same rows for every configuration, in id order; all rows when `size` is 0 or too large."""
-    if not size:
-        return df
-    return seeded_shuffle_limit(df, id_column, seed, size).drop("position")
+    """The same rows for every configuration; all rows when `size` is 0 or too large. Ids have to be unique: the cut is the hash
+    of the last id, and no row is moved."""
+    return _below_cut(df, id_column, seed, size).drop("_order") if size else df
 
 
 def sample_digest(sample: DataFrame, id_column: str) -> DataFrame:
@@ -61,7 +58,7 @@ def fraction_subset(df: DataFrame, id_column: str, fraction: float, seed: int, r
         raise ValueError("0 < fraction <= 1")
     size = int(df.count() * fraction)
     if size < 2:
-        raise ValueError("subsets must contain at least two observations")
+        raise ValueError(f"a share of {fraction} leaves fewer than two rows")
     ordered = df.withColumn("_order", seeded_order(f"{seed}/{repeat}/{side}", id_column))
     cut = hash_at_rank(ordered, "_order", size)
     return (ordered if cut is None else ordered.filter(F.col("_order") <= cut)).drop("_order")

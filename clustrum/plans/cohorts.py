@@ -23,6 +23,13 @@ def chronological_query(spark, sf):
     return cohorts.chronological_split(orders, "o_orderdate", "o_orderkey", COHORTS)
 
 
+def undated_split_query(spark, sf):
+    """Every third order without a date: the last boundary lies among them."""
+    date = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("date"))
+    orders = table(spark, sf, "orders").select("o_orderkey", date.alias("day"))
+    return cohorts.chronological_split(orders, "day", "o_orderkey", COHORTS)
+
+
 def counted_split_query(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type")
     return cohorts.chronological_split(events, "event_type", "event_id", {"training": 300, "reference": 50, "production": 10**9}).groupBy(
@@ -149,6 +156,7 @@ def top_query(spark, sf):
 
 QUERIES = {
     "chronological_split": chronological_query,
+    "chronological_split_nulls": undated_split_query,
     "chronological_split_by_count": counted_split_query,
     "source_row_index": index_query,
     "cohort_id_overlap": id_overlap_query,
@@ -226,6 +234,12 @@ ORACLES = {
         SELECT o_orderkey, o_orderdate, CASE WHEN r <= floor(n * 0.6 + 1e-9) THEN 'training'
             WHEN r <= floor(n * 0.6 + 1e-9) + floor(n * 0.1 + 1e-9) THEN 'reference'
             WHEN r <= floor(n * 0.6 + 1e-9) + floor(n * 0.1 + 1e-9) + floor(n * 0.2 + 1e-9) THEN 'production' ELSE 'final' END AS cohort FROM ranked""",
+    "chronological_split_nulls": """
+        WITH dated AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY day NULLS LAST, o_orderkey) AS r, count(*) OVER () AS n FROM dated)
+        SELECT o_orderkey, day, CASE WHEN r <= floor(n * 0.6 + 1e-9) THEN 'training'
+            WHEN r <= floor(n * 0.6 + 1e-9) + floor(n * 0.1 + 1e-9) THEN 'reference'
+            WHEN r <= floor(n * 0.6 + 1e-9) + floor(n * 0.1 + 1e-9) + floor(n * 0.2 + 1e-9) THEN 'production' ELSE 'final' END AS cohort FROM ranked""",
     "chronological_split_by_count": """
         WITH ranked AS (SELECT event_type, row_number() OVER (ORDER BY event_type, event_id) AS r FROM events)
         SELECT CASE WHEN r <= 300 THEN 'training' WHEN r <= 350 THEN 'reference' ELSE 'production' END AS cohort, event_type, count(*) AS n
@@ -249,7 +263,7 @@ ORACLES = {
         LEFT JOIN (SELECT cohort, sum(f.n) AS n FROM known JOIN f ON f.t = known.t GROUP BY 1) m ON m.cohort = c.cohort""",
     "table_fingerprint": """
         WITH h AS (SELECT lang, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') AS x FROM documents),
-        l AS (SELECT lang, i, CAST('0x' || substr(x, 1 + 15 * i, 15) AS UBIGINT) AS v FROM h, range(4) t(i)),
+        l AS (SELECT lang, i, CAST('0x' || substr(x, 1 + 8 * i, 8) AS UBIGINT) AS v FROM h, range(8) t(i)),
         s AS (SELECT lang, i, CAST(sum(CAST(v AS HUGEINT)) AS VARCHAR) AS total, CAST(bit_xor(v) AS VARCHAR) AS mixed, count(*) AS n FROM l GROUP BY 1, 2)
         SELECT lang, max(n) AS n_rows, sha256(max(n) || ':' || string_agg(total, '-' ORDER BY i) || ':' || string_agg(mixed, '-' ORDER BY i)) AS fingerprint
         FROM s GROUP BY lang""",
@@ -286,7 +300,7 @@ ORACLES = {
         skipped_sql("r3", "low_margin", "u2"),
     )),
     "seeded_shuffle_limit": """
-        SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY sha256('42|' || doc_id)) - 1 AS INTEGER) AS position FROM documents QUALIFY position < 100""",
+        SELECT doc_id, lang, row_number() OVER (ORDER BY sha256('42|' || doc_id)) - 1 AS position FROM documents QUALIFY position < 100""",
     "fixed_sample": "SELECT vec_id, label FROM embeddings ORDER BY sha256('42|' || vec_id) LIMIT 200",
     "fixed_sample_digest": """
         SELECT count(*) AS n, sha256(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS ids_sha256

@@ -10,6 +10,8 @@ from clustrum.plans.common import SQL_CENTROIDS, labelled_embeddings, rounded, t
 
 GROUPS = ["encoder", "method"]
 SEEDS = (42, 43, 44, 45, 46)
+# First coordinate and length of the part of each vector that stands for a run: all 64 coordinates.
+PARTS = {42: (1, 13), 43: (14, 13), 44: (27, 13), 45: (40, 13), 46: (53, 12)}
 
 
 def run_labels(spark, sf):
@@ -18,7 +20,7 @@ def run_labels(spark, sf):
     for encoder, vector in (("absolute", "sizes"), ("raw", "embedding")):
         for method, pick in (("largest", F.array_max), ("smallest", F.array_min)):
             for seed in SEEDS:
-                part = F.slice(vector, (seed - 42) * 10 + 1, 10)
+                part = F.slice(vector, *PARTS[seed])
                 cells.append(F.struct(
                     F.lit(encoder).alias("encoder"), F.lit(method).alias("method"), F.lit(seed).alias("seed"),
                     (F.array_position(part, pick(part)) - 1).cast("int").alias("label"),
@@ -178,7 +180,7 @@ def _configurations() -> str:
     for encoder, vector in (("absolute", "list_transform(v, lambda x: abs(x))"), ("raw", "v")):
         for method, pick in (("largest", "list_max"), ("smallest", "list_min")):
             for seed in SEEDS:
-                part = f"({vector})[{(seed - 42) * 10 + 1}:{(seed - 42) * 10 + 10}]"
+                part = f"({vector})[{PARTS[seed][0]}:{sum(PARTS[seed]) - 1}]"
                 cells.append(
                     f"SELECT vec_id, '{encoder}' AS encoder, '{method}' AS method, {seed} AS seed, "
                     f"CAST(list_position({part}, {pick}({part})) - 1 AS INTEGER) AS label, v FROM vec"

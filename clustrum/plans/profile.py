@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clustrum.operators import keywords, profile
+from clustrum.operators import drift, keywords, profile
 from clustrum.functions.text import FRENCH_STOP_WORDS, stop_tokens
 from clustrum.plans.cleaning import WORDS_SQL
 from clustrum.plans.common import rounded, sql_clean, sql_round, table
@@ -34,7 +34,7 @@ def numeric_query(spark, sf):
 
 
 def histogram_query(spark, sf):
-    return profile.histogram(table(spark, sf, "documents"), "n_chars", 0.0, 10000.0, 40)
+    return profile.histogram(table(spark, sf, "documents"), "n_chars", bins=40)
 
 
 def median_query(spark, sf):
@@ -67,6 +67,40 @@ def normality_query(spark, sf):
     return out.select("n", rounded("skewness"), rounded("kurtosis"), rounded("jarque_bera", places=4))
 
 
+def undefined_query(spark, sf):
+    """Correlations that have no t: perfect ones, with a constant, and of no rows."""
+    rows = table(spark, sf, "documents").select("n_chars", (-F.col("n_chars")).alias("minus"), F.lit(1).alias("one"))
+    cases = [("perfect", rows, "n_chars"), ("reversed", rows, "minus"), ("constant", rows, "one"), ("empty", rows.filter("n_chars < 0"), "n_chars")]
+    out = [
+        profile.pearson_correlation(frame, "n_chars", other).select(F.lit(name).alias("case_name"), rounded("r"), "t_statistic", "p_value")
+        for name, frame, other in cases
+    ]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+def undefined_kendall_query(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("one", F.lit(1))
+    return profile.kendall_correlation(rows, "n_chars", "one").select("n", "tau_b", "p_value")
+
+
+def undefined_distances_query(spark, sf):
+    """Distances to a cohort without rows."""
+    rows = table(spark, sf, "documents").withColumn("cohort", F.lit("reference"))
+    counted = drift.pooled_histogram(drift.stack_features(rows, ["n_chars"]), "reference", "production")
+    return drift.ks_statistic(rows, "n_chars", "reference", "production").join(
+        drift.total_variation(counted), "feature").join(drift.jensen_shannon(counted), "feature")
+
+
+def missing_column_query(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("missing", F.lit(None).cast("double"))
+    return profile.numeric_profile(rows, ["n_chars", "missing"]).select("column_name", "count", rounded("mean"))
+
+
+def null_group_query(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("lang", F.when(F.col("lang") != "en", F.col("lang")))
+    return profile.ecdf(rows, "n_chars", ["lang"]).withColumn("cumulative_share", rounded("cumulative_share"))
+
+
 def qq_query(spark, sf):
     out = profile.qq_points(table(spark, sf, "documents"), "n_chars")
     return out.select(*(rounded(c) for c in ("fraction", "normal_quantile", "observed", "fitted")))
@@ -113,6 +147,11 @@ QUERIES = {
     "kendall_correlation": kendall_query,
     "kendall_many_values": kendall_many_query,
     "normality_summary": normality_query,
+    "undefined_profile": undefined_query,
+    "undefined_kendall": undefined_kendall_query,
+    "undefined_distances": undefined_distances_query,
+    "numeric_profile_with_nulls": missing_column_query,
+    "ecdf_null_group": null_group_query,
     "qq_points": qq_query,
     "ecdf": ecdf_query,
     "top_shares": top_query,
@@ -174,8 +213,25 @@ ORACLES = {
     "numeric_profile": " UNION ALL ".join(quartiles(c) for c in ("l_quantity", "l_extendedprice", "l_discount")),
     "histogram": """
         WITH bins AS (SELECT CAST(unnest(range(40)) AS INTEGER) AS bin),
-        c AS (SELECT CAST(least(39, floor(n_chars / CAST(250 AS DOUBLE))) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 10000 GROUP BY 1)
-        SELECT bins.bin, bins.bin * CAST(250 AS DOUBLE) AS lower, (bins.bin + 1) * CAST(250 AS DOUBLE) AS upper, coalesce(n, 0) AS n FROM bins LEFT JOIN c ON c.bin = bins.bin""",
+        edges AS (SELECT CAST(min(n_chars) AS DOUBLE) AS low, (CAST(max(n_chars) AS DOUBLE) - CAST(min(n_chars) AS DOUBLE)) / 40 AS width FROM documents),
+        c AS (SELECT CAST(least(39, floor((n_chars - low) / width)) AS INTEGER) AS bin, count(*) AS n FROM documents, edges GROUP BY 1)
+        SELECT bins.bin, low + bins.bin * width AS lower, low + (bins.bin + 1) * width AS upper, coalesce(n, 0) AS n
+        FROM edges, bins LEFT JOIN c ON c.bin = bins.bin""",
+    "undefined_profile": """
+        SELECT * FROM (VALUES ('perfect', CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE)),
+          ('reversed', CAST(-1 AS DOUBLE), NULL, CAST(0 AS DOUBLE)), ('constant', NULL, NULL, NULL), ('empty', NULL, NULL, NULL)) t(case_name, r, t_statistic, p_value)""",
+    "undefined_kendall": "SELECT count(*) AS n, CAST(NULL AS DOUBLE) AS tau_b, CAST(NULL AS DOUBLE) AS p_value FROM documents",
+    "undefined_distances": """
+        SELECT 'n_chars' AS feature, count(*) AS reference_rows, CAST(0 AS BIGINT) AS production_rows, CAST(NULL AS DOUBLE) AS ks_statistic,
+          CAST(NULL AS DOUBLE) AS wasserstein, CAST(NULL AS DOUBLE) AS total_variation, CAST(NULL AS DOUBLE) AS jensen_shannon FROM documents""",
+    "numeric_profile_with_nulls": f"""
+        SELECT 'n_chars' AS column_name, count(*) AS count, {sql_round('avg(n_chars)')} AS mean FROM documents
+        UNION ALL SELECT 'missing', CAST(0 AS BIGINT), CAST(NULL AS DOUBLE)""",
+    "ecdf_null_group": """
+        WITH h AS (SELECT CASE WHEN lang <> 'en' THEN lang END AS lang, n_chars AS value, count(*) AS n FROM documents GROUP BY 1, 2)
+        SELECT lang, value, n, CAST(sum(n) OVER w AS BIGINT) AS cum_n,
+          round(sum(n) OVER w / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE), 6) + 0.0 AS cumulative_share
+        FROM h WINDOW w AS (PARTITION BY lang ORDER BY value)""",
     "median_by_group": "SELECT quality, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS median FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY quality",
     "pearson_correlation": """
         SELECT n, round(r, 6) + 0.0 AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) + 0.0 AS t_statistic

@@ -10,69 +10,78 @@ from clustrum.operators.cohorts import (
 SCHEMA = "source_row_id string, cluster_id int, assigned_centroid_cosine_similarity double, assignment_margin double, review_text string"
 
 
-def candidates(count=20, clusters=3, **same):
-    rows = []
-    for k in range(clusters):
-        for i in range(count):
-            row = [f"{k}-{i:02d}", k, 0.1 + 0.04 * i, 0.01 + 0.005 * i, f"text {k}-{i}\nsecond"]
-            rows.append(row)
-    for row in rows:
-        if "similarity" in same:
-            row[2] = same["similarity"]
-        if "margin" in same:
-            row[3] = same["margin"]
-    return rows
-
-
-def sample(spark, rows, clusters, seed=42):
-    chosen, details = sampling.inspection_sample(spark.createDataFrame([tuple(r) for r in rows], SCHEMA), clusters, seed)
-    return chosen.collect(), {(r.cluster_id, r.sampling_category): r for r in details.collect()}
-
-
-def test_quotas_and_categories(spark):
-    chosen, _ = sample(spark, candidates(), 3)
-    assert len({r.source_row_id for r in chosen}) == len(chosen) == 30
-    for k in range(3):
-        ids = lambda c: {r.source_row_id for r in chosen if r.cluster_id == k and r.sampling_category == c}
-        assert ids("high_similarity") == {f"{k}-{i:02d}" for i in range(16, 20)}
-        assert ids("low_margin") == {f"{k}-{i:02d}" for i in range(3)}
-        middle = [r.assigned_centroid_cosine_similarity for r in chosen if r.cluster_id == k and r.sampling_category == "intermediate_similarity"]
-        assert sorted(abs(v - 0.48) for v in middle) == pytest.approx([0.02, 0.02, 0.06])
-    assert all(r[a] == "" for r in chosen for a in sampling.ANNOTATIONS)
-
-
-def test_ties_are_seeded_and_independent_of_order(spark):
-    rows = candidates(similarity=0.5, margin=0.1)
-    key = lambda rows: sorted((r.source_row_id, r.sampling_category) for r in rows)
-    first, details = sample(spark, rows, 3)
-    assert key(first) == key(sample(spark, rows[::-1], 3)[0]) != key(sample(spark, rows, 3, seed=43)[0])
-    for k in range(3):
-        assert details[k, "intermediate_similarity"].already_selected_id == 4
-        assert details[k, "low_margin"].already_selected_id == 7
-
-
-def test_duplicate_text_takes_the_next_candidate(spark):
-    rows = candidates(clusters=1)
-    rows[-1][4], rows[-2][4] = "same", " same "
-    chosen, details = sample(spark, rows, 1)
-    assert len({r.review_text.strip() for r in chosen}) == 10
-    assert details[0, "high_similarity"].duplicate_stripped_text == 1
-
-
-@pytest.mark.parametrize("rows,clusters", [
-    (candidates(9, 1), 1), (candidates(20, 1), 2), ([r[:4] + ["same"] for r in candidates(20, 1)], 1),
-])
-def test_missing_quota_is_refused(spark, rows, clusters):
-    with pytest.raises(ValueError):
-        sample(spark, rows, clusters)
+def planted(spark, rows, n_clusters, seed=7):
+    """Chosen (id, category, position) and the skip counts by (cluster, category)."""
+    chosen, details = sampling.inspection_sample(spark.createDataFrame(rows, SCHEMA), n_clusters, seed)
+    picked = sorted((r.sampling_category, r.position, r.source_row_id) for r in chosen.collect())
+    return picked, {(r.cluster_id, r.sampling_category): (r.already_selected_id, r.duplicate_stripped_text) for r in details.collect()}
+
+
+def ladder(cluster, n, prefix):
+    """Similarity falls from 0.99 ever faster, the margin follows a permutation of the ranks, texts differ."""
+    return [(f"{prefix}{i}", cluster, 0.99 - i * i / 3000, ((i * 7) % n) / 100, f"{prefix} text {i}") for i in range(n)]
+
+
+def in_python(rows, quotas=sampling.QUOTAS):
+    """The staged choice for one cluster without ties."""
+    similarity = sorted(r[2] for r in rows)
+    half = len(similarity) // 2
+    median = similarity[half] if len(similarity) % 2 else (similarity[half - 1] + similarity[half]) / 2
+    order = {
+        "high_similarity": lambda r: -r[2], "intermediate_similarity": lambda r: abs(r[2] - median), "low_margin": lambda r: r[3]}
+    used, texts, out = set(), set(), []
+    for category, quota in quotas:
+        place = 0
+        for row in sorted(rows, key=order[category]):
+            if place < quota and row[0] not in used and row[4].strip() not in texts:
+                used.add(row[0])
+                texts.add(row[4].strip())
+                place += 1
+                out.append((category, place, row[0]))
+    return sorted(out)
+
+
+def test_unequal_clusters_get_their_quotas(spark):
+    small, large = ladder(0, 11, "s"), ladder(1, 29, "l")
+    picked, _ = planted(spark, small + large, 2)
+    assert [p for p in picked if p[2][0] == "s"] == in_python(small)
+    assert [p for p in picked if p[2][0] == "l"] == in_python(large)
+
+
+def test_copies_of_a_chosen_text_are_passed_over(spark):
+    rows = ladder(0, 17, "c")
+    # The two best texts again, with other blanks and just below the originals.
+    rows += [("copy0", 0, 0.9898, 0.5, "  c text 0"), ("copy1", 0, 0.9895, 0.5, "c text 1 \n")]
+    picked, skipped = planted(spark, rows, 1)
+    assert picked == in_python(rows) and not {"copy0", "copy1"} & {p[2] for p in picked}
+    assert skipped[0, "high_similarity"] == (0, 2)
+
+
+def test_planted_ties_follow_the_seed_only(spark):
+    rows = ladder(0, 12, "t")[:2] + [(f"tie{i}", 0, 0.5, 0.2, f"tie text {i}") for i in range(24)]
+    first = planted(spark, rows, 1)[0]
+    assert first == planted(spark, rows[::-1], 1)[0]
+    assert {p[2] for p in first if p[0] == "high_similarity"} >= {"t0", "t1"}
+    assert any(planted(spark, rows, 1, seed)[0] != first for seed in (8, 9, 10))
+
+
+def test_too_few_distinct_reviews_are_refused(spark):
+    nine = ladder(0, 9, "n")
+    for rows, n_clusters in ((nine, 1), (ladder(0, 15, "a"), 3), ([r[:4] + ("one text",) for r in ladder(0, 15, "o")], 1)):
+        with pytest.raises(ValueError, match="distinct eligible"):
+            planted(spark, rows, n_clusters)
+    loose, _ = sampling.inspection_sample(spark.createDataFrame(nine, SCHEMA), 1, strict=False)
+    assert loose.count() == 9
 
 
 def test_seeded_order_repeats_and_depends_on_the_seed(spark):
     ids = lambda seed, parts: [r.id for r in sampling.seeded_shuffle_limit(spark.range(200).repartition(parts), "id", seed, 20).orderBy("position").collect()]
     assert ids(1, 3) == ids(1, 7) != ids(2, 3)
-    large = sampling.seeded_shuffle_limit(spark.range(200), "id", 1, 20, top_k_limit=5).orderBy("position")
-    assert [r.id for r in large.collect()] == ids(1, 3)
-    assert sampling.seeded_shuffle_limit(spark.range(9), "id", 1, 20, top_k_limit=5).count() == 9
+    assert dict(sampling.seeded_shuffle_limit(spark.range(9), "id", 1, 20).dtypes)["position"] == "bigint"
+    repeated = spark.range(30).selectExpr("id % 3 AS id")
+    assert sorted(r.position for r in sampling.seeded_shuffle_limit(repeated, "id", 1, 7).collect()) == list(range(7))
+    assert sampling.seeded_shuffle_limit(spark.range(9), "id", 1, 20).count() == 9
+    assert sampling.fixed_sample(spark.range(200), "id", 1, 20).count() == 20
     assert sampling.fixed_sample(spark.range(5), "id", 1, 0).count() == 5
 
 
@@ -97,6 +106,20 @@ def test_split_plan_and_resume(spark):
     assert [r.cohort for r in split.orderBy("id").collect()] == ["training"] * 2 + ["reference"] + ["production"] * 2
 
 
+@pytest.mark.parametrize("sizes,expected", [
+    ({"training": 0.5}, {"training": 10, "final": 10}), ({"training": 17, "reference": 2}, {"training": 17, "reference": 2, "final": 1}),
+    ({"training": 30}, {"training": 20}),
+])
+def test_split_puts_unknown_dates_last(spark, sizes, expected):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"2020-01-{i + 1:02d}") for i in range(20)], "id int, day string")
+    split = chronological_split(rows, "day", "id", sizes).collect()
+    counted = {c: sum(r.cohort == c for r in split) for c in {r.cohort for r in split}}
+    assert counted == expected
+    dated, undated = ([r.cohort for r in sorted(split, key=lambda r: r.id) if (r.day is None) == null] for null in (False, True))
+    order = [*expected]
+    assert [order.index(c) for c in dated + undated] == sorted(order.index(c) for c in dated + undated)
+
+
 def test_audit_counts_rows_and_reports_overlap(spark):
     final = spark.createDataFrame([("f1", "a "), ("f2", "a"), ("f3", "z"), ("t9", "q")], "id string, text string")
     others = spark.createDataFrame([("training", "t1", " a"), ("training", "t9", "a"), ("selection", "s1", "b")], "cohort string, id string, text string")
