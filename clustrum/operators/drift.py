@@ -104,22 +104,39 @@ def _pearson_term(drawn, pooled, cum_drawn, cum_pooled, n_a, n_b):
 
 KOLMOGOROV_SMIRNOV = CellStatistic(_ks_term, "max")
 PEARSON = CellStatistic(_pearson_term, "sum")
-# Above this population numpy's exact draws are not available.
-EXACT_POPULATION = 1_000_000_000
 
 
-def draw_without_replacement(rng: np.random.Generator, good: int, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """Hypergeometric draws. Above numpy's population limit the normal (or, for rare cells, binomial)
-    limit law is used; its error is far below the resolution of a Monte Carlo p-value."""
-    population = good + bad
-    if population.max(initial=0) < EXACT_POPULATION:
-        return rng.hypergeometric(good, bad, take)
-    share = np.divide(take, population, out=np.zeros(len(take)), where=population > 0)
-    deviation = np.sqrt(good * share * (1 - share) * bad / np.maximum(population - 1, 1))
-    normal = np.rint(rng.normal(good * share, deviation))
-    rare = rng.binomial(good, np.clip(share, 0, 1))
-    drawn = np.where(deviation > 30, normal, rare)
-    return np.clip(drawn, np.maximum(0, take - bad), np.minimum(good, take)).astype(np.int64)
+def draw_subsets(rng: np.random.Generator, cells: np.ndarray, takes: np.ndarray) -> np.ndarray:
+    """Rows that fall in each cell when `takes[i]` of the rows of `cells[i]` are drawn without replacement.
+
+    Exact for populations of any size. Taking every row with the same probability gives a binomial number per cell and, whatever its
+    size, a uniformly random subset. What it lacks is thinned out of the rest in the same way, what it has too much is
+    thinned out of it; each round leaves about the square root of the difference, and a short rest is drawn row by row.
+    """
+    cells = np.array(cells, np.int64)
+    drawn, need = np.zeros_like(cells), np.array(takes, np.int64)
+    few = max(64, cells.shape[1])
+    while True:
+        far = np.abs(need) > few
+        if not far.any():
+            break
+        # From the rest into the subset, or back.
+        source = np.where((need > 0)[:, None], cells - drawn, drawn)[far]
+        chance = np.abs(need[far]) / source.sum(axis=1)
+        moved = rng.binomial(source, np.minimum(chance, 1.0)[:, None]) * np.sign(need[far])[:, None]
+        drawn[far] += moved
+        need[far] -= moved.sum(axis=1)
+    for row in np.flatnonzero(need):
+        source = cells[row] - drawn[row] if need[row] > 0 else drawn[row]
+        edges = np.cumsum(source)
+        places = np.empty(0, np.int64)
+        while len(places) < abs(need[row]):
+            # Distinct rows in order of drawing.
+            more = np.concatenate([places, rng.integers(0, edges[-1], 2 * abs(need[row]) + 8)])
+            places = more[np.sort(np.unique(more, return_index=True)[1])][:abs(need[row])]
+        hits = np.bincount(np.searchsorted(edges, places, side="right"), minlength=len(source))
+        drawn[row] += hits * np.sign(need[row])
+    return drawn
 
 
 def draw_cells(rng: np.random.Generator, pooled: np.ndarray, takes: np.ndarray):
@@ -127,16 +144,7 @@ def draw_cells(rng: np.random.Generator, pooled: np.ndarray, takes: np.ndarray):
     step = max(1, 5_000_000 // max(1, len(pooled)))
     for start in range(0, len(takes), step):
         part = takes[start:start + step]
-        if pooled.sum() < EXACT_POPULATION:
-            yield np.stack([rng.multivariate_hypergeometric(pooled, t, method="marginals") for t in part])
-            continue
-        drawn = np.zeros((len(part), len(pooled)), dtype=np.int64)
-        left, rest = part.copy(), int(pooled.sum())
-        for i, p in enumerate(pooled):
-            rest -= int(p)
-            drawn[:, i] = draw_without_replacement(rng, int(p), np.full(len(left), rest), left)
-            left = left - drawn[:, i]
-        yield drawn
+        yield draw_subsets(rng, np.broadcast_to(pooled, (len(part), len(pooled))), part)
 
 
 def permutation_test(
@@ -160,15 +168,8 @@ def permutation_test(
     sizes = cells.groupBy("feature").agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count(F.lit(1)).alias("cells")
     ).collect()  # one row per feature
-    plans = {}
-    for s in sizes:
-        # At most 256 ranges keep the dealing step small; ranges grow beyond that.
-        per_block = max(cells_per_block, math.ceil(s.cells / 256))
-        plans[s.feature] = (int(s.n_a), int(s.n_b), per_block)
-    per_block = F.lit(cells_per_block)
-    for feature, (_, _, size) in plans.items():
-        per_block = F.when(F.col("feature") == feature, F.lit(size)).otherwise(per_block)
-    blocked = cells.withColumn("block", F.floor((F.col("cell") - 1) / per_block))
+    plans = {s.feature: (int(s.n_a), int(s.n_b)) for s in sizes}
+    blocked = cells.withColumn("block", F.floor((F.col("cell") - 1) / cells_per_block))
     block_rows = blocked.groupBy("feature", "block").agg(F.sum("pooled").alias("n")).collect()
     blocks: dict[str, list[int]] = {}
     for r in sorted(block_rows, key=lambda r: (r.feature, r.block)):
@@ -178,7 +179,7 @@ def permutation_test(
 
     def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         feature, block, chunk = key
-        n_a, n_b, _ = plans[feature]
+        n_a, n_b = plans[feature]
         pdf = pdf.sort_values("cell")
         pooled, totals = pdf.pooled.to_numpy(), pdf.cum_pooled.to_numpy()
         if chunk < 0:  # the observed split, through the same arithmetic
@@ -215,7 +216,7 @@ def permutation_test(
         F.first("_observed").alias("statistic"),
         ((F.count_if(F.col("value") >= F.col("_observed") - tolerance) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
     )
-    exact = [f for f, (n_a, n_b, _) in plans.items() if _splits(n_a, n_b, resamples) <= resamples]
+    exact = [f for f, (n_a, n_b) in plans.items() if _splits(n_a, n_b, resamples) <= resamples]
     if not exact:
         return counted
     few = cells.filter(F.col("feature").isin(exact)).groupBy("feature").applyInPandas(
@@ -225,18 +226,23 @@ def permutation_test(
 
 
 def _deal(sizes: list[int], block: int, n_a: int, seed: int, numbers: np.ndarray):
-    """Rows each resample draws from `block`, and from the blocks before it: a function of the seed
-    and the resample numbers alone, so that every block's task finds the same dealing."""
-    rng = np.random.default_rng([seed, int(numbers[0]), 0])
-    left = np.full(len(numbers), n_a, dtype=np.int64)
-    start, rest = np.zeros(len(numbers), dtype=np.int64), sum(sizes)
-    for number, size in enumerate(sizes):
-        rest -= size
-        take = draw_without_replacement(rng, size, np.full(len(left), rest), left)
-        if number == block:
-            return take, start
-        left, start = left - take, start + take
-    raise IndexError(block)
+    """Rows each resample draws from `block`, and from the blocks before it.
+
+    Blocks are halved until one is left. The dealing at a halving is a function of the seed, the resample numbers and the halves
+    alone, so that every block's task finds the same one after log(blocks) draws.
+    """
+    low, high = 0, len(sizes)
+    take, start = np.full(len(numbers), n_a, dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, int(numbers[0]), low, high])
+        halves = np.array([sum(sizes[low:middle]), sum(sizes[middle:high])])
+        left = draw_subsets(rng, np.broadcast_to(halves, (len(take), 2)), take)[:, 0]
+        if block < middle:
+            high, take = middle, left
+        else:
+            low, take, start = middle, take - left, start + left
+    return take, start
 
 
 def _splits(n_a: int, n_b: int, limit: int) -> float:

@@ -5,6 +5,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from clustrum.functions.vectors import as_vector, centroid_matrix, listed_rows,
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import MAX_CLUSTERS, assign_clusters, cluster_sums, inertia, silhouette_cosine
 from clustrum.operators.ordering import global_index
-from clustrum.operators.partitions import compare_partitions, partition_overlap
+from clustrum.operators.partitions import compare_partitions
 from clustrum.operators.sampling import fraction_subset
 from clustrum.session import bounded_collect, materialize
 
@@ -135,6 +136,19 @@ def label_rows(df: DataFrame, centroids: DataFrame, method: str, vector: str = "
     return assign_clusters(wide, lifted, "_lifted").drop("_lifted")
 
 
+# What differs between the two partitions of a comparison: the drawn rows, the seed of the fit, or both.
+STABILITY_MODES = ("statistical", "algorithmic", "global")
+
+
+def _stability_plan(mode: str, n_repeats: int, seed: int) -> tuple[list[tuple[int, str | None, int]], list[tuple[int, int]]]:
+    """Fits as (repeat, side of the draw or None for all rows, seed), and the pairs of fits to compare by position."""
+    if mode == "algorithmic":
+        return [(i, None, seed + i) for i in range(n_repeats)], list(combinations(range(n_repeats), 2))
+    seeds = iter(range(seed, seed + 2 * n_repeats))
+    fits = [(i, side, seed if mode == "statistical" else next(seeds)) for i in range(n_repeats) for side in "ab"]
+    return fits, [(k, k + 1) for k in range(0, len(fits), 2)]
+
+
 def evaluate_stability(
     df: DataFrame,
     id_column: str,
@@ -146,42 +160,29 @@ def evaluate_stability(
     vector: str = "embedding",
     **options,
 ) -> DataFrame:
-    """ARI of partitions under resampling (`statistical`), reseeding (`algorithmic`) or both (`global`)."""
-    if mode not in ("statistical", "algorithmic", "global"):
-        raise ValueError("unknown stability mode")
+    """ARI of the partitions of independent fits: on two draws of rows (`statistical`), with other seeds (`algorithmic`), or both
+    (`global`). One row per comparison, over the rows that both fits have.
+
+    All fits are planned first and their labels go to one table; the comparisons are one aggregate over it.
+    """
+    if mode not in STABILITY_MODES:
+        raise ValueError(f"mode has to be one of {', '.join(STABILITY_MODES)}")
     if n_repeats < 2 or not 0 < sample_fraction <= 1:
-        raise ValueError("at least two repeats and 0 < sample_fraction <= 1")
+        raise ValueError(f"cannot compare {n_repeats} repeats on a share of {sample_fraction}")
     base = materialize(df.select(id_column, vector), "stability-vectors")
-
-    def labels(rows: DataFrame, run_seed: int) -> DataFrame:
-        _, labelled, _ = fit_and_assign(rows, method, vector, seed=run_seed, **options)
-        return materialize(labelled.select(id_column, "cluster_id"), "stability-labels")
-
-    compared: list[DataFrame] = []
-
-    def compare(i: int, j: int, a: DataFrame, b: DataFrame) -> None:
-        pairs = partition_overlap(a, b, id_column)
-        compared.append(compare_partitions(pairs, "a", "b").select(
-            F.lit(i).alias("repeat_a"), F.lit(j).alias("repeat_b"), "*"
-        ))
-
-    if mode == "algorithmic":
-        runs = [labels(base, seed + i) for i in range(n_repeats)]
-        for i in range(n_repeats):
-            for j in range(i + 1, n_repeats):
-                compare(i, j, runs[i], runs[j])
-    else:
-        for i in range(n_repeats):
-            seeds = (seed, seed) if mode == "statistical" else (seed + 2 * i, seed + 2 * i + 1)
-            a, b = (
-                labels(fraction_subset(base, id_column, sample_fraction, seed, i, side), s)
-                for side, s in zip("ab", seeds)
-            )
-            compare(i, i, a, b)
-    result = compared[0]
-    for frame in compared[1:]:
-        result = result.unionAll(frame)
-    return result.withColumns({"method": F.lit(method), "mode": F.lit(mode)})
+    fits, pairs = _stability_plan(mode, n_repeats, seed)
+    labels = None
+    for number, (repeat, side, fit_seed) in enumerate(fits):
+        rows = base if side is None else fraction_subset(base, id_column, sample_fraction, seed, repeat, side)
+        _, labelled, _ = fit_and_assign(rows, method, vector, seed=fit_seed, **options)
+        one = materialize(labelled.select(F.lit(number).alias("fit"), id_column, F.col("cluster_id").alias("label")), "stability-labels")
+        labels = one if labels is None else labels.unionByName(one)
+    wanted = df.sparkSession.createDataFrame(
+        [(i, j, fits[i][0], fits[j][0]) for i, j in pairs], "fit_a int, fit_b int, repeat_a int, repeat_b int")
+    left, right = labels.toDF("fit_a", id_column, "a"), labels.toDF("fit_b", id_column, "b")
+    met = left.join(F.broadcast(wanted), "fit_a").join(right, ["fit_b", id_column])
+    scores = compare_partitions(met, "a", "b", ["repeat_a", "repeat_b"])
+    return scores.withColumns({"method": F.lit(method), "mode": F.lit(mode)})
 
 
 def sweep(
@@ -265,66 +266,49 @@ def density_cluster(
     radius: float,
     min_neighbours: int = 10,
     min_cluster_size: int = 50,
-    dimensions: int = 3,
-    max_rounds: int = 64,
+    index_axes: int = 3,
 ) -> DataFrame:
-    """Density clusters with noise -1, on grid cells of side `radius` over the leading coordinates.
+    """Density clusters with noise -1, on grid cells of side `radius` over all coordinates.
 
-    A cell is dense when it and its direct neighbours hold `min_neighbours` rows; touching dense cells
-    form a cluster, and a sparse cell joins a touching dense one. Rows are only counted per cell, so a
-    cell with a third of all rows is one number: neighbour pairs of rows are never formed. Clusters
-    below `min_cluster_size` become noise. Labels count from 0 by falling size.
+    A cell is dense when it and the cells that touch it hold `min_neighbours` rows; touching dense cells form a
+    cluster, and a sparse cell joins a touching dense one. Rows are only counted per cell, so a cell with a third of all
+    rows is one number: neighbour pairs of rows are never formed. Touching cells are found by an equi-join on the first `index_axes`
+    coordinates, which only sets the size of the index, and a test of all others. Clusters below `min_cluster_size`
+    become noise. Labels count from 0 by falling size.
     """
-    axes = [f"_x{i}" for i in range(dimensions)]
-    gridded = df.withColumns({
-        a: F.floor(F.element_at(F.col(vector), i + 1) / radius).cast("long") for i, a in enumerate(axes)
-    })
-    cells = materialize(gridded.groupBy(*axes).agg(F.count(F.lit(1)).alias("n")), "density-cells")
-    steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
-
-    def neighbours(frame: DataFrame, kept: Sequence[str]) -> DataFrame:
-        """Each cell once per touching cell, the touching cell's coordinates replacing its own."""
-        out = frame
-        for a in axes:
-            out = out.withColumn("_s", F.explode(steps)).withColumn(a, F.col(a) + F.col("_s")).drop("_s")
-        return out.select(*axes, *kept)
-
-    around = neighbours(cells, ["n"]).groupBy(*axes).agg(F.sum("n").alias("near"))
-    dense = cells.join(around, axes).filter(F.col("near") >= min_neighbours).select(
-        *axes, F.concat_ws(",", *axes).alias("label")
-    )
-    labelled = materialize(dense, "density-labels")
-    for _ in range(max_rounds):
-        spread = neighbours(labelled, ["label"]).groupBy(*axes).agg(F.min("label").alias("_low"))
-        stepped = labelled.join(spread, axes).withColumn("_new", F.least("label", "_low"))
+    gridded = df.withColumn("_cell", F.transform(vector, lambda x: F.floor(x / radius).cast("long")))
+    cells = materialize(gridded.groupBy(F.col("_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n")), "density-cells")
+    keys = [f"k{i}" for i in range(index_axes)]
+    keyed = cells.select("*", *[F.coalesce(F.get("cell", F.lit(i)), F.lit(0)).alias(k) for i, k in enumerate(keys)])
+    shifted = keyed.select(F.col("cell").alias("other"), F.col("n").alias("other_n"), *keys)
+    for k in keys:
+        shifted = shifted.withColumn("s", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(k, F.col(k) + F.col("s")).drop("s")
+    near_by = F.forall(F.zip_with("cell", "other", lambda a, b: F.abs(a - b) <= 1), lambda close: close)
+    touching = materialize(keyed.join(shifted, keys).where(near_by).select("cell", "other", "other_n"), "density-touching")
+    dense = touching.groupBy("cell").agg(F.sum("other_n").alias("near")).filter(F.col("near") >= min_neighbours).select("cell")
+    labelled = materialize(dense.select("cell", F.array_join("cell", ",").alias("label")), "density-labels")
+    inner = materialize(
+        touching.select("cell", "other").join(labelled.select("cell"), "cell").join(labelled.select(F.col("cell").alias("other")), "other"),
+        "density-links")
+    changed = True
+    while changed:
+        low = inner.join(labelled.select(F.col("cell").alias("other"), "label"), "other").groupBy("cell").agg(F.min("label").alias("low"))
+        stepped = labelled.join(low, "cell").withColumn("new", F.least("label", "low"))
         # Pointer jump: take over the label that the labelling cell has itself found by now.
-        roots = stepped.select(F.concat_ws(",", *axes).alias("_new"), F.col("_new").alias("_root"))
-        jumped = materialize(
-            stepped.join(roots, "_new", "left").select(
-                *axes, F.least("_new", F.coalesce("_root", "_new")).alias("label"), F.col("label").alias("_old")
-            ),
-            "density-labels",
-        )
-        changed = jumped.filter(F.col("label") != F.col("_old")).limit(1).count()
-        labelled = jumped.drop("_old")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("density clusters did not settle; raise max_rounds")
-    reached = neighbours(labelled, ["label"]).groupBy(*axes).agg(F.min("label").alias("_touching"))
-    assigned = cells.join(labelled, axes, "left").join(reached, axes, "left").select(
-        *axes, "n", F.coalesce("label", "_touching").alias("label")
-    )
+        roots = stepped.select(F.array_join("cell", ",").alias("new"), F.col("new").alias("root"))
+        jumped = materialize(stepped.join(roots, "new", "left").select(
+            "cell", F.least("new", F.coalesce("root", "new")).alias("label"), F.col("label").alias("old")), "density-labels")
+        changed = not jumped.filter(F.col("label") != F.col("old")).isEmpty()
+        labelled = jumped.drop("old")
+    reached = touching.join(labelled.select(F.col("cell").alias("other"), "label"), "other").groupBy("cell").agg(F.min("label").alias("border"))
+    assigned = cells.join(labelled, "cell", "left").join(reached, "cell", "left").select(
+        "cell", "n", F.coalesce("label", "border").alias("label"))
     sizes = assigned.filter(F.col("label").isNotNull()).groupBy("label").agg(F.sum("n").alias("size")).filter(
-        F.col("size") >= min_cluster_size
-    )
-    numbered = global_index(sizes.withColumn("_falling", -F.col("size")), ["_falling", "label"], "cluster_id").withColumn(
-        "cluster_id", F.col("cluster_id").cast("int")
-    )
-    cell_labels = assigned.join(numbered.select("label", "cluster_id"), "label", "left").select(*axes, "cluster_id")
-    return gridded.join(cell_labels, axes).select(
-        id_column, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")
-    )
+        F.col("size") >= min_cluster_size)
+    numbered = global_index(sizes.withColumn("falling", -F.col("size")), ["falling", "label"], "cluster_id")
+    cell_labels = assigned.join(numbered.select("label", F.col("cluster_id").cast("int").alias("cluster_id")), "label", "left")
+    return gridded.join(cell_labels.select(F.col("cell").alias("_cell"), "cluster_id"), "_cell").select(
+        id_column, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
 PROFILE_SIZE = 300

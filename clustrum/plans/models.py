@@ -63,7 +63,7 @@ def density_axes_query(spark, sf):
     """Density clusters of orders over (price, date) so that SQL can follow the cells."""
     orders = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity", F.col("l_discount") * 100).alias("v"))
-    labelled = models.density_cluster(orders, "id", "v", radius=1.0, min_neighbours=10, min_cluster_size=50, dimensions=2)
+    labelled = models.density_cluster(orders, "id", "v", radius=1.0, min_neighbours=10, min_cluster_size=50)
     return labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -71,39 +71,72 @@ def test_few_splits_are_enumerated(spark):
     assert row.statistic == 1.0 and row.p_value == pytest.approx(2 / 6)
 
 
-def test_large_populations_draw_close_to_the_mean():
-    rng = np.random.default_rng(0)
-    good, bad, take = 4 * 10**9, np.array([6 * 10**9] * 200), np.array([10**9] * 200)
-    drawn = drift.draw_without_replacement(rng, good, bad, take)
-    assert abs(drawn.mean() / 4e8 - 1) < 1e-4
-    cells = np.array([4 * 10**9, 10**9, 5 * 10**9])
-    (block,) = drift.draw_cells(rng, cells, np.full(50, 10**9))
-    assert (block.sum(axis=1) == 10**9).all() and np.allclose(block.mean(axis=0) / 10**8, [4, 1, 5], rtol=1e-3)
-    rare = drift.draw_without_replacement(rng, 50, np.array([10**10] * 200), np.array([10**9] * 200))
-    assert 3.5 < rare.mean() < 6.5
-
-
-def test_cluster_drift_numbers(spark):
-    frame = histogram(spark, [0, 0, 1], [1, 1, 1, 1], "cluster_id")
-    assert drift.total_variation(frame).first().total_variation == pytest.approx(2 / 3)
-    a, b = np.array([2, 1]), np.array([0, 4])
-    pooled = a + b
-    expected = sum(((x - pooled * x.sum() / 7) ** 2 / (pooled * x.sum() / 7)).sum() for x in (a, b))
+def moments(cells, take):
+    """Means and covariance of a multivariate hypergeometric draw."""
+    total = sum(cells)
+    share = np.array(cells, float) / total
+    return take * share, take * (np.diag(share) - np.outer(share, share)) * (total - take) / (total - 1)
+
+
+@pytest.mark.parametrize("cells,take", [
+    ([7 * 10**9, 2 * 10**9, 60, 3 * 10**6], 5 * 10**8), ([4 * 10**10, 10**5, 9 * 10**10], 10**11), ([30, 20, 50], 40), ([900, 50, 950], 1500),
+])
+def test_draws_have_the_exact_moments_at_any_size(cells, take):
+    rng, n = np.random.default_rng(12), 4000
+    (drawn,) = drift.draw_cells(rng, np.array(cells), np.full(n, take))
+    assert (drawn.sum(axis=1) == take).all() and (drawn >= 0).all() and (drawn <= cells).all()
+    mean, covariance = moments(cells, take)
+    deviation = np.sqrt(np.diag(covariance))
+    assert (np.abs(drawn.mean(axis=0) - mean) < 5 * deviation / np.sqrt(n) + 1e-9).all()
+    assert np.allclose(np.cov(drawn.T), covariance, atol=0.1 * np.outer(deviation, deviation) + 1e-9)
+
+
+def test_small_draws_follow_the_law():
+    rng = np.random.default_rng(3)
+    (drawn,) = drift.draw_cells(rng, np.array([3, 2, 1]), np.full(30_000, 2))
+    seen, counts = np.unique(drawn, axis=0, return_counts=True)
+    law = {(2, 0, 0): 3, (1, 1, 0): 6, (1, 0, 1): 3, (0, 2, 0): 1, (0, 1, 1): 2}
+    assert {tuple(map(int, s)) for s in seen} == set(law)
+    assert all(abs(c / 30_000 - law[tuple(map(int, s))] / 15) < 0.015 for s, c in zip(seen, counts))
+
+
+def test_dealing_agrees_between_blocks():
+    sizes, numbers = [5, 10**9, 3, 7 * 10**9, 40], np.arange(0, 60, 3)
+    dealt = [drift._deal(sizes, b, 10**8, 9, numbers) for b in range(5)]
+    takes = np.array([t for t, _ in dealt])
+    assert (takes.sum(axis=0) == 10**8).all() and (takes >= 0).all() and (takes <= np.array(sizes)[:, None]).all()
+    assert all((start == takes[:b].sum(axis=0)).all() for b, (_, start) in enumerate(dealt))
+
+
+def test_cluster_tables_and_their_distances(spark):
+    first, second = [5, 5, 5, 8, 2], [8, 8, 2]
+    frame = histogram(spark, first, second, "cluster_id")
+    shares = {v: (first.count(v) / 5, second.count(v) / 3) for v in (2, 5, 8)}
+    assert drift.total_variation(frame).first().total_variation == pytest.approx(sum(abs(a - b) for a, b in shares.values()) / 2)
+    expected = sum(
+        (side.count(v) - len(side) * (first + second).count(v) / 8) ** 2 / (len(side) * (first + second).count(v) / 8)
+        for side in (first, second) for v in (2, 5, 8))
     assert drift.pearson_homogeneity(frame).first().pearson_statistic == pytest.approx(expected)
-    p = drift.permutation_homogeneity(frame, 199).first()
-    assert p.statistic == pytest.approx(expected)
-    rows = spark.createDataFrame([("r", 0), ("r", 0), ("r", 1)] + [("p", 1)] * 4, "cohort string, cluster_id int")
-    table = drift.cluster_drift(rows, "r", "p", 10).orderBy("cluster_id").collect()
-    assert len(table) == 10 and table[0].proportion_delta == pytest.approx(-2 / 3) and table[9].reference_count == 0
-
-
-def test_holm_vector(spark):
-    rows = spark.createDataFrame([("a", 0.03, 0.2, 0.1), ("b", 0.01, 0.05, 0.1), ("c", 0.2, 0.1, 0.1)],
-                                 "feature string, p_value double, effect_size double, practical_threshold double")
+    assert drift.permutation_homogeneity(frame, 199).first().statistic == pytest.approx(expected)
+    rows = spark.createDataFrame([("x", v) for v in first] + [("y", v) for v in second], "cohort string, cluster_id int")
+    table = {r.cluster_id: r for r in drift.cluster_drift(rows, "x", "y", 9).collect()}
+    assert sorted(table) == list(range(9)) and (table[5].reference_count, table[5].production_count, table[0].reference_count) == (3, 0, 0)
+    assert [table[v].proportion_delta for v in (2, 5, 8)] == pytest.approx([b - a for a, b in shares.values()])
+    alone = {r.cluster_id: r for r in drift.cluster_drift(rows, "x", "nobody", 9).collect()}
+    assert alone[5].reference_proportion == pytest.approx(0.6) and alone[5].production_proportion is None and alone[5].proportion_delta is None
+
+
+def test_holm_steps_down(spark):
+    p = {"q": 0.011, "r": 0.012, "s": 0.013, "t": 0.5, "u": 0.004}
+    rows = spark.createDataFrame([(k, v, v, 0.012) for k, v in p.items()], "feature string, p_value double, effect_size double, practical_threshold double")
     out = {r.feature: r for r in drift.holm_adjust(rows).collect()}
-    assert [out[k].adjusted_p_value for k in "abc"] == pytest.approx([0.06, 0.03, 0.2])
-    assert [out[k].statistically_significant for k in "abc"] == [False, True, False]
-    assert [out[k].practically_important for k in "abc"] == [True, False, True]
+    expected, highest = {}, 0.0
+    for step, (name, value) in enumerate(sorted(p.items(), key=lambda x: x[1])):
+        highest = max(highest, (5 - step) * value)
+        expected[name] = min(1.0, highest)
+    assert {k: out[k].adjusted_p_value for k in p} == pytest.approx(expected)
+    assert {k for k in p if out[k].statistically_significant} == {k for k in p if expected[k] < 0.05} == {"u", "q", "r", "s"} - {k for k in p if expected[k] >= 0.05}
+    assert {k for k in p if out[k].practically_important} == {"r", "s", "t"}
 
 
 def test_report_flags_a_shift_and_refuses_shared_ids(spark):

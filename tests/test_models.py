@@ -138,7 +138,7 @@ def test_density_clusters_equal_a_cell_by_cell_search(spark):
     lonely = rng.uniform(-20, -10, (15, 2))
     points = np.concatenate([*blobs, chain, lonely])
     frame = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id int, v array<double>")
-    out = models.density_cluster(frame, "id", "v", 0.5, 8, 40, dimensions=2).toPandas().set_index("id").cluster_id
+    out = models.density_cluster(frame, "id", "v", 0.5, 8, 40).toPandas().set_index("id").cluster_id
     cells, group = density_by_hand(points, 0.5, 8, 40)
     roots = {}
     for cell, root in group.items():
@@ -151,6 +151,15 @@ def test_density_clusters_equal_a_cell_by_cell_search(spark):
     assert all(out[i] == -1 for i in range(len(points) - 15, len(points)))
 
 
+def test_density_clusters_use_every_coordinate(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 0.05, (120, 6))
+    points[60:, 5] += 100.0
+    frame = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id int, v array<double>")
+    out = models.density_cluster(frame, "id", "v", 1.0, 5, 10).toPandas().set_index("id").cluster_id
+    assert len({out[i] for i in range(60)}) == len({out[i] for i in range(60, 120)}) == 1 and out[0] != out[60]
+
+
 def test_pca_keeps_rows(spark, encoded):
     out = models.reduce_dimensions(encoded, 3)
     assert {len(r.reduced) for r in out.collect()} == {3} and out.count() == 60
