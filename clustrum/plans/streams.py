@@ -47,7 +47,7 @@ def sliding_query(spark, sf):
 def rate_stream_query(spark, sf):
     path, state = scratch_path(spark, "rate"), scratch_path(spark, "rate-state")
     jobs.collect_stream(metrics.request_rate(request_stream(spark, sf), "1 hour"), path, state).awaitTermination()
-    return naive(spark.read.parquet(path), "window_start").withColumn("per_second", rounded("per_second"))
+    return naive(jobs.newest_result(spark, path), "window_start").withColumn("per_second", rounded("per_second"))
 
 
 def error_query(spark, sf):
@@ -57,7 +57,7 @@ def error_query(spark, sf):
 def error_stream_query(spark, sf):
     path, state = scratch_path(spark, "errors"), scratch_path(spark, "errors-state")
     jobs.collect_stream(metrics.error_fraction(request_stream(spark, sf), "6 hours"), path, state).awaitTermination()
-    return naive(spark.read.parquet(path), "window_start").withColumn("error_fraction", rounded("error_fraction"))
+    return naive(jobs.newest_result(spark, path), "window_start").withColumn("error_fraction", rounded("error_fraction"))
 
 
 def histogram_query(spark, sf):
@@ -81,7 +81,7 @@ def totals_query(spark, sf):
 def totals_stream_query(spark, sf):
     path, state = scratch_path(spark, "totals"), scratch_path(spark, "totals-state")
     jobs.collect_stream(metrics.lifetime_totals(request_stream(spark, sf)), path, state).awaitTermination()
-    return spark.read.parquet(path)
+    return jobs.newest_result(spark, path)
 
 
 def progress_query(spark, sf):
@@ -92,7 +92,7 @@ def progress_stream_query(spark, sf):
     path, state = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
     changes = metrics.in_progress_changes(shaped(jobs.read_table_stream(spark, sf, "events.parquet")), ["route"])
     jobs.collect_stream(metrics.in_progress_now(changes.filter("change > 0"), ["route"]), path, state).awaitTermination()
-    return spark.read.parquet(path)
+    return jobs.newest_result(spark, path)
 
 
 def latest_query(spark, sf):
@@ -136,7 +136,20 @@ def drift_query(spark, sf):
     return spark.read.parquet(output).select("feature", "reference_rows", "production_rows", rounded("ks_statistic"), rounded("wasserstein"))
 
 
+def drift_files_query(spark, sf):
+    """The same drift with the texts arriving as four files in four batches: the last result covers all of them."""
+    folder, output, state = (scratch_path(spark, n) for n in ("drift-files", "drift", "drift-state"))
+    documents = table(spark, sf, "documents")
+    documents.select("text").repartition(4, F.xxhash64("doc_id")).write.parquet(folder)
+    stream = jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1)
+    reference = jobs.reference_histogram(documents.filter("lang = 'en'"))
+    jobs.drift_stream(stream, reference, output, state).awaitTermination()
+    return jobs.newest_result(spark, output).select(
+        "feature", "reference_rows", "production_rows", rounded("ks_statistic"), rounded("wasserstein"))
+
+
 QUERIES = {
+    "drift_stream_files": drift_files_query,
     "request_rate": rate_query,
     "request_rate_sliding": sliding_query,
     "request_rate_stream": rate_stream_query,
@@ -227,3 +240,4 @@ ORACLES = {
         SELECT feature, CAST(max(na) AS BIGINT) AS reference_rows, CAST(max(nb) AS BIGINT) AS production_rows, round(max(abs(fa - fb)), 6) + 0.0 AS ks_statistic,
           round(sum(abs(fa - fb) * (following - value)), 6) + 0.0 AS wasserstein FROM cum GROUP BY feature""",
 }
+ORACLES["drift_stream_files"] = ORACLES["drift_stream"]

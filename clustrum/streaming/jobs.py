@@ -8,11 +8,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from clustrum.functions.vectors import centroid_matrix
 from clustrum.operators import drift
 from clustrum.operators.cleaning import ContractError, text_features
+from clustrum.operators.cohorts import table_fingerprint
 from clustrum.operators.geometry import assignment_geometry
 
 
@@ -25,14 +25,16 @@ def read_table_stream(spark: SparkSession, folder: str, pattern: str, files_per_
     return reader.parquet(folder)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def check_plan(spark: SparkSession, path: str, plan: dict) -> None:
     """Writes the plan of a new run; a resumed run has to bring the same one."""
     compact = json.dumps(plan, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     digest = hashlib.sha256(compact.encode()).hexdigest()
-    try:
-        known = spark.read.schema("digest string, plan string").json(path).first()
-    except AnalysisException:
-        known = None
+    known = spark.read.schema("digest string, plan string").json(path).first() if _exists(spark, path) else None
     if known is None:
         spark.createDataFrame([(digest, compact)], "digest string, plan string").coalesce(1).write.json(path, mode="errorifexists")
     elif known.digest != digest:
@@ -56,7 +58,8 @@ def score_stream(
 ) -> StreamingQuery:
     """Assigns arriving rows to the frozen centroids; each input file is scored once.
 
-    `plan` names what must not change between starts (source, model id, options).
+    The centroids are read once, at the start; their digest is part of the checked plan. `plan` names what else must not
+    change between starts (source, model id, options).
     """
     spark = stream.sparkSession
     matrix = centroid_matrix(centroids)
@@ -64,7 +67,7 @@ def score_stream(
     check_plan(spark, os.path.join(state, "plan"), {**plan, "centroids_sha256": model})
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        scored = assignment_geometry(batch, centroids, vector).withColumn("model_sha256", F.lit(model))
+        scored = assignment_geometry(batch, matrix, vector).withColumn("model_sha256", F.lit(model))
         write_batch(scored.select(
             *(columns or [c for c in batch.columns if c != vector]), "cluster_id",
             "assigned_centroid_cosine_similarity", "assigned_centroid_cosine_distance", "assignment_margin", "model_sha256",
@@ -87,23 +90,38 @@ def drift_stream(
     resamples: int = 0,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Per batch: distances of its text features from a frozen reference histogram, optionally with p-values.
+    """Per batch: distances of all text features that have arrived so far from a frozen reference, optionally tested.
 
-    `reference`: feature, value, n.
+    `reference`: feature, value, n. It is written under `state` at the first start and its digest is part of the checked plan;
+    later starts have to bring the same one. Each batch leaves its own histogram under `state`, and the sum of those up
+    to it is compared, so the last result covers the whole stream however its files fell into batches. With
+    `resamples` come p-values with the Holm adjustment and both flags.
     """
-    frozen = reference.select("feature", "value", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
+    spark, kept = stream.sparkSession, os.path.join(state, "reference")
+    if not _exists(spark, os.path.join(kept, "_SUCCESS")):
+        reference.select("feature", "value", "n").write.mode("overwrite").parquet(kept)
+    frozen = spark.read.parquet(kept)
+    brought, digest = (table_fingerprint(r, ["feature", "value", "n"]).first().fingerprint for r in (reference, frozen))
+    if brought != digest:
+        raise ContractError("incompatible resume: the reference changed")
+    check_plan(spark, os.path.join(state, "plan"), {"reference": digest, "text": text, "resamples": resamples})
+    arrivals = os.path.join(state, "arrivals")
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         arrived = drift.stack_features(text_features(batch, text).withColumn("cohort", F.lit("production")))
-        counted = arrived.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("b"))
-        pooled = frozen.unionByName(counted.withColumn("a", F.lit(0).cast("long"))).groupBy("feature", "value").agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b")
-        )
+        write_batch(arrived.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), arrivals, batch_id)
+        so_far = spark.read.parquet(arrivals).filter(F.col("batch_id") <= batch_id)
+        zero = F.lit(0).cast("long")
+        pooled = frozen.select("feature", "value", F.col("n").alias("a"), zero.alias("b")).unionByName(
+            so_far.select("feature", "value", zero.alias("a"), F.col("n").alias("b"))
+        ).groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         running = drift.with_running_counts(pooled)
         rows = drift.distribution_distances(running)
         if resamples:
             tested = drift.permutation_test(running, drift.KOLMOGOROV_SMIRNOV, resamples)
-            rows = rows.join(tested.select("feature", "p_value"), "feature")
+            rows = rows.join(tested.select("feature", "p_value"), "feature").withColumns({
+                "effect_size": F.col("ks_statistic"), "practical_threshold": F.lit(drift.PRACTICAL_THRESHOLD)})
+            rows = drift.holm_adjust(rows)
         write_batch(rows, output, batch_id)
 
     return (
@@ -120,11 +138,19 @@ def reference_histogram(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def collect_stream(result: DataFrame, path: str, state: str, mode: str = "complete") -> StreamingQuery:
-    """Runs an aggregating stream over what is there now; the newest complete result is the output."""
+    """Runs an aggregating stream over what is there now. Each batch writes a version of the result, under `path`; a failed
+    write leaves the earlier versions as they are. `newest_result` reads the last one."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        write_batch(batch, path, batch_id)
 
     return (
         result.writeStream.foreachBatch(store).outputMode(mode)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
+
+
+def newest_result(spark: SparkSession, path: str) -> DataFrame:
+    """The result of the last finished batch of `collect_stream`."""
+    versions = spark.read.parquet(path)
+    last = versions.agg(F.max("batch_id")).first()[0]
+    return versions.filter(F.col("batch_id") == last).drop("batch_id")

@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from clustrum.operators import drift
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import centroids_of
 from clustrum.streaming import jobs, metrics
@@ -113,7 +114,7 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     stream = metrics.with_event_time(jobs.read_table_stream(spark, str(tmp_path / "in"), "*.parquet"))
     jobs.collect_stream(metrics.histogram_quantile(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     expected = metrics.histogram_quantile(requests(spark))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, expected.collect()))
+    assert sorted(map(tuple, jobs.newest_result(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, expected.collect()))
 
 
 def test_drift_stream_with_p_values(spark, tmp_path):
@@ -123,3 +124,40 @@ def test_drift_stream_with_p_values(spark, tmp_path):
     jobs.drift_stream(stream, jobs.reference_histogram(short), str(tmp_path / "out"), str(tmp_path / "state"), resamples=99).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(out) == 2 and all(r.ks_statistic == 1.0 and r.p_value == pytest.approx(0.01) for r in out)
+
+
+def test_a_frozen_model_does_not_follow_its_table(spark, tmp_path):
+    source, arriving, out, state = (str(tmp_path / n) for n in ("model", "in", "out", "state"))
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster_id int, centroid array<double>").write.parquet(source)
+    for part in range(2):
+        spark.createDataFrame([(part, [1.0, 0.0])], "id int, embedding array<double>").coalesce(1).write.mode("append").parquet(arriving)
+    stream = jobs.read_table_stream(spark, arriving, "*.parquet", files_per_batch=1)
+    centroids = spark.read.parquet(source)
+    query = jobs.score_stream(stream, centroids, out, state, {"source": arriving})
+    # The table grows while the stream runs.
+    spark.createDataFrame([(2, [0.6, 0.8])], "cluster_id int, centroid array<double>").write.mode("append").parquet(source)
+    query.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert {r.id for r in rows} == {0, 1} and {r.cluster_id for r in rows} == {0} and len({r.model_sha256 for r in rows}) == 1
+    with pytest.raises(ContractError):
+        jobs.score_stream(stream, spark.read.parquet(source), out, state, {"source": arriving})
+
+
+def test_drift_of_all_batches_equals_the_batch_report(spark, tmp_path):
+    arriving, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    texts = [[("un mot",), ("deux mots de plus",)], [("un texte assez long " * 4,)] * 3, [("x",)]]
+    for part in texts:
+        spark.createDataFrame(part, "text string").coalesce(1).write.mode("append").parquet(arriving)
+    early = spark.createDataFrame([("un mot",), ("trois mots ici",)] * 4, "text string")
+    stream = jobs.read_table_stream(spark, arriving, "*.parquet", files_per_batch=1)
+    jobs.drift_stream(stream, jobs.reference_histogram(early), out, state, resamples=99).awaitTermination()
+    last = {r.feature: r for r in jobs.newest_result(spark, out).collect()}
+    both = early.withColumn("cohort", F.lit("reference")).unionByName(spark.read.parquet(arriving).withColumn("cohort", F.lit("production")))
+    whole = drift.drift_report(both.withColumn("id", F.monotonically_increasing_id()), "reference", "production", "id", resamples=99).collect()
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
+    for row in whole:
+        mine = last[row.feature]
+        assert (mine.production_rows, mine.ks_statistic, mine.p_value, mine.adjusted_p_value, mine.statistically_significant) == (
+            6, row.effect_size, row.p_value, row.adjusted_p_value, row.statistically_significant)
+    with pytest.raises(ContractError, match="reference"):
+        jobs.drift_stream(stream, jobs.reference_histogram(early.limit(3)), out, state, resamples=99)
