@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clustrum.llm.common import LOWER, UPPER, broadcast_if_small
+from clustrum.llm.common import broadcast_if_small
 from clustrum.session import materialize
 
 #: At most this many labelled rows are learned from, those with the smallest hash of the id.
@@ -28,17 +28,16 @@ LEAST_STATISTIC = 25.0
 MAX_STEPS = 60
 #: Steps end when no domain total is off its target by more than this share of all tokens.
 TOLERANCE = 1e-4
-_BLANKS = "[ \\t\\n\\u000B\\f\\r]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words between ASCII blanks, A-Z lower-cased, and at the edges perhaps an empty one."""
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), _BLANKS, -1)
+    """Words of the classifier: lower-cased, between blanks and line feeds, some of them empty."""
+    return F.split(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" ")), " ", -1)
 
 
 def n_tokens(text: Column) -> Column:
-    """Number of the words, without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\u000B\\f\\r]+")).cast("long")
+    """Number of the runs without ASCII blanks."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("\\S+")).cast("long")
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[str, float]]:
@@ -73,27 +72,37 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, sam
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", **options) -> tuple[DataFrame, list[str]]:
     """(doc_id, text_key, tokens, posterior: array in the order of the returned domains), one row per row of `docs`.
 
-    Only words of the vocabulary leave the explode of a text; their weights are summed per (id, text digest).
+    Only words of the vocabulary leave the explode of a text; their weights are summed per (id, text digest) before the shuffle.
     """
     vocabulary, logits = learn_domains(docs, labelled, key, text, **options)
     domains = sorted(logits)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    text_key = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")
-    counted = rows.select("doc_id", text_key, n_tokens(F.col("text")).alias("tokens"))
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), F.md5(content.cast("binary")).alias("text_key"), n_tokens(content).alias("tokens"), content.alias("text"))
     if not domains:
-        return counted.withColumn("posterior", F.array().cast("array<double>")), domains
-    # Equal rows (same id, same text) have equal words: each word counts once.
-    words = rows.select("doc_id", text_key, F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    # At most VOCABULARY words.
-    hits = words.join(F.broadcast(vocabulary), "word").groupBy("doc_id", "text_key", "word", "weights").agg(F.lit(1).alias("once"))
-    sums = [F.sum(F.element_at("weights", i + 1)).alias(f"s{i}") for i in range(len(domains))]
-    evidence = hits.groupBy("doc_id", "text_key").agg(*sums).withColumnsRenamed({"doc_id": "__id", "text_key": "__text"})
-    joined = counted.join(evidence, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__text")), "left")
-    totals = [F.lit(logits[d]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i, d in enumerate(domains)]
-    top = F.greatest(*totals) if len(totals) > 1 else totals[0]
-    powers = joined.select("doc_id", "text_key", "tokens", F.array(*[F.exp(x - top) for x in totals]).alias("powers"))
+        return rows.select("doc_id", "text_key", "tokens", F.array().cast("array<double>").alias("posterior")), domains
+    # One empty word in each text, which weighs nothing: it keeps texts without known words, and counts equal rows.
+    words = rows.select("doc_id", "text_key", "tokens", F.array_union(words_of(F.col("text")), F.array(F.lit(""))).alias("words"))
+    names = [f"w{i}" for i in range(len(domains))]
+    known = vocabulary.select("word", *[F.element_at("weights", i + 1).alias(n) for i, n in enumerate(names)])
+    known = known.unionAll(vocabulary.sparkSession.range(1).select(F.lit(""), *[F.lit(0.0) for _ in names]))
+    # At most VOCABULARY words and the empty one.
+    hits = words.select("doc_id", "text_key", "tokens", F.explode("words").alias("word")).join(F.broadcast(known), "word")
+    summed = hits.groupBy("doc_id", "text_key", "tokens").agg(
+        F.count_if(F.col("word") == "").alias("equal"), *[F.sum(n).alias(n) for n in names])
+    logit = [F.lit(logits[d]) + F.col(n) / F.col("equal") for d, n in zip(domains, names)]
+    top = F.greatest(*logit) if len(logit) > 1 else logit[0]
+    powers = summed.select("doc_id", "text_key", "tokens", "equal", F.array(*[F.exp(x - top) for x in logit]).alias("powers"))
     total = F.aggregate("powers", F.lit(0.0), lambda a, x: a + x)
-    return powers.select("doc_id", "text_key", "tokens", F.transform("powers", lambda p: p / total).alias("posterior")), domains
+    found = powers.select("doc_id", "text_key", "tokens", "equal", F.transform("powers", lambda p: p / total).alias("posterior"))
+    return _repeated(found, "equal"), domains
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column `times` says, without it; no array is longer than a million."""
+    step, million = "__step", 1_000_000
+    blocks = rows.where(F.col(times) > 0).withColumn(step, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / million))))
+    size = F.least(F.lit(million), F.col(times) - F.col(step) * million)
+    return blocks.withColumn(step, F.explode(F.sequence(F.lit(1).cast("long"), size.cast("long")))).drop(step, times)
 
 
 def rate_after(posterior: Column, steps: list[list[float]]) -> Column:
@@ -111,34 +120,39 @@ def fit_rates(posteriors: DataFrame, domains: list[str], targets: dict[str, floa
     after each.
 
     Domains without a target share what is left in proportion to their tokens. With tokens t and posteriors p, misses m are
-    measured by the inverse of M = sum(t p p'), a matrix of the size of the domains: the gradient per token is then
-    p' M^-1 m, and a step of one solves the problem at once where no rate has to be held at zero. Otherwise steps go on until the
-    misses are within TOLERANCE or no longer fall. What cannot be reached is approached as closely as rates allow.
+    measured by the inverse of M = sum(t p p') over the documents with a rate above zero, a matrix of the size of the domains:
+    the gradient per token is then p' M^-1 m, and a step of one solves the problem at once where no rate meets zero.
+    Steps go on until the misses are within TOLERANCE or no longer fall. What cannot be reached is approached as
+    closely as rates allow.
     """
     places = range(len(domains))
     share = [F.element_at("posterior", i + 1) for i in places]
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        rate = rate_after(F.col("posterior"), steps) * F.col("tokens")
-        return np.array([float(x or 0.0) for x in posteriors.agg(*[F.sum(rate * p) for p in share]).first()])
-
-    now = totals([])
+    def state(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of the domains, and M, after these steps."""
+        rated = posteriors.withColumn("rate", rate_after(F.col("posterior"), steps))
+        free = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        row = rated.agg(
+            *[F.sum(F.col("rate") * F.col("tokens") * p) for p in share],
+            *[F.sum(free * share[i] * share[j]) for i in places for j in places]).first()
+        values = np.array([float(x or 0.0) for x in row])
+        return values[:len(domains)], values[len(domains):].reshape(len(domains), -1)
+
+    now, moments = state([])
     everything = now.sum()
     given = sum(targets.get(d, 0.0) for d in domains)
     free = sum(n for n, d in zip(now, domains) if d not in targets)
     wanted = np.array([
         everything * (targets[d] if d in targets else max(0.0, 1 - given) * (n / free if free else 0.0)) for n, d in zip(now, domains)])
-    products = posteriors.agg(*[F.sum(F.col("tokens") * share[i] * share[j]) for i in places for j in places]).first()
-    moments = np.array([float(x or 0.0) for x in products]).reshape(len(domains), -1)
-    inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     steps, history = [], [now]
     for _ in range(MAX_STEPS):
         misses = history[-1] - wanted
         worst = np.abs(misses).max()
-        if worst <= TOLERANCE * everything or (len(history) > 2 and worst > 0.999 * np.abs(history[-2] - wanted).max()):
+        if worst <= TOLERANCE * everything or (len(history) > 3 and worst > 0.999 * np.abs(history[-3] - wanted).max()):
             break
-        steps.append((inverse @ misses).tolist())
-        history.append(totals(steps))
+        steps.append((np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ misses).tolist())
+        now, moments = state(steps)
+        history.append(now)
     return steps, [dict(zip(domains, h.tolist())) for h in history]
 
 
@@ -166,6 +180,4 @@ def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("copies").alias("__copies")).distinct(), "copies")
     same = docs[key].eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("__text"))
     counted = docs.join(broadcast_if_small(copies), same, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    # Most rows have one copy: an explode of a short array.
-    repeated = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    return _repeated(counted, "__copies").select(*docs.columns)

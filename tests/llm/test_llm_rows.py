@@ -258,19 +258,21 @@ def test_rates_match_a_descent_row_by_row(spark):
     t = rng.integers(1, 100, 200).astype(float)
     rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "tokens long, posterior array<double>")
     steps, history = mixing.fit_rates(rows, ["a", "b", "c"], {"a": 0.05, "b": 0.9})
-    inverse, rate = np.linalg.pinv((p * t[:, None]).T @ p), np.ones(200)
+    rate = np.ones(200)
     target = t.sum() * np.array([.05, .9, .05])
     for step in steps:
         misses = (rate * t) @ p - target
-        assert np.allclose(step, inverse @ misses, rtol=1e-6, atol=1e-8)
+        free = rate > 0
+        inverse = np.linalg.pinv((p[free] * t[free, None]).T @ p[free])
+        assert np.allclose(step, inverse @ misses, rtol=1e-5, atol=1e-8)
         rate = np.maximum(0, rate - p @ (inverse @ misses))
     assert list(history[-1].values()) == pytest.approx(list((rate * t) @ p))
     got = [r.rate for r in rows.select(mixing.rate_after(F.col("posterior"), steps).alias("rate")).collect()]
-    assert got == pytest.approx(list(rate)) and np.abs((rate * t) @ p - target).max() < 0.02 * t.sum()
+    assert got == pytest.approx(list(rate)) and np.abs((rate * t) @ p - target).max() < 1e-3 * t.sum()
 
 
 def test_posteriors_match_naive_bayes(spark):
-    rows, labels, _ = mixing_case(spark, 120)
+    rows, labels, _ = mixing_case(spark, 500)
     got = {r.doc_id: r.posterior for r in mixing.mix(docs_of(spark, rows), labels, {}).collect()}
     texts, domain_of = dict(rows), {r.doc_id: r.domain for r in labels.collect() if r.doc_id is not None and r.domain}
     sets = {i: set(t.split()) for i, t in rows}
