@@ -28,6 +28,8 @@ from clustrum.session import materialize
 RARITY_BITS = 20
 ROW_BITS = 24
 MAX_STAR_ROUNDS = 8
+#: Rows that a Python worker holds at a time beside the batch they came in.
+BLOCK_ROWS = 1000
 _SIGNATURES = "doc_id {kind}, row_key long, text_key binary, n_shingles long, set_id binary, group_id binary, prefix array<long>"
 
 
@@ -74,7 +76,7 @@ class JaccardJoin:
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = rarity.value
-            for batch in batches:
+            for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
                 n, sets, groups, prefixes = [], [], [], []
                 ids, texts = batch.column(batch.schema.get_field_index("doc_id")), binary_column(batch, "text")
                 for shingles in _sets(texts, size):
@@ -106,7 +108,7 @@ class JaccardJoin:
         size = self.size
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
                 texts = binary_column(batch, "text")
                 keys = _row_keys(batch.column(batch.schema.get_field_index("doc_id")), texts)
                 hit = is_set(bits.value, (mix(keys) >> np.uint64(64 - ROW_BITS)).astype(np.int64))
@@ -126,7 +128,7 @@ class JaccardJoin:
         percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

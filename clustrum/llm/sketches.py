@@ -21,16 +21,17 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _sliced(
-    df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, encode: Callable, decode: Callable, merge: Callable,
+    df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, kind: type, take: Callable, encode: Callable,
+    decode: Callable, merge: Callable,
 ) -> list[bytes]:
-    """Each task counts the first `bits` bits of all its keys into one array and sends it in SLICES parts; each part is merged as
-    a stream."""
+    """Each task takes the first `bits` bits of all its keys into one array of `kind` and sends it in SLICES parts; each part is
+    merged as a stream."""
     width = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(1 << bits, kind)
         for batch in batches:
-            np.add(total, np.bincount((keys_of(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
+            take(total, (keys_of(batch) >> np.uint64(64 - bits)).astype(np.int64))
         parts = [encode(total[i * width:(i + 1) * width]) for i in range(SLICES)]
         yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "data"])
 
@@ -43,7 +44,7 @@ def _sliced(
             yield pa.record_batch(
                 [pa.array(list(merged), pa.int32()), pa.array([encode(v) for v in merged.values()], pa.binary())], ["slice", "data"])
 
-    parts = [encode(np.zeros(width, np.int64))] * SLICES
+    parts = [encode(np.zeros(width, kind))] * SLICES
     for row in df.mapInArrow(count, _SCHEMA).repartition(SLICES, "slice").mapInArrow(add, _SCHEMA).collect():
         parts[row["slice"]] = bytes(row["data"])
     return parts
@@ -54,14 +55,20 @@ def bucket_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]
 
     `keys_of` gives the unsigned 64-bit keys of a batch. The driver gets 4 * 2^bits bytes, whatever the size of the table.
     """
-    parts = _sliced(df, keys_of, bits, _count_planes, _from_planes, np.add)
+    def take(total: np.ndarray, buckets: np.ndarray) -> None:
+        np.add(total, np.bincount(buckets, minlength=len(total)), out=total, casting="unsafe")
+
+    parts = _sliced(df, keys_of, bits, np.uint32, take, _count_planes, _from_planes, np.add)
     return np.concatenate([_from_planes(p) for p in parts]).astype(np.uint32)
 
 
 def bucket_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
     """Packed bits: whether any key begins with each value of `bits` bits. The driver gets 2^bits bits."""
+    def take(total: np.ndarray, buckets: np.ndarray) -> None:
+        total[buckets] = True
+
     parts = _sliced(
-        df, keys_of, bits, lambda v: np.packbits(v > 0).tobytes(), lambda d: np.unpackbits(np.frombuffer(d, np.uint8)), np.bitwise_or)
+        df, keys_of, bits, np.bool_, take, lambda v: np.packbits(v).tobytes(), lambda d: np.unpackbits(np.frombuffer(d, np.uint8)), np.bitwise_or)
     return np.frombuffer(b"".join(parts), np.uint8)
 
 
