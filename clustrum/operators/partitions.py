@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clustrum.operators.ordering import global_index
+
 
 def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -162,15 +164,11 @@ def rank_models(metrics: DataFrame, metric: str = "silhouette_cosine", direction
         raise ValueError("direction must be maximize or minimize")
     score = F.col(metric).cast("double")
     finite = F.coalesce(~F.isnan(score) & (F.abs(score) < F.lit(float("inf"))), F.lit(False))
-    return metrics.select(name, F.when(finite, score).alias("score"), (~finite).alias("excluded")).withColumn(
-        "rank",
-        F.when(
-            ~F.col("excluded"),
-            F.row_number().over(Window.orderBy(
-                F.col("excluded"), F.col("score").desc() if direction == "maximize" else F.col("score").asc(), F.col(name)
-            )),
-        ),
-    )
+    scored = metrics.select(name, F.when(finite, score).alias("score"), (~finite).alias("excluded"))
+    falling = -F.col("score") if direction == "maximize" else F.col("score")
+    ranked = global_index(scored.filter("NOT excluded").withColumn("_order", falling), ["_order", name], "rank")
+    return ranked.select(name, "score", "excluded", (F.col("rank") + 1).cast("int").alias("rank")).unionByName(
+        scored.filter("excluded").withColumn("rank", F.lit(None).cast("int")))
 
 
 def select_winner(aggregated: DataFrame, runs: DataFrame, final_seed: int, encoder: str = "encoder", method: str = "method") -> DataFrame:

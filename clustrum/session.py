@@ -59,11 +59,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """`df` written out, with a broadcast hint only when it turned out to hold at most `max_rows` narrow
-    rows; beyond that the planner joins it by shuffling."""
+def table_bytes(written: DataFrame) -> int:
+    """Bytes of all rows as text, with 16 bytes a value on top; reads the table once."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in written.columns), F.lit(0))
+    return written.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """`df` written out, with a broadcast hint only when its rows turned out to fit into `max_bytes`; beyond that the planner
+    joins it by shuffling."""
     table = materialize(df, "join-side")
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return F.broadcast(table) if table_bytes(table) <= max_bytes else table
 
 
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
