@@ -30,6 +30,30 @@ def fit_query(method):
     return query
 
 
+def fit_facts_query(method):
+    """What has to hold for any start: all clusters are used, and the labels give the reported inertia."""
+    def query(spark, sf):
+        centroids, labelled, cost = models.fit_and_assign(vectors(spark, sf), method, n_clusters=10, n_init=2, max_iter=50)
+        x, c = F.col("embedding").cast("array<double>"), F.col("centroid")
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        if method == "kmeans":
+            distance = dot(x, x) - 2 * dot(x, c) + dot(c, c)
+        else:
+            distance = 1 - F.try_divide(dot(x, c), F.sqrt(dot(x, x)) * F.sqrt(dot(c, c)))
+        joined = labelled.join(F.broadcast(centroids), "cluster_id")
+        return joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.sum(distance).alias("sum")).select(
+            "n", "clusters", (F.abs(F.col("sum") - cost) <= 1e-6 * cost).alias("inertia_matches"))
+    query.__module__ = __name__
+    return query
+
+
+def variance_query(spark, sf):
+    """All components keep the variance of the vectors."""
+    reduced = models.reduce_dimensions(vectors(spark, sf), 64)
+    spread = reduced.select(F.posexplode("reduced").alias("axis", "v")).groupBy("axis").agg(F.var_pop("v").alias("v"))
+    return spread.agg(F.count(F.lit(1)).alias("axes"), rounded(F.sum("v"), "variance"))
+
+
 def stability_query(spark, sf):
     return models.evaluate_stability(
         vectors(spark, sf), "vec_id", "spherical_kmeans", "global", n_repeats=2, n_clusters=5, n_init=1, max_iter=15)
@@ -96,6 +120,9 @@ QUERIES = {
     "stability_global": stability_query,
     "stability_algorithmic": algorithmic_query,
     "sweep": sweep_query,
+    "spherical_kmeans_facts": fit_facts_query("spherical_kmeans"),
+    "kmeans_facts": fit_facts_query("kmeans"),
+    "reduced_variance": variance_query,
     "density_cluster": density_query,
     "density_cluster_cells": density_axes_query,
     "reduce_dimensions": reduce_query,
@@ -118,6 +145,11 @@ ORACLES = {
         slots AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS dim, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY 1, 2),
         filled AS (SELECT * FROM slots UNION ALL SELECT doc_id, 0, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM slots))
         SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) + 0.0 AS value FROM filled""",
+    "spherical_kmeans_facts": "SELECT count(*) AS n, CAST(10 AS BIGINT) AS clusters, true AS inertia_matches FROM embeddings",
+    "kmeans_facts": "SELECT count(*) AS n, CAST(10 AS BIGINT) AS clusters, true AS inertia_matches FROM embeddings",
+    "reduced_variance": """
+        SELECT count(*) AS axes, round(sum(v), 6) + 0.0 AS variance
+        FROM (SELECT i, var_pop(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY i)""",
     "density_cluster_cells": """
         WITH RECURSIVE cells AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS x, CAST(floor(l_discount * 100) AS BIGINT) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2),
         dense AS (SELECT a.x, a.y, a.x * 1000 + a.y AS k FROM cells a JOIN cells b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2 HAVING sum(b.n) >= 10),

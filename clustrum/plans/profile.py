@@ -106,6 +106,10 @@ def qq_query(spark, sf):
     return out.select(*(rounded(c) for c in ("fraction", "normal_quantile", "observed", "fitted")))
 
 
+def qq_observed_query(spark, sf):
+    return profile.qq_points(table(spark, sf, "documents"), "n_chars").select(rounded("fraction"), rounded("observed"))
+
+
 def ecdf_query(spark, sf):
     return profile.ecdf(table(spark, sf, "documents"), "n_chars", ["lang"]).withColumn("cumulative_share", rounded("cumulative_share"))
 
@@ -153,6 +157,7 @@ QUERIES = {
     "numeric_profile_with_nulls": missing_column_query,
     "ecdf_null_group": null_group_query,
     "qq_points": qq_query,
+    "qq_observed": qq_observed_query,
     "ecdf": ecdf_query,
     "top_shares": top_query,
     "ctfidf_keywords": keyword_query,
@@ -217,6 +222,9 @@ ORACLES = {
         c AS (SELECT CAST(least(39, floor((n_chars - low) / width)) AS INTEGER) AS bin, count(*) AS n FROM documents, edges GROUP BY 1)
         SELECT bins.bin, low + bins.bin * width AS lower, low + (bins.bin + 1) * width AS upper, coalesce(n, 0) AS n
         FROM edges, bins LEFT JOIN c ON c.bin = bins.bin""",
+    "qq_observed": f"""
+        SELECT round(i / CAST(100 AS DOUBLE), 6) + 0.0 AS fraction, round(q, 6) + 0.0 AS observed FROM (
+          SELECT unnest(range(1, 100)) AS i, unnest(quantile_cont(CAST(n_chars AS DOUBLE), [{", ".join(str(i / 100) for i in range(1, 100))}])) AS q FROM documents)""",
     "undefined_profile": """
         SELECT * FROM (VALUES ('perfect', CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE)),
           ('reversed', CAST(-1 AS DOUBLE), NULL, CAST(0 AS DOUBLE)), ('constant', NULL, NULL, NULL), ('empty', NULL, NULL, NULL)) t(case_name, r, t_statistic, p_value)""",

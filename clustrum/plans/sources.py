@@ -1,6 +1,7 @@
 """Queries of the readers and writers: driver tables are written in the reviewed formats and read back."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from clustrum.functions.text import text_digest
@@ -27,6 +28,20 @@ def strict_query(spark, sf):
     return read.select("source_row_id", "source_row_index", F.sha2("text", 256).alias("text_digest"))
 
 
+def write_once_query(spark, sf):
+    """A second write to the same place is refused and leaves the first one as it is."""
+    path = scratch_path(spark, "once")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("observation_id"), F.col("label").alias("cluster_id"))
+    reviews.write_assignments(rows, path)
+    refused = False
+    try:
+        reviews.write_assignments(rows.limit(1), path)
+    except AnalysisException:
+        refused = True
+    kept = spark.read.csv(path, header=True).agg(F.count(F.lit(1)).alias("kept"))
+    return kept.select("kept", F.lit(refused).alias("refused"))
+
+
 def raw_query(spark, sf):
     path = scratch_path(spark, "raw-csv")
     documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -128,6 +143,7 @@ QUERIES = {
     "read_reviews_contract": contract_query,
     "review_contract_counts": review_contract_counts,
     "read_embeddings": embedding_query,
+    "write_once": write_once_query,
     "read_assignments": assignment_query,
     "write_splits": split_query,
     "write_report": report_query,
@@ -158,6 +174,7 @@ ORACLES = {
           count(*) FILTER (WHERE len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite,
           count(*) FILTER (WHERE abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 1e-5) AS not_unit
         FROM embeddings""",
+    "write_once": "SELECT count(*) AS kept, true AS refused FROM embeddings",
     "read_assignments": "SELECT CAST(vec_id AS VARCHAR) AS observation_id, 'run' AS logical_id, label AS cluster_id FROM embeddings",
     "write_splits": """
         WITH ranked AS (SELECT CAST(o_orderdate AS DATE) AS d, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
