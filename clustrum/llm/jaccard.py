@@ -25,7 +25,7 @@ from clustrum.llm.sketches import bucket_bits, bucket_counts, is_set
 from clustrum.session import materialize
 
 #: Buckets of the rarity table. Shingles in one bucket share a count; any order is right, a finer one is faster.
-RARITY_BITS = 20
+RARITY_BITS = 22
 ROW_BITS = 24
 MAX_STAR_ROUNDS = 8
 #: Rows that a Python worker holds at a time beside the batch they came in.

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICES = 64
+#: Rows whose keys are made at a time.
+BLOCK_ROWS = 1000
 _SCHEMA = "slice int, data binary"
 
 
@@ -30,10 +32,11 @@ def _sliced(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, kind)
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK_ROWS) for b in batches for at in range(0, b.num_rows, BLOCK_ROWS)):
             take(total, (keys_of(batch) >> np.uint64(64 - bits)).astype(np.int64))
-        parts = [encode(total[i * width:(i + 1) * width]) for i in range(SLICES)]
-        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "data"])
+        for i in range(SLICES):
+            part = encode(total[i * width:(i + 1) * width])
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["slice", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[int, np.ndarray] = {}
@@ -56,7 +59,8 @@ def bucket_counts(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray]
     `keys_of` gives the unsigned 64-bit keys of a batch. The driver gets 4 * 2^bits bytes, whatever the size of the table.
     """
     def take(total: np.ndarray, buckets: np.ndarray) -> None:
-        np.add(total, np.bincount(buckets, minlength=len(total)), out=total, casting="unsafe")
+        seen, counts = np.unique(buckets, return_counts=True)
+        total[seen] += counts.astype(np.uint32)
 
     parts = _sliced(df, keys_of, bits, np.uint32, take, _count_planes, _from_planes, np.add)
     return np.concatenate([_from_planes(p) for p in parts]).astype(np.uint32)
