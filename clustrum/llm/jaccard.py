@@ -239,7 +239,8 @@ class JaccardJoin:
         return rows.withColumn("live", F.row_number().over(Window.partitionBy("g").orderBy("at")) - 1)
 
     def classes(self) -> DataFrame:
-        """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+        """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links reach, text_key, and root, the set that names the
+        class. Classes under one repeated doc_id, or without any, share a component_id but not a root.
 
         Null and empty texts and texts without words have no shingles and no links: their own doc_id. Texts with fewer words
         than a shingle are one shingle. Equal sets are linked; null ids are never the smallest unless there is no other.
@@ -250,26 +251,26 @@ class JaccardJoin:
         least = signatures.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
         rooted = materialize(self._rooted(least, roots), "least")
         smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = materialize(rooted.join(smallest, "root").select("set_id", "component_id"), "components")
+        named = materialize(rooted.join(smallest, "root").select("set_id", "root", "component_id"), "components")
         joined = signatures.select("doc_id", "n_shingles", "set_id", "text_key").join(named, "set_id", "left")
         return joined.select(
             "doc_id", "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key")
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key", "root")
 
 
 def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
     """Classes of `docs` under links of at least 80 percent of common five-word shingles; see JaccardJoin."""
-    return JaccardJoin(docs, **options).classes().drop("text_key")
+    return JaccardJoin(docs, **options).classes().drop("text_key", "root")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` with one row of each class: the one with the smallest id, of equal ids the one with the smallest text digest.
+    """`docs` with one row of each class: the one with the smallest id (null ids last), of equal ids the one with the smallest text digest.
 
-    Rows without shingles are in no class and all stay. Of wholly repeated rows of a class one stays.
+    Unlinked texts under one id, or without ids, are classes of their own. Rows without shingles are in no class and all stay. Of wholly repeated rows of a class one stays.
     """
     classes = JaccardJoin(docs, key, text, **options).classes()
     linked = classes.where("n_shingles > 0 AND doc_id <=> component_id")
-    first = materialize(linked.groupBy("component_id").agg(F.min("text_key").alias("__text")).withColumnRenamed("component_id", "__id"), "first")
+    first = materialize(linked.groupBy("root").agg(F.min("component_id").alias("__id"), F.min("text_key").alias("__text")), "first")
     digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
     same = docs[key].eqNullSafe(F.col("__id")) & (digest == F.col("__text"))
     alone = classes.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()

@@ -106,6 +106,17 @@ def test_keep_first_keeps_one_row_of_each_class(spark):
     assert jaccard.keep_first(empty_docs(spark)).count() == 0
 
 
+def test_keep_first_tells_classes_of_one_id_apart(spark):
+    copies = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "one text without an id here"), (None, "quite another one that has none"), (None, "quite another one that has none"),
+            (7, "first text of a repeated id"), (7, "its second text is no copy"), (8, "its second text is no copy"),
+            (9, copies), (None, copies + " more"), (9, copies + " other")]
+    got = {(r.doc_id, r.text): r for r in jaccard.keep_first(docs_of(spark, rows)).collect()}
+    ninth = min((copies, copies + " other"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(got, key=repr) == sorted({rows[0], rows[1], rows[3], rows[4], (9, ninth)}, key=repr)
+    assert jaccard.keep_first(docs_of(spark, rows)).count() == 5
+
+
 def words_of(text):
     return decontaminate.words_of((text or "").encode())
 
