@@ -219,6 +219,31 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert [got[100 + i] for i in range(len(words))] == [""] * len(words)
 
 
+def test_rare_secrets_are_found_among_ordinary_tokens(spark):
+    rng = random.Random(12)
+    capitals, small, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    words = re.findall("[A-Za-z]{2,12}", " ".join(words))
+    joins = [lambda w: "_".join(w), lambda w: "".join(x.capitalize() for x in w), lambda w: "/".join(w), lambda w: "-".join(w) + "-2024",
+             lambda w: "".join(w).lower(), lambda w: "".join(w).upper(), lambda w: "_".join(w).upper(), lambda w: "".join(x.capitalize() for x in w) + "12"]
+    rows = []
+    for i in range(1200):
+        at, n, body = rng.randrange(len(words) - 40), rng.randrange(20, 60), ""
+        picked = []
+        while len(body) < n:
+            picked.append(words[at + len(picked)])
+            body = joins[i % len(joins)](picked)
+        rows.append((i, " ".join(words[at:at + 20]) + f" é {body} end"))
+    kinds = {"hex 32": (digits + "ABCDEF", 32), "hex 40": (digits + "ABCDEF", 40), "base32": (capitals + "234567", 32), "small and digits": (small + digits, 24)}
+    for j, (alphabet, n) in enumerate(kinds.values()):
+        rows += [(10_000 * (j + 1) + i, "".join(rng.choice(alphabet) for _ in range(n))) for i in range(15)]
+    got = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(docs_of(spark, rows)).collect()}
+    found = {kind: sum(got[10_000 * (j + 1) + i] for i in range(15)) for j, kind in enumerate(kinds)}
+    print(found, sum(got[i] for i in range(1200)))
+    assert found["hex 32"] >= 13 and found["hex 40"] >= 13 and found["base32"] >= 5 and found["small and digits"] >= 8
+    assert sum(got[i] for i in range(1200)) <= 2
+
+
 # Mixing
 
 def mixing_case(spark, n=300):
