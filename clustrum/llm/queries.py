@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clustrum.llm import decontaminate, jaccard, langid, mixing, pii, quality, secret_scan, shards, spotsigs, urls
+from clustrum.llm import (
+    bpe, decontaminate, jaccard, langid, mixing, phrases, pii, quality, secret_scan, shards, spotsigs, urls, whitening,
+)
 from clustrum.llm.common import table
 
 # Fixed values of the contract: the URL rules.
@@ -62,10 +64,24 @@ def op10_secret_scan(spark, sf):
     return secret_scan.scan_secrets(table(spark, sf, "documents"))
 
 
+def op11_embedding_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_phrase_collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_bpe(spark, sf):
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf, "documents"), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_sharding, op3_source_mixing, op4_quality_classifier, op5_document_fingerprints,
     op6_benchmark_decontamination, op7_pii_surrogates, op8_ngram_jaccard_join,
-    op9_language_id, op10_secret_scan,
+    op9_language_id, op10_secret_scan, op11_embedding_whitening, op12_phrase_collocations, op13_bpe,
 )}
 
 ORACLES = {
@@ -123,4 +139,31 @@ reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON other = x
 )
 SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op12_phrase_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, greatest(1, len(w) - k + 2))) AS i FROM split, range(1, 5) t(k))
+), counted AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM counted WHERE k >= 2 AND a >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * cuts.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts
+  JOIN counted x ON x.lang = cuts.lang AND x.k = c AND x.phrase = array_to_string(w[1:c], ' ')
+  JOIN counted y ON y.lang = cuts.lang AND y.k = cuts.k - c AND y.phrase = array_to_string(w[c + 1:], ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates WHERE k > 2)) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 80 * a, false)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
