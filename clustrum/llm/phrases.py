@@ -24,7 +24,7 @@ MAX_WORDS = 4
 #: Shards of the first pass: more of them lower the local support further, fewer give each task less to drop.
 SHARDS = 6
 #: Characters of texts whose phrases a task counts at a time, and phrase hashes it holds before it sends them on.
-BLOCK_BYTES, HELD_HASHES = 1 << 23, 1 << 22
+BLOCK_BYTES, HELD_HASHES = 1 << 21, 1 << 21
 #: Phrase occurrences for each range of hashes: a task merges those of one range of one shard at a time.
 RANGE_OCCURRENCES = 1 << 22
 #: Largest table of candidate bits, 2^28 bits or 32 MB; with more candidates it lets more other phrases through to the exact count.
