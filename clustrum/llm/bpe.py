@@ -21,12 +21,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose tokens a task keeps; beyond it the memory starts anew. Speed only.
-KEPT_WORDS = 400_000
-#: Longer words are not kept.
+#: Words, pieces after a blank, and pieces at the start of a line whose tokens a task keeps, the first of each; later ones are
+#: merged anew where they come again. Speed only.
+KEPT_WORDS = 250_000
+#: Longer ones are not kept.
 KEPT_CHARS = 64
-#: Words of a text that are looked up at a time, and characters of texts whose new words share one index.
-BLOCK_WORDS, BLOCK_CHARS = 1 << 16, 1 << 22
+#: Words that are looked up at a time, characters of texts whose new words share one index, and rows taken out of a batch at a time.
+BLOCK_WORDS, BLOCK_CHARS, BATCH_ROWS = 1 << 16, 1 << 21, 500
+
+
+#: White space that is neither a single blank nor a single line feed between other characters.
+_UNEVEN = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
 
 
 def byte_characters() -> str:
@@ -93,6 +98,8 @@ class Encoder:
     def __init__(self, vocabulary: dict):
         self.pairs, self.bytes, self.singles = vocabulary["pairs"], vocabulary["bytes"], vocabulary["singles"]
         self.rank = {(a, b): rank for rank, (a, b, _) in enumerate(self.pairs)}
+        self.single_ids = np.array(self.singles)
+        self.byte_ranks = np.array([[self.rank.get((a, b), -1) for b in self.singles] for a in self.singles])
         self.specials = vocabulary["specials"]
         longest = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
@@ -100,25 +107,36 @@ class Encoder:
         self.beyond = re.compile(f"[{late[0]}-{chr(sys.maxunicode)}]") if late else None
         self.late = regex.compile(f"[{late}]") if late else None
         self.words, self.words_late = regex.compile(word_pattern()), regex.compile(word_pattern(late))
+        # Tokens, as 32-bit numbers, of words, and of pieces that follow a blank or begin a line.
         self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
+        self.line_feed = self._packed(self.merged(["\n"])[0])
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Tokens of each word, by one pair index over all of them."""
-        symbols: list[int] = []
-        ends = []
-        for word in words:
-            symbols += map(self.singles.__getitem__, word.encode())
-            ends.append(len(symbols))
-        n, rank_of, pairs = len(symbols), self.rank.get, self.pairs
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for end in ends:
-            following[end - 1] = -1
-            if end < n:
-                before[end] = -1
-        places: dict[int, list[int]] = {}
-        for at, rank in enumerate(map(rank_of, zip(symbols, symbols[1:]))):
-            if rank is not None and following[at] > 0:
-                places.setdefault(rank, []).append(at)
+        if not words:
+            return []
+        data = [w.encode() for w in words]
+        ends = np.cumsum([len(d) for d in data])
+        first = np.frombuffer(b"".join(data), np.uint8)
+        n, rank_of, pairs = len(first), self.rank.get, self.pairs
+        links = np.arange(1, n + 1)
+        links[ends - 1] = -1
+        behind = np.arange(-1, n - 1)
+        behind[ends[:-1]] = -1
+        # Positions by the rank of the pair that begins there, ascending.
+        ranks = self.byte_ranks[first[:-1], first[1:]]
+        ranks[ends[:-1] - 1] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0):]
+        found, starts = np.unique(ranks[order], return_index=True)
+        places = dict(zip(found.tolist(), (p.tolist() for p in np.split(order, starts[1:])))) if len(order) else {}
+        symbols, following, before = self.single_ids[first].tolist(), links.tolist(), behind.tolist()
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -148,36 +166,72 @@ class Encoder:
                             heapq.heappush(active, found)
                         places[found].append(front)
         out, start = [], 0
-        for end in ends:
+        for end in ends.tolist():
             out.append([s for s in symbols[start:end] if s >= 0])
             start = end
         return out
 
-    def pieces(self, text: str) -> Iterator[list[str] | int]:
-        """Blocks of the words of a text, in order, and the ids of special tokens that stand in it."""
-        for i, part in enumerate(self.special.split(text) if self.special else [text]):
-            if i % 2:
-                yield self.specials[part]
-                continue
-            words = self.words_late if self.beyond and self.beyond.search(part) and self.late.search(part) else self.words
-            if len(part) < BLOCK_WORDS:
-                yield words.findall(part)
-            else:
-                found = (m.group() for m in words.finditer(part))
-                while block := list(itertools.islice(found, BLOCK_WORDS)):
-                    yield block
-
-    def look_up(self, blocks: list[list[str]]) -> dict[str, bytes]:
-        """Tokens of all words of some blocks, as 32-bit numbers; new words are merged together."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        new = list(set(itertools.chain.from_iterable(blocks)).difference(self.known))
-        tokens = dict(zip(new, (np.array(t, np.int32).tobytes() for t in self.merged(new))))
-        if all(len(w) <= KEPT_CHARS for w in new):
-            self.known |= tokens
-            return self.known
-        self.known |= {w: t for w, t in tokens.items() if len(w) <= KEPT_CHARS}
-        return self.known | tokens
+    def word_blocks(self, text: str) -> Iterator[list[str]]:
+        """Blocks of the words of a text without special tokens, in order."""
+        words = self.words_late if self.beyond and self.beyond.search(text) and self.late.search(text) else self.words
+        if len(text) < BLOCK_WORDS:
+            yield words.findall(text)
+        else:
+            found = (m.group() for m in words.finditer(text))
+            while block := list(itertools.islice(found, BLOCK_WORDS)):
+                yield block
+
+    def word_tokens(self, texts: list[str]) -> list[bytes]:
+        """Tokens of each text, its words looked up, new words of all texts merged together."""
+        split = [list(self.word_blocks(t)) for t in texts]
+        known = self._known(self.known, {w for text in split for block in text for w in block}, lambda new: map(self._packed, self.merged(new)))
+        return [b"".join(b"".join(map(known.__getitem__, block)) for block in text) for text in split]
+
+    @staticmethod
+    def _known(kept: dict[str, bytes], wanted: set[str], find: Callable) -> dict[str, bytes]:
+        """`kept` with the tokens of all that is wanted; what is new and short stays in it while there is room."""
+        new = list(wanted.difference(kept))
+        tokens = dict(zip(new, find(new)))
+        if len(kept) + len(new) <= KEPT_WORDS and all(len(w) <= KEPT_CHARS for w in new):
+            kept.update(tokens)
+            return kept
+        found = kept | tokens
+        if len(kept) < KEPT_WORDS:
+            kept.update(itertools.islice(((w, t) for w, t in tokens.items() if len(w) <= KEPT_CHARS), KEPT_WORDS - len(kept)))
+        return found
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Tokens of texts in which blanks and line feeds stand singly between other characters, and no other white space is.
+
+        There a line feed is a word and a blank begins one, so the pieces between them have tokens of their own, whatever
+        stands beside them.
+        """
+        split = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        start = self._known(self.at_start, {line[0] for text in split for line in text}, self.word_tokens)
+        after = {p for text in split for line in text for p in itertools.islice(line, 1, None)}
+        blank = self._known(self.after_blank, after, lambda new: self.word_tokens([" " + p for p in new])).__getitem__
+        return [
+            self.line_feed.join([start[line[0]] + b"".join(map(blank, itertools.islice(line, 1, None))) for line in text]) for text in split]
+
+    def parts_tokens(self, parts: list[str]) -> list[bytes]:
+        """Tokens of texts without special tokens. Long ones go by blocks of words, which bounds what is held."""
+        plain = [i for i, p in enumerate(parts) if 0 < len(p) <= BLOCK_CHARS and not _UNEVEN.search(p)]
+        out: list[bytes] = [b""] * len(parts)
+        for i, tokens in zip(plain, self.plain([parts[i] for i in plain])):
+            out[i] = tokens
+        others = sorted(set(range(len(parts))).difference(plain))
+        short = [i for i in others if len(parts[i]) <= BLOCK_CHARS]
+        for i, tokens in zip(short, self.word_tokens([parts[i] for i in short])):
+            out[i] = tokens
+        for i in set(others).difference(short):
+            out[i] = b"".join(self._long(parts[i]))
+        return out
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        for block in self.word_blocks(text):
+            new = list(set(block).difference(self.known))
+            tokens = self.known | dict(zip(new, map(self._packed, self.merged(new))))
+            yield b"".join(map(tokens.__getitem__, block))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text; texts of up to `BLOCK_CHARS` characters together share one index."""
@@ -187,20 +241,13 @@ class Encoder:
             while end < len(texts) and (end == start or size + len(texts[end]) <= BLOCK_CHARS):
                 size += len(texts[end])
                 end += 1
-            if size <= BLOCK_CHARS:
-                split = [list(self.pieces(t)) for t in texts[start:end]]
-                tokens = self.look_up([p for text in split for p in text if isinstance(p, list)])
-                for text in split:
-                    yield self._joined(text, lambda block: tokens)
-            else:
-                yield self._joined(self.pieces(texts[start]), lambda block: self.look_up([block]))
+            split = [self.special.split(t) if self.special else [t] for t in texts[start:end]]
+            tokens = iter(self.parts_tokens([p for parts in split for p in parts[::2]]))
+            for parts in split:
+                yield np.frombuffer(b"".join(
+                    next(tokens) if i % 2 == 0 else self._packed([self.specials[p]]) for i, p in enumerate(parts)), np.int32)
             start = end
 
-    def _joined(self, pieces, tokens_of: Callable) -> np.ndarray:
-        return np.frombuffer(b"".join(
-            np.array([p], np.int32).tobytes() if isinstance(p, int) else b"".join(map(tokens_of(p).__getitem__, p))
-            for p in pieces), np.int32)
-
     def decode(self, ids: list[int]) -> str:
         """Text of token ids; unknown ids give nothing, bytes that are no UTF-8 a replacement character."""
         return b"".join(map(self.bytes.get, ids, itertools.repeat(b""))).decode("utf-8", "replace")
@@ -212,7 +259,7 @@ def _per_task(df: DataFrame, vocabulary: dict, row: Callable, name: str, kind: p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shipped.value)
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             made = row(encoder, batch.column(batch.num_columns - 1))
             yield pa.record_batch([*batch.columns[:-1], pa.array(made, kind)], [*batch.schema.names[:-1], name])
 
@@ -233,7 +280,9 @@ def encode(df: DataFrame, vocabulary: dict, key: str = "doc_id", text: str = "te
 
 
 def _texts(encoder: Encoder, lists: pa.Array) -> list:
-    return [encoder.decode(x or []) for x in lists.to_pylist()]
+    """Texts of an Arrow array of lists of ids, without a Python list of each."""
+    offsets, flat = lists.offsets.to_pylist(), lists.values
+    return [encoder.decode(flat.slice(a, b - a).to_numpy().tolist()) for a, b in zip(offsets, offsets[1:])]
 
 
 def decode(encoded: DataFrame, vocabulary: dict, key: str = "doc_id", ids: str = "ids") -> DataFrame:
