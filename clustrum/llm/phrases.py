@@ -24,7 +24,9 @@ MAX_WORDS = 4
 #: Shards of the first pass: more of them lower the local support further, fewer give each task less to drop.
 SHARDS = 6
 #: Characters of texts whose phrases a task counts at a time, and phrase hashes it holds before it sends them on.
-BLOCK_BYTES, HELD_HASHES = 1 << 21, 1 << 21
+BLOCK_BYTES, HELD_HASHES = 1 << 21, 3 << 19
+#: Rows whose texts a task takes out of an Arrow batch at a time.
+BATCH_ROWS = 500
 #: Phrase occurrences for each range of hashes: a task merges those of one range of one shard at a time.
 RANGE_OCCURRENCES = 1 << 22
 #: Largest table of candidate bits, 2^28 bits or 32 MB; with more candidates it lets more other phrases through to the exact count.
@@ -115,7 +117,7 @@ def _grouped(batch: pa.RecordBatch) -> tuple[list[tuple], list[int]]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, _Block]]:
     """(lang, shard) pairs, seed of each by language alone, and block, for batches of (lang, shard, text)."""
-    for batch in batches:
+    for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
         pairs, rows = _grouped(batch)
         seeds = np.array([xxhash.xxh3_64_intdigest(lang.encode()) for lang, _ in pairs], np.uint64)
         for texts, groups in _segments(binary_column(batch, "text"), rows):
