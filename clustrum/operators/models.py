@@ -10,7 +10,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from clustrum.functions.text import WORD_PATTERN, clean_text, trigrams
 from clustrum.functions.vectors import as_vector, centroid_matrix, listed_rows, stacked_rows
+from clustrum.operators import kmeans
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import MAX_CLUSTERS, assign_clusters, cluster_sums, inertia, silhouette_cosine
 from clustrum.operators.ordering import global_index
@@ -89,33 +89,22 @@ def kmeans_fit(
     seed: int = 42,
     vector: str = "embedding",
     tol: float = 1e-6,
+    initial: DataFrame | None = None,
 ) -> tuple[DataFrame, float]:
     """Best of `n_init` runs by inertia: centroids (`cluster_id`, `centroid`) and that inertia.
 
-    Each iteration is one pass over the cached vectors with k partial sums per task; starts come from
-    the parallel k-means|| scheme.
+    All runs share each pass over the vectors (`operators.kmeans`). There are always `n_clusters` centroids: a cluster that
+    loses its rows takes the farthest one. `initial` gives the start instead, as centroids 0..k-1.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if n_init < 1 or max_iter < 1 or n_clusters < 1:
         raise ValueError("n_clusters, n_init and max_iter must be positive")
-    features = df.select(as_vector(vector).alias("features")).persist()
-    try:
-        if features.count() < n_clusters:
-            raise ValueError("n_clusters must not exceed the row count")
-        best = None
-        for start in range(n_init):
-            model = KMeans(
-                k=n_clusters, maxIter=max_iter, tol=tol, seed=seed * 1000 + start, initMode="k-means||",
-                distanceMeasure="cosine" if method == "spherical_kmeans" else "euclidean",
-            ).fit(features)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model.clusterCenters())
-    finally:
-        features.unpersist()
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(best[1])]
-    return df.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>"), float(best[0])
+    start = None if initial is None else centroid_matrix(initial)
+    centers, cost, _ = kmeans.fit(
+        df, n_clusters if start is None else len(start), n_init, max_iter, seed, tol, method == "spherical_kmeans", vector, start)
+    rows = [(i, c.tolist()) for i, c in enumerate(centers)]
+    return df.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>"), cost
 
 
 def fit_and_assign(df: DataFrame, method: str, vector: str = "embedding", **options) -> tuple[DataFrame, DataFrame, float]:

@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,26 +191,107 @@ def describe(
     names: Sequence[str] | None = None,
     nearest_rank: bool = False,
 ) -> DataFrame:
-    """Count, mean, population and sample standard deviation and exact quantiles per group.
+    """Count, mean, population and sample standard deviation and exact quantiles per group; null groups are left out.
 
     Quantiles interpolate linearly between order statistics, or take the nearest rank
-    `sorted[ceil(f * n) - 1]`. All figures come from one histogram pass over the input.
+    `sorted[ceil(f * n) - 1]`. Nothing is sorted: a first pass takes the moments and a bracket of values around every wanted
+    rank, a second one counts what lies below and inside the brackets (`values_at_ranks`).
     """
-    return describe_counts(histogram_of(df, value, groups), groups, fractions, names, nearest_rank)
-
-
-def describe_counts(
-    counts: DataFrame,
-    groups: Sequence[str] = (),
-    fractions: Sequence[float] = (0, 0.25, 0.5, 0.75, 1),
-    names: Sequence[str] | None = None,
-    nearest_rank: bool = False,
-) -> DataFrame:
-    """`describe` of a table that already holds (groups, `value`, `n`); a null group is left out."""
-    keyed = counts.dropna(subset=list(groups)) if groups else counts.withColumn("_all", F.lit(0))
-    keys = list(groups) or ["_all"]
-    counted = running_sums(keyed.withColumn("value", F.col("value").cast("double")), ["value"], ["n"], keys)
-    return describe_running(counted, keys, fractions, names, nearest_rank).drop("_all")
+    names, keys = list(names or (quantile_name(f) for f in fractions)), list(groups) or ["_all"]
+    kept = df.dropna(subset=list(groups)) if groups else df.withColumn("_all", F.lit(0))
+    # Written without a shuffle: the rows are read twice, their lineage runs once.
+    rows = materialize(kept.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value")), "values")
+    inner = [f for f in fractions if 0 < f < 1]
+    at = F.array(*(F.lit(min(max(f + d, 0.0), 1.0)) for f in inner for d in (-BRACKET, BRACKET))) if inner else F.array(F.lit(0.5))
+    stats = materialize(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_population"),
+        F.stddev_samp("value").alias("std_sample"), F.min("value").alias("_least"), F.max("value").alias("_most"),
+        F.percentile_approx("value", at, round(2 / BRACKET)).alias("_brackets"),
+    ), "moments")
+    ranks = []
+    for i, f in enumerate(inner):
+        position = (F.col("count") - 1) * F.lit(float(f))
+        low = F.greatest(F.ceil(F.lit(float(f)) * F.col("count")) - 1, F.lit(0)) if nearest_rank else F.floor(position)
+        high = low if nearest_rank else F.least(low + 1, F.col("count") - 1)
+        part = F.lit(0.0) if nearest_rank else position - low
+        ranks.append(F.struct(
+            F.lit(i).alias("at"), low.alias("low"), high.alias("high"), part.alias("part"),
+            F.get("_brackets", F.lit(2 * i)).alias("a"), F.get("_brackets", F.lit(2 * i + 1)).alias("b")))
+    columns = [*keys, "count", "mean", "std_population", "std_sample"]
+    if not ranks:
+        found = stats.withColumn("_found", F.create_map().cast("map<int,double>"))
+    else:
+        picked = values_at_ranks(rows, stats.select(*keys, F.inline(F.array(*ranks))), keys)
+        by_group = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "quantile"))).alias("_found"))
+        found = stats.join(checked_broadcast(by_group), keys, "left")
+    final = []
+    for name, f in zip(names, fractions):
+        edge = F.col("_least") if f <= 0 else F.col("_most") if f >= 1 else None
+        final.append((edge if edge is not None else F.col("_found")[inner.index(f)]).alias(name))
+    return found.select(*columns, *final).drop("_all")
+
+
+#: Half the width of a first bracket, as a share of the rows of its group.
+BRACKET = 1e-3
+#: Different values of one bracket that a window may rank; wider brackets are narrowed first.
+RANKED_VALUES = 1 << 18
+
+
+def _bracketed(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, at, value, n): how often each value inside a bracket occurs, and with a null value how many lie below it."""
+    inside = F.when(F.col("value") >= F.col("r.a"), F.col("value"))
+    brackets = wanted.groupBy(*keys).agg(F.collect_list(F.struct("at", "a", "b")).alias("r"))
+    joined = rows.join(checked_broadcast(brackets), list(keys)).withColumn(
+        "r", F.explode(F.filter("r", lambda r: F.col("value") <= r["b"])))
+    return joined.groupBy(*keys, F.col("r.at").alias("at"), inside.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def values_at_ranks(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, at, quantile): exact order statistics of groups without sorting the rows.
+
+    `rows`: keys, value. `wanted`: keys, at, the 0-based ranks `low` and `high` with the share `part` between them, and a bracket
+    `a`..`b` that should hold both. Counts show whether it does; a group whose bracket misses a rank is counted in full.
+    Brackets with many different values are cut at a thousand splitters, again and again, until few are left to rank.
+    """
+    each = [*keys, "at"]
+    wanted = materialize(wanted, "ranks")
+    counted = materialize(_bracketed(rows, wanted, keys), "brackets")
+    span = counted.groupBy(*each).agg(
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("below"), F.sum("n").alias("upto"),
+        F.count("value").alias("different"))
+    span = materialize(wanted.join(span, each, "left"), "bracket-spans")
+    missed = (F.coalesce("below", F.lit(0)) > F.col("low")) | (F.coalesce("upto", F.lit(0)) <= F.col("high"))
+    most = span.agg(F.max("different"), F.count_if(missed)).first()
+    if most[1]:
+        again = span.where(missed).select(*each, "low", "high", "part", F.lit(float("-inf")).alias("a"), F.lit(float("nan")).alias("b"))
+        whole = _bracketed(rows, again, keys)
+        counted = materialize(counted.join(again.select(*each), each, "left_anti").unionByName(whole), "brackets")
+        most = (counted.groupBy(*each).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0], 0)
+    while (most[0] or 0) > RANKED_VALUES:
+        counted = _narrowed(counted, wanted, each)
+        most = (counted.groupBy(*each).agg(F.count("value").alias("n")).agg(F.max("n")).first()[0], 0)
+    order = Window.partitionBy(*each).orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("cum", F.sum("n").over(order)).join(checked_broadcast(wanted.select(*each, "low", "high", "part")), each)
+    at = lambda rank: F.max(F.when((F.col("cum") > F.col(rank)) & (F.col("cum") - F.col("n") <= F.col(rank)), F.col("value")))
+    ends = ranked.groupBy(*each).agg(at("low").alias("x"), at("high").alias("y"), F.first("part").alias("part"))
+    return ends.select(*each, (F.col("x") + (F.col("y") - F.col("x")) * F.col("part")).alias("quantile"))
+
+
+def _narrowed(counted: DataFrame, wanted: DataFrame, each: Sequence[str], splitters: int = 1000) -> DataFrame:
+    """`counted` with all values below those of the wanted ranks' parts folded into the null value, those above left out."""
+    edges = counted.where(F.col("value").isNotNull()).groupBy(*each).agg(
+        F.array_distinct(F.percentile_approx("value", F.array(*(F.lit(i / splitters) for i in range(1, splitters))), 10 * splitters)).alias("edges"))
+    # The part of a value is the number of edges below it.
+    part = F.when(F.col("value").isNull(), F.lit(-1)).otherwise(F.aggregate("edges", F.lit(0), lambda n, e: n + (e < F.col("value")).cast("int")))
+    parted = materialize(counted.join(checked_broadcast(edges), list(each)).withColumn("split", part).drop("edges"), "bracket-parts")
+    totals = parted.groupBy(*each, "split").agg(F.sum("n").alias("total"))
+    order = Window.partitionBy(*each).orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    spans = totals.withColumn("upto", F.sum("total").over(order)).join(wanted.select(*each, "low", "high"), list(each))
+    holds = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("total") <= F.col(rank)), F.col("split")))
+    chosen = spans.groupBy(*each).agg(holds("low").alias("first"), holds("high").alias("last"))
+    kept = parted.join(checked_broadcast(chosen), list(each)).where(F.col("split") <= F.col("last"))
+    value = F.when(F.col("split") >= F.col("first"), F.col("value"))
+    return materialize(kept.groupBy(*each, value.alias("value")).agg(F.sum("n").alias("n")), "brackets")
 
 
 def describe_running(

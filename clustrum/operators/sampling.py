@@ -41,12 +41,35 @@ def fixed_sample(df: DataFrame, id_column: str, seed: int, size: int) -> DataFra
     return _below_cut(df, id_column, seed, size).drop("_order") if size else df
 
 
+#: Rows under one node of a digest tree.
+DIGEST_FAN = 1024
+
+
+def ordered_digest(df: DataFrame, id_column: str, fan: int = DIGEST_FAN) -> DataFrame:
+    """(n, ids_sha256): row count and digest of the sorted ids, for any number of rows and whatever their partitions.
+
+    A leaf is the SHA-256 of the ids of `fan` consecutive rows, joined by commas; a node that of `fan` digests below it, up
+    to one root. Up to `fan` ids that is the plain digest of the list; of no rows it is that of the empty text. Null ids
+    come first and are left out of the text.
+    """
+    level = global_index(df.select(F.col(id_column).alias("id")), ["id"], "at").select("at", F.col("id").cast("string").alias("entry"))
+    rows = level.count()
+    size = rows
+    while True:
+        below = F.array_sort(F.collect_list(F.struct("at", "entry")))
+        level = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(
+            F.sha2(F.array_join(F.transform(below, lambda e: e["entry"]), ","), 256).alias("entry"))
+        size = -(-size // fan)
+        if size <= 1:
+            break
+        level = materialize(level, "digests")
+    digest = F.coalesce(F.max("entry"), F.sha2(F.lit(""), 256))
+    return level.agg(F.lit(rows).cast("long").alias("n"), digest.alias("ids_sha256"))
+
+
 def sample_digest(sample: DataFrame, id_column: str) -> DataFrame:
-    """Row count and hash of the sorted ids, for samples small enough to be listed."""
-    return sample.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_column))).cast("array<string>"), ","), 256).alias("ids_sha256"),
-    )
+    """Row count and digest of the sorted ids."""
+    return ordered_digest(sample, id_column)
 
 
 def fraction_subset(df: DataFrame, id_column: str, fraction: float, seed: int, repeat: int, side: str) -> DataFrame:

@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 from clustrum.plans import (
-    cleaning, cohorts, drift, geometry, models, partitions, profile, requests, sources, streams,
+    cleaning, cohorts, density, drift, geometry, models, partitions, profile, requests, sources, streams,
 )
 
-MODULES = (sources, cleaning, profile, cohorts, geometry, partitions, drift, models, requests, streams)
+MODULES = (sources, cleaning, profile, cohorts, geometry, partitions, drift, models, density, requests, streams)
 
 
 def all_queries() -> dict:

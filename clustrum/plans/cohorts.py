@@ -154,6 +154,11 @@ def top_query(spark, sf):
     return sampling.top_k(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25)
 
 
+def ordered_query(spark, sf):
+    """Digest of all event ids in order: more than one leaf of the tree."""
+    return sampling.ordered_digest(table(spark, sf, "events"), "event_id")
+
+
 QUERIES = {
     "chronological_split": chronological_query,
     "chronological_split_nulls": undated_split_query,
@@ -173,6 +178,7 @@ QUERIES = {
     "seeded_shuffle_limit": shuffle_query,
     "fixed_sample": fixed_query,
     "fixed_sample_digest": digest_query,
+    "ordered_digest": ordered_query,
     "fraction_subset": fraction_query,
     "top_k": top_query,
 }
@@ -305,6 +311,11 @@ ORACLES = {
     "fixed_sample_digest": """
         SELECT count(*) AS n, sha256(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS ids_sha256
         FROM (SELECT vec_id FROM embeddings ORDER BY sha256('42|' || vec_id) LIMIT 200)""",
+    "ordered_digest": """
+        WITH leaves AS (
+          SELECT "at" // 1024 AS leaf, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS d, count(*) AS n
+          FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS "at" FROM events) GROUP BY 1)
+        SELECT CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN max(d) ELSE sha256(string_agg(d, ',' ORDER BY leaf)) END AS ids_sha256 FROM leaves""",
     "fraction_subset": fraction_sql("a") + " UNION ALL " + fraction_sql("b"),
     "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
 }

@@ -211,7 +211,7 @@ ORACLES = {
     "held_out_silhouette": f"""
         WITH rows_ AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY sha256('42|' || vec_id) LIMIT 200), {SAMPLE_SCORE},
         h AS (SELECT sha256('{{"vec_id":' || vec_id || '}}') AS x FROM rows_),
-        l AS (SELECT i, CAST('0x' || substr(x, 1 + 15 * i, 15) AS UBIGINT) AS v FROM h, range(4) t(i)),
+        l AS (SELECT i, CAST('0x' || substr(x, 1 + 8 * i, 8) AS UBIGINT) AS v FROM h, range(8) t(i)),
         s AS (SELECT i, CAST(sum(CAST(v AS HUGEINT)) AS VARCHAR) AS total, CAST(bit_xor(v) AS VARCHAR) AS mixed, count(*) AS n FROM l GROUP BY 1)
         SELECT (SELECT round({MEAN_SCORE}, 6) + 0.0 FROM score) AS silhouette_cosine, max(n) AS silhouette_n_samples,
           sha256(max(n) || ':' || string_agg(total, '-' ORDER BY i) || ':' || string_agg(mixed, '-' ORDER BY i)) AS fingerprint,

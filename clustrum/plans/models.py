@@ -1,6 +1,7 @@
 """Queries that encode, fit, freeze and sweep."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clustrum.operators import models
@@ -47,6 +48,32 @@ def fit_facts_query(method):
     return query
 
 
+def from_means_query(method):
+    """Three iterations from the label means, so that SQL can follow them: label of every row, and the inertia."""
+    def query(spark, sf):
+        start = centroids_of(labelled_embeddings(spark, sf))
+        _, labelled, cost = models.fit_and_assign(vectors(spark, sf), method, max_iter=3, tol=0.0, initial=start)
+        return labelled.select("vec_id", "cluster_id", rounded(F.lit(cost), "inertia"))
+    query.__module__ = __name__
+    return query
+
+
+def repeated_rows_query(spark, sf):
+    """Ten clusters of rows that hold three different vectors: ten centroids, inertia zero, the rows in three of them."""
+    few = vectors(spark, sf).select("vec_id", F.transform(F.array(*map(F.lit, range(3))), lambda i: (F.col("vec_id") % 3 == i).cast("double") + 1).alias("embedding"))
+    centroids, labelled, cost = models.fit_and_assign(few, "kmeans", n_clusters=10, n_init=2, max_iter=5)
+    used = labelled.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return used.select(F.dense_rank().over(Window.orderBy(F.desc("n"))).alias("place"), "n").crossJoin(
+        centroids.agg(F.count(F.lit(1)).alias("centroids"))).withColumn("inertia", rounded(F.lit(cost), "inertia"))
+
+
+def statistical_query(spark, sf):
+    """Stability on draws of all rows: with the whole table drawn twice, equal seeds give equal partitions."""
+    out = models.evaluate_stability(
+        vectors(spark, sf), "vec_id", "kmeans", "statistical", n_repeats=2, sample_fraction=1.0, n_clusters=5, n_init=1, max_iter=15)
+    return out.select("repeat_a", "repeat_b", rounded("ari"), "n_common", "method", "mode")
+
+
 def variance_query(spark, sf):
     """All components keep the variance of the vectors."""
     reduced = models.reduce_dimensions(vectors(spark, sf), 64)
@@ -122,6 +149,10 @@ QUERIES = {
     "sweep": sweep_query,
     "spherical_kmeans_facts": fit_facts_query("spherical_kmeans"),
     "kmeans_facts": fit_facts_query("kmeans"),
+    "kmeans_from_means": from_means_query("kmeans"),
+    "spherical_kmeans_from_means": from_means_query("spherical_kmeans"),
+    "kmeans_repeated_rows": repeated_rows_query,
+    "stability_statistical": statistical_query,
     "reduced_variance": variance_query,
     "density_cluster": density_query,
     "density_cluster_cells": density_axes_query,
@@ -139,7 +170,35 @@ profiles AS (
   FROM (SELECT lang, trigram, count(*) AS n FROM pieces GROUP BY 1, 2) QUALIFY position < 300
 )"""
 
+
+
+def lloyd_sql(spherical: bool, steps: int = 3) -> str:
+    """Iterations from the label means, one pair of tables each."""
+    distance = "1 - list_dot_product(v, c)" if spherical else "list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c)"
+    scale = "sqrt(sum(m * m) OVER (PARTITION BY cluster_id))" if spherical else "1"
+    tables = [f"""
+        rows_ AS (SELECT vec_id, {'list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))' if spherical else 'e'} AS v
+          FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+        c0 AS (SELECT cluster_id, centroid AS c FROM centroids)"""]
+    for i in range(steps + 1):
+        tables.append(f"a{i} AS (SELECT vec_id, v, cluster_id, {distance} AS d FROM rows_, c{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1)")
+        if i < steps:
+            tables.append(f"""c{i + 1} AS (SELECT cluster_id, list(m / s ORDER BY i) AS c FROM (
+          SELECT *, {scale} AS s FROM (SELECT cluster_id, i, avg(v[i]) AS m FROM a{i}, range(1, 65) t(i) GROUP BY 1, 2)) GROUP BY cluster_id)""")
+    return f"""
+        WITH {SQL_CENTROIDS}, {', '.join(tables)}
+        SELECT vec_id, cluster_id, (SELECT round(sum(d), 6) + 0.0 FROM a{steps}) AS inertia FROM a{steps}"""
+
+
 ORACLES = {
+    "kmeans_from_means": lloyd_sql(False),
+    "spherical_kmeans_from_means": lloyd_sql(True),
+    "kmeans_repeated_rows": """
+        SELECT CAST(dense_rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS place, count(*) AS n, CAST(10 AS BIGINT) AS centroids, CAST(0 AS DOUBLE) AS inertia
+        FROM embeddings GROUP BY vec_id % 3""",
+    "stability_statistical": """
+        SELECT CAST(i AS INTEGER) AS repeat_a, CAST(i AS INTEGER) AS repeat_b, CAST(1 AS DOUBLE) AS ari, (SELECT count(*) FROM embeddings) AS n_common,
+          'kmeans' AS method, 'statistical' AS mode FROM range(2) t(i)""",
     "encode_texts": f"""
         WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower({CLEAN}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w FROM documents),
         slots AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS dim, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY 1, 2),

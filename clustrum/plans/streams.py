@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from clustrum.operators.geometry import centroids_of
 from clustrum.plans.common import SQL_CENTROIDS, labelled_embeddings, rounded, table
 from clustrum.plans.drift import STACKED
+from clustrum.operators.ordering import running_sums
 from clustrum.session import scratch_path
-from clustrum.streaming import jobs, metrics
-
+from clustrum.streaming import gauge, jobs, metrics, windows
 
 
 def shaped(events):
@@ -95,6 +95,100 @@ def progress_stream_query(spark, sf):
     return jobs.newest_result(spark, path)
 
 
+#: Requests whose number is divisible by it never finish; the others take less than the limit.
+NEVER, LIMIT_SECONDS = 97, 600
+
+
+def request_ends(spark, sf):
+    """Starts and finishes of all requests, with an instant of arrival up to 50 minutes later."""
+    events = requests(spark, sf).withColumn("duration", F.when(F.col("event_id") % NEVER != 0, F.col("duration")))
+    ends = gauge.request_ends(events, "event_id", ["method"])
+    late = F.pmod(F.col("request").cast("long") * 7919 + F.length("kind") * 104729, F.lit(3000))
+    return ends.withColumn("arrival", F.unix_seconds("at") + late)
+
+
+def as_three_files(rows, folder):
+    """Writes rows in three files, one after the other, by thirds of their span of `arrival`; a stream meets them in that order."""
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    third = F.floor((F.col("arrival") - first) * 3 / (last - first + 1))
+    for number in range(3):
+        rows.where(third == number).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+
+
+def gauge_changes(spark, sf):
+    folder, path, state = (scratch_path(spark, n) for n in ("request-ends", "gauge", "gauge-state"))
+    as_three_files(request_ends(spark, sf), folder)
+    stream = jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1)
+    for _ in range(2):  # the second start finds nothing left to do
+        gauge.collect_gauge(stream, LIMIT_SECONDS, path, state, ["method"], lateness="1 hour", buckets=32).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def gauge_stream_query(spark, sf):
+    """The gauge after each instant, from three files whose rows are out of order."""
+    changes = gauge_changes(spark, sf).groupBy("method", "at").agg(F.sum("change").alias("change"))
+    running = running_sums(changes, ["at"], ["change"], ["method"]).select("method", "at", F.col("cum_change").alias("in_progress"))
+    return naive(running, "at")
+
+
+def gauge_outcome_query(spark, sf):
+    """How requests ended, and how many are still in progress, at the last watermark."""
+    return gauge_changes(spark, sf).groupBy("method", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gauge_batch_query(spark, sf):
+    """The same changes from the whole table at once."""
+    ends = request_ends(spark, sf)
+    watermark = ends.agg(F.date_trunc("millisecond", F.max("at")) - F.expr("INTERVAL 1 HOUR")).first()[0]
+    return gauge.gauge_changes(ends, LIMIT_SECONDS, watermark).groupBy("method", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def late_events(spark, sf):
+    """Requests in three files by time; every 41st arrives in the last file, mostly after its window has been finished."""
+    events = requests(spark, sf)
+    last = events.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    arrival = F.when(F.col("event_id") % 41 == 0, F.lit(last)).otherwise(F.unix_seconds("ts"))
+    return events.withColumn("arrival", arrival)
+
+
+WINDOW_KEYS = ("window_start", "route")
+
+
+def finished_query(spark, sf):
+    """Finished and open windows of a stream over three files, with the late rows of each."""
+    folder, path, state = (scratch_path(spark, n) for n in ("late-events", "finished", "finished-state"))
+    as_three_files(late_events(spark, sf), folder)
+    stream = metrics.with_event_time(jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1))
+    for _ in range(2):  # a restart repeats nothing
+        windows.collect_finished(metrics.request_rate(stream, "1 hour"), path, state).awaitTermination()
+    finished = windows.finished_windows(spark, path)
+    still_open = windows.open_windows(spark, state).withColumnRenamed("count", "requests")
+    received = metrics.request_rate(requests(spark, sf), "1 hour")
+    late = windows.late_rows(received, finished, still_open, WINDOW_KEYS)
+    state_of = finished.select(*WINDOW_KEYS, F.lit("finished").alias("state")).unionByName(still_open.select(*WINDOW_KEYS, F.lit("open").alias("state")))
+    return naive(late.join(state_of, list(WINDOW_KEYS), "left"), "window_start").withColumn("state", F.coalesce("state", F.lit("late")))
+
+
+def upsert_query(spark, sf):
+    """Errors per window while three files arrive: one row a window, its newest value; late rows leave finished windows alone."""
+    folder, path, state = (scratch_path(spark, n) for n in ("late-events", "upserts", "upserts-state"))
+    as_three_files(late_events(spark, sf), folder)
+    stream = metrics.with_event_time(jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1))
+    windows.upsert_stream(metrics.error_fraction(stream, "6 hours"), ["window_start"], path, state).awaitTermination()
+    return naive(windows.current_rows(spark, path, ["window_start"]), "window_start").withColumn("error_fraction", rounded("error_fraction"))
+
+
+def quantile_stream_query(spark, sf):
+    """Quantiles of the windows that a stream over three files has finished."""
+    folder, path, state = (scratch_path(spark, n) for n in ("late-events", "quantiles", "quantiles-state"))
+    as_three_files(late_events(spark, sf), folder)
+    stream = metrics.with_event_time(jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1))
+    out = metrics.histogram_quantile(stream, length="6 hours", by=["route"])
+    windows.collect_finished(out, path, state).awaitTermination()
+    found = windows.finished_windows(spark, path)
+    return naive(found, "window_start").withColumns({c: rounded(F.col(c)) for c in ("p50", "p95", "p99")})
+
+
 def latest_query(spark, sf):
     return naive(metrics.latest_state(requests(spark, sf), "user_id", "status_code"), "last_seen")
 
@@ -117,6 +211,16 @@ def dedupe_query(spark, sf):
     return spark.read.schema("event_id bigint").parquet(path)
 
 
+def dedupe_files_query(spark, sf):
+    """Every event arrives three times, in three files: the state of the first file's ids drops the later copies."""
+    folder, path, state = (scratch_path(spark, n) for n in ("copies", "deduped", "deduped-state"))
+    events = table(spark, sf, "events").select("event_id", "ts", F.explode(F.array(*map(F.lit, range(3)))).alias("arrival"))
+    as_three_files(events, folder)
+    once = metrics.dedupe_stream(jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1), "event_id", lateness="3650 days")
+    jobs.collect_stream(once.select("event_id"), path, state, "append").awaitTermination()
+    return spark.read.parquet(path).select("event_id")
+
+
 def score_query(spark, sf):
     output, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
     centroids = centroids_of(labelled_embeddings(spark, sf))
@@ -162,9 +266,16 @@ QUERIES = {
     "lifetime_totals_stream": totals_stream_query,
     "in_progress": progress_query,
     "requests_started_stream": progress_stream_query,
+    "in_progress_stream": gauge_stream_query,
+    "in_progress_outcomes_stream": gauge_outcome_query,
+    "in_progress_outcomes": gauge_batch_query,
+    "finished_windows_stream": finished_query,
+    "error_fraction_upserts": upsert_query,
+    "histogram_quantile_stream": quantile_stream_query,
     "latest_state": latest_query,
     "bounded_labels": bounded_query,
     "dedupe_stream": dedupe_query,
+    "dedupe_stream_files": dedupe_files_query,
     "score_stream": score_query,
     "drift_stream": drift_query,
 }
@@ -187,6 +298,7 @@ def histogram_sql(keys: str) -> str:
         h AS (SELECT {keys}, le, count(*) FILTER (WHERE duration <= bound) AS cumulative FROM r, b GROUP BY ALL)"""
 
 
+SIX_HOURS = ", time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start,"
 TOTALS = f"WITH {R} SELECT route, method, count(*) AS requests FROM r GROUP BY 1, 2"
 
 
@@ -196,7 +308,47 @@ def quantile_sql(fraction: float) -> str:
     )
 
 
+# Starts, finishes and abandoned requests, up to the watermark one hour (in whole milliseconds) behind the last event.
+ENDS = f"""
+    {R},
+    ends AS (SELECT event_id, method, epoch_us(ts) AS s, CASE WHEN event_id % 97 <> 0 THEN epoch_us(ts) + CAST(round(duration * 1000000) AS BIGINT) END AS f FROM r),
+    mark AS (SELECT (greatest(max(s), max(f)) // 1000 - 3600000) * 1000 AS w FROM ends),
+    changes AS (
+      SELECT method, s AS us, 1 AS change, 'started' AS outcome FROM ends
+      UNION ALL SELECT method, f, -1, 'finished' FROM ends WHERE f IS NOT NULL
+      UNION ALL SELECT method, s + 600000000, -1, 'abandoned' FROM ends, mark WHERE f IS NULL AND s + 600000000 <= w)"""
+OUTCOMES = f"WITH {ENDS} SELECT method, outcome, count(*) AS n FROM changes GROUP BY 1, 2"
+
+
+def arrivals_sql(window: str) -> str:
+    """Rows with their file, window (6 hours or 1) and whether the watermark after the files before had passed its end."""
+    return f"""
+        {R},
+        span AS (SELECT min(epoch_us(ts) // 1000000) AS a, max(epoch_us(ts) // 1000000) AS b FROM r),
+        came AS (SELECT r.*, CASE WHEN event_id % 41 = 0 THEN b ELSE epoch_us(ts) // 1000000 END AS arrival, a, b FROM r, span),
+        first_ AS (SELECT *, min(arrival) OVER () AS earliest FROM came),
+        filed AS (SELECT *, CAST(floor((arrival - earliest) * 3 / CAST(b - earliest + 1 AS DOUBLE)) AS INTEGER) AS file,
+          time_bucket(INTERVAL {window}, ts, TIMESTAMP '1970-01-01') AS window_start FROM first_),
+        marks AS (SELECT f.file, max(epoch_us(o.ts)) // 1000 - 600000 AS w FROM (SELECT DISTINCT file FROM filed) f JOIN filed o ON o.file < f.file GROUP BY f.file),
+        judged AS (SELECT filed.*, epoch_ms(window_start + INTERVAL {window}) <= coalesce(w, 0) AS late FROM filed LEFT JOIN marks USING (file)),
+        last_ AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS w FROM r)"""
+
+
 ORACLES = {
+    "in_progress_stream": f"""
+        WITH {ENDS}, s AS (SELECT method, us, sum(change) AS d FROM changes GROUP BY 1, 2)
+        SELECT method, make_timestamp(us) AS "at", CAST(sum(d) OVER (PARTITION BY method ORDER BY us) AS BIGINT) AS in_progress FROM s""",
+    "in_progress_outcomes_stream": OUTCOMES,
+    "in_progress_outcomes": OUTCOMES,
+    "finished_windows_stream": f"""
+        WITH {arrivals_sql('1 HOUR')}
+        SELECT window_start, route, count(*) AS received, count(*) FILTER (WHERE NOT late) AS counted, count(*) FILTER (WHERE late) AS late,
+          CASE WHEN count(*) FILTER (WHERE NOT late) = 0 THEN 'late' WHEN epoch_ms(window_start + INTERVAL 1 HOUR) <= max(w) THEN 'finished' ELSE 'open' END AS state
+        FROM judged, last_ GROUP BY window_start, route""",
+    "error_fraction_upserts": f"""
+        WITH {arrivals_sql('6 HOUR')}
+        SELECT window_start, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors,
+          round(count(*) FILTER (WHERE status_code >= 400) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS error_fraction FROM judged WHERE NOT late GROUP BY 1""",
     "request_rate": RATE,
     "request_rate_stream": RATE,
     "request_rate_sliding": f"""
@@ -211,7 +363,7 @@ ORACLES = {
         WITH {R.replace(', ts,', ", date_trunc('day', ts) AS window_start,")}, {histogram_sql('window_start, route')}
         SELECT window_start, route, count, round(total, 3) + 0.0 AS duration_sum, le, cumulative FROM g JOIN h USING (window_start, route)""",
     "histogram_quantile": f"""
-        WITH {R.replace(', ts,', ", time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start,")},
+        WITH {R.replace(', ts,', SIX_HOURS)},
         b AS (SELECT bound AS high, coalesce(lag(bound) OVER (ORDER BY bound), 0) AS low FROM (VALUES {BOUNDS}) t(bound, le)),
         h AS (SELECT window_start, route, low, high, count(*) AS total, CAST(count(*) FILTER (WHERE duration <= high) AS DOUBLE) AS c,
           CAST(count(*) FILTER (WHERE duration <= low AND low > 0) AS DOUBLE) AS before FROM r, b GROUP BY 1, 2, 3, 4)
@@ -229,6 +381,7 @@ ORACLES = {
         WITH {R} SELECT CASE WHEN method = 'BREW' THEN 'OTHER' ELSE method END AS method, CASE WHEN route IN ('view', 'click', 'purchase') THEN route ELSE '__unmatched__' END AS route,
           count(*) AS n FROM r GROUP BY 1, 2""",
     "dedupe_stream": "SELECT event_id FROM events",
+    "dedupe_stream_files": "SELECT event_id FROM events",
     "score_stream": f"""
         WITH {SQL_CENTROIDS} SELECT vec_id, cluster_id, round(similarity, 6) + 0.0 AS similarity, round(margin, 6) + 0.0 AS margin FROM geometry""",
     "drift_stream": f"""
@@ -241,3 +394,5 @@ ORACLES = {
           round(sum(abs(fa - fb) * (following - value)), 6) + 0.0 AS wasserstein FROM cum GROUP BY feature""",
 }
 ORACLES["drift_stream_files"] = ORACLES["drift_stream"]
+ORACLES["histogram_quantile_stream"] = ORACLES["histogram_quantile"].replace(f"WITH {R.replace(', ts,', SIX_HOURS)}", f"""
+        WITH {arrivals_sql('6 HOUR')}, kept AS (SELECT * FROM judged, last_ WHERE NOT late AND epoch_ms(window_start + INTERVAL 6 HOUR) <= w)""").replace("FROM r, b", "FROM kept, b")

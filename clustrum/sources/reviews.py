@@ -9,6 +9,7 @@ from clustrum.functions.text import clean_text
 from clustrum.operators.cleaning import MAX_CHARACTERS, ContractError, check_reviews
 from clustrum.operators.ordering import global_index
 from clustrum.session import materialize
+from clustrum.sources.records import read_records
 
 # Columns of the raw review export.
 RAW_SCHEMA = T.StructType(
@@ -17,11 +18,51 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("texteServiceReply", "url", "dateServiceReply", "dataServiceReply")]
 )
 CSV_QUOTING = {"quote": '"', "escape": '"', "multiLine": True}
+_PARSING = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "emptyValue": "", "nullValue": "\0"}
+
+
+def _header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """The first record of the first file."""
+    top = spark.read.csv(path, header=False, sep=sep, **CSV_QUOTING).first()
+    return [(v or "").lstrip("\ufeff") for v in top] if top else []
+
+
+def read_fields(spark: SparkSession, path: str, sep: str = ",") -> tuple[list[str], DataFrame]:
+    """Header of the CSV files under `path`, and their other records as text columns `_f0`, `_f1`, ...
+
+    With `_bad` (too few or too many fields), and `_file`, `_block`, `_line` for their order. One file is read by many tasks, quoted
+    line breaks or not. Every file has to begin with the same header, once.
+    """
+    header = _header(spark, path, sep)
+    names = [f"_f{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in [*names, "_bad"])
+    fields = F.from_csv("record", schema, {**_PARSING, "sep": sep})
+    heading = F.lit(True)
+    for name, value in zip(names, header):
+        heading = heading & (F.coalesce(F.col(f"r.{name}"), F.lit("")) == value)
+    parsed = read_records(spark, path, sep).select(fields.alias("r"), "file", "block", "line").select(
+        *(F.col(f"r.{n}").alias(n) for n in names), F.col("r._bad").isNotNull().alias("_bad"), heading.alias("_heading"),
+        F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("line").alias("_line"))
+    parsed = materialize(parsed, "csv-fields")
+    headings = parsed.groupBy("_file").agg(
+        F.count_if("_heading").alias("n"), F.min_by("_heading", F.struct("_block", "_line")).alias("first")).filter("n != 1 or not first")
+    if not headings.isEmpty():
+        raise ContractError("invalid_csv_columns")
+    return header, parsed.filter(~F.col("_heading")).drop("_heading")
+
+
+def _named(header: list[str], fields: DataFrame) -> DataFrame:
+    """The columns under their names; empty fields are null."""
+    return fields.select(*(F.nullif(F.col(f"_f{i}"), F.lit("")).alias(name or f"_c{i}") for i, name in enumerate(header)))
 
 
 def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """`;`-separated export with a header, in the raw schema."""
-    return spark.read.schema(RAW_SCHEMA).csv(path, sep=";", header=True, enforceSchema=False, **CSV_QUOTING)
+    """`;`-separated export with a header, in the raw schema; the columns have to be those of the schema, in its order."""
+    header, fields = read_fields(spark, path, ";")
+    if header != RAW_SCHEMA.fieldNames():
+        raise ContractError("invalid_csv_columns")
+    rows = _named(header, fields)
+    return rows.select(*(F.expr(f"try_cast({c.name} AS {c.dataType.simpleString()})").alias(c.name) for c in RAW_SCHEMA))
 
 
 def read_reviews_strict(
@@ -34,39 +75,15 @@ def read_reviews_strict(
     """`source_row_id`, `source_row_index` (file order) and `text` of a cohort file.
 
     Refuses missing or repeated headers, short or long rows, missing or repeated ids, blank or
-    overlong texts and an empty file. Quoted line breaks are kept, so one file is one task: write
-    large cohorts as many files.
+    overlong texts and an empty file. Quoted line breaks are kept; large files are read by many tasks.
     """
-    top = spark.read.csv(path, header=False, **CSV_QUOTING).first()
-    header = [(v or "").lstrip("\ufeff") for v in top] if top else []
+    header = _header(spark, path)
     if len(set(header)) != len(header) or text_column == id_column or not {text_column, id_column} <= set(header):
         raise ContractError("invalid_csv_columns")
-    names = [f"_f{i}" for i in range(len(header))]
-    schema = ", ".join(f"{n} string" for n in [*names, "_bad"])
-    # Header lines are read as rows, so that every file of a folder is held to the same header.
-    rows = spark.read.schema(schema).csv(
-        path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", emptyValue="", nullValue="\0", **CSV_QUOTING
-    )
-    heading = F.lit(True)
-    for name, value in zip(names, header):
-        heading = heading & (F.ltrim(F.coalesce(name, F.lit("")), F.lit("\ufeff")) == value)
-    parsed = materialize(
-        rows.select(
-            F.col(names[header.index(id_column)]).alias("source_row_id"),
-            F.col(names[header.index(text_column)]).alias("text"),
-            F.col("_bad").isNotNull().alias("_bad"),
-            heading.alias("_heading"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_at"),
-        ),
-        "strict-reviews",
-    )
-    headings = parsed.groupBy("_file").agg(
-        F.count_if("_heading").alias("n"), F.min_by("_heading", "_at").alias("first")
-    ).filter("n != 1 or not first")
-    if headings.limit(1).count():
-        raise ContractError("invalid_csv_columns")
-    parsed = parsed.filter(~F.col("_heading"))
+    header, fields = read_fields(spark, path)
+    parsed = fields.select(
+        F.col(f"_f{header.index(id_column)}").alias("source_row_id"), F.col(f"_f{header.index(text_column)}").alias("text"),
+        "_bad", "_file", "_block", "_line")
     found = parsed.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("_bad").alias("shape"),
@@ -81,7 +98,7 @@ def read_reviews_strict(
         raise ContractError("empty_csv")
     if parsed.groupBy("source_row_id").count().filter("count > 1").limit(1).count():
         raise ContractError("duplicate_source_id")
-    return global_index(parsed.drop("_bad", "_heading"), ["_file", "_at"], "source_row_index").select(
+    return global_index(parsed.drop("_bad"), ["_file", "_block", "_line"], "source_row_index").select(
         "source_row_id", "source_row_index", "text"
     )
 
@@ -90,7 +107,7 @@ def read_reviews_contract(
     spark: SparkSession, path: str, id_column: str, text_column: str, expected_rows: int | None = None
 ) -> DataFrame:
     """CSV with string ids; cleaned, and refused unless it keeps the review contract."""
-    rows = spark.read.csv(path, header=True, **CSV_QUOTING)
+    rows = _named(*read_fields(spark, path))
     return check_reviews(rows, id_column, text_column, expected_rows)
 
 
@@ -122,7 +139,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_assignments(spark: SparkSession, path: str, id_column: str = "observation_id") -> DataFrame:
     """String ids and non-negative integer labels; a label that is neither stops the read."""
-    raw = spark.read.csv(path, header=True, **CSV_QUOTING)
+    raw = _named(*read_fields(spark, path))
     label = F.col("cluster_id")
     checked = F.when(label.rlike("^[0-9]+$"), label.cast("int")).otherwise(
         F.raise_error(F.lit("invalid cluster assignments")).cast("int")

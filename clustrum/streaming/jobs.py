@@ -14,6 +14,7 @@ from clustrum.operators import drift
 from clustrum.operators.cleaning import ContractError, text_features
 from clustrum.operators.cohorts import table_fingerprint
 from clustrum.operators.geometry import assignment_geometry
+from clustrum.streaming.runs import RunStore
 
 
 def read_table_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
@@ -93,8 +94,9 @@ def drift_stream(
     """Per batch: distances of all text features that have arrived so far from a frozen reference, optionally tested.
 
     `reference`: feature, value, n. It is written under `state` at the first start and its digest is part of the checked plan;
-    later starts have to bring the same one. Each batch leaves its own histogram under `state`, and the sum of those up
-    to it is compared, so the last result covers the whole stream however its files fell into batches. With
+    later starts have to bring the same one. Each batch adds its histogram to a levelled store under `state`, and all
+    that the store holds is compared, so the last result covers the whole stream however its files fell into batches, and a batch
+    reads a few merged runs instead of every earlier batch. With
     `resamples` come p-values with the Holm adjustment and both flags.
     """
     spark, kept = stream.sparkSession, os.path.join(state, "reference")
@@ -105,12 +107,13 @@ def drift_stream(
     if brought != digest:
         raise ContractError("incompatible resume: the reference changed")
     check_plan(spark, os.path.join(state, "plan"), {"reference": digest, "text": text, "resamples": resamples})
-    arrivals = os.path.join(state, "arrivals")
+    arrivals = RunStore(
+        spark, os.path.join(state, "arrivals"), lambda runs: runs.groupBy("feature", "value").agg(F.sum("n").alias("n")))
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         arrived = drift.stack_features(text_features(batch, text).withColumn("cohort", F.lit("production")))
-        write_batch(arrived.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), arrivals, batch_id)
-        so_far = spark.read.parquet(arrivals).filter(F.col("batch_id") <= batch_id)
+        arrivals.add(arrived.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), batch_id)
+        so_far = arrivals.read()
         zero = F.lit(0).cast("long")
         pooled = frozen.select("feature", "value", F.col("n").alias("a"), zero.alias("b")).unionByName(
             so_far.select("feature", "value", zero.alias("a"), F.col("n").alias("b"))

@@ -67,6 +67,6 @@ def test_intermediate_tables_go_to_the_configured_folder(spark):
     assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["written"]
     plan = lambda df: df._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" in plan(checked_broadcast(spark.range(5)))
-    assert "broadcast" not in plan(checked_broadcast(spark.range(5), max_rows=4))
+    assert "broadcast" not in plan(checked_broadcast(spark.range(5), max_bytes=4))
     with pytest.raises(ValueError):
         bounded_collect(spark.range(5), 4, "rows")
