@@ -321,7 +321,8 @@ OUTCOMES = f"WITH {ENDS} SELECT method, outcome, count(*) AS n FROM changes GROU
 
 
 def arrivals_sql(window: str) -> str:
-    """Rows with their file, window (6 hours or 1) and whether the watermark after the files before had passed its end."""
+    """Rows with their file, window (6 hours or 1) and whether it was closed to them: a batch drops rows by the watermark that the
+    batch before it went by, which comes from the files up to the second last."""
     return f"""
         {R},
         span AS (SELECT min(epoch_us(ts) // 1000000) AS a, max(epoch_us(ts) // 1000000) AS b FROM r),
@@ -329,7 +330,7 @@ def arrivals_sql(window: str) -> str:
         first_ AS (SELECT *, min(arrival) OVER () AS earliest FROM came),
         filed AS (SELECT *, CAST(floor((arrival - earliest) * 3 / CAST(b - earliest + 1 AS DOUBLE)) AS INTEGER) AS file,
           time_bucket(INTERVAL {window}, ts, TIMESTAMP '1970-01-01') AS window_start FROM first_),
-        marks AS (SELECT f.file, max(epoch_us(o.ts)) // 1000 - 600000 AS w FROM (SELECT DISTINCT file FROM filed) f JOIN filed o ON o.file < f.file GROUP BY f.file),
+        marks AS (SELECT f.file, max(epoch_us(o.ts)) // 1000 - 600000 AS w FROM (SELECT DISTINCT file FROM filed) f JOIN filed o ON o.file + 1 < f.file GROUP BY f.file),
         judged AS (SELECT filed.*, epoch_ms(window_start + INTERVAL {window}) <= coalesce(w, 0) AS late FROM filed LEFT JOIN marks USING (file)),
         last_ AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS w FROM r)"""
 
