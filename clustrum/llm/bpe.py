@@ -27,7 +27,9 @@ KEPT_WORDS = 250_000
 #: Longer ones are not kept.
 KEPT_CHARS = 64
 #: Words that are looked up at a time, characters of texts whose new words share one index, and rows taken out of a batch at a time.
-BLOCK_WORDS, BLOCK_CHARS, BATCH_ROWS = 1 << 16, 1 << 21, 500
+BLOCK_WORDS, BLOCK_CHARS, BATCH_ROWS = 1 << 18, 1 << 23, 2500
+#: Positions from which a pair is merged at all of them at once.
+FEW = 16
 
 
 #: White space that is neither a single blank nor a single line feed between other characters.
@@ -92,14 +94,108 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
+class _PairIndex:
+    """Bytes of many words as linked symbols, and of every pair that can be merged the positions where it stands."""
+
+    def __init__(self, encoder: Encoder, first: np.ndarray, ends: np.ndarray):
+        n = len(first)
+        self.encoder, self.symbols = encoder, encoder.single_ids[first]
+        self.following, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.following[ends - 1] = -1
+        self.before[ends[:-1]] = -1
+        self.views = tuple(map(memoryview, (self.symbols, self.following, self.before)))
+        ranks = encoder.byte_ranks[first[:-1], first[1:]]
+        ranks[ends[:-1] - 1] = -1
+        self.places: dict[int, list] = {}
+        self.active: list[int] = []
+        self._add(ranks, np.arange(n - 1, dtype=np.int32))
+
+    def _add(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Adds positions to the lists of the ranks of the pairs that stand there; rank -1 is no pair to merge."""
+        some = ranks >= 0
+        ranks, places = ranks[some], places[some]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        bounds = [0, *cuts.tolist(), len(ranks)]
+        for rank, start, end in zip(ranks[np.concatenate([[0], cuts])].tolist(), bounds, bounds[1:]):
+            self._list(rank).append(places[start:end])
+
+    def _list(self, rank: int) -> list:
+        if rank not in self.places:
+            self.places[rank] = []
+            heapq.heappush(self.active, rank)
+        return self.places[rank]
+
+    def apply(self, rank: int) -> None:
+        """Merges a pair at all its positions; where it overlaps itself, the one further left takes the token."""
+        lists = self.places.pop(rank)
+        if len(lists) == 1:
+            at = lists[0]
+        else:
+            at = np.concatenate(lists)
+        if len(at) < FEW:
+            self._one_by_one(rank, sorted(set(at.tolist())))
+            return
+        left, right, new = self.encoder.pairs[rank]
+        symbols, following, before = self.symbols, self.following, self.before
+        at = np.unique(at) if len(lists) > 1 or left == right else at
+        at = at[symbols[at] == left]
+        after = following[at]
+        stands = (after >= 0) & (symbols[after] == right)
+        at, after = at[stands], after[stands]
+        if left == right and len(at):
+            # In a run of overlapping pairs every second one stays.
+            begins = np.concatenate([[True], at[1:] != after[:-1]])
+            number = np.arange(len(at))
+            stays = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+            at, after = at[stays], after[stays]
+        symbols[at], symbols[after] = new, -1
+        after = following[after]
+        following[at] = after
+        goes_on = after >= 0
+        before[after[goes_on]] = at[goes_on]
+        self._add(self.encoder.ranks_after(new, symbols[after[goes_on]]), at[goes_on])
+        front = before[at]
+        front = front[front >= 0]
+        self._add(self.encoder.ranks_before(new, symbols[front]), front)
+
+    def _one_by_one(self, rank: int, places: list[int]) -> None:
+        left, right, new = self.encoder.pairs[rank]
+        symbols, following, before = self.views
+        rank_of = self.encoder.rank.get
+        for at in places:
+            after = following[at]
+            if symbols[at] != left or after < 0 or symbols[after] != right:
+                continue
+            symbols[at], symbols[after] = new, -1
+            after = following[at] = following[after]
+            front = before[at]
+            if after >= 0:
+                before[after] = at
+                found = rank_of((new, symbols[after]))
+                if found is not None:
+                    self._list(found).append(np.array([at], np.int32))
+            if front >= 0:
+                found = rank_of((symbols[front], new))
+                if found is not None:
+                    self._list(found).append(np.array([front], np.int32))
+
+
 class Encoder:
     """The encoder and decoder of one task, made from `read_vocabulary`."""
 
     def __init__(self, vocabulary: dict):
         self.pairs, self.bytes, self.singles = vocabulary["pairs"], vocabulary["bytes"], vocabulary["singles"]
         self.rank = {(a, b): rank for rank, (a, b, _) in enumerate(self.pairs)}
-        self.single_ids = np.array(self.singles)
-        self.byte_ranks = np.array([[self.rank.get((a, b), -1) for b in self.singles] for a in self.singles])
+        self.single_ids = np.array(self.singles, np.int32)
+        self.byte_ranks = np.array([[self.rank.get((a, b), -1) for b in self.singles] for a in self.singles], np.int32)
+        # Of every token the tokens that it merges with, on either side, and the ranks.
+        sides = np.array(self.pairs, np.int32).reshape(-1, 3)
+        self.partners = [self._partners(sides[:, own], sides[:, other]) for own, other in ((0, 1), (1, 0))]
+        self.scratch = np.full(max(self.bytes) + 1, -1, np.int32)
         self.specials = vocabulary["specials"]
         longest = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
@@ -114,62 +210,43 @@ class Encoder:
         self.line_feed = self._packed(self.merged(["\n"])[0])
 
     @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, np.int32).tobytes()
+    def _packed(ids) -> bytes:
+        return np.asarray(ids, np.int32).tobytes()
+
+    @staticmethod
+    def _partners(own: np.ndarray, other: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(own, kind="stable").astype(np.int32)
+        starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        return {int(own[r[0]]): (other[r], r) for r in np.split(order, starts[1:]) if len(r)}
+
+    def _ranks(self, side: int, token: int, others: np.ndarray) -> np.ndarray:
+        if token not in self.partners[side]:
+            return np.full(len(others), -1, np.int32)
+        tokens, ranks = self.partners[side][token]
+        self.scratch[tokens] = ranks
+        found = self.scratch[others]
+        self.scratch[tokens] = -1
+        return found
+
+    def ranks_after(self, token: int, others: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of `token` with each of `others` after it, -1 where they do not merge."""
+        return self._ranks(0, token, others)
 
-    def merged(self, words: list[str]) -> list[list[int]]:
+    def ranks_before(self, token: int, others: np.ndarray) -> np.ndarray:
+        return self._ranks(1, token, others)
+
+    def merged(self, words: list[str]) -> list[np.ndarray]:
         """Tokens of each word, by one pair index over all of them."""
         if not words:
             return []
         data = [w.encode() for w in words]
         ends = np.cumsum([len(d) for d in data])
         first = np.frombuffer(b"".join(data), np.uint8)
-        n, rank_of, pairs = len(first), self.rank.get, self.pairs
-        links = np.arange(1, n + 1)
-        links[ends - 1] = -1
-        behind = np.arange(-1, n - 1)
-        behind[ends[:-1]] = -1
-        # Positions by the rank of the pair that begins there, ascending.
-        ranks = self.byte_ranks[first[:-1], first[1:]]
-        ranks[ends[:-1] - 1] = -1
-        order = np.argsort(ranks, kind="stable")
-        order = order[np.searchsorted(ranks[order], 0):]
-        found, starts = np.unique(ranks[order], return_index=True)
-        places = dict(zip(found.tolist(), (p.tolist() for p in np.split(order, starts[1:])))) if len(order) else {}
-        symbols, following, before = self.single_ids[first].tolist(), links.tolist(), behind.tolist()
-        active = list(places)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            left, right, new = pairs[rank]
-            # Where a pair overlaps itself, the one further left takes the token.
-            for at in sorted(places.pop(rank)) if left == right else places.pop(rank):
-                after = following[at]
-                if symbols[at] != left or after < 0 or symbols[after] != right:
-                    continue
-                symbols[at], symbols[after] = new, -1
-                after = following[at] = following[after]
-                front = before[at]
-                if after >= 0:
-                    before[after] = at
-                    found = rank_of((new, symbols[after]))
-                    if found is not None:
-                        if found not in places:
-                            places[found] = []
-                            heapq.heappush(active, found)
-                        places[found].append(at)
-                if front >= 0:
-                    found = rank_of((symbols[front], new))
-                    if found is not None:
-                        if found not in places:
-                            places[found] = []
-                            heapq.heappush(active, found)
-                        places[found].append(front)
-        out, start = [], 0
-        for end in ends.tolist():
-            out.append([s for s in symbols[start:end] if s >= 0])
-            start = end
-        return out
+        index = _PairIndex(self, first, ends)
+        while index.active:
+            index.apply(heapq.heappop(index.active))
+        left = index.symbols >= 0
+        return np.split(index.symbols[left], np.cumsum(left)[ends - 1][:-1])
 
     def word_blocks(self, text: str) -> Iterator[list[str]]:
         """Blocks of the words of a text without special tokens, in order."""
@@ -187,6 +264,23 @@ class Encoder:
         known = self._known(self.known, {w for text in split for block in text for w in block}, lambda new: map(self._packed, self.merged(new)))
         return [b"".join(b"".join(map(known.__getitem__, block)) for block in text) for text in split]
 
+    def piece_tokens(self, pieces: list[str], blank: str) -> list[bytes]:
+        """Tokens of pieces without white space, each with the blank before it.
+
+        They go through the word pattern as lines of one text: a line feed between them is a word of its own, and stands for
+        the ends of the pieces among the tokens.
+        """
+        out: list[bytes] = []
+        end = b"\xff" * 4
+        for start in range(0, len(pieces), BLOCK_WORDS):
+            lines = "\n".join([blank + p for p in pieces[start:start + BLOCK_WORDS]])
+            words = (self.words_late if self.beyond and self.beyond.search(lines) and self.late.search(lines) else self.words).findall(lines)
+            known = self._known(self.known, set(words) - {"\n"}, lambda new: map(self._packed, self.merged(new)))
+            # No token has four bytes of 255: their highest byte is 0.
+            tokens = [end if w == "\n" else known[w] for w in words]
+            out += b"".join(tokens).split(end) if tokens else []
+        return out
+
     @staticmethod
     def _known(kept: dict[str, bytes], wanted: set[str], find: Callable) -> dict[str, bytes]:
         """`kept` with the tokens of all that is wanted; what is new and short stays in it while there is room."""
@@ -207,9 +301,9 @@ class Encoder:
         stands beside them.
         """
         split = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        start = self._known(self.at_start, {line[0] for text in split for line in text}, self.word_tokens)
+        start = self._known(self.at_start, {line[0] for text in split for line in text}, lambda new: self.piece_tokens(new, ""))
         after = {p for text in split for line in text for p in itertools.islice(line, 1, None)}
-        blank = self._known(self.after_blank, after, lambda new: self.word_tokens([" " + p for p in new])).__getitem__
+        blank = self._known(self.after_blank, after, lambda new: self.piece_tokens(new, " ")).__getitem__
         return [
             self.line_feed.join([start[line[0]] + b"".join(map(blank, itertools.islice(line, 1, None))) for line in text]) for text in split]
 
