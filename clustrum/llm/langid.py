@@ -28,12 +28,11 @@ BLOCK_ROWS = 256
 #: A text is rejected beyond this quantile of its centroid's labelled distances, widened by half the rest of the way to 1.
 REJECT_QUANTILE = 0.999
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def gram_counts(text: str) -> np.ndarray:

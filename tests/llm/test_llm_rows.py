@@ -125,6 +125,7 @@ def test_language_of_edge_rows(spark):
     assert sorted(r.lang_pred for r in rows if r.score == 0 and r.rejected and r.lang_pred == "und") == ["und"] * 4
     odd = [r for r in rows if r.doc_id == 8]
     assert odd[0].lang_pred in ("en", "de", "und")
+    assert [langid.has_letter(t) for t in ("½ ²", "①", "Ⅷ", "〇", "12 _", "1 é", "日", "ʰ")] == [False] * 5 + [True] * 3
     unlabelled = langid.predict_language(docs_of(spark, [(1, "text")], None)).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
     assert langid.predict_language(docs_of(spark, [])).count() == 0
@@ -167,6 +168,53 @@ def test_surrogates_never_meet(spark):
     assert len(set(drawn)) == len(names) and not set(drawn) & set(surrogates)
 
 
+def test_full_classes_of_addresses_end_in_a_few_rounds(spark):
+    # Every address of 192.168.d.d, half of 10.d.d.d, and more telephone numbers than their narrow class holds apart at once.
+    addresses = [f"192.168.{a}.{b}" for a in range(10) for b in range(10)] + [f"10.{i // 100}.{i // 10 % 10}.{i % 10}" for i in range(500)]
+    entities = spark.createDataFrame([("ip", a) for a in addresses], "kind string, normal string")
+    redrawn = {(r.kind, r.normal): r.attempt for r in pii.redrawn_entities(entities, b"key").collect()}
+    drawn = [pii.surrogate(b"key", "ip", a, redrawn.get(("ip", a), 0)) for a in addresses]
+    assert len(set(drawn)) == len(addresses) and not set(drawn) & set(addresses)
+    assert max(redrawn.values()) < 12 and all(d.startswith(a.split(".")[0] + ".") for a, d in zip(addresses, drawn))
+    assert re.fullmatch("fd([0-9a-f]{2}:)([0-9a-f]{4}:){6}[0-9a-f]{4}", pii.surrogate(b"key", "ip", "10.0.0.1", 20))
+    for kind, normal in (("phone", "+33612345678"), ("ssn", "078051120"), ("card", "4111111111111111"), ("iban", "GB82WEST12345698765432")):
+        assert len(pii.surrogate(b"key", kind, normal, 20)) > len(normal) == len(pii.surrogate(b"key", kind, normal, 15))
+
+
+def test_mentions_of_a_name_belong_together():
+    text = "Mr John Smith called. John Smith came. Mr Smith left, Smithson stayed. Mrs Smith and Ms Anna Smith; Herr Ben Smith, Mr Smith."
+    found = [(text[a:b], kind, normal) for a, b, kind, normal in pii.find_entities(text)]
+    assert found == [
+        ("John Smith", "male", "john smith"), ("John Smith", "male", "john smith"), ("Smith", "male", "smith"), ("Smith", "female", "anna smith"),
+        ("Anna Smith", "female", "anna smith"), ("Ben Smith", "male", "ben smith"), ("Smith", "male", "smith")]
+    changed, _ = pii.rewrite(b"key", "Mr John Smith called. John Smith came. Mr Smith left.", {})
+    new = pii.surrogate(b"key", "male", "john smith").title()
+    assert changed == f"Mr {new} called. {new} came. Mr {new.split()[1]} left."
+
+
+def test_country_codes_and_national_layouts():
+    for number, code in (("+33612345678", "+33"), ("+1 212 555 0199", "+1"), ("+351 912 345 678", "+351")):
+        changed, types = pii.rewrite(b"key", number, {})
+        assert changed.startswith(code) and types == ["phone"] and changed != number and len(changed) == len(number)
+    for number in ("06 12 34 56 78", "0612345678", "020 7946 0958", "030 12345678", "555 123 4567", "06-12-34-56-78"):
+        assert [e[2] for e in pii.find_entities(f"call {number}, please")] == ["phone"], number
+    for other in ("0.12345678", "1234567890123 units", "2024-01-02", "page 12 of 345", "10,000,000", "003", "0,123 456 7890 123"):
+        assert not [e for e in pii.find_entities(other) if e[2] == "phone"], other
+
+
+def test_men_and_women_share_one_space_of_names(spark):
+    names = [f"{t} {a}{b}" for a in "BCDFGHKLM" for b in "aeiou" for t in ("Mr", "Mrs")]
+    rows = [(i, n) for i, n in enumerate(names)]
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs_of(spark, rows), b"key").collect()}
+    drawn = [got[i].split(" ")[1] for i in range(len(names))]
+    assert len(set(drawn)) == len(names)
+
+
+def test_letters_that_change_length_in_small_stay_whole():
+    changed, types = pii.rewrite(b"key", "Mrs İpek Şen left", {})
+    assert types == ["female"] and changed.endswith(" left") and len(changed) == len("Mrs İpek Şen left")
+
+
 def test_personal_data_of_edge_rows(spark):
     rows = EDGES + [(9, "mail me@x.org"), (9, "mail me@x.org")]
     got = pii.replace_entities(docs_of(spark, rows), b"key").collect()
