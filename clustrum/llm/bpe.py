@@ -7,6 +7,7 @@ a later rank, so one pass over the active ranks gives each word the tokens that
 """
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import json
@@ -19,15 +20,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Words, pieces after a blank, and pieces at the start of a line whose tokens a task keeps, the first of each; later ones are
 #: merged anew where they come again. Speed only.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Longer ones are not kept.
 KEPT_CHARS = 64
 #: Words that are looked up at a time, characters of texts whose new words share one index, and rows taken out of a batch at a time.
-BLOCK_WORDS, BLOCK_CHARS, BATCH_ROWS = 1 << 18, 1 << 23, 2500
+BLOCK_WORDS, BLOCK_CHARS, BATCH_ROWS = 1 << 17, 1 << 22, 1000
 #: Positions from which a pair is merged at all of them at once.
 FEW = 16
 
@@ -385,10 +385,21 @@ def decode(encoded: DataFrame, vocabulary: dict, key: str = "doc_id", ids: str =
 
 
 def round_trip(df: DataFrame, vocabulary: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the ids in decimal, joined by commas, and of their text."""
-    encoded = encode(df, vocabulary, key, text)
-    decoded = _per_task(encoded.withColumn("again", F.col("ids")), vocabulary, _texts, "text", pa.string(), "string")
-    digest = lambda column: F.sha2(column.cast("binary"), 256)
-    return decoded.select(
-        key, F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        digest(F.col("text")).alias("decoded_sha256"))
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the ids in decimal, joined by commas, and of the text that they decode
+    to. One pass, in which the ids stay in the task that made them; nulls and repeats as in `encode`."""
+    shipped, kind = df.sparkSession.sparkContext.broadcast(vocabulary), dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shipped.value)
+        decimal = list(map(str, range(max(encoder.bytes) + 1))).__getitem__
+        digest = lambda content: hashlib.sha256(content.encode("utf-8")).hexdigest()
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
+            made = []
+            for ids in map(np.ndarray.tolist, encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+                made.append((len(ids), digest(",".join(map(decimal, ids))), digest(encoder.decode(ids))))
+            columns = zip(*made) if made else ([], [], [])
+            yield pa.record_batch(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string())))],
+                [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -66,11 +66,13 @@ def word_by_word(pairs, symbols):
     return symbols
 
 
-def test_the_pair_index_equals_merging_word_by_word(vocabulary):
+@pytest.mark.parametrize("few", [0, 16, 10 ** 9])
+def test_the_pair_index_equals_merging_word_by_word(monkeypatch, vocabulary, few):
+    monkeypatch.setattr(bpe, "FEW", few)
     rng = random.Random(3)
     encoder = bpe.Encoder(vocabulary)
     words = ["".join(rng.choice("aabhetn oé") for _ in range(rng.randrange(1, 40))) for _ in range(300)] + ["a" * k for k in range(1, 20)]
-    assert encoder.merged(words) == [word_by_word(vocabulary["pairs"], [vocabulary["singles"][b] for b in w.encode()]) for w in words]
+    assert [t.tolist() for t in encoder.merged(words)] == [word_by_word(vocabulary["pairs"], [vocabulary["singles"][b] for b in w.encode()]) for w in words]
     assert encoder.merged([]) == []
 
 
