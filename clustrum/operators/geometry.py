@@ -22,7 +22,8 @@ from clustrum.operators.cleaning import ContractError
 from clustrum.operators.cohorts import fingerprint_columns
 from clustrum.operators.ordering import describe
 from clustrum.operators.sampling import fixed_sample
-from clustrum.session import bounded_collect
+from clustrum.operators.tiles import TILE_ROWS, worst_ratios
+from clustrum.session import bounded_collect, checked_broadcast, materialize
 
 MAX_CLUSTERS = 100_000
 GEOMETRY_FRACTIONS = (0, 0.05, 0.5, 0.95, 1)
@@ -243,112 +244,88 @@ def silhouette_cosine(df: DataFrame, vector: str = "embedding", label: str = "cl
     groups = list(groups)
     assigned = df.filter(F.col(label) >= 0)
     sums = (
-        assigned.withColumn("_v", as_vector(vector)).groupBy(*groups, F.col(label).alias("_label"))
+        assigned.withColumn("_v", as_vector(vector)).groupBy(*groups, F.col(label).cast("long").alias("_label"))
         .agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("vector_sum"))
     )
-    model = bounded_collect(sums, MAX_CLUSTERS, "clusters")
-    numbers = {}
-    for key in sorted({tuple(r[g] for g in groups) for r in model}):
-        numbers[key] = len(numbers)
-    tables = [{} for _ in numbers]
-    for r in model:
-        tables[numbers[tuple(r[g] for g in groups)]][r["_label"]] = (r.n, np.array(r.vector_sum))
-    scored = _silhouette_rows(assigned, vector, label, groups, numbers, tables)
-    valid = {k: 2 <= len(tables[i]) < sum(n for n, _ in tables[i].values()) for k, i in numbers.items()}
-    total = scored.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("silhouette_n_samples"), F.avg("_score").alias("_mean")
-    )
-    known = F.lit(False)
-    for key, defined in valid.items():
-        if defined:
-            match = F.lit(True)
-            for g, v in zip(groups, key):
-                match = match & (F.col(g) == F.lit(v))
-            known = known | match
-    return total.select(*groups, F.when(known, F.col("_mean")).alias("silhouette_cosine"), "silhouette_n_samples")
-
-
-def _silhouette_rows(df, vector, label, groups, numbers, tables):
-
-
-    prepared = []
-    for table in tables:
-        labels = np.array(sorted(table))
-        counts = np.array([table[x][0] for x in labels], dtype=np.float64)
-        prepared.append((labels, counts, np.stack([table[x][1] for x in labels])))
-
-    def score(number: int, matrix: np.ndarray, given: np.ndarray) -> np.ndarray:
-        labels, counts, sums = prepared[number]
-        if len(labels) < 2:
-            return np.zeros(len(given))
-        products = matrix @ sums.T
-        own = np.searchsorted(labels, given)
-        rows = np.arange(len(given))
-        means = 1 - products / counts
-        size = counts[own]
-        # The own cluster leaves the row itself out; its distance to itself is zero.
-        lengths = (matrix * matrix).sum(axis=1)
-        inside = (size - 1 - (products[rows, own] - lengths)) / np.maximum(size - 1, 1)
-        means[rows, own] = np.inf
-        nearest = means.min(axis=1)
-        top = np.maximum(inside, nearest)
-        return np.where((size > 1) & (top > 0), (nearest - inside) / np.where(top > 0, top, 1), 0.0)
-
-    @F.arrow_udf("double")
-    def silhouette(vectors: pa.Array, given: pa.Array, group: pa.Array) -> pa.Array:
-        matrix, given = stacked_rows(vectors), given.to_numpy(zero_copy_only=False)
-        group = group.to_numpy(zero_copy_only=False)
-        out = np.zeros(len(given))
-        for number in np.unique(group):
-            chosen = group == number
-            out[chosen] = score(int(number), matrix[chosen], given[chosen])
-        return pa.array(out)
-
     if groups:
-        number = F.lit(0)
-        for key, i in numbers.items():
-            match = F.lit(True)
-            for g, v in zip(groups, key):
-                match = match & (F.col(g) == F.lit(v))
-            number = F.when(match, F.lit(i)).otherwise(number)
-    else:
-        number = F.lit(0)
-    return df.withColumn("_score", silhouette(vector, F.col(label).cast("long"), number.cast("int")))
-
-
-def davies_bouldin(df: DataFrame, vector: str = "embedding", label: str = "cluster_id") -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d_ij, Euclidean, over assigned rows."""
-    assigned = df.filter(F.col(label) >= 0)
-    means = centroids_of(assigned, vector, label, unit=False)
-    table = {r.cluster_id: np.array(r.centroid) for r in bounded_collect(means, MAX_CLUSTERS, "clusters")}
-    labels = sorted(table)
-    if not labels:
-        return df.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) AS davies_bouldin")
-    matrix = np.stack([table[x] for x in labels])
-    spread = assigned.withColumn(
-        "_d", _distance_to_own(vector, label, labels, matrix)
-    ).groupBy(F.col(label).alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("s"))
-    rows = {r.cluster_id: (r.n, r.s) for r in spread.collect()}
-    value = None
-    if 2 <= len(labels) < sum(n for n, _ in rows.values()):
-        s = np.array([rows[x][1] for x in labels])
-        gaps = np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
-        gaps[gaps == 0] = np.inf
-        value = float(((s[:, None] + s[None, :]) / gaps + np.diag([-np.inf] * len(labels))).max(axis=1).mean())
-    return df.sparkSession.createDataFrame([(value,)], "davies_bouldin double")
-
-
-def _distance_to_own(vector, label, labels, matrix) -> Column:
-
-
-    known = np.array(labels)
+        return _silhouette_of_groups(assigned, materialize(sums, "cluster-sums"), vector, label, groups)
+    model = {r["_label"]: (r.n, r.vector_sum) for r in bounded_collect(sums, MAX_CLUSTERS, "clusters")}
+    labels = np.array(sorted(model))
+    counts = np.array([model[x][0] for x in labels], dtype=np.float64)
+    table = np.array([model[x][1] for x in labels], dtype=np.float64)
+    defined = 2 <= len(labels) < counts.sum()
 
     @F.arrow_udf("double")
-    def distance(vectors: pa.Array, given: pa.Array) -> pa.Array:
-        own = matrix[np.searchsorted(known, given.to_numpy(zero_copy_only=False))]
-        return pa.array(np.sqrt(((stacked_rows(vectors) - own) ** 2).sum(axis=1)))
-
-    return distance(vector, F.col(label).cast("long"))
+    def silhouette(vectors: pa.Array, given: pa.Array) -> pa.Array:
+        return pa.array(_silhouette_scores(stacked_rows(vectors), given.to_numpy(zero_copy_only=False), labels, counts, table))
+
+    score = silhouette(vector, F.col(label).cast("long")) if defined else F.lit(None).cast("double")
+    total = assigned.agg(F.count(F.lit(1)).alias("silhouette_n_samples"), F.avg(score).alias("silhouette_cosine"))
+    return total.select("silhouette_cosine", "silhouette_n_samples")
+
+
+def _silhouette_scores(matrix: np.ndarray, given: np.ndarray, labels: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Silhouette of unit rows with labels `given`, from the sums and sizes of at least two clusters (`labels`, ascending)."""
+    products = matrix @ sums.T
+    own = np.searchsorted(labels, given)
+    rows = np.arange(len(given))
+    means = 1 - products / counts
+    size = counts[own]
+    # The own cluster leaves the row itself out; its distance to itself is zero.
+    lengths = (matrix * matrix).sum(axis=1)
+    inside = (size - 1 - (products[rows, own] - lengths)) / np.maximum(size - 1, 1)
+    means[rows, own] = np.inf
+    nearest = means.min(axis=1)
+    top = np.maximum(inside, nearest)
+    return np.where((size > 1) & (top > 0), (nearest - inside) / np.where(top > 0, top, 1), 0.0)
+
+
+#: Rows of a group that meet its model in one task.
+GROUP_ROWS = 100_000
+
+
+def _silhouette_of_groups(assigned: DataFrame, sums: DataFrame, vector: str, label: str, groups: list[str]) -> DataFrame:
+    """`silhouette_cosine` per group: the rows of a group, in parts, meet the sums of its clusters in a cogroup. However many
+    groups there are, a task holds one part and one group's model."""
+    key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}).alias("_key")
+    keyed = sums.select(key, "_label", "n", "vector_sum")
+    sizes = keyed.groupBy("_key").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+    sizes = checked_broadcast(sizes.withColumn("parts", F.ceil(F.col("rows") / GROUP_ROWS).cast("int")))
+    model = keyed.join(sizes, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "_key", "_part", "_label", "n", "vector_sum")
+    rows = assigned.select(key, F.col(label).cast("long").alias("_label"), F.col(vector).cast("array<double>").alias("_v")).join(sizes, "_key")
+    rows = rows.select("_key", F.pmod(F.xxhash64("_v", "_label"), F.col("parts")).cast("int").alias("_part"), "_label", "_v")
+
+    def score(part: pa.Table, clusters: pa.Table) -> pa.Table:
+        total = 0.0
+        if part.num_rows and clusters.num_rows > 1:
+            clusters = clusters.sort_by("_label")
+            known = clusters["_label"].to_numpy(), clusters["n"].to_numpy().astype(np.float64), stacked_rows(clusters["vector_sum"].combine_chunks())
+            total = _silhouette_scores(stacked_rows(part["_v"].combine_chunks()), part["_label"].to_numpy(), *known).sum()
+        named = part if part.num_rows else clusters
+        return pa.table({"_key": named["_key"].slice(0, 1), "total": pa.array([float(total)])})
+
+    scored = rows.groupBy("_key", "_part").cogroup(model.groupBy("_key", "_part")).applyInArrow(score, "_key string, total double")
+    names = sums.select(key, *groups).dropDuplicates(["_key"])
+    found = scored.groupBy("_key").agg(F.sum("total").alias("total")).join(sizes, "_key").join(checked_broadcast(names), "_key")
+    defined = F.col("clusters").between(2, F.col("rows") - 1)
+    return found.select(*groups, F.when(defined, F.col("total") / F.col("rows")).alias("silhouette_cosine"), F.col("rows").alias("silhouette_n_samples"))
+
+
+def davies_bouldin(df: DataFrame, vector: str = "embedding", label: str = "cluster_id", tile: int = TILE_ROWS) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / d_ij, Euclidean, over assigned rows; null unless 2 <= clusters < rows.
+
+    Centroids are compared tile by tile on the executors, however many clusters there are.
+    """
+    assigned = df.filter(F.col(label) >= 0).select(F.col(label).alias("cluster_id"), F.col(vector).cast("array<double>").alias("_x"))
+    means = checked_broadcast(centroids_of(assigned, "_x", "cluster_id", unit=False))
+    gap = F.sqrt(F.aggregate(F.zip_with("_x", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x))
+    spread = assigned.join(means, "cluster_id").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(gap).alias("s"), F.first("centroid").alias("v"))
+    clusters = materialize(spread.select(F.col("cluster_id").cast("long").alias("row"), "v", "s", "n"), "cluster-spread")
+    sizes = clusters.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"))
+    worst = worst_ratios(clusters.select("row", "v", "s"), tile).agg(F.avg("worst").alias("worst"))
+    return worst.crossJoin(sizes).select(F.when(F.col("k").between(2, F.col("rows") - 1), F.col("worst")).alias("davies_bouldin"))
 
 
 def box_summary(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:

@@ -1,30 +1,75 @@
 """Naming clusters: class TF-IDF keywords and plain term frequencies."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.text import FRENCH_STOP_WORDS, clean_text, stop_tokens, tokens, unigrams_and_bigrams
+from clustrum.functions.text import FRENCH_STOP_WORDS, WORD_PATTERN, clean_text, stop_tokens, tokens
 from clustrum.session import checked_broadcast, materialize
 
 # Verbs left out of word clouds.
 CLOUD_STOP_WORDS = ("être", "avoir", "faire", "dire", "aller", "voir", "pouvoir")
 
 
+#: Characters of texts whose terms a task counts at a time.
+BLOCK_CHARS = 1 << 22
+
+
+class _WordNumbers(dict):
+    """Numbers of words in the order in which they come; stop words have -1."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _folded_terms(clusters: pa.Array, texts: list[str], stop: Iterable[str]) -> pa.RecordBatch:
+    """(cluster, term, tf) of the words and neighbouring pairs of lower-case texts, one row per cluster and term."""
+    numbers = _WordNumbers.fromkeys(stop, -1)
+    find = regex.compile(WORD_PATTERN).findall
+    rows = [np.fromiter(map(numbers.__getitem__, find(t)), np.int64) for t in texts]
+    ids, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ids, row = ids[ids >= 0], row[ids >= 0]
+    # Clusters by number; the first row of each stands for its value.
+    coded = clusters.dictionary_encode()
+    code, width, words = coded.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64), np.int64(len(numbers)), list(numbers)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    keys, counts = np.unique(code * width + ids, return_counts=True)
+    pairs, pair_counts = np.unique((code[pair] * width + ids[pair]) * width + ids[pair + 1], return_counts=True)
+    second, first, owner = pairs % width, pairs // width % width, pairs // width // width
+    terms = [words[i] for i in (keys % width).tolist()]
+    terms += [f"{words[i]} {words[j]}" for i, j in zip(first.tolist(), second.tolist())]
+    owners = np.concatenate([keys // width, owner])
+    return pa.record_batch(
+        [coded.dictionary.take(pa.array(owners)), pa.array(terms, pa.string()), pa.array(np.concatenate([counts, pair_counts]))], ["cluster", "term", "tf"])
+
+
 def term_counts(
     df: DataFrame, text: str = "text", label: str = "cluster_id", stop_words: Iterable[str] = FRENCH_STOP_WORDS
 ) -> DataFrame:
-    """Counts of words and word pairs per cluster; noise and blank texts are left out."""
-    kept = df.filter(F.col(label) >= 0).select(F.col(label).alias("cluster"), clean_text(text).alias("_t"))
-    words = tokens(F.col("_t"), stop_tokens(stop_words))
-    return (
-        kept.filter(F.col("_t") != "")
-        .select("cluster", words.alias("_w"))
-        .select("cluster", F.explode(unigrams_and_bigrams(F.col("_w"))).alias("term"))
-        .groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """Counts of words and word pairs per cluster; noise and blank texts are left out.
+
+    Pairs are neighbours among the words that are no stop words. Each task counts its terms as numbers of words, block by
+    block, and sends one row per cluster and term.
+    """
+    kept = df.filter(F.col(label) >= 0).select(F.col(label).alias("cluster"), F.lower(clean_text(text)).alias("_t")).filter("_t <> ''")
+    stop = stop_tokens(stop_words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                yield _folded_terms(part.column(0), part.column(1).to_pylist(), stop)
+
+    return kept.mapInArrow(count, f"cluster {dict(kept.dtypes)['cluster']}, term string, tf long").groupBy("cluster", "term").agg(F.sum("tf").alias("tf"))
 
 
 def ctfidf_keywords(

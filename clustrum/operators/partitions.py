@@ -146,7 +146,7 @@ def check_same_sample(runs: DataFrame, columns: Sequence[str] = ("observation_id
     """Raises unless all runs used the same observations and the same score sample."""
     found = runs.agg(*(F.count_distinct(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns)).first()
     if any(found[c] > 1 for c in columns):
-        raise ValueError("all configurations must use identical observations and samples")
+        raise ValueError(f"runs differ in {', '.join(c for c in columns if found[c] > 1)}")
     return runs
 
 

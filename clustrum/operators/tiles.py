@@ -65,6 +65,35 @@ def distance_sums(rows: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
     return sums.groupBy("row", "label", "cluster").agg(F.sum("total").alias("total"))
 
 
+def worst_ratios(clusters: DataFrame, tile: int = TILE_ROWS) -> DataFrame:
+    """(row, worst): of each cluster the largest (s_i + s_j) / d_ij over all others, d the distance of their centres; 0 for equal centres.
+
+    `clusters`: row (unique), v (centre), s. Tiles of centres meet in tasks; no table of all pairs is formed anywhere.
+    """
+    blocks = max(1, -(-clusters.count() // tile))
+
+    def compare(pair: pa.Table) -> pa.Table:
+        blocks_of = pair["block"].to_numpy()
+        sides = [pair.filter(pa.array(blocks_of == b)).combine_chunks() for b in dict.fromkeys((pair["low"][0].as_py(), pair["high"][0].as_py()))]
+        if any(s.num_rows == 0 for s in sides):
+            return empty
+        vectors, spread = ([f(s) for s in sides] for f in (lambda s: stacked_rows(s["v"].combine_chunks()), lambda s: s["s"].to_numpy()))
+        worst = [np.full(s.num_rows, -np.inf) for s in sides]
+        for start in range(0, len(vectors[0]), STRIP_ROWS):
+            strip = slice(start, start + STRIP_ROWS)
+            d = distances(vectors[0][strip], vectors[-1])
+            ratio = (spread[0][strip][:, None] + spread[-1]) / np.where(d == 0, np.inf, d)
+            if len(sides) == 1:
+                at = np.arange(len(ratio))
+                ratio[at, at + start] = -np.inf
+            worst[0][strip] = np.maximum(worst[0][strip], ratio.max(axis=1))
+            worst[-1] = np.maximum(worst[-1], ratio.max(axis=0))
+        return pa.concat_tables([pa.table({"row": s["row"], "worst": pa.array(w)}) for s, w in zip(sides, worst)])
+
+    empty = pa.table({"row": pa.array([], pa.int64()), "worst": pa.array([], pa.float64())})
+    return tile_pairs(clusters, blocks).groupBy("low", "high").applyInArrow(compare, "row long, worst double").groupBy("row").agg(F.max("worst").alias("worst"))
+
+
 def silhouette_euclidean(
     df: DataFrame, id_column: str, vector: str, label: str = "cluster_id", sample_rows: int | None = None, seed: int = 42, tile: int = TILE_ROWS,
 ) -> DataFrame:

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,11 +19,15 @@ def ks(a, b):
     return max(abs(np.mean(np.array(a) <= v) - np.mean(np.array(b) <= v)) for v in support)
 
 
-def test_identical_and_shifted_samples(spark):
-    same = drift.permutation_ks(histogram(spark, [5] * 30, [5] * 30), 199).first()
-    assert (same.statistic, same.p_value) == (0.0, 1.0)
-    far = drift.permutation_ks(histogram(spark, [5] * 30, [500] * 30), 199).first()
-    assert (far.statistic, far.p_value) == (1.0, 1 / 200)
+@pytest.mark.parametrize("a,b", [([2, 3, 3, 7], [3, 8, 9]), ([1, 1, 4], [4, 4, 6, 6, 9]), ([0.5], [0.25, 0.75, 2.0]), ([6, 6], [6, 6, 6])])
+def test_permutation_p_of_small_samples_equals_the_count_of_all_splits(spark, a, b):
+    pooled, observed = [*a, *b], ks(a, b)
+    splits = list(itertools.combinations(range(len(pooled)), len(a)))
+    hits = sum(ks([pooled[i] for i in s], [x for i, x in enumerate(pooled) if i not in s]) >= observed - 1e-12 for s in splits)
+    exact, draws = hits / len(splits), 4000
+    found = drift.permutation_ks(histogram(spark, a, b), draws).first()
+    assert found.statistic == pytest.approx(observed)
+    assert abs(found.p_value - (exact * draws + 1) / (draws + 1)) <= 4 * np.sqrt(exact * (1 - exact) / draws) + 1e-12
 
 
 def test_distances_equal_definitions(spark):

@@ -53,3 +53,48 @@ def test_each_pair_of_blocks_is_one_tile(spark):
     rows = spark.range(200).selectExpr("id AS row", "0 AS label", "array(1.0) AS v")
     met = tiles.tile_pairs(rows, 4)
     assert met.count() == 800 and met.select("low", "high").distinct().count() == 10 and met.where("low > high").isEmpty()
+
+
+def davies(x, labels):
+    known = sorted(set(labels))
+    means = np.stack([x[labels == k].mean(0) for k in known])
+    s = np.array([np.linalg.norm(x[labels == k] - m, axis=1).mean() for k, m in zip(known, means)])
+    worst = []
+    for i in range(len(known)):
+        gaps = [(s[i] + s[j]) / g for j in range(len(known)) if j != i and (g := np.linalg.norm(means[i] - means[j])) > 0]
+        worst.append(max(gaps, default=0.0))
+    return float(np.mean(worst))
+
+
+@pytest.mark.parametrize("tile", [4096, 7, 2])
+def test_davies_bouldin_by_tiles_equals_all_pairs(spark, tile):
+    from clustrum.operators.geometry import davies_bouldin
+
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 25, 400)
+    x = rng.normal(size=(400, 3)) + labels[:, None] % 7
+    x[labels == 3], x[labels == 4] = 1.0, 1.0
+    out = davies_bouldin(frame(spark, x, labels), "v", tile=tile).first()
+    assert out.davies_bouldin == pytest.approx(davies(x, labels), rel=1e-9)
+    for few in ([1] * 400, [-1] * 400):
+        assert davies_bouldin(frame(spark, x, few), "v").first().davies_bouldin is None
+
+
+def test_silhouettes_of_many_groups_equal_those_of_each(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from clustrum.operators import geometry
+
+    monkeypatch.setattr(geometry, "GROUP_ROWS", 20)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], int(rng.integers(0, 4)) if i % 60 else 0, i % 6, None if i % 6 == 5 else "m") for i, v in enumerate(x)]
+    rows = [(i, v, 2 if g == 4 else k, g, m) for i, v, k, g, m in rows]
+    df = spark.createDataFrame(rows, "id int, v array<double>, cluster_id int, seed int, method string")
+    found = {(r.seed, r.method): r for r in geometry.silhouette_cosine(df, "v", groups=["seed", "method"]).collect()}
+    assert set(found) == {(g, None if g == 5 else "m") for g in range(6)} and found[4, "m"].silhouette_cosine is None
+    for (seed, method), r in found.items():
+        one = geometry.silhouette_cosine(df.where(F.col("seed") == seed), "v").first()
+        assert r.silhouette_n_samples == one.silhouette_n_samples == 40
+        assert r.silhouette_cosine == (None if one.silhouette_cosine is None else pytest.approx(one.silhouette_cosine, abs=1e-12))
