@@ -357,7 +357,7 @@ def drift_report(
 ) -> DataFrame:
     """One row per feature: test, statistic, p and adjusted p, effect, flags and both descriptions."""
     if not 0 < alpha < 1 or not 0 < threshold <= 1 or resamples < 99:
-        raise ValueError(f"alpha {alpha} and threshold {threshold} have to be shares, with 99 resamples or more, not {resamples}")
+        raise ValueError(f"configuration: alpha {alpha} and threshold {threshold} have to be shares, with 99 resamples or more, not {resamples}")
     both = df.filter(F.col(cohort).isin(reference, production))
     if shared_ids(both.filter(F.col(cohort) == reference), both.filter(F.col(cohort) == production), id_column).limit(1).count():
         raise ValueError(f"ids overlap: some {id_column} is in both {reference} and {production}")
