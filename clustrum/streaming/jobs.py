@@ -18,7 +18,10 @@ from clustrum.streaming.runs import RunStore
 
 
 def read_table_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    """Files of one table in a folder of several. The schema is the one of the files already there."""
+    """Files of one table in a folder of several, or below the table's own folder where it is one. The schema is the one of the
+    files already there."""
+    if _is_folder(spark, own := os.path.join(folder, pattern)):
+        folder, pattern = own, "*"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
@@ -31,6 +34,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def check_plan(spark: SparkSession, path: str, plan: dict) -> None:
     """Writes the plan of a new run; a resumed run has to bring the same one."""
     compact = json.dumps(plan, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from clustrum.operators import drift
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import centroids_of
+from clustrum.plans import streams
 from clustrum.streaming import jobs, metrics
 
 
@@ -161,3 +162,16 @@ def test_drift_of_all_batches_equals_the_batch_report(spark, tmp_path):
             6, row.effect_size, row.p_value, row.adjusted_p_value, row.statistically_significant)
     with pytest.raises(ContractError, match="reference"):
         jobs.drift_stream(stream, jobs.reference_histogram(early.limit(3)), out, state, resamples=99)
+
+
+def in_folders(spark, sf, tmp_path, name, files=3):
+    """A copy of a table as a folder of files, beside another table's folder; returns the folder of both."""
+    for table in (name, "labels"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(files).write.parquet(str(tmp_path / "tables" / f"{table}.parquet"))
+    return str(tmp_path / "tables")
+
+
+def test_a_table_in_its_own_folder_arrives_whole(spark, sf, tmp_path):
+    folder = in_folders(spark, sf, tmp_path, "documents")
+    rows = {tuple(r) for r in streams.QUERIES["drift_stream"](spark, folder).collect()}
+    assert rows == {tuple(r) for r in streams.QUERIES["drift_stream"](spark, sf).collect()} and len(rows) == 2
