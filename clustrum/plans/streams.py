@@ -9,7 +9,7 @@ from clustrum.operators.geometry import centroids_of
 from clustrum.plans.common import SQL_CENTROIDS, labelled_embeddings, rounded, table
 from clustrum.plans.drift import STACKED
 from clustrum.operators.ordering import running_sums
-from clustrum.session import scratch_path
+from clustrum.session import materialize, scratch_path
 from clustrum.streaming import gauge, jobs, metrics, windows
 
 
@@ -223,7 +223,8 @@ def dedupe_files_query(spark, sf):
 
 def score_query(spark, sf):
     output, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
-    centroids = centroids_of(labelled_embeddings(spark, sf))
+    # Written once: sums added up in another order would be another model at the second start.
+    centroids = materialize(centroids_of(labelled_embeddings(spark, sf)), "centroids")
     for _ in range(2):  # the second start finds nothing left to do
         stream = jobs.read_table_stream(spark, sf, "embeddings.parquet").select("vec_id", "embedding")
         jobs.score_stream(stream, centroids, output, state, {"source": sf}).awaitTermination()

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,14 @@ def test_a_table_in_its_own_folder_arrives_whole(spark, sf, tmp_path):
     folder = in_folders(spark, sf, tmp_path, "documents")
     rows = {tuple(r) for r in streams.QUERIES["drift_stream"](spark, folder).collect()}
     assert rows == {tuple(r) for r in streams.QUERIES["drift_stream"](spark, sf).collect()} and len(rows) == 2
+
+
+def test_centroids_summed_again_in_another_order_resume(spark, sf, tmp_path, monkeypatch):
+    folder = in_folders(spark, sf, tmp_path, "embeddings")
+    noise = F.udf(lambda: time.time_ns() % 1000 * 1e-15, "double").asNondeterministic()
+
+    def shaken(df):
+        return centroids_of(df).withColumn("_e", noise()).select("cluster_id", F.transform("centroid", lambda x: x + F.col("_e")).alias("centroid"))
+
+    monkeypatch.setattr(streams, "centroids_of", shaken)
+    assert streams.QUERIES["score_stream"](spark, folder).count() == spark.read.parquet(folder + "/embeddings.parquet").count()
