@@ -354,12 +354,17 @@ def centroid_digest(centroids: DataFrame) -> str:
 
 
 def freeze_model(centroids: DataFrame, configuration: Mapping, path: str) -> str:
-    """Writes the centroids and a one-row manifest with content ids; never over an existing model."""
+    """Writes the centroids and a one-row manifest with content ids; never over an existing model.
+
+    The centroids are computed once: sums added up in another order would differ from the checksum in their last bits.
+    """
+    centroids = materialize(centroids.select("cluster_id", "centroid"), "frozen-centroids")
     matrix = centroid_matrix(centroids)
     identity = model_identity(configuration)
     spark = centroids.sparkSession
-    centroids.select("cluster_id", "centroid").coalesce(1).write.parquet(f"{path}/centroids", mode="errorifexists")
-    row = (identity, json.dumps(configuration, sort_keys=True, ensure_ascii=False), centroid_digest(centroids), *matrix.shape)
+    centroids.coalesce(1).write.parquet(f"{path}/centroids", mode="errorifexists")
+    checksum = hashlib.sha256(matrix.tobytes()).hexdigest()
+    row = (identity, json.dumps(configuration, sort_keys=True, ensure_ascii=False), checksum, *matrix.shape)
     spark.createDataFrame([row], "model_id string, configuration string, checksum string, n_clusters int, n_features int").write.parquet(
         f"{path}/manifest", mode="errorifexists"
     )

@@ -1,4 +1,5 @@
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,15 @@ def test_frozen_model_round_trip_and_refusals(spark, encoded, tmp_path):
         models.load_frozen(spark, other)
 
 
+def test_a_model_is_frozen_as_it_was_computed_once(spark, tmp_path):
+    # Every computation of these centroids gives other last digits.
+    noise = F.udf(lambda: time.time_ns() % 1000 * 1e-15, "double").asNondeterministic()
+    centroids = spark.range(3).select(F.col("id").cast("int").alias("cluster_id"), F.array(F.lit(1.0), noise()).alias("centroid"))
+    identity = models.freeze_model(centroids, {"method": "kmeans"}, str(tmp_path / "model"))
+    loaded, manifest = models.load_frozen(spark, str(tmp_path / "model"), identity, 2)
+    assert loaded.count() == 3 and models.centroid_digest(loaded) == manifest["checksum"]
+
+
 def density_by_hand(points, radius, near, smallest):
     cells = {}
     for i, p in enumerate(points):
