@@ -4,7 +4,7 @@ Patterns are found by putting marks around all matches and splitting at the mark
 tokens outside these spans are tested: an encoding is inferred from the characters in use, and chi-squared uniformity of
 its alphabet, a runs test around the middle of the alphabet and lag-one serial correlation have to let the token pass
 as random. The statistics of the same three tests are then compared with their distribution over ordinary tokens of the
-same encoding and length, which are put together from the words of the table; combined, they give the chance of an ordinary token
+same encoding and length, which are put together from words like those of the whole table; combined, they give the chance of an ordinary token
 to look as random. The false-discovery rate of these p-values is controlled (Benjamini and Hochberg) inside each length
 class, over the tokens of the whole table.
 """
@@ -30,8 +30,8 @@ TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Rate of false discoveries among the added spans of a length class, and the level at which a token counts as not random.
 DISCOVERY_RATE = 0.01
 NOT_RANDOM = 0.001
-#: Ordinary tokens are made of the words of this many rows, those with the smallest hash, and of so many characters of each.
-REFERENCE_ROWS, REFERENCE_CHARS = 1000, 1500
+#: Words drawn for the ordinary tokens, by the letters of all words of the table.
+DRAWN_WORDS = 100_000
 #: Ordinary tokens drawn for each encoding and length. A length counts as the largest of these that it reaches.
 REFERENCE_TOKENS = 1500
 REFERENCE_LENGTHS = [8, 14, 20, 24, 28, 32, 40, 48, 64, 96, 128]
@@ -178,17 +178,39 @@ def fit_ordinary(words: list[str]) -> list[list[list[float]]]:
     return model
 
 
-def ordinary_words(docs: DataFrame, key: str, text: str) -> list[str]:
-    """Words of ASCII letters of a sample of rows, without long tokens."""
-    rows = docs.where(F.col(text) != "").withColumn("__hash", F.xxhash64(key, text))
-    # Every task sends its smallest hashes to the driver, no texts.
-    least = [r[0] for r in rows.select("__hash").orderBy("__hash").limit(REFERENCE_ROWS).collect()]
-    if not least:
-        return []
-    chosen = rows.where(F.col("__hash") <= least[-1]).select("__hash", F.substring(text, 1, REFERENCE_CHARS).alias("__text"))
-    plain = F.regexp_replace("__text", F.lit(TOKEN), F.lit(" "))
-    found = chosen.dropDuplicates(["__hash"]).select("__hash", F.regexp_extract_all(plain, F.lit("[A-Za-z]+"), F.lit(0)).alias("__words"))
-    return [w for row in sorted(found.collect()) for w in row["__words"]]
+def letter_triples(docs: DataFrame, text: str) -> dict[str, int]:
+    """How often each letter follows two others in the words of ASCII letters of all rows, long tokens left out; a space stands
+    for what is before and behind a word."""
+    plain = F.regexp_replace(text, F.lit(TOKEN), F.lit(" "))
+    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z]+"), F.lit(0))).alias("__word"))
+    counted = words.groupBy("__word").agg(F.count(F.lit(1)).alias("__n"))
+    padded = F.concat(F.lit("  "), "__word", F.lit(" "))
+    triples = F.transform(F.sequence(F.lit(1), F.length("__word") + 1), lambda at: F.substring(padded, at, F.lit(3)))
+    # At most 53^3 rows.
+    found = counted.select(F.explode(triples).alias("__triple"), "__n").groupBy("__triple").agg(F.sum("__n").alias("__n"))
+    return {r["__triple"]: r["__n"] for r in found.collect()}
+
+
+def ordinary_words(docs: DataFrame, text: str) -> list[str]:
+    """Words drawn letter by letter, each by its share behind the two letters before it in the words of all rows; as many
+    as the table has, DRAWN_WORDS at most."""
+    counts = letter_triples(docs, text)
+    letters = " " + CAPITALS + SMALL
+    number, k = {c: i for i, c in enumerate(letters)}, len(letters)
+    shares = np.zeros((k * k, k), np.int64)
+    for triple, n in counts.items():
+        first, second, third = map(number.__getitem__, triple)
+        shares[first * k + second, third] = n
+    words = [""] * min(DRAWN_WORDS, sum(n for t, n in counts.items() if t.startswith("  ")))
+    sums = np.cumsum(shares, axis=1)
+    rng, state, going = np.random.default_rng(29), np.zeros(len(words), np.int64), np.arange(len(words))
+    while len(going):
+        drawn = rng.integers(0, sums[state, -1])
+        after = (sums[state] <= drawn[:, None]).sum(axis=1)
+        going, state = going[after > 0], (state % k * k + after)[after > 0]
+        for word, letter in zip(going.tolist(), after[after > 0].tolist()):
+            words[word] += letters[letter]
+    return words
 
 
 def battery(token: Column, model: list[list[list[float]]]) -> Column:
@@ -295,7 +317,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate:
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.array_sort(base).alias("base"), "token")
     free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     found = found.withColumn("token", free)
-    model = fit_ordinary(ordinary_words(docs, key, text))
+    model = fit_ordinary(ordinary_words(docs, text))
     tested = F.transform("token", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["piece"], model).alias("test")))
     # Whole steps only count fully: 10^-step/STEPS is never below the p-value.
     step = lambda p: F.floor(F.least(-F.log10(F.greatest(p, F.lit(1e-99))) * STEPS, F.lit(float(LAST_STEP)))).cast("int")

@@ -267,6 +267,17 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert [got[100 + i] for i in range(len(words))] == [""] * len(words)
 
 
+def test_ordinary_tokens_follow_the_words_of_all_rows(spark):
+    # The last words of a long text, and rows beyond the first thousand by any order, count as the others.
+    rows = [(0, "ab " * 2000 + "zyx " * 2000), *((i, f"qu{'é'} {'u' * 30}") for i in range(1, 3001)), (4000, None), (None, "")]
+    docs = docs_of(spark, rows)
+    assert secret_scan.letter_triples(docs, "text") == {
+        "  a": 2000, " ab": 2000, "ab ": 2000, "  z": 2000, " zy": 2000, "zyx": 2000, "yx ": 2000, "  q": 3000, " qu": 3000, "qu ": 3000}
+    words = secret_scan.ordinary_words(docs, "text")
+    assert len(words) == 7000 and set(words) == {"ab", "zyx", "qu"} and abs(words.count("qu") - 3000) < 300
+    assert secret_scan.ordinary_words(docs.where("doc_id > 3000"), "text") == []
+
+
 def test_rare_secrets_are_found_among_ordinary_tokens(spark):
     rng = random.Random(12)
     capitals, small, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
