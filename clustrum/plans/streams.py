@@ -241,12 +241,19 @@ def drift_query(spark, sf):
     return spark.read.parquet(output).select("feature", "reference_rows", "production_rows", rounded("ks_statistic"), rounded("wasserstein"))
 
 
+#: Bytes of text in an arriving file: what one task writes.
+FILE_BYTES = 64 << 20
+
+
 def drift_files_query(spark, sf):
-    """The same drift with the texts arriving as four files in four batches: the last result covers all of them."""
+    """The same drift with the texts arriving as files in four batches, a file each unless they are large: the last result
+    covers all of them."""
     folder, output, state = (scratch_path(spark, n) for n in ("drift-files", "drift", "drift-state"))
     documents = table(spark, sf, "documents")
-    documents.select("text").repartition(4, F.xxhash64("doc_id")).write.parquet(folder)
-    stream = jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=1)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = 1 + size // (4 * FILE_BYTES)
+    documents.select("text").repartition(4 * files, F.xxhash64("doc_id", "text")).write.parquet(folder)
+    stream = jobs.read_table_stream(spark, folder, "*.parquet", files_per_batch=files)
     reference = jobs.reference_histogram(documents.filter("lang = 'en'"))
     jobs.drift_stream(stream, reference, output, state).awaitTermination()
     return jobs.newest_result(spark, output).select(

@@ -187,3 +187,18 @@ def test_centroids_summed_again_in_another_order_resume(spark, sf, tmp_path, mon
 
     monkeypatch.setattr(streams, "centroids_of", shaken)
     assert streams.QUERIES["score_stream"](spark, folder).count() == spark.read.parquet(folder + "/embeddings.parquet").count()
+
+
+def test_arriving_files_stay_small_in_four_batches(spark, sf, tmp_path, monkeypatch):
+    folders = []
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, name: folders.append(str(tmp_path / name)) or folders[-1])
+    monkeypatch.setattr(streams, "FILE_BYTES", 20_000, raising=False)
+    rows = {tuple(r) for r in streams.QUERIES["drift_stream_files"](spark, sf).collect()}
+    texts = spark.read.parquet(folders[0])
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    longest = texts.agg(F.max(F.octet_length("text"))).first()[0]
+    largest = texts.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0]
+    assert size > 10 * 20_000 and largest < 3 * 20_000 + longest
+    assert spark.read.parquet(folders[1]).select("batch_id").distinct().count() == 4
+    monkeypatch.undo()
+    assert rows == {tuple(r) for r in streams.QUERIES["drift_stream"](spark, sf).collect()}
