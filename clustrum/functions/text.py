@@ -17,6 +17,8 @@ WHITESPACE = (
 SPACE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
 # Fixed value: a word is two or more letters, digits or underscores.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# What is between words and single characters; Arrow reads it as the SQL's engine does.
+SEPARATOR = r"[^\p{L}\p{N}_]+"
 
 # Short default list of French function words; pass a fuller one to the keyword operators.
 FRENCH_STOP_WORDS = tuple(

@@ -6,11 +6,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clustrum.functions.text import FRENCH_STOP_WORDS, WORD_PATTERN, clean_text, stop_tokens, tokens
+from clustrum.functions.text import FRENCH_STOP_WORDS, SEPARATOR, clean_text, stop_tokens, tokens
 from clustrum.session import checked_broadcast, materialize
 
 # Verbs left out of word clouds.
@@ -18,36 +17,30 @@ CLOUD_STOP_WORDS = ("être", "avoir", "faire", "dire", "aller", "voir", "pouvoir
 
 
 #: Characters of texts whose terms a task counts at a time.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 24
 
 
-class _WordNumbers(dict):
-    """Numbers of words in the order in which they come; stop words have -1."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
-
-
-def _folded_terms(clusters: pa.Array, texts: list[str], stop: Iterable[str]) -> pa.RecordBatch:
+def _folded_terms(clusters: pa.Array, texts: pa.Array, stop: Iterable[str]) -> pa.RecordBatch:
     """(cluster, term, tf) of the words and neighbouring pairs of lower-case texts, one row per cluster and term."""
-    numbers = _WordNumbers.fromkeys(stop, -1)
-    find = regex.compile(WORD_PATTERN).findall
-    rows = [np.fromiter(map(numbers.__getitem__, find(t)), np.int64) for t in texts]
-    ids, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids, row = ids[ids >= 0], row[ids >= 0]
+    pieces = pc.split_pattern_regex(texts.cast(pa.string()), SEPARATOR)
+    coded_words = pieces.flatten().dictionary_encode()
+    words, ids = coded_words.dictionary, coded_words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets.to_numpy()))
+    wanted = pc.and_(pc.greater_equal(pc.utf8_length(words), 2), pc.invert(pc.is_in(words, value_set=pa.array(sorted(stop), pa.string()))))
+    kept = wanted.to_numpy(zero_copy_only=False)[ids]
+    ids, row = ids[kept], row[kept]
     # Clusters by number; the first row of each stands for its value.
     coded = clusters.dictionary_encode()
-    code, width, words = coded.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64), np.int64(len(numbers)), list(numbers)
+    code, width = coded.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64), np.int64(max(1, len(words)))
     pair = np.flatnonzero(row[1:] == row[:-1])
     keys, counts = np.unique(code * width + ids, return_counts=True)
     pairs, pair_counts = np.unique((code[pair] * width + ids[pair]) * width + ids[pair + 1], return_counts=True)
     second, first, owner = pairs % width, pairs // width % width, pairs // width // width
-    terms = [words[i] for i in (keys % width).tolist()]
-    terms += [f"{words[i]} {words[j]}" for i, j in zip(first.tolist(), second.tolist())]
+    terms = [words.take(pa.array(keys % width)), pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), " ")]
     owners = np.concatenate([keys // width, owner])
     return pa.record_batch(
-        [coded.dictionary.take(pa.array(owners)), pa.array(terms, pa.string()), pa.array(np.concatenate([counts, pair_counts]))], ["cluster", "term", "tf"])
+        [coded.dictionary.take(pa.array(owners)), pa.concat_arrays(terms), pa.array(np.concatenate([counts, pair_counts]))], ["cluster", "term", "tf"])
 
 
 def term_counts(
@@ -67,9 +60,11 @@ def term_counts(
             cuts = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
             for start, end in zip(cuts, cuts[1:]):
                 part = batch.slice(start, end - start)
-                yield _folded_terms(part.column(0), part.column(1).to_pylist(), stop)
+                yield _folded_terms(part.column(0), part.column(1), stop)
 
-    return kept.mapInArrow(count, f"cluster {dict(kept.dtypes)['cluster']}, term string, tf long").groupBy("cluster", "term").agg(F.sum("tf").alias("tf"))
+    folded = kept.mapInArrow(count, f"cluster {dict(kept.dtypes)['cluster']}, term string, tf long")
+    # Dealt out before they are added up: the blocks are folded already, and a second fold in the task would save few rows.
+    return folded.repartition("cluster", "term").groupBy("cluster", "term").agg(F.sum("tf").alias("tf"))
 
 
 def ctfidf_keywords(

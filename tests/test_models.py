@@ -3,11 +3,14 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import regex
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from clustrum.operators import models
+from clustrum.functions.text import WORD_PATTERN
+from clustrum.operators import keywords, models
 from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import centroids_of, inertia
 from clustrum.operators.keywords import ctfidf_keywords, term_frequency
@@ -115,6 +118,19 @@ def test_frozen_model_round_trip_and_refusals(spark, encoded, tmp_path):
         models.load_frozen(spark, other)
 
 
+def test_terms_of_a_block_are_folded_as_columns(spark):
+    texts = ["été, l'été_2 à la mer; x mer mer", None, "", "?! ...", "mer mer  42\n日本語 mer", "é"]
+    clusters, stop = [3, 3, 7, 7, 7, 7], ["la"]
+    wanted = {}
+    for cluster, text in zip(clusters, texts):
+        words = [w for w in regex.findall(WORD_PATTERN, text or "") if w not in stop]
+        for term in words + [" ".join(p) for p in zip(words, words[1:])]:
+            wanted[cluster, term] = wanted.get((cluster, term), 0) + 1
+    found = keywords._folded_terms(pa.array(clusters), pa.array([t or "" for t in texts]), stop).to_pylist()
+    assert {(r["cluster"], r["term"]): r["tf"] for r in found} == wanted and len(found) == len(wanted) > 10
+    assert keywords._folded_terms(pa.array([1]), pa.array(["a . -"]), stop).num_rows == 0
+
+
 def test_a_model_is_frozen_as_it_was_computed_once(spark, tmp_path):
     # Every computation of these centroids gives other last digits.
     noise = F.udf(lambda: time.time_ns() % 1000 * 1e-15, "double").asNondeterministic()
