@@ -117,7 +117,8 @@ class JaccardJoin:
                     yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(sets, pa.binary())], ["row_key", "shingles"])
 
         found = self.docs.mapInArrow(pick, "row_key long, shingles binary")
-        return found.join(nodes, "row_key").select("set_id", "shingles").dropDuplicates(["set_id"])
+        # Repeated rows meet on the key they were joined by, so that sets move once.
+        return found.join(nodes, "row_key").dropDuplicates(["row_key", "set_id"]).select("set_id", "shingles")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: set ids) whose sets are similar enough, compared shingle by shingle."""
@@ -149,94 +150,118 @@ class JaccardJoin:
         most = F.least(live_a, live_b) + 1 + F.least(n_a - at_a - 1, n_b - at_b - 1)
         return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (most >= needed_overlap(n_a, n_b, self.percent))
 
+    def _needed_shared(self, n_a: Column, n_b: Column) -> Column:
+        """Smallest number of prefix shingles that two similar sets share: beyond the shorter-lived prefix at most the rest of a set can match."""
+        rest = F.floor((F.greatest(n_a, n_b) * self.percent + 99) / 100) - 1
+        return F.greatest(needed_overlap(n_a, n_b, self.percent) - rest, F.lit(1))
+
     def links(self) -> DataFrame:
         """Links (a, b) between set ids; their components are those of all pairs that are similar enough."""
         sets = self.signatures.where("n_shingles > 0")
         self.nodes = materialize(
             sets.groupBy("set_id", "group_id", "n_shingles").agg(F.min("row_key").alias("row_key")), "nodes")
-        groups = sets.select("group_id", "n_shingles", "prefix").dropDuplicates(["group_id"])
+        groups = sets.select(F.xxhash64("group_id").alias("g"), "group_id", "prefix").dropDuplicates(["group_id"])
         # Between groups: the shingles that at least two prefixes share.
-        on_token = Window.partitionBy("token")
-        postings = groups.select(
-            "group_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"),
-        ).select("token", F.xxhash64("group_id").alias("g"), "n", "at")
-        postings = materialize(
-            postings.withColumn("shared", F.count("*").over(on_token)).where("shared > 1").drop("shared"), "postings")
-        leads = self.nodes.groupBy("group_id").agg(F.min("set_id").alias("lead"), F.count("*").alias("members"))
+        postings = groups.select("g", F.posexplode("prefix").alias("at", "token"))
+        shared = F.count("*").over(Window.partitionBy("token"))
+        open_ = self._packed(postings.withColumn("shared", shared).where("shared > 1"))
         # Inside a group: all against its first member.
+        leads = self.nodes.groupBy("group_id").agg(F.min("set_id").alias("lead"), F.count("*").alias("members"))
         members = self.nodes.join(leads.where("members > 1"), "group_id").where("set_id <> lead")
         wanted = members.select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
-        leads = materialize(leads.select(F.xxhash64("group_id").alias("g"), F.col("lead").alias("set_id")), "leads")
         roots, links = self.spark.createDataFrame([], "node binary, root binary"), None
+        rooted, spans = self._spans(roots)
         for turn in range(MAX_STAR_ROUNDS):
-            pairs = materialize(wanted.unionAll(self._star(postings, leads, roots, turn)).distinct(), "pairs")
+            pairs = materialize(wanted.unionAll(self._star(open_, spans, turn)).distinct(), "pairs")
             compared, found = pairs.count(), self.verified(pairs)
             links = found if links is None else links.unionAll(found)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
             wanted = pairs.limit(0)
+            rooted, spans = self._spans(roots)
+            open_ = self._open(open_, spans)
             # Another round is worth it only while pairs on open shingles far outnumber these shingles' postings, and while
             # rounds link a fair part of what they compare.
-            sizes = self._open(postings, self._leads(leads, roots)).select("token", F.col("shared").cast("double").alias("c")).distinct().agg(
-                F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+            sizes = open_.agg(
+                F.sum(F.size("postings").cast("double")), F.sum(F.aggregate("postings", F.lit(0.0), lambda s, p: s + (p.shared - 1) / 2))).first()
             if found.count() * 20 < compared or not sizes[0] or sizes[1] <= 4 * sizes[0]:
                 break
         # What is still apart: members of one group, then groups that meet on a shingle, each pair in full.
-        rooted = self._rooted(self.nodes.select("set_id", "group_id"), roots)
-        rooted = materialize(rooted.withColumn("g", F.xxhash64("group_id")).drop("group_id"), "rooted")
         left, right = rooted.toDF("a", "root_a", "g"), rooted.toDF("b", "root_b", "g")
-        split = rooted.groupBy("g").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("g")
-        inner = left.join(split, "g").join(right, "g").where("a < b AND root_a <> root_b").select("a", "b")
-        span = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = materialize(self._open(postings, span), "open")
-        x, y = open_.toDF(*[f"{c}_a" for c in open_.columns]), open_.toDF(*[f"{c}_b" for c in open_.columns])
+        inner = left.join(spans.where("low <> high").select("g"), "g").join(right, "g").where("a < b AND root_a <> root_b").select("a", "b")
+        rows = self._postings(open_, spans.select("g", "n", "low", "high"))
+        x, y = rows.toDF(*[f"{c}_a" for c in rows.columns]), rows.toDF(*[f"{c}_b" for c in rows.columns])
+        # The first open shingle that two similar sets share has all others that they share behind it.
+        least = self._needed_shared(F.col("n_a"), F.col("n_b"))
         met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("g_a") < F.col("g_b"))
                      & ((F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b")))
-                     & self._fits("a", "b"))
-        enough = self._enough(met.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), "n_a", "n_b"))
+                     & self._fits("a", "b") & (F.least("later_a", "later_b") >= least - 1))
+        met = materialize(met.select(F.col("g_a").alias("a"), F.col("g_b").alias("b")).distinct(), "met")
+        tokens = open_.join(spans.select("g", "n"), "g").select("g", "n", F.col("postings.token").alias("tokens"))
+        enough = met.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(tokens.toDF("b", "n_b", "tokens_b"), "b").where(
+            F.size(F.array_intersect("tokens_a", "tokens_b")) >= least)
         outer = enough.select(F.col("a").alias("g_a"), F.col("b").alias("g_b")).join(
             rooted.toDF("a", "root_a", "g_a"), "g_a").join(rooted.toDF("b", "root_b", "g_b"), "g_b")
         rest = self.verified(inner.unionAll(outer.where("root_a <> root_b").select("a", "b")))
         return links.unionAll(rest)
 
-    def _star(self, postings: DataFrame, leads: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    def _spans(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(set_id, root, g) of all sets, and of each group g: its size n, its first member (lead) with the component of that (own),
+        and the least and largest component of its members (low, high). Components are told apart by 64-bit hashes of their roots."""
+        nodes = self.nodes.select("set_id", "n_shingles", F.xxhash64("group_id").alias("g"))
+        rooted = materialize(self._rooted(nodes, roots), "rooted")
+        spans = rooted.withColumn("own", F.xxhash64("root")).groupBy("g").agg(
+            F.min("n_shingles").cast("int").alias("n"), F.min("set_id").alias("lead"), F.min_by("own", "set_id").alias("own"),
+            F.min("own").alias("low"), F.max("own").alias("high"))
+        return rooted.select("set_id", "root", "g"), materialize(spans, "spans")
+
+    def _star(self, open_: DataFrame, spans: DataFrame, turn: int) -> DataFrame:
         """Pairs of set ids: on each open shingle every lead with the hub, the lead whose open shingles have the most postings.
 
         Such a lead is closest to the text that near copies come from. In later turns chance has a say as well.
         """
-        open_ = self._open(postings, self._leads(leads, roots))
         chance = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20) if turn else F.lit(1.0)
-        weight = F.sum("shared").over(Window.partitionBy("g")).cast("double") * chance
-        open_ = materialize(open_.withColumn("weight", weight), "open")
-        hubs = open_.groupBy("token").agg(F.max(F.struct("weight", "set_id", "n", "at", "live", "low")).alias("hub"))
-        star = open_.join(hubs, "token").select(
-            F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"), "low", F.col("hub.low").alias("low_a"),
+        weight = F.aggregate("postings", F.lit(0.0), lambda s, p: s + p.shared) * chance
+        rows = self._postings(open_.withColumn("weight", weight), spans.select("g", "n", "own"))
+        hub = F.max(F.struct("weight", "g", "n", "at", "live", "own")).over(Window.partitionBy("token"))
+        star = rows.withColumn("hub", hub).select(
+            F.col("hub.g").alias("a"), F.col("g").alias("b"), "own", F.col("hub.own").alias("own_a"),
             *[F.col(f"hub.{c}").alias(f"{c}_a") for c in ("n", "at", "live")], *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "live")],
-        ).where((F.col("low_a") != F.col("low")) & self._fits("a", "b"))
-        return self._enough(star).select("a", "b")
+        ).where((F.col("own_a") != F.col("own")) & self._fits("a", "b"))
+        enough = self._enough(star).select(F.col("a").alias("g_a"), F.col("b").alias("g_b"))
+        lead = spans.select("g", "lead")
+        return enough.join(lead.toDF("g_a", "a"), "g_a").join(lead.toDF("g_b", "b"), "g_b").select("a", "b")
 
     def _enough(self, met: DataFrame) -> DataFrame:
-        """Pairs that share enough prefix shingles: beyond the shorter-lived prefix at most the rest of a set can match."""
-        percent = self.percent
-        rest = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1  # noqa: E731  shingles after the prefix
+        """Pairs that share enough prefix shingles."""
         return met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(
-            F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= needed_overlap(F.col("n_a"), F.col("n_b"), percent))
+            F.col("shared") >= self._needed_shared(F.col("n_a"), F.col("n_b")))
 
     @staticmethod
     def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         return nodes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
             "set_id", F.coalesce("root", "set_id").alias("root"), *[c for c in nodes.columns if c != "set_id"])
 
-    def _leads(self, leads: DataFrame, roots: DataFrame) -> DataFrame:
-        return self._rooted(leads, roots).select("g", "set_id", F.col("root").alias("low"), F.col("root").alias("high"))
+    @staticmethod
+    def _packed(rows: DataFrame) -> DataFrame:
+        """Postings (g, at, token, shared) as one row a group, written out: a round then moves a group's name once, not once a shingle."""
+        return materialize(rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("at", "token", "shared"))).alias("postings")), "open")
 
     @staticmethod
-    def _open(postings: DataFrame, span: DataFrame) -> DataFrame:
-        """Postings on shingles where more than one component meets. `span` has the smallest and largest component (low, high) of
-        a group's members; added are the shingle's postings (shared) and the group's open shingles before it (live)."""
-        rows = postings.join(span, "g")
-        tokens = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("shared"))
-        rows = rows.join(tokens.where("least <> most").select("token", "shared"), "token")
-        return rows.withColumn("live", F.row_number().over(Window.partitionBy("g").orderBy("at")) - 1)
+    def _postings(open_: DataFrame, spans: DataFrame) -> DataFrame:
+        """Packed postings and the columns of `spans` as rows again; added is the number of the group's open shingles before each (live) and after it (later)."""
+        rows = open_.join(spans, "g").withColumn("live_all", F.size("postings"))
+        others = [c for c in rows.columns if c not in ("postings", "live_all")]
+        return rows.select(*others, "live_all", F.posexplode("postings").alias("live", "p")).select(
+            *others, "live", (F.col("live_all") - F.col("live") - 1).alias("later"), "p.at", "p.token")
+
+    def _open(self, open_: DataFrame, spans: DataFrame) -> DataFrame:
+        """Packed postings on the shingles where more than one component still meets, with the number of the shingle's postings (shared).
+        Components only grow, so what is left out stays out."""
+        on_token = Window.partitionBy("token")
+        rows = self._postings(open_, spans.select("g", "low", "high")).select("g", "low", "high", "at", "token")
+        met = rows.withColumns({
+            "least": F.min("low").over(on_token), "most": F.max("high").over(on_token), "shared": F.count("*").over(on_token)})
+        return self._packed(met.where("least <> most"))
 
     def classes(self) -> DataFrame:
         """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links reach, text_key, and root, the set that names the

@@ -72,6 +72,26 @@ def by_repr(rows):
     return sorted(map(tuple, rows), key=repr)
 
 
+def test_rounds_move_one_row_a_group_and_few_pairs_meet(spark, monkeypatch):
+    rows, written = near_copies(), {}
+    write = jaccard.materialize
+
+    def recorded(df, name):
+        written.setdefault(name, []).append(write(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(jaccard, "materialize", recorded)
+    got = jaccard.near_duplicate_classes(docs_of(spark, rows))
+    assert by_repr(got.collect()) == by_repr(brute_classes(rows))
+    for packed in written["open"]:
+        assert packed.count() == packed.select("g").distinct().count()
+    groups = written["spans"][-1].count()
+    assert written["met"][0].count() <= groups
+    # Shingles that one component has to itself are given up for good.
+    held = [packed.selectExpr("coalesce(sum(size(postings)), 0)").first()[0] for packed in written["open"]]
+    assert held == sorted(held, reverse=True) and held[0] > held[-1]
+
+
 def test_jaccard_classes_match_all_pairs(spark):
     rows = near_copies() + [(None, "a b c d e"), (7, None), (7, "one"), (7, "one")]
     got = jaccard.near_duplicate_classes(docs_of(spark, rows))
