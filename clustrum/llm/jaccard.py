@@ -179,11 +179,9 @@ class JaccardJoin:
             wanted = pairs.limit(0)
             rooted, spans = self._spans(roots)
             open_ = self._open(open_, spans)
-            # Another round is worth it only while pairs on open shingles far outnumber these shingles' postings, and while
-            # rounds link a fair part of what they compare.
-            sizes = open_.agg(
-                F.sum(F.size("postings").cast("double")), F.sum(F.aggregate("postings", F.lit(0.0), lambda s, p: s + (p.shared - 1) / 2))).first()
-            if found.count() * 20 < compared or not sizes[0] or sizes[1] <= 4 * sizes[0]:
+            # Another round is worth it only while rounds link a fair part of what they compare, and while pairs that the full
+            # join would make far outnumber the postings.
+            if found.count() * 20 < compared or not self._crowded(open_, spans):
                 break
         # What is still apart: members of one group, then groups that meet on a shingle, each pair in full.
         left, right = rooted.toDF("a", "root_a", "g"), rooted.toDF("b", "root_b", "g")
@@ -204,6 +202,17 @@ class JaccardJoin:
         rest = self.verified(inner.unionAll(outer.where("root_a <> root_b").select("a", "b")))
         return links.unionAll(rest)
 
+    def _crowded(self, open_: DataFrame, spans: DataFrame) -> bool:
+        """Whether pairs on open shingles far outnumber the postings, counting shingles with enough others behind them to be the
+        first that sets of equal size share."""
+        pairs = lambda kept: F.sum(F.aggregate(kept, F.lit(0.0), lambda s, p: s + (p.shared - 1) / 2))
+        held, met = open_.agg(F.sum(F.size("postings").cast("double")), pairs(F.col("postings"))).first()
+        if not held or met <= 4 * held:
+            return False
+        first = F.size("postings") - self._needed_shared(F.col("n"), F.col("n")).cast("int") + 1
+        early = open_.join(spans.select("g", "n"), "g").agg(pairs(F.slice("postings", 1, F.greatest(first, F.lit(0))))).first()[0]
+        return early > 4 * held
+
     def _spans(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(set_id, root, g) of all sets, and of each group g: its size n, its first member (lead) with the component of that (own),
         and the least and largest component of its members (low, high). Components are told apart by 64-bit hashes of their roots."""
