@@ -2,8 +2,14 @@
 
 Equal vectors are one point with a weight. Points are dealt into cells along random projections, which never lengthen a
 distance: two points within the radius differ by at most the radius on every axis. A point also goes to each cell whose
-border lies within the radius, so the cell of its home holds all its neighbours. Crowded cells are cut into pairs of blocks;
-a task forms the distances of one pair of blocks as a matrix product, and only counts, spanning links or labels leave it.
+border lies within the radius, so the cell of its home holds all its neighbours. Along an axis on which the points hardly
+spread, cells would only copy them, and there are none.
+
+A crowded cell is not compared with itself at once. Its points ask one block of its members first, then more and more of them,
+and a point asks on only while something is open: whether it is core, or whether it belongs to the largest cluster found so
+far. Where neighbours are many, nearly all points are settled by the first block, and what is moved grows with the rows; points
+that stay open are compared with all members of their cell, in wide blocks. A task forms the distances of one pair of blocks as
+matrix products, strip by strip, and only counts, spanning links or labels leave it.
 """
 from __future__ import annotations
 
@@ -17,10 +23,16 @@ from pyspark.sql import functions as F
 
 from clustrum.functions.vectors import is_finite
 from clustrum.operators.ordering import global_index
-from clustrum.session import checked_broadcast, materialize
+from clustrum.session import bounded_collect, checked_broadcast, materialize
 
-#: Points of one side of a pair of blocks.
+#: Members of a cell that its points ask first.
 BLOCK_POINTS = 2048
+#: A wide block in blocks, as long as its vectors hold no more than WIDE_VALUES numbers.
+WIDE_BLOCKS, WIDE_VALUES = 8, 1 << 22
+#: From round to round a point that is still open asks this many times more members.
+ROUND_GROWTH = 4
+#: Pairs of points of which a task holds the distances, and of which it holds whether they are close.
+DISTANCE_PAIRS, CLOSE_PAIRS = 1 << 22, 1 << 26
 #: A cell's width in radii: wider cells copy fewer points over their borders, narrower ones compare fewer.
 CELL_RADII = 2.0
 
@@ -45,9 +57,34 @@ def projection_axes(dimension: int, axes: int, seed: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng([seed, dimension]).normal(size=(dimension, axes)))[0]
 
 
+def spread_axes(points: DataFrame, width: float, axes: int, seed: int) -> dict[int, list[bool]]:
+    """Of each vector length, along which of its axes the points spread by more than half a cell (standard deviation)."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column(0)
+            lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(lengths) - lengths
+            for d in np.unique(lengths).tolist():
+                at = flat[starts[lengths == d][:, None] + np.arange(d)] @ projection_axes(d, axes, seed) / width
+                sums[d] = sums.get(d, 0) + np.stack([np.full(at.shape[1], float(len(at))), at.sum(axis=0), (at * at).sum(axis=0)], axis=1)
+        rows = [(d, k, *row) for d, total in sums.items() for k, row in enumerate(total.tolist())]
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["d", "axis", "n", "s", "q"])
+
+    found = points.select("v").mapInArrow(add, "d int, axis int, n double, s double, q double").groupBy("d", "axis").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    wide: dict[int, list[bool]] = {}
+    for r in sorted(bounded_collect(found, 1_000_000, "vector lengths and axes")):
+        # A sum beyond doubles decides for cells.
+        wide.setdefault(r.d, []).append(not r.q / r.n - (r.s / r.n) ** 2 <= 0.25)
+    return wide
+
+
 def cell_members(points: DataFrame, radius: float, axes: int, seed: int) -> DataFrame:
     """(cell, home, point, v, weight): each point in its own cell and in all cells that begin or end within `radius` of it."""
     width = CELL_RADII * radius
+    wide = spread_axes(points, width, axes, seed)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,13 +94,13 @@ def cell_members(points: DataFrame, radius: float, axes: int, seed: int) -> Data
             rows, cells, home = [], [], []
             for d in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == d)
-                at = flat[starts[own][:, None] + np.arange(d)] @ projection_axes(d, axes, seed)
+                at = flat[starts[own][:, None] + np.arange(d)] @ projection_axes(d, axes, seed)[:, wide[d]]
                 base = np.floor(at / width)
                 # A little more than the radius, against rounding of the projections.
                 reach = radius + 1e-9 * (np.abs(at) + radius)
                 near = [np.ones(at.shape, bool), at - base * width <= reach, (base + 1) * width - at <= reach]
                 for steps in itertools.product((0, 1, 2), repeat=at.shape[1]):
-                    there = np.flatnonzero(np.all([near[s][:, k] for k, s in enumerate(steps)], axis=0))
+                    there = np.flatnonzero(np.all([np.ones(len(at), bool), *(near[s][:, k] for k, s in enumerate(steps))], axis=0))
                     moved = (base[there] + [(0, -1, 1)[s] for s in steps]).astype(np.int64)
                     rows.append(own[there])
                     cells += [f"{d}|" + ",".join(map(str, c)) for c in moved.tolist()]
@@ -77,45 +114,55 @@ def cell_members(points: DataFrame, radius: float, axes: int, seed: int) -> Data
 
 
 def block_pairs(members: DataFrame, block: int = BLOCK_POINTS) -> DataFrame:
-    """(unit, cell, asks, point, v, weight): what a task compares: points that ask for their neighbours (`asks`) and the members
-    of their cell. Cells of more than `block` members are cut into pairs of blocks of about `block` points; others share units.
+    """(unit, cell, asks, point, v, weight): all members of a cell against its home points, in pairs of blocks of `block` points."""
+    return unit_pairs(members.where("home").drop("home"), members.drop("home"), block, block)
+
+
+def unit_pairs(asking: DataFrame, asked: DataFrame, ask_points: int, asked_points: int) -> DataFrame:
+    """(unit, cell, asks, ...): what a task compares: points that ask for their neighbours (`asks`) and points of their cell.
+
+    Both sides: cell, point, v and the same further columns. Larger cells are cut into pairs of blocks of about `ask_points` and
+    `asked_points`; others share units. Cells that lack a side are dropped. A row moves once for each block of the other side.
     """
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
-    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
-    sizes = materialize(sizes.where("homes > 0"), "cell-sizes")
-    giant = checked_broadcast(sizes.where(F.col("members") > block).select("cell", cut("homes").alias("ask_blocks"), cut("members").alias("member_blocks")))
-    shared = sizes.where(F.col("members") <= block).agg(F.sum("members")).first()[0] or 0
-    bins = max(1, shared // block)
-    dealt = members.join(giant, "cell", "left").withColumn("hash", F.xxhash64("point", F.lit(1)))
-    small = F.array(F.struct(F.pmod(F.xxhash64("cell"), F.lit(bins)).alias("i"), F.lit(-1).cast("long").alias("j")))
-
-    def units(own: str, other: str, swapped: bool) -> Column:
-        mine = F.pmod("hash", F.col(own).cast("long"))
-        pair = lambda x: F.struct((x if swapped else mine).cast("long").alias("i"), (mine if swapped else x).cast("long").alias("j"))
-        return F.when(F.col(own).isNull(), small).otherwise(F.transform(F.sequence(F.lit(0), F.col(other) - 1), pair))
-
-    sides = [
-        dealt.where("home").select(F.explode(units("ask_blocks", "member_blocks", False)).alias("u"), "cell", F.lit(True).alias("asks"), "point", "v", "weight"),
-        dealt.select(F.explode(units("member_blocks", "ask_blocks", True)).alias("u"), "cell", F.lit(False).alias("asks"), "point", "v", "weight"),
-    ]
-    unit = F.when(F.col("u.j") < 0, F.col("u.i").cast("string")).otherwise(F.concat_ws("|", "cell", "u.i", "u.j"))
-    return sides[0].unionAll(sides[1]).select(unit.alias("unit"), "cell", "asks", "point", "v", "weight")
+    count = lambda side, name: side.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+    cut = lambda n, size: F.ceil(F.col(n) / size).cast("long")
+    sizes = materialize(count(asking, "n_asking").join(count(asked, "n_asked"), "cell"), "cell-sizes")
+    one = (F.col("n_asking") <= ask_points) & (F.col("n_asked") <= asked_points)
+    bins = max(1, (sizes.where(one).agg(F.sum("n_asked")).first()[0] or 0) // asked_points)
+    shared = F.when(one, F.pmod(F.xxhash64("cell"), F.lit(bins))).alias("shared")
+    cells = checked_broadcast(sizes.select("cell", cut("n_asking", ask_points).alias("ask_blocks"), cut("n_asked", asked_points).alias("asked_blocks"), shared))
+
+    def dealt(side: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("point", F.lit(1)), F.col(own))
+        met = F.transform(F.sequence(F.lit(0).cast("long"), F.col(other) - 1), lambda x: F.concat_ws("|", "cell", *((mine, x) if asks else (x, mine))))
+        unit = F.when(F.col("shared").isNotNull(), F.array(F.col("shared").cast("string"))).otherwise(met)
+        return side.join(cells, "cell").select(F.explode(unit).alias("unit"), "cell", F.lit(asks).alias("asks"), *columns)
+
+    columns = [c for c in asking.columns if c != "cell"]
+    return dealt(asking, "ask_blocks", "asked_blocks", True).unionAll(dealt(asked, "asked_blocks", "ask_blocks", False))
 
 
 def within(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
     """Whether each row of `a` lies within `radius` of each of `b`; where the product's rounding could decide, by differences."""
-    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
-    gap = squares - 2 * (a @ b.T) - radius * radius
-    close = gap <= 0
-    unsure = np.flatnonzero(np.abs(gap) <= 1e-12 * (squares + radius * radius) * max(8, a.shape[1]))
-    for at in np.array_split(unsure, max(1, len(unsure) * a.shape[1] // (1 << 22))):
-        i, j = np.divmod(at, len(b))
-        close[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1) <= radius * radius
+    close = np.empty((len(a), len(b)), bool)
+    right = (b * b).sum(axis=1)
+    rows = max(1, DISTANCE_PAIRS // max(1, len(b)))
+    for start in range(0, len(a), rows):
+        strip = a[start:start + rows]
+        squares = (strip * strip).sum(axis=1)[:, None] + right
+        gap = squares - 2 * (strip @ b.T) - radius * radius
+        near = gap <= 0
+        unsure = np.flatnonzero(np.abs(gap) <= 1e-12 * (squares + radius * radius) * max(8, a.shape[1]))
+        for at in np.array_split(unsure, max(1, len(unsure) * a.shape[1] // (1 << 22))):
+            i, j = np.divmod(at, len(b))
+            near[i, j] = ((strip[i] - b[j]) ** 2).sum(axis=1) <= radius * radius
+        close[start:start + rows] = near
     return close
 
 
 def _per_unit(blocks: DataFrame, find: Callable, schema: str, radius: float) -> DataFrame:
-    """Applies `find(asking, asked, close)` to every cell of every unit: two tables of points, and which lie within the radius."""
+    """Applies `find(asking, asked, close)` to every cell of every unit, strip by strip of the asking side: two tables of points,
+    and which lie within the radius."""
     def run(unit: pa.Table) -> pa.Table:
         unit = unit.sort_by("cell").combine_chunks()
         names = unit["cell"].to_pandas().to_numpy()
@@ -126,8 +173,9 @@ def _per_unit(blocks: DataFrame, find: Callable, schema: str, radius: float) ->
             asks = cell["asks"].to_numpy()
             asking, asked = cell.filter(pa.array(asks)), cell.filter(pa.array(~asks))
             if asking.num_rows and asked.num_rows:
-                vectors = [t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (asking, asked)]
-                found.append(find(asking, asked, within(*vectors, radius)))
+                a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (asking, asked))
+                rows = max(1, CLOSE_PAIRS // len(b))
+                found += [find(asking.slice(at, rows), asked, within(a[at:at + rows], b, radius)) for at in range(0, len(a), rows)]
         kept = [f for f in found if f.num_rows]
         return pa.concat_tables(kept) if kept else empty
 
@@ -137,7 +185,9 @@ def _per_unit(blocks: DataFrame, find: Callable, schema: str, radius: float) ->
 
 
 def _counts(asking: pa.Table, asked: pa.Table, close: np.ndarray) -> pa.Table:
-    return pa.table({"point": asking["point"], "near": pa.array(close @ asked["weight"].to_numpy())})
+    weights, rows = asked["weight"].to_numpy(), max(1, DISTANCE_PAIRS // close.shape[1])
+    near = np.concatenate([close[at:at + rows] @ weights for at in range(0, len(close), rows)])
+    return pa.table({"point": asking["point"], "near": pa.array(near)})
 
 
 def _spanning_links(asking: pa.Table, asked: pa.Table, close: np.ndarray) -> pa.Table:
@@ -197,6 +247,73 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
         "point", F.coalesce("root", "point").alias("root"))
 
 
+def dealt_parts(members: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """`members` with `parts`, the blocks of their cell, and `part`, the block a member is in by hash; and the most parts of a cell."""
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    crowded = checked_broadcast(sizes.select("cell", F.ceil(F.col("n") / block).cast("long").alias("parts")))
+    most = crowded.agg(F.max("parts")).first()[0] or 1
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    return members.join(crowded, "cell", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("point", F.lit(2)), "parts")), most
+
+
+def _rounds(most: int) -> Iterator[tuple[int, int]]:
+    """Parts asked in each round, as the first and the one after the last: one, then ROUND_GROWTH times more each time."""
+    first, last = 0, 1
+    while first < most:
+        yield first, last
+        first, last = last, last + ROUND_GROWTH * (last - first)
+
+
+def _asked_round(asking: DataFrame, members: DataFrame, first: int, last: int, block: int, wide: int) -> DataFrame:
+    """Units of the asking points against the members of the parts of a round."""
+    sides = [d.select("cell", "point", "v", "weight") for d in (asking, members.where(F.col("part").between(first, last - 1)))]
+    # A part holds about `block` points; it is not cut because of a few more.
+    return unit_pairs(*sides, wide, wide if first else min(wide, 2 * block))
+
+
+def core_points(members: DataFrame, most: int, radius: float, min_neighbours: int, block: int, wide: int) -> DataFrame:
+    """(point): those with rows of `min_neighbours` within the radius. A point asks round by round until it has that many."""
+    asking, found, short = members.where("home"), None, None
+    for first, last in _rounds(most):
+        near = _per_unit(_asked_round(asking, members, first, last, block, wide), _counts, "point string, near long", radius)
+        near = (near if short is None else near.unionByName(short)).groupBy("point").agg(F.sum("near").alias("near"))
+        near = materialize(near, "near")
+        core, short = near.where(F.col("near") >= min_neighbours).select("point"), near.where(F.col("near") < min_neighbours)
+        found = core if found is None else found.unionByName(core)
+        if last < most:
+            asking = materialize(asking.where(F.col("parts") > last).join(checked_broadcast(core), "point", "left_anti"), "asking")
+            if asking.isEmpty():
+                break
+    return materialize(found, "core")
+
+
+def core_roots(members: DataFrame, most: int, core: DataFrame, radius: float, block: int, wide: int) -> DataFrame:
+    """(point, root): the component of each core point among links within the radius. `members`: the core ones.
+
+    After the first round only points outside one component, the largest then, ask on. Two points of different components are
+    never both in that one; the other one has asked all members of its cell.
+    """
+    asking, roots, anchor = members.where("home"), None, None
+    for first, last in _rounds(most):
+        links = _per_unit(_asked_round(asking, members, first, last, block, wide), _spanning_links, "a string, b string", radius)
+        if roots is None:
+            roots = materialize(connected(links, core), "roots")
+            anchor = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").first()
+        else:
+            between = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            joined = connected(between, roots.select(F.col("root").alias("point")).distinct()).toDF("root", "to")
+            roots = materialize(roots.join(checked_broadcast(joined), "root").select("point", F.col("to").alias("root")), "roots")
+        if last < most:
+            if anchor is None:
+                break
+            largest = roots.where(F.col("point") == anchor.root).select("root")
+            rest = checked_broadcast(roots.join(F.broadcast(largest), "root", "left_anti").select("point"))
+            asking = materialize(asking.where(F.col("parts") > last).join(rest, "point", "left_semi"), "asking")
+            if asking.isEmpty():
+                break
+    return roots
+
+
 def radius_cluster(
     df: DataFrame, id_column: str, vector: str, radius: float, min_neighbours: int = 10, min_cluster_size: int = 1,
     axes: int = 3, seed: int = 42, block: int = BLOCK_POINTS,
@@ -215,20 +332,22 @@ def radius_cluster(
         raise ValueError("radius and min_neighbours must be positive")
     points = materialize(weighted_points(df, id_column, vector), "points")
     members = materialize(cell_members(points.select("point", "v", "weight"), radius, axes, seed), "cell-members")
-    blocks = materialize(block_pairs(members, block), "blocks")
-    near = _per_unit(blocks, _counts, "point string, near long", radius).groupBy("point").agg(F.sum("near").alias("near"))
-    core = materialize(near.where(F.col("near") >= min_neighbours).select("point"), "core")
-    among_core = materialize(blocks.where("NOT asks").join(core, "point", "left_semi"), "core-blocks")
-    asking_core = blocks.where("asks").join(core, "point", "left_semi")
-    links = _per_unit(asking_core.unionByName(among_core), _spanning_links, "a string, b string", radius)
-    roots = materialize(connected(links, core), "roots")
+    members, most = dealt_parts(members, block)
+    longest = points.agg(F.max(F.size("v"))).first()[0] or 1
+    wide = max(block, min(WIDE_BLOCKS * block, WIDE_VALUES // longest))
+    core = core_points(members, most, radius, min_neighbours, block, wide)
+    core_set = checked_broadcast(core)
+    core_members = materialize(members.join(core_set, "point", "left_semi"), "core-members")
+    roots = core_roots(core_members, most, core, radius, block, wide)
     weights = points.select("point", "weight", "first_id")
     clusters = roots.join(weights, "point").groupBy("root").agg(F.min("first_id").alias("first_id"))
     ranked = materialize(global_index(clusters, ["first_id", "root"], "label").select("root", "label"), "clusters")
     labels = materialize(roots.join(ranked, "root").select("point", "label"), "core-labels")
-    others = blocks.where("asks").join(core, "point", "left_anti").withColumn("label", F.lit(None).cast("long"))
-    asked = among_core.join(labels, "point").select(others.columns)
-    border = _per_unit(others.unionByName(asked), _least_labels, "point string, label long", radius).groupBy("point").agg(F.min("label").alias("label"))
+    columns = ["cell", "point", "v", "weight", "label"]
+    others = materialize(members.where("home").join(core_set, "point", "left_anti").withColumn("label", F.lit(None).cast("long")).select(columns), "others")
+    met = core_members.join(checked_broadcast(others.select("cell").distinct()), "cell", "left_semi")
+    pairs = unit_pairs(others, met.join(labels, "point").select(columns), wide, wide)
+    border = _per_unit(pairs, _least_labels, "point string, label long", radius).groupBy("point").agg(F.min("label").alias("label"))
     labelled = labels.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
     labelled = materialize(labelled.join(weights, "point"), "point-labels")
     sizes = labelled.groupBy("label").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_cluster_size)

@@ -76,6 +76,37 @@ def test_a_crowded_cell_is_compared_in_many_units(spark):
     assert len(sizes) >= 100 and max(sizes) < 220
 
 
+def test_what_is_moved_grows_with_the_rows(spark, monkeypatch):
+    moved, per_unit = [], density._per_unit
+
+    def counted(blocks, *rest):
+        moved[-1] += blocks.count()
+        return per_unit(blocks, *rest)
+
+    monkeypatch.setattr(density, "_per_unit", counted)
+    vectors = np.random.default_rng(3).normal(size=(1600, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for n in (400, 1600):  # 25 and 100 blocks, all in one crowded place
+        moved.append(0)
+        labels, core = found(spark, vectors[:n], 1.2, 5, block=16)
+        assert set(labels) == {0} and all(core)
+    assert moved[1] < 6 * moved[0]
+
+
+def test_clusters_that_grow_together_over_the_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # One tight group, the largest at first; six chains that meet only link by link; a second group; lonely points.
+    tight = np.round(rng.normal(0, 0.1, (40, 6)) * 8) / 8 + 3
+    chains = np.concatenate([np.eye(6)[[i]] * np.arange(0, 6, 0.25)[:, None] for i in range(6)])
+    points = np.concatenate([tight, chains, np.round(rng.normal(0, 0.1, (20, 6)) * 8) / 8 - 2, -4 * np.eye(6)]) + 0.0
+    expected = brute(points, 0.5, 3, 1)
+    assert len(set(expected[0])) == 4 and expected[0][40] == 0
+    members = density.cell_members(spark.createDataFrame([(str(i), p.tolist(), 1) for i, p in enumerate(points)], "point string, v array<double>, weight long"), 9.0, 3, 1)
+    assert {r.cell for r in members.collect()} == {"6|"} and members.where("home").count() == members.count() == len(points)
+    monkeypatch.setattr(density, "spread_axes", lambda *_: {6: [False] * 3})
+    assert found(spark, points, 0.5, 3, block=4) == expected
+
+
 def test_unusable_rows_are_noise_and_nothing_gives_nothing(spark):
     rows = [(1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, [1.0]), (6, [1.0, 0.0]), (None, [1.0]), (7, [float("inf")])]
     frame = spark.createDataFrame(rows, "id int, v array<double>")
