@@ -6,7 +6,7 @@ values, and the shortest wait wins, so a draw is one minimum and does not depend
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +82,12 @@ def _least_rows(vectors: DataFrame, starts: list[int], score: Callable, count: i
     return out
 
 
-def plus_plus_starts(vectors: DataFrame, k: int, n_init: int, seed: int, spherical: bool) -> np.ndarray:
-    """k-means++ centroids of all starts (start, cluster, dimension): k passes. With fewer than k different rows the rest are copies."""
+def plus_plus_starts(vectors: DataFrame, k: int, n_init: int, seed: int | Sequence[int], spherical: bool) -> np.ndarray:
+    """k-means++ centroids of all starts (start, cluster, dimension): k passes. With fewer than k different rows the rest are copies.
+
+    Of several seeds the `n_init` starts of each, one seed after the other; they share the passes and are drawn as they would be alone.
+    """
+    salts = [(s, i) for s in ([seed] if isinstance(seed, int) else seed) for i in range(n_init)]
     centers: list[np.ndarray] = []
     for step in range(k):
         chosen = np.stack(centers, axis=1) if centers else None
@@ -91,10 +95,10 @@ def plus_plus_starts(vectors: DataFrame, k: int, n_init: int, seed: int, spheric
         def wait(start: int, x: np.ndarray, hashes: np.ndarray) -> np.ndarray:
             rate = _nearest(x, chosen[start], spherical)[1] if chosen is not None else np.ones(len(x))
             with np.errstate(divide="ignore"):
-                return np.where(rate > 1e-15, -np.log(_uniform(hashes, seed, start, step)) / rate, np.inf)
+                return np.where(rate > 1e-15, -np.log(_uniform(hashes, *salts[start], step)) / rate, np.inf)
 
-        drawn = _least_rows(vectors, list(range(n_init)), wait, 1, spherical)
-        centers.append(np.stack([drawn[s][0] if s in drawn else centers[0][s] for s in range(n_init)]))
+        drawn = _least_rows(vectors, list(range(len(salts))), wait, 1, spherical)
+        centers.append(np.stack([drawn[s][0] if s in drawn else centers[0][s] for s in range(len(salts))]))
     return np.stack(centers, axis=1)
 
 
@@ -129,13 +133,15 @@ def _moved(old: np.ndarray, sums: np.ndarray, counts: np.ndarray, spherical: boo
 
 
 def lloyd(
-    vectors: DataFrame, centers: np.ndarray, max_iter: int, tol: float, spherical: bool,
+    vectors: DataFrame, centers: np.ndarray, max_iter: int, tol: float, spherical: bool, per_fit: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Final centroids and inertia of every start, and how many iterations each took.
 
     A start ends when no centroid moves by more than `tol`. Clusters without rows take the rows farthest from their centroid,
-    so that all k are used as long as the rows hold k different vectors.
+    so that all k are used as long as the rows hold k different vectors. `per_fit` starts after each other belong to one fit, by
+    default all; the starts of a fit draw the same number of far rows.
     """
+    per_fit = per_fit or len(centers)
     current, taken = {s: c.copy() for s, c in enumerate(centers)}, [0] * len(centers)
     active = set(current)
     for _ in range(max_iter):
@@ -151,7 +157,11 @@ def lloyd(
                 distance = _nearest(x, now[start], spherical)[1]
                 return np.where(distance > 1e-12, -distance, np.inf)
 
-            far = _least_rows(vectors, sorted(empty), nearness, max(map(len, empty.values())), spherical)
+            needed: dict[int, int] = {}
+            for s, clusters in empty.items():
+                needed[s // per_fit] = max(needed.get(s // per_fit, 0), len(clusters))
+            for count in sorted(set(needed.values())):
+                far |= _least_rows(vectors, [s for s in sorted(empty) if needed[s // per_fit] == count], nearness, count, spherical)
         for s in sorted(active):
             sums, counts, _ = totals[s]
             new = _moved(current[s], sums, counts, spherical)
@@ -174,14 +184,27 @@ def fit(
     Always k centroids: copies only where the rows hold fewer than k different vectors. Vectors have to be of one length and
     without nulls. Equal inertias go to the earlier start.
     """
+    return fit_seeds(df, n_clusters, n_init, max_iter, [seed], tol, spherical, vector, initial)[0]
+
+
+def fit_seeds(
+    df: DataFrame, n_clusters: int, n_init: int, max_iter: int, seeds: Sequence[int], tol: float, spherical: bool,
+    vector: str = "embedding", initial: np.ndarray | None = None,
+) -> list[tuple[np.ndarray, float, int]]:
+    """What `fit` finds for each of the seeds; the starts of all of them share the passes."""
+    if not seeds:
+        return []
     vectors = df.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(F.col(vector).cast("array<double>")).alias("hash")).persist()
     try:
         rows = vectors.count()
         if rows < n_clusters:
             raise ValueError("n_clusters must not exceed the row count")
-        starts = plus_plus_starts(vectors, n_clusters, n_init, seed, spherical) if initial is None else np.asarray(initial, np.float64)[None]
-        centers, costs, taken = lloyd(vectors, starts, max_iter, tol, spherical)
+        if initial is None:
+            starts, per_fit = plus_plus_starts(vectors, n_clusters, n_init, seeds, spherical), n_init
+        else:
+            starts, per_fit = np.stack([np.asarray(initial, np.float64)] * len(seeds)), 1
+        centers, costs, taken = lloyd(vectors, starts, max_iter, tol, spherical, per_fit)
     finally:
         vectors.unpersist()
-    best = int(np.argmin(costs))
-    return centers[best], float(costs[best]), taken[best]
+    best = [at + int(np.argmin(costs[at:at + per_fit])) for at in range(0, len(starts), per_fit)]
+    return [(centers[b], float(costs[b]), taken[b]) for b in best]

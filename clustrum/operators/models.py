@@ -5,6 +5,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -28,24 +29,57 @@ from clustrum.session import bounded_collect, materialize
 METHODS = ("kmeans", "spherical_kmeans")
 
 
+@cache
+def _is_word_character(character: str) -> bool:
+    return regex.fullmatch(WORD_PATTERN, character * 2) is not None
+
+
+#: Bytes of word characters as they are, all others as spaces: of Latin-1, and of the ASCII part of UTF-8.
+LATIN_WORDS = bytes(i if _is_word_character(chr(i)) else 32 for i in range(256))
+ASCII_WORDS = LATIN_WORDS[:128] + bytes(range(128, 256))
+
+
+def _raw_words(lowered: str) -> list[str] | list[bytes]:
+    """What `WORD_PATTERN` finds in a text, and its single word characters: as Latin-1 bytes where the text has no other
+    characters, else as strings."""
+    try:
+        return lowered.encode("latin-1").translate(LATIN_WORDS).split()
+    except UnicodeEncodeError:
+        for character in set(lowered):
+            if not character.isascii() and not _is_word_character(character):
+                lowered = lowered.replace(character, " ")
+        return lowered.encode().translate(ASCII_WORDS).decode().split()
+
+
+class _WordSlots(dict):
+    """Slot of a word, hashed when it is first met; one more for what is shorter than two characters and no word."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, raw: str | bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        word = raw.decode("latin-1") if isinstance(raw, bytes) else raw
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimension if len(word) > 1 else self.dimension
+        self[raw] = slot
+        return slot
+
+
 class HashedWordEncoder:
     """Deterministic stand-in for a pretrained encoder: word counts in hashed slots, unit length."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
-        self._slots: dict[str, int] = {}
+        self._slots = _WordSlots(dimension)
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in enumerate(texts):
-            for word in regex.findall(WORD_PATTERN, text.lower()):
-                slot = self._slots.get(word)
-                if slot is None:
-                    if len(self._slots) > 500_000:
-                        self._slots.clear()
-                    slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimension
-                    self._slots[word] = slot
-                out[row, slot] += 1
+            words = _raw_words(text.lower())
+            slots = np.fromiter(map(self._slots.__getitem__, words), np.intp, len(words))
+            out[row] = np.bincount(slots, minlength=self.dimension + 1)[:-1]
             if not out[row].any():  # a text without words still needs a direction
                 out[row, 0] = 1
         return out
@@ -96,15 +130,30 @@ def kmeans_fit(
     All runs share each pass over the vectors (`operators.kmeans`). There are always `n_clusters` centroids: a cluster that
     loses its rows takes the farthest one. `initial` gives the start instead, as centroids 0..k-1.
     """
+    return kmeans_fits(df, method, [seed], n_clusters, n_init, max_iter, vector, tol, initial)[0]
+
+
+def kmeans_fits(
+    df: DataFrame,
+    method: str = "spherical_kmeans",
+    seeds: Sequence[int] = (42,),
+    n_clusters: int = 10,
+    n_init: int = 10,
+    max_iter: int = 300,
+    vector: str = "embedding",
+    tol: float = 1e-6,
+    initial: DataFrame | None = None,
+) -> list[tuple[DataFrame, float]]:
+    """What `kmeans_fit` finds for each of the seeds, in passes that all of them share."""
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if n_init < 1 or max_iter < 1 or n_clusters < 1:
         raise ValueError("n_clusters, n_init and max_iter must be positive")
     start = None if initial is None else centroid_matrix(initial)
-    centers, cost, _ = kmeans.fit(
-        df, n_clusters if start is None else len(start), n_init, max_iter, seed, tol, method == "spherical_kmeans", vector, start)
-    rows = [(i, c.tolist()) for i, c in enumerate(centers)]
-    return df.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>"), cost
+    fits = kmeans.fit_seeds(
+        df, n_clusters if start is None else len(start), n_init, max_iter, seeds, tol, method == "spherical_kmeans", vector, start)
+    schema = "cluster_id int, centroid array<double>"
+    return [(df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], schema), cost) for centers, cost, _ in fits]
 
 
 def fit_and_assign(df: DataFrame, method: str, vector: str = "embedding", **options) -> tuple[DataFrame, DataFrame, float]:
@@ -195,8 +244,8 @@ def sweep(
         fitted = materialize(rows.select(id_column, vector), "sweep-train")
         held = materialize(evaluation[encoder].select(id_column, vector), "sweep-evaluation")
         for method in methods:
-            for seed in seeds:
-                centroids, cost = kmeans_fit(fitted, method, seed=seed, vector=vector, **options)
+            # The seeds of a method share the passes over the training rows.
+            for seed, (centroids, cost) in zip(seeds, kmeans_fits(fitted, method, seeds, vector=vector, **options)):
                 labelled = materialize(label_rows(held, centroids, method, vector), "sweep-labels")
                 score = silhouette_cosine(labelled, vector).first()
                 results.append((encoder, method, seed, score.silhouette_cosine if score else None, cost))

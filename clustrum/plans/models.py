@@ -96,6 +96,8 @@ def sweep_query(spark, sf):
     from clustrum.plans.common import cohort_column
 
     rows = table(spark, sf, "documents").select("doc_id", "text").withColumn("cohort", cohort_column("doc_id"))
+    # Only the cohorts that are fitted or scored are encoded; the encoder keeps filters from being moved before it.
+    rows = rows.filter("cohort IN ('training', 'selection')")
     train, held = {}, {}
     for name, dimension in (("small", 16), ("wide", 64)):
         encoded = materialize(models.encode_texts(rows, lambda d=dimension: models.HashedWordEncoder(d)).drop("text"), "sweep-vectors")

@@ -83,3 +83,17 @@ def test_always_k_centroids_on_repeated_rows(spark, method):
 def test_zero_vectors_have_no_direction(spark):
     with pytest.raises(Exception, match="no direction"):
         kmeans.fit(frame(spark, [[0.0, 0.0], [1.0, 0.0]]), 1, 1, 2, 1, 0.0, True)
+
+
+def test_seeds_fitted_together_are_fitted_as_alone(spark):
+    # Far starts leave clusters empty: each fit draws its far rows as it would alone.
+    x = np.random.default_rng(12).normal(size=(300, 3)) + np.repeat(np.eye(3) * 9, 100, axis=0)
+    for spherical in (False, True):
+        together = kmeans.fit_seeds(frame(spark, x), 7, 2, 12, [5, 6, 9], 1e-9, spherical)
+        for seed, (centers, cost, taken) in zip([5, 6, 9], together):
+            alone = kmeans.fit(frame(spark, x), 7, 2, 12, seed, 1e-9, spherical)
+            assert np.allclose(centers, alone[0]) and cost == pytest.approx(alone[1]) and taken == alone[2]
+    start = np.concatenate([x[:2], np.full((2, 3), 50.0)])
+    one, other = kmeans.fit_seeds(frame(spark, x), 4, 1, 3, [1, 2], 0.0, False, initial=start)
+    assert np.allclose(one[0], other[0]) and np.allclose(one[0], kmeans.fit(frame(spark, x), 4, 1, 3, 1, 0.0, False, initial=start)[0])
+    assert kmeans.fit_seeds(frame(spark, x), 4, 1, 3, [], 0.0, False) == []

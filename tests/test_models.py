@@ -1,3 +1,4 @@
+import hashlib
 import sys
 import time
 
@@ -15,6 +16,7 @@ from clustrum.operators.cleaning import ContractError
 from clustrum.operators.geometry import centroids_of, inertia
 from clustrum.operators.keywords import ctfidf_keywords, term_frequency
 from clustrum.operators.partitions import sweep_aggregate, pairwise_ari
+from clustrum.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,6 +120,37 @@ def test_frozen_model_round_trip_and_refusals(spark, encoded, tmp_path):
         models.load_frozen(spark, other)
 
 
+def test_words_of_a_text_are_those_of_the_pattern():
+    every = "".join(f"a{chr(i)}b {chr(i)} {chr(i) * 2}. " for i in range(0x3200) if not 0xD800 <= i < 0xE000)
+    texts = ["", "x", "Été, l'été_2 à la MER; x mer", "« œuvre » – d’un “mot” 中文 字 Ⅷ½ ٣٤", "ab\x85cd\xa0ef\u2028gh\x1cij", "İx ẞẞ ǅ", "ªº µ ²³", every]
+    texts += [every[i:i + 40] for i in range(0, len(every), 40)]
+    encoder = models.HashedWordEncoder(16)
+    for text in texts:
+        words = regex.findall(WORD_PATTERN, text.lower())
+        assert [w for w in (w.decode("latin-1") if isinstance(w, bytes) else w for w in models._raw_words(text.lower())) if len(w) > 1] == words
+        wanted = np.zeros(16)
+        for w in words:
+            wanted[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        wanted[0] += not words
+        assert (encoder.encode([text])[0] == wanted).all()
+
+
+def test_a_sweep_encodes_no_other_cohorts_and_shares_its_passes(spark, sf, monkeypatch):
+    from clustrum.operators import kmeans
+    from clustrum.plans import models as plans
+
+    written, fits, lloyd = [], [], kmeans.lloyd
+    monkeypatch.setattr(plans, "materialize", lambda df, name: (written.append(materialize(df, name)), written[-1])[1])
+    monkeypatch.setattr(kmeans, "lloyd", lambda vectors, centers, *rest: (fits.append(len(centers)), lloyd(vectors, centers, *rest))[1])
+    runs = plans.sweep_query(spark, sf)
+    cohorts = {r.cohort for d in written for r in d.select("cohort").distinct().collect()}
+    # Two encoders, two methods; each fit is of both seeds.
+    assert cohorts == {"training", "selection"} and runs.count() == 8 and fits == [2, 2, 2, 2]
+    alone = written[0].filter("cohort = 'training'")
+    for r in runs.filter("encoder = 'small'").collect():
+        assert models.kmeans_fit(alone, r.method, n_clusters=4, n_init=1, max_iter=15, seed=r.seed)[1] == pytest.approx(r.inertia, rel=1e-12)
+
+
 def test_terms_of_a_block_are_folded_as_columns(spark):
     texts = ["été, l'été_2 à la mer; x mer mer", None, "", "?! ...", "mer mer  42\n日本語 mer", "é"]
     clusters, stop = [3, 3, 7, 7, 7, 7], ["la"]
